@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import suffix_dedup
+from . import bpe, line_dedup, mixing, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +17,81 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"), *bpe.default_vocabulary())
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_mixing": op8_mixing,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_KEY_SQL = r"""translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": f"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), raw AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM split
+), keyed AS (
+  SELECT doc_id, line, i, {_KEY_SQL} AS k FROM raw
+), often AS (
+  SELECT k, max(doc_id) AS last_doc FROM keyed WHERE length(k) >= 40
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT doc_id, line, i, coalesce(doc_id <> last_doc, false) AS gone
+  FROM keyed LEFT JOIN often USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+    "op8_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5('17:' || coalesce(cast(doc_id AS varchar), '')) AS o
+  FROM documents
+), by_source AS (
+  SELECT source, cast(sum(size) AS bigint) AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::double WHEN 1 THEN 2.0::double ELSE 1.0::double END AS weight,
+    cast(2 * source_size AS double) AS most
+  FROM by_source
+), levels AS (
+  SELECT *, most / weight AS ratio,
+    (1.5::double * (SELECT sum(source_size) FROM by_source)
+      - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed
+), settled AS (
+  SELECT *, first_value(CASE WHEN most >= level * weight THEN level END IGNORE NULLS)
+    OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l
+  FROM levels
+), targets AS (
+  SELECT source, source_size, coalesce(least(most, l * weight), most) AS target FROM settled
+), placed AS (
+  SELECT s.*, t.source_size, t.target,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), wholes AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM placed
+)
+SELECT doc_id, size, source_size, target,
+  cast(size * (whole + CASE WHEN size > 0 AND start + size / 2.0::double < target - whole * source_size THEN 1 ELSE 0 END) AS bigint) AS taken
+FROM wholes
+""",
+}
