@@ -149,11 +149,11 @@ class Hasher:
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the index of each document's first word
     (one longer than the documents); words never cross documents."""
     n = len(data)
-    inside = ~IS_SPACE[data]
+    inside = ~space[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True
     before = np.zeros(n, dtype=bool)
