@@ -32,10 +32,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them."""
     gone = line_dedup.dropped_lines(docs).select(F.col("doc_id").alias("_sw_id"), F.col("gone").alias("_sw_gone"))
-    lines = line_dedup.lines_of(F.col("text"))
-    left = F.when(F.col("_sw_gone").isNull(), F.col("text")).otherwise(F.array_join(line_dedup.kept_lines(lines, F.col("_sw_gone")), "\n"))
-    kept = _with(docs, gone, "left")
-    return kept.select(*(left.alias(c) if c == "text" else F.length(left).cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes))
+    kept = line_dedup.cut_lines(_with(docs, gone, "left"), "text", "_sw_gone", "_sw_left")
+    new = {"text": F.col("_sw_left"), "n_chars": F.length("_sw_left")}
+    return kept.select(*(new[c].cast(t).alias(c) if c in new else F.col(f"`{c}`") for c, t in docs.dtypes))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,21 +106,26 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     return hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
-def kept_lines(lines: Column, gone: Column) -> Column:
-    """The lines outside ``gone`` (sorted numbers), cut out range by range."""
-    edges = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
-    ranges = F.transform(
-        F.sequence(F.lit(1), F.size(edges) - 1),
-        lambda k: F.slice(lines, F.element_at(edges, k) + 2, F.element_at(edges, k + 1) - F.element_at(edges, k) - 1),
-    )
-    return F.flatten(ranges)
+def cut_lines(rows: DataFrame, text: str, gone: str, out: str) -> DataFrame:
+    """Adds ``out``: the text without the lines of ``gone`` (sorted numbers, or null),
+    cut out range by range. Lines and range ends are columns of their own, so that they
+    are worked out once per row."""
+    some = F.col(gone).isNotNull()
+    rows = rows.withColumn("_sw_lines", F.when(some, lines_of(F.col(text))))
+    rows = rows.withColumn("_sw_edges", F.when(some, F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size("_sw_lines")))))
+
+    def between(k: Column) -> Column:
+        before, after = F.element_at("_sw_edges", k), F.element_at("_sw_edges", k + 1)
+        return F.slice("_sw_lines", before + 2, after - before - 1)
+
+    left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.size("_sw_edges") - 1), between)), "\n")
+    return rows.withColumn(out, F.when(some, left).otherwise(F.col(text))).drop("_sw_lines", "_sw_edges")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """One row per document: ``doc_id, n_lines, n_dropped, kept`` (the text left)."""
     gone = dropped_lines(docs, min_chars, min_docs, batches).withColumnRenamed("doc_id", "id_")
     rows = docs.select("doc_id", text_of().alias("text")).join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("id_"), "left")
-    lines = lines_of(F.col("text"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(lines, F.col("gone")), "\n"))
+    rows = cut_lines(rows, "text", "gone", "kept")
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
-    return rows.select("doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    return rows.select("doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), "kept")

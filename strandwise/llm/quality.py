@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, text_of, words_of
+from .common import SPACE_CLASS, stage, text_of, words_of
 
 BUCKETS = 1 << 15
 #: Trusted documents taken at most, by smallest hash of their id.
@@ -134,6 +134,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * n)
     score = total / (F.greatest(2 * n - 1, F.lit(1)) * 1_000_000.0)
     scored = rows.withColumn("score", F.coalesce(score, F.lit(0.0)))
-    return scored.select(
+    verdicts = scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", (~failed & (F.col("score") >= threshold)).alias("kept")
     )
+    # small rows, written once: a filter on them must not be pushed into the expressions above
+    return stage(verdicts, "verdicts")
