@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import predicates  # noqa: F401
+from .registry import REGISTRY
+
+QUERIES = REGISTRY.queries
+ORACLE_SQL = REGISTRY.sql
