@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, Hasher, list_array, mix, slices, stage, word_bounds
@@ -49,6 +49,8 @@ WIDTH = 5
 PERCENT = 80
 #: Rows on each side of a block.
 PART = 1024
+#: Size of the filter that tells which texts to fetch (2 MB).
+BITMAP_BITS = 1 << 24
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,10 +110,33 @@ def _sketch(width: int, percent: int):
     return run
 
 
-def _sets(width: int):
+def _place(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+
+
+def bitmap_of(ids: DataFrame, column: str) -> np.ndarray:
+    """Bits at the hashed places of ids: a filter of fixed size (``BITMAP_BITS``), however
+    many ids there are. It may let others pass, never stop one of these."""
+    n = _place(column) + 1
+    rows = ids.groupBy(F.bitmap_bucket_number(n).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("bits"))
+    out = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for r in rows.collect():
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _sets(width: int, wanted: np.ndarray):
+    """Whole sets of the documents that pass the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def passed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = batch.column(1).to_numpy()
+                yield batch.filter(pa.array((wanted[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+
         with np.errstate(over="ignore"):
-            for s in slices(batches):
+            for s in slices(passed()):
                 sets = list(shingle_sets(s.bytes, s.offsets, width))
                 yield pa.RecordBatch.from_arrays([s.columns[0], list_array(np.concatenate(sets), [len(x) for x in sets])], ["cid", "grams"])
 
@@ -120,13 +145,14 @@ def _sets(width: int):
 
 def candidate_families(reps: DataFrame, percent: int) -> DataFrame:
     """``node, component``: representatives that may link, by family (steps 2 and 3)."""
-    listed = reps.select("cid", "n", F.explode("probe").alias("gram"))
+    listed = reps.select("cid", F.explode("probe").alias("gram"))
     of_gram = Window.partitionBy("gram")
     shared = stage(listed.withColumn("df", F.count("*").over(of_gram)).where("df > 1"), "shared")
     # a partner of a set of n has at least ceil(t * n) shingles, so T is at least this
     least_partner = F.ceil(F.col("n") * percent / F.lit(100.0))
     t = F.greatest(F.lit(1), F.floor(least_partner / 20)).cast("int")
-    per_doc = shared.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams")).withColumn("t", t)
+    per_doc = shared.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    per_doc = per_doc.join(reps.select("cid", "n"), "cid").withColumn("t", t)
     kept = per_doc.where(F.size("grams") >= F.col("t")).select("cid", F.explode(F.slice("grams", F.lit(1), F.size("grams") - F.col("t") + 1)).alias("g")).select("cid", "g.gram")
     kept = stage(kept, "kept")
     heads = kept.groupBy("gram").agg(F.min("cid").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
@@ -236,18 +262,17 @@ def _search(percent: int):
 def links(docs: DataFrame, families: DataFrame, width: int, percent: int, part: int = PART) -> DataFrame:
     """``a, b``: enough links between representatives to connect all that are linked."""
     members = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    texts = docs.select("doc_id", "text").join(members.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(width), "cid long, grams array<long>").dropDuplicates(["cid"])
-    sets = stage(sets.join(members.withColumnRenamed("doc_id", "cid"), "cid"), "sets")
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", _place("doc_id").alias("place"), "text")
+    sets = texts.mapInArrow(_sets(width, bitmap_of(members, "doc_id")), "cid long, grams array<long>")
+    sets = stage(sets.join(members.withColumnRenamed("doc_id", "cid"), "cid").dropDuplicates(["cid"]), "sets")
     first = sets.where("cid = family").select("family", F.col("grams").alias("first_grams"))
-    met = sets.join(first, "family")
     same = F.size(F.array_intersect("grams", "first_grams"))
-    met = met.withColumn("settled", 100 * same >= percent * (F.size("grams") + F.size("first_grams") - same))
-    met = stage(met.select("family", "cid", "grams", "settled"), "met")
+    settled = 100 * same >= percent * (F.size("grams") + F.size("first_grams") - same)
+    met = stage(sets.join(first, "family").select("family", "cid", settled.alias("settled")), "met")
     direct = met.where("settled and cid != family").select(F.col("cid").alias("a"), F.col("family").alias("b"))
     open_ = met.groupBy("family").agg(F.count("*").alias("all"), F.count_if(~F.col("settled")).alias("asked")).where("asked > 0")
     open_ = open_.select("family", F.ceil(F.col("all") / part).cast("int").alias("parts"), F.ceil(F.col("asked") / part).cast("int").alias("asks"))
-    rows = met.join(open_, "family")
+    rows = sets.select("cid", "grams").join(met.join(open_, "family"), "cid")
     own = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     index = rows.select("family", "cid", "grams", "settled", own("parts", 1).alias("part"), every("asks").alias("ask"))
