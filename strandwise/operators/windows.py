@@ -51,9 +51,8 @@ def prefix_allocation(df: DataFrame, key: str, size: str, cap: int, floor: int)
     """
     order = Window.orderBy(F.desc(size), key)
     rows = df.select(key, size, F.row_number().over(order).alias("_r"), F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
-    total = F.least(F.col("_s"), F.lit(cap))
     # the smallest of the first r groups is row r itself
-    fits = (F.col("_r") == 1) | (F.floor(total * F.col(size) / F.col("_s")) >= floor)
+    fits = (F.col("_r") == 1) | (F.col("_s") <= cap) | (F.col(size) * F.lit(cap) / F.col("_s") >= floor)
     last = rows.agg(F.max(F.when(fits, F.col("_r"))).alias("_last"))
     return rows.join(last, F.col("_r") <= F.col("_last")).select(key, size)
 

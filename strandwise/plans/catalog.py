@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, facets, joins, predicates  # noqa: F401
+from . import aggregates, facets, joins, predicates, sampling  # noqa: F401
 from .registry import REGISTRY
 
 QUERIES = REGISTRY.queries

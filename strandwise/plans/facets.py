@@ -213,7 +213,7 @@ def _sizes(t):
 @query("prefix_allocation", """
 WITH s AS (SELECT o_custkey, count(*) AS size FROM orders GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY size DESC, o_custkey) AS r, sum(size) OVER (ORDER BY size DESC, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM s)
-SELECT o_custkey, size FROM r WHERE r <= (SELECT max(r) FROM r WHERE r = 1 OR floor(least(total, 3000) * size / total) >= 3)""")
+SELECT o_custkey, size FROM r WHERE r <= (SELECT max(r) FROM r WHERE r = 1 OR total <= 3000 OR size * 3000 / total >= 3)""")
 def _(t):
     return G.prefix_allocation(_sizes(t), "o_custkey", "size", 3000, 3)
 
