@@ -2,9 +2,262 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwise.functions.columns import lookup, yes
+
+from .joins import singulars, unique_tier_lookup
+
+# Spellings of units.
+UNITS = {
+    "years": "y yr yrs year years yo",
+    "months": "mo mos month months m",
+    "weeks": "w wk wks week weeks",
+    "days": "d day days dpi div dpt",
+    "hours": "h hr hrs hour hours hpi",
+    "minutes": "min mins minute minutes",
+    "pcw": "pcw gw",
+}
+NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
+UNIT = "(" + "|".join(sorted((u for names in UNITS.values() for u in names.split()), key=len, reverse=True)) + ")"
+PER_YEAR = {"years": 1.0, "months": 12.0, "weeks": 52.18, "days": 365.25}
+MISSING = ("", "na", "n/a", "none", "unknown", "not applicable", "not available", "missing")
+
+# Closed lexicons.
+LEXICONS = {
+    "sex": {"male": "m male man men boy males xy", "female": "f female woman women girl females xx", "mixed": "mixed both pooled"},
+    "treatment": {"none": "none untreated naive unstimulated", "DMSO": "dmso", "PBS": "pbs", "vehicle": "vehicle"},
+    "ancestry": {"european": "european white caucasian", "african": "african black", "east asian": "chinese japanese korean asian", "hispanic": "hispanic latino"},
+    "disease": {"healthy": "healthy normal control ctrl", "covid-19": "covid covid-19 sars-cov-2", "leukemia": "leukemia leukaemia aml"},
+    "sample_type": {"primary tissue": "tissue biopsy primary", "cell line": "line", "organoid": "organoid organoids", "pdx": "pdx xenograft", "ipsc derived": "ipsc"},
+}
+
+
+def norm_key(c: Column) -> Column:
+    return F.regexp_replace(F.trim(F.lower(c)), "[ _-]+", " ")
+
+
+def parse_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, position, attr, value, evidence`` of ``k: v ;; k: v`` text, of single
+    semicolons before a key, or of a JSON object."""
+    raw = F.trim(F.coalesce(F.col(text), F.lit("")))
+    listed = F.filter(F.split(raw, r"\s*;;\s*|\s*;\s*(?=[A-Za-z][A-Za-z0-9 _-]*:)"), lambda p: p.contains(":"))
+    plain = F.transform(listed, lambda p: F.struct(F.substring_index(p, ":", 1).alias("k"), F.trim(F.regexp_replace(p, "^[^:]*:", "")).alias("v"), p.alias("e")))
+    entries = F.map_entries(F.coalesce(F.from_json(raw, "map<string,string>"), F.create_map().cast("map<string,string>")))
+    object_ = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), F.trim(e["value"]).alias("v"), F.concat(e["key"], F.lit(": "), e["value"]).alias("e")))
+    pairs = F.when(raw.startswith("{"), object_).otherwise(plain)
+    rows = df.select(key, F.posexplode(pairs).alias("position", "p"))
+    return rows.select(key, "position", norm_key(F.col("p.k")).alias("attr"), F.col("p.v").alias("value"), F.col("p.e").alias("evidence")).where("value != ''")
+
+
+def unit_name(c: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, spelled in UNITS.items():
+        out = F.when(c.isin(spelled.split()), name).otherwise(out)
+    return out
+
+
+def unit_from_key(key: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, pattern in (("hours", "hours?|hrs?|hpi"), ("days", "days?|div|dpi|dpt"), ("weeks", "weeks?"), ("months", "months?"), ("years", "years?|yrs?")):
+        out = F.when(key.rlike(rf"\b({pattern})\b"), name).otherwise(out)
+    return out
+
+
+def _amount(text: Column, pattern: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def _number(text: Column, pattern: str, group: int) -> Column:
+    return _amount(text, pattern, group).cast("double")
+
+
+def parse_age(value: Column, key: Column, human: Column) -> Column:
+    """Struct of ``num, unit, confidence``: single ages, ranges (midpoint), years and
+    months, embryonic (E) and postnatal (P) days; the unit comes from the value or the
+    key; a bare number of a human is years. NULL where no age is read."""
+    s = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), r"\s*\(.*?\)\s*", " "), r"^(post ?natal|approximately|approx\.?|about|around|~)\s*", ""))
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[-\s]*old$", ""), rf"^{NUMBER}-(?=[a-z])", "$1 "))
+    both = rf"^{NUMBER}\s*(?:yrs?|years?)\s*{NUMBER}\s*(?:mos?|months?)$"
+    embryo, born = rf"^e\s*{NUMBER}$", rf"^p\s*{NUMBER}$"
+    span = rf"^{NUMBER}\s*(?:-|–|to)\s*{NUMBER}[\s-]*{UNIT}?$"
+    one = rf"^{NUMBER}\s*{UNIT}?$"
+    of_key = unit_from_key(key)
+
+    def found(num: Column, unit: Column, confidence: Column) -> Column:
+        return F.struct(num.cast("double").alias("num"), unit.alias("unit"), confidence.cast("double").alias("confidence"))
+
+    span_unit = F.coalesce(unit_name(_amount(s, span, 3)), of_key)
+    one_unit = F.coalesce(unit_name(_amount(s, one, 2)), of_key)
+    num = _number(s, one, 1)
+    assumed = yes(human) & (num <= 110)
+    return (
+        F.when(s.rlike(both), found(F.round(_number(s, both, 1) + _number(s, both, 2) / 12, 2), F.lit("years"), F.lit(0.95)))
+        .when(s.rlike(embryo), found(_number(s, embryo, 1), F.lit("E-days"), F.lit(0.95)))
+        .when(s.rlike(born), found(_number(s, born, 1), F.lit("postnatal days"), F.lit(0.95)))
+        .when(s.rlike(span) & (_number(s, span, 2) >= _number(s, span, 1)), found(F.round((_number(s, span, 1) + _number(s, span, 2)) / 2, 2), span_unit, F.when(span_unit.isNotNull(), 0.95).otherwise(0.7)))
+        .when(s.rlike(span), F.lit(None))
+        .when(s.rlike(one), found(num, F.coalesce(one_unit, F.when(assumed, "years")), F.when(one_unit.isNotNull(), 0.95).when(assumed, 0.75).otherwise(0.7)))
+    )
+
+
+def parse_timepoint(value: Column, key: Column) -> Column:
+    """Struct of ``num, unit, confidence``: "day 6", "24 hours", "baseline", a bare
+    number with the key's unit."""
+    s = F.lower(F.trim(value))
+    lead = rf"^(day|d|week|wk|w|hour|hr|h|month|div)\s*{NUMBER}$"
+    tail = rf"(?:^|[^a-z0-9.]){NUMBER}\s*{UNIT}(?![a-z])"
+    bare = rf"^{NUMBER}$"
+
+    def found(num: Column, unit: Column, confidence: Column) -> Column:
+        return F.struct(num.cast("double").alias("num"), unit.alias("unit"), confidence.cast("double").alias("confidence"))
+
+    of_key = unit_from_key(key)
+    return (
+        F.when(s.rlike("^(baseline|pre-?treatment|pre|before treatment|t0)$"), found(F.lit(0.0), F.lit(None).cast("string"), F.lit(0.95)))
+        .when(s.rlike(lead), found(_number(s, lead, 2), F.coalesce(unit_name(_amount(s, lead, 1)), F.lit("days")), F.lit(0.95)))
+        .when(s.rlike(tail), found(_number(s, tail, 1), unit_name(_amount(s, tail, 2)), F.lit(0.9)))
+        .when(s.rlike(bare), found(_number(s, bare, 1), of_key, F.when(of_key.isNotNull(), 0.95).otherwise(0.7)))
+    )
+
+
+def to_years(num: Column, unit: Column) -> Column:
+    out = F.lit(None).cast("double")
+    for name, per in PER_YEAR.items():
+        out = F.when(unit == name, num / per).otherwise(out)
+    return out
+
+
+def life_stage(years: Column) -> Column:
+    return F.when(years < 18, "pediatric").when(years >= 65, "aged").when(years.isNotNull(), "adult")
+
+
+def normalise(value: Column, lexicon: str) -> Column:
+    """Struct of ``norm, placed``: the lexicon's word, else the folded value; missing
+    words give NULL; a checklist with only negative answers is healthy."""
+    s = F.regexp_replace(F.lower(F.trim(value)), r"\s+", " ")
+    placed = F.lit(None).cast("string")
+    for name, words in LEXICONS[lexicon].items():
+        placed = F.when(s.isin(words.split()), name).otherwise(placed)
+    if lexicon == "disease":
+        answers = F.filter(F.split(s, r"\s*;\s*"), lambda x: x != "")
+        negative = (F.size(answers) > 1) & F.forall(answers, lambda x: x.rlike("^[a-z0-9 /-]{1,30}:\\s*(no|none|negative)$"))
+        placed = F.coalesce(placed, F.when(negative, "healthy"))
+    return F.when(s.isNotNull() & ~s.isin(list(MISSING)), F.struct(F.coalesce(placed, s).alias("norm"), placed.isNotNull().alias("placed")))
+
+
+def extract_attrs(pairs: DataFrame, key: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """``key, attr, value_raw, value_norm, confidence, evidence``: the first pair that
+    fills an attribute wins. ``rules``: (pattern of the pair's key, attribute), in order;
+    attributes with a lexicon are normalised (0.95 when placed, else 0.7)."""
+    chain, rank = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for i, (pattern, attr) in reversed(list(enumerate(rules))):
+        hit = F.col("attr").rlike(pattern)
+        chain, rank = F.when(hit, attr).otherwise(chain), F.when(hit, i).otherwise(rank)
+    rows = pairs.withColumn("_a", chain).withColumn("_k", rank).where("_a is not null")
+    value = F.lower(F.trim("value"))
+    norm = F.struct(value.alias("norm"), F.lit(False).alias("placed"))
+    for name in LEXICONS:
+        norm = F.when(F.col("_a") == name, normalise(F.col("value"), name)).otherwise(norm)
+    rows = rows.withColumn("_n", norm).where("_n is not null")
+    first = Window.partitionBy(key, "_a").orderBy("_k", "position")
+    rows = rows.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    return rows.select(key, F.col("_a").alias("attr"), F.col("value").alias("value_raw"), F.col("_n.norm").alias("value_norm"), F.when(F.col("_n.placed"), 0.95).otherwise(0.7).alias("confidence"), "evidence")
+
+
+# Fixed precedence of sample types.
+SAMPLE_TYPES = (
+    ("organoid", "organoid|spheroid"),
+    ("xenograft", "xenograft|pdx"),
+    ("cell line", "cell line|hela|hek"),
+    ("stem-derived", "ipsc|esc derived|stem cell derived"),
+    ("culture", "cultur|in vitro"),
+    ("tissue", "tissue|biops|resect|organ"),
+)
+
+
+def classify_sample_type(pairs: DataFrame, key: str) -> DataFrame:
+    """``key, sample_type, tumor``: the first rule that any pair of a sample meets."""
+    text = F.lower(F.concat_ws(" ", "attr", "value"))
+    flags = pairs.groupBy(key).agg(*(F.bool_or(text.rlike(p)).alias(f"t_{i}") for i, (_, p) in enumerate(SAMPLE_TYPES)), F.bool_or(text.rlike("tumou?r|cancer|carcinoma")).alias("tumor"))
+    out = F.lit("unknown")
+    for i, (name, _) in reversed(list(enumerate(SAMPLE_TYPES))):
+        out = F.when(F.col(f"t_{i}"), name).otherwise(out)
+    return flags.select(key, out.alias("sample_type"), "tumor")
+
+
+def disease_candidate(pairs: DataFrame, key: str) -> DataFrame:
+    """``key, disease``: healthy, or the disease text of a disease key (else a generic
+    one) without words for persons and severity."""
+    rank = F.when(F.col("attr").rlike("disease|diagnos"), 0).when(F.col("attr").rlike("condition|status|phenotype"), 1)
+    rows = pairs.withColumn("_k", rank).where("_k is not null")
+    order = Window.partitionBy(key).orderBy("_k", "position")
+    first = rows.withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    low = F.lower("value")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(low, r"\b(patients?|donors?|severe|mild|moderate|stage [ivx0-9]+)\b", ""), r"\s+", " "))
+    return first.select(key, F.when(low.rlike("healthy|normal|control"), "healthy").otherwise(F.nullif(bare, F.lit(""))).alias("disease"))
+
+
+def evidence_holds(evidence: Column, text: Column) -> Column:
+    fold = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    return yes(fold(text).contains(fold(evidence)))
+
+
+def map_to_ontology(values: DataFrame, labels: DataFrame, value: str, general: Sequence[str] = ()) -> DataFrame:
+    """``value, term_id, method, confidence``: by id, alias, label or synonym of the value
+    itself, then of its variants; ambiguous or too general values stay unmapped."""
+    asked = values.select(value).distinct()
+    forms = asked.select(value, F.posexplode(singulars(F.lower(F.trim(F.col(value))))).alias("form", "name"))
+    hits = unique_tier_lookup(forms.select("name"), labels, "name")
+    found = forms.join(hits, "name").where(~F.col("term_id").isin(list(general)) if general else F.lit(True))
+    best = found.groupBy(value).agg(F.min(F.struct("form", "tier", "term_id")).alias("b"))
+    names = F.array(*map(F.lit, ["id", "alias", "label", "synonym"]))
+    method = F.concat(F.element_at(names, F.col("b.tier") + 1), F.when(F.col("b.form") > 0, "+variant").otherwise(""))
+    confidence = F.when(F.col("b.form") > 0, 0.8).otherwise(F.when(F.col("b.tier") <= 2, 1.0).otherwise(0.9))
+    return asked.join(best, value, "left").select(value, F.col("b.term_id").alias("term_id"), F.when(F.col("b.term_id").isNotNull(), method).alias("method"), F.when(F.col("b.term_id").isNotNull(), confidence).alias("confidence"))
+
+
+def age_to_stage(num: Column, unit: Column, stages: Sequence[tuple[str, float, float | None]]) -> Column:
+    """Narrowest stage [low, high) in days that holds an age; ties to the first."""
+    days = to_years(num, unit) * 365.25
+    ordered = sorted(enumerate(stages), key=lambda x: ((x[1][2] or float("inf")) - x[1][1], x[0]))
+    out = F.lit(None).cast("string")
+    for _, (name, low, high) in reversed(ordered):
+        inside = (days >= low) & (days < high if high is not None else F.lit(True))
+        out = F.when(inside, name).otherwise(out)
+    return out
+
+
+def review_queue(values: DataFrame, mapped: DataFrame, decisions: DataFrame, value: str, sample: str) -> DataFrame:
+    """``value, n_samples``: still unmapped after the mapper and reviewed decisions."""
+    done = mapped.where("term_id is not null").select(value).unionByName(decisions.select(value))
+    counts = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.countDistinct(sample).alias("n_samples"))
+    return counts.join(done.distinct(), value, "left_anti")
+
+
+def backfill_groups(df: DataFrame, column: str, sources: Sequence[Column], rules: Sequence[tuple[str, str]], placeholder: str | None = None) -> DataFrame:
+    """Fills unknown groups from the first source that a rule (substring, group) places;
+    a placeholder group counts as unknown when named."""
+
+    def placed(c: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for text, group in reversed(rules):
+            out = F.when(F.lower(c).contains(text), group).otherwise(out)
+        return out
+
+    own = F.nullif(F.col(column), F.lit(placeholder)) if placeholder is not None else F.col(column)
+    return df.withColumn(column, F.coalesce(own, *(placed(c) for c in sources), F.col(column)))
+
+
+def norm_organism(value: Column, species: Mapping[str, str]) -> Column:
+    """First listed part that names a known species, else the first part."""
+    parts = F.transform(F.split(value, r"\s*[;,|]\s*"), lambda p: F.trim(p))
+    known = F.filter(F.transform(parts, lambda p: lookup(F.lower(p), dict(species))), lambda x: x.isNotNull())
+    return F.coalesce(F.get(known, F.lit(0)), F.get(parts, F.lit(0)))
+
 
 def build_species(build: Column) -> Column:
     """Species that a reference build's name covers, as an array."""
@@ -17,3 +270,73 @@ def reference_mismatch(species: Column, build: Column) -> Column:
     """Whether the build does not cover the species; only when both are known."""
     covered = build_species(F.coalesce(build, F.lit("")))
     return F.coalesce(species.isNotNull() & (F.size(covered) > 0) & ~F.array_contains(covered, species), F.lit(False))
+
+
+ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
+def norm_label(value: Column) -> Column:
+    """Accents, case, quotes and punctuation folded."""
+    plain = F.translate(F.lower(value), *ACCENTS)
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, "['’`]", ""), "[^a-z0-9+]+", " "))
+
+
+def canonical_id(value: Column, prefixes: Sequence[str]) -> Column:
+    """``PREFIX:digits`` from underscore, URL or lower-case forms."""
+    pattern = r"(?i)(?:^|[/#])(" + "|".join(prefixes) + r")[:_]([0-9]+)$"
+    prefix = F.upper(F.regexp_extract(F.trim(value), pattern, 1))
+    return F.when(prefix != "", F.concat(prefix, F.lit(":"), F.regexp_extract(F.trim(value), pattern, 2)))
+
+
+def platform_label(protocol: Column, assay: Column, modality: Column) -> Column:
+    p = F.lower(F.coalesce(protocol, F.lit("")))
+    version = F.regexp_extract(p, "v([23])", 1)
+    versioned = F.concat(assay, F.when(version != "", F.concat(F.lit(" v"), version)).otherwise(""))
+    base = F.when(assay.isin("10x 3'", "10x 5'"), versioned).when(assay == "10x (version unconfirmed)", "10x").when(assay == "10x Multiome / ATAC", "10x Multiome")
+    base = base.when(assay == "Spatial", F.when(p.contains("visium"), "Visium spatial").otherwise("spatial")).otherwise(assay)
+    suffix = F.when(modality.isin("snRNA", "scRNA"), F.concat(F.lit(" "), modality, F.lit("-seq"))).otherwise("")
+    return F.when(assay.isNotNull() & ~assay.isin("", "Unknown", "Not single-cell RNA"), F.concat(base, suffix))
+
+
+def cells_label(n: Column) -> Column:
+    """Two significant digits with k or M; NULL for nothing."""
+    size = F.pow(F.lit(10.0), F.floor(F.log10(n.cast("double"))) - 1)
+    r = F.round(n / size) * size
+    short = lambda x: F.regexp_replace(F.format_string("%.1f", x), r"\.0$", "")
+    big = F.when(r >= 1e6, F.concat(short(r / 1e6), F.lit("M"))).when(r >= 1e5, F.concat(F.format_string("%.0f", r / 1e3), F.lit("k"))).otherwise(F.concat(short(r / 1e3), F.lit("k")))
+    return F.when(n <= 0, F.lit(None)).when(n < 1000, n.cast("long").cast("string")).when(n >= 1000, big)
+
+
+def normalise_modality(modality: Column, assay: Column) -> Column:
+    """Aliases folded; a modality that contradicts its assay is repaired."""
+    alias = lookup(F.lower(F.trim(modality)), {"scrna": "scRNA", "scrna-seq": "scRNA", "single cell": "scRNA", "snrna": "snRNA", "snrna-seq": "snRNA", "single nucleus": "snRNA", "spatial": "Spatial"}, modality)
+    return F.when(yes(assay == "Spatial"), "Spatial").when(yes(alias == "Spatial") & assay.isNotNull() & (assay != "Spatial"), F.lit(None)).otherwise(alias)
+
+
+def json_list(value: Column) -> Column:
+    """JSON array text as a list; other text split on commas and semicolons."""
+    s = F.trim(F.coalesce(value, F.lit("")))
+    plain = F.filter(F.transform(F.split(s, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(s.startswith("["), F.coalesce(F.from_json(s, "array<string>"), F.array().cast("array<string>"))).otherwise(plain)
+
+
+def lateral_json(df: DataFrame, key: str, column: str) -> DataFrame:
+    """One row per element of a JSON array; a row with NULL for an empty one."""
+    return df.select(key, F.explode_outer(json_list(F.col(column))).alias("element"))
+
+
+def zero_as_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.withColumns({c: F.when(F.col(c) != 0, F.col(c)) for c in columns})
+
+
+def first_member(files: DataFrame, key: str, name: str, registry: Mapping[str, Sequence[str]], human: Column, human_only: Sequence[str]) -> DataFrame:
+    """``key, modality, file``: the first listed file of each modality that a sample has."""
+    options = []
+    for modality, names in registry.items():
+        place = F.array_position(F.array(*map(F.lit, names)), F.col(name))
+        gate = human if modality in human_only else F.lit(True)
+        options.append(F.struct(F.lit(modality).alias("modality"), F.when(gate & (place > 0), place).alias("place")))
+    rows = files.select(key, name, F.explode(F.array(*options)).alias("o")).where("o.place is not null")
+    return rows.groupBy(key, F.col("o.modality").alias("modality")).agg(F.min_by(name, "o.place").alias("file"))
+
+
