@@ -9,11 +9,8 @@ from strandwise.operators import aggregates as A
 from .joins import CLOSURE_SQL, SERVED, closure, served_orders
 from .registry import Tables, query
 
-W = F.col("l_quantity").cast("long")
-
-
 def cells(t: Tables):
-    return t.lineitem.join(served_orders(t), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("weight", W)
+    return t.lineitem.join(served_orders(t), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("weight", F.col("l_quantity").cast("long"))
 
 
 CELLS_SQL = f"(SELECT *, l_quantity::bigint AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {SERVED})"

@@ -8,12 +8,11 @@ from strandwise.operators import predicates as P
 
 from .registry import Tables, query
 
-PRIORITY = F.nullif(F.col("o_orderpriority"), F.lit("4-NOT SPECIFIED"))
 EDGES = [0, 1000, 5000, 20000, 100000]
 
 
 def known_orders(t: Tables):
-    return t.orders.withColumn("priority", PRIORITY).withColumn("year", F.year("o_orderdate"))
+    return t.orders.withColumn("priority", F.nullif(F.col("o_orderpriority"), F.lit("4-NOT SPECIFIED"))).withColumn("year", F.year("o_orderdate"))
 
 
 @query("filter_tree", """

@@ -114,7 +114,10 @@ def _(t):
 
 
 NOW = "2024-01-31 00:00:00"
-NOW_C = F.lit(NOW).cast("timestamp_ntz")
+
+
+def now():
+    return F.lit(NOW).cast("timestamp_ntz")
 
 
 def web(t: Tables):
@@ -161,7 +164,7 @@ _TRAFFIC = """count(*) FILTER (WHERE event_type = 'view') AS views, count(DISTIN
 
 @query("traffic_summary", f"SELECT {_TRAFFIC} FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 14 DAY")
 def _(t):
-    return O.traffic_summary(t.events, 14, NOW_C)
+    return O.traffic_summary(t.events, 14, now())
 
 
 @query("traffic_series", f"SELECT date_trunc('day', ts)::timestamp AS bucket, {_TRAFFIC} FROM events GROUP BY 1")
@@ -221,12 +224,12 @@ WITH a AS (SELECT event_id, ts - to_days((event_id % 400)::int) AS t FROM events
 SELECT event_id, t FROM b WHERE CASE WHEN age > 365 * 86400 THEN false WHEN age <= 7 * 86400 THEN true WHEN age <= 60 * 86400 THEN minute(t) < 30 ELSE minute(t) < 30 AND hour(t) % 6 = 0 END""")
 def _(t):
     at = F.col("ts") - F.make_dt_interval((F.col("event_id") % 400).cast("int"))
-    return O.thin_series(t.events.select("event_id", at.alias("t")), "t", NOW_C, 10**6)
+    return O.thin_series(t.events.select("event_id", at.alias("t")), "t", now(), 10**6)
 
 
 @query("trailing_range", f"SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY")
 def _(t):
-    return O.in_range(t.events.select("event_id", "ts"), "7d", NOW_C)
+    return O.in_range(t.events.select("event_id", "ts"), "7d", now())
 
 
 @query("clean_point", """SELECT event_id, substr(json_extract_string(props, '$.k') || '-aaaaaaaaaaaaaaaaaaaaaa', 1, 16) AS k, 1 AS n FROM events""")

@@ -8,8 +8,15 @@ from strandwise.operators import text as J
 
 from .registry import Tables, query
 
-TITLE = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", 2)[0]
-BODY = F.coalesce(F.get(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", 2), F.lit(1)), F.lit(""))
+
+def title():
+    return F.split(F.coalesce(F.col("text"), F.lit("")), "\n", 2)[0]
+
+
+def body():
+    return F.coalesce(F.get(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", 2), F.lit(1)), F.lit(""))
+
+
 _D = "(SELECT *, split_part(text, chr(10), 1) AS title, CASE WHEN position(chr(10) IN text) > 0 THEN substr(text, position(chr(10) IN text) + 1) ELSE '' END AS body FROM documents)"
 _TOK = r"list_filter(string_split(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '''s\b', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
@@ -19,7 +26,7 @@ def tok(c):
 
 
 def index(t: Tables):
-    return J.postings(t.documents, "doc_id", {"title": TITLE, "body": BODY})
+    return J.postings(t.documents, "doc_id", {"title": title(), "body": body()})
 
 
 _INDEX = f"""p AS (SELECT doc_id, field, unnest(ws) AS term, len(ws) AS length FROM (SELECT doc_id, 'title' AS field, {tok('title')} AS ws FROM {_D} UNION ALL SELECT doc_id, 'body', {tok('body')} FROM {_D})),
@@ -112,7 +119,7 @@ def _(t):
 @query("soft_candidates", f"""
 SELECT doc_id, evidence FROM (SELECT doc_id, CASE WHEN title LIKE '%que%' THEN 4.0::double ELSE 0 END + CASE WHEN body LIKE '%chung%' THEN 2.0::double ELSE 0 END AS evidence FROM {_D} WHERE n_chars >= 500) WHERE evidence > 0 ORDER BY evidence DESC, doc_id LIMIT 200""")
 def _(t):
-    return J.soft_candidates(t.documents, "doc_id", F.col("n_chars") >= 500, [(4.0, TITLE.contains("que")), (2.0, BODY.contains("chung"))])
+    return J.soft_candidates(t.documents, "doc_id", F.col("n_chars") >= 500, [(4.0, title().contains("que")), (2.0, body().contains("chung"))])
 
 
 _EV = f"""e AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN true WHEN lang = 'es' AND (contains(lower(title), 'fr') OR contains(lower(body), 'fr')) THEN true ELSE false END AS f,
@@ -125,7 +132,7 @@ sc AS (SELECT doc_id, round(a + w + b, 3) AS score, f AND k AS "full", evidence
 
 def evidence(t: Tables):
     rows = t.documents.withColumn("lang", F.when(F.col("lang") != "es", F.array("lang")))
-    return J.evidence_score(rows, "doc_id", {"lang": (3.0, ["fr"])}, {"title": TITLE, "body": BODY}, ["que"], F.col("doc_id") % 2 == 0, F.col("n_chars"), 2015 + F.col("doc_id") % 10)
+    return J.evidence_score(rows, "doc_id", {"lang": (3.0, ["fr"])}, {"title": title(), "body": body()}, ["que"], F.col("doc_id") % 2 == 0, F.col("n_chars"), 2015 + F.col("doc_id") % 10)
 
 
 @query("evidence_score", f'WITH {_EV} SELECT doc_id, score, "full", evidence FROM sc')
@@ -157,7 +164,7 @@ def _(t):
 @query("unclassified")
 def _(t):
     rows = t.documents.join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    return J.unclassified(rows, "doc_id", F.col("quality"), {"title": TITLE, "body": BODY}, ["que", "chung", "thing"])
+    return J.unclassified(rows, "doc_id", F.col("quality"), {"title": title(), "body": body()}, ["que", "chung", "thing"])
 
 
 @query("unmapped_count", "SELECT lang, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL GROUP BY 1")
