@@ -100,8 +100,8 @@ def and_or_search(index: DataFrame, key: str, terms: Sequence[str]) -> DataFrame
 
 
 def hybrid_score(own: DataFrame, children: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """``key, score``: 3 x own + best child - 2 x (matching share of children - 1) so that
-    more matching children never lower it. ``children``: key, score, per child."""
+    """``key, score``: 3 x own + best child + 2 x the matching share of children (scores
+    grow with relevance here). ``children``: key, score, one row per child that matches."""
     kids = children.groupBy(key).agg(F.max("score").alias("_best"), F.count("*").alias("_n"))
     rows = own.withColumnRenamed("score", "_own").join(kids, key, "full_outer").join(sizes, key, "left")
     share = F.coalesce(F.col("_n") / F.greatest(F.col("size"), F.lit(1)), F.lit(0.0))
