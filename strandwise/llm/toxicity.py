@@ -172,16 +172,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
     only_toxic = (chosen["clean"] == 0).to_numpy()
     n = len(features)
 
+    model = OrdinalModel(features, np.zeros(n), np.zeros(1))
+
+    def chosen_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places = [p[p >= 0] for p in (model.place(np.asarray(f.values, dtype=np.int64)) for f in batch.column(2))]
+            lists = list_array(np.concatenate(places).astype(np.int32), [len(p) for p in places])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "toxic", "places"])
+
     def one_model(rows: pd.DataFrame) -> pd.DataFrame:
-        """All sampled rows: their number is bounded by the sample."""
+        """All sampled rows with their few chosen features: bounded by the sample."""
         rows = rows.sort_values("doc_id")
-        model = OrdinalModel(features, np.zeros(n), np.zeros(1))
-        places = [p[p >= 0] for p in (model.place(np.asarray(f, dtype=np.int64)) for f in rows["features"])]
+        places = [np.asarray(p, dtype=np.int64) for p in rows["places"]]
         marked = np.array([only_toxic[p].sum() for p in places], dtype=float)
         weights, cuts = fit_ordinal(places, severity_grades(rows["toxic"].to_numpy(), marked), n)
         return pd.DataFrame({"place": np.arange(n + len(cuts)), "value": np.concatenate((weights, cuts))})
 
-    fitted = sample.groupBy().applyInPandas(one_model, "place int, value double").orderBy("place").toPandas()["value"].to_numpy()
+    reduced = sample.mapInArrow(chosen_places, "doc_id long, toxic int, places array<int>")
+    fitted = reduced.groupBy().applyInPandas(one_model, "place int, value double").orderBy("place").toPandas()["value"].to_numpy()
     if not len(fitted):
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.array([40.0]))
     return OrdinalModel(features, fitted[:n], fitted[n:])
