@@ -45,6 +45,10 @@ LENGTH = 100
 GRAM = 28
 #: Longer texts are cut into overlapping segments of this many bytes.
 SEGMENT = 4 << 20
+#: Texts looked at together have about this many bytes.
+SLICE = 1 << 19
+#: Suffixes take many times the bytes that are shuffled for them: more parts.
+SUFFIX_PARTS = 2
 _POS_BITS = np.uint64(24)
 
 _RUN = "h long, u long, doc_id long, start int, n int, kind int"
@@ -139,7 +143,7 @@ def _anchors(length: int, gram: int):
             )
 
         size = 0
-        for s in slices(batches):
+        for s in slices(batches, most=SLICE):
             ids = s.columns[0].to_numpy(zero_copy_only=False)
             for at, stop, offsets in _segments(s.offsets, length):
                 found = runs_of(s.bytes[at:stop], offsets, length, gram)
@@ -147,7 +151,7 @@ def _anchors(length: int, gram: int):
                     h, u, doc, start, n = found
                     held.append([h, u, ids[doc].astype(np.int64), start - offsets[doc] + at, n])
                     size += len(h)
-            if size > 400_000:
+            if size > 200_000:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -304,7 +308,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         .select("doc_id", "asked", "text")
         .mapInArrow(_fetch(length), "h long, doc_id long, start int, n int, body binary")
     )
-    partial = bodies.repartition("h").sortWithinPartitions("doc_id", "start").mapInArrow(_suffixes(length), "doc_id long, start int, n int")
+    parts = SUFFIX_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partial = bodies.repartition(parts, "h").sortWithinPartitions("doc_id", "start").mapInArrow(_suffixes(length), "doc_id long, start int, n int")
     return whole.unionByName(partial).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
