@@ -47,10 +47,13 @@ from .components import components
 
 WIDTH = 5
 PERCENT = 80
-#: Rows on each side of a block.
-PART = 1024
+#: Shingles on each side of a block.
+PART = 3_000_000
 #: Size of the filter that tells which texts to fetch (2 MB).
 BITMAP_BITS = 1 << 24
+#: With no more entries than this on the short lists as many lists as possible are set
+#: aside; beyond, the number follows from the longest list.
+MERGE_MOST = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -207,7 +210,9 @@ def divide_skip(index: InvertedLists, grams: np.ndarray, percent: int) -> np.nda
         return np.zeros(0, np.int64)
     # any T - L of the short lists must hold a result when L lists are set aside
     most = len(lists[-1])
-    aside = min(t - 1, int(t / (0.02 * math.log2(most + 1) + 1)))
+    aside = t - 1
+    if sum(map(len, lists[: len(lists) - aside])) > MERGE_MOST:
+        aside = min(t - 1, int(t / (0.02 * math.log2(most + 1) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
     docs, counts = merge_counts(short, t - aside)
     for i, places in enumerate(long):
@@ -259,20 +264,25 @@ def _search(percent: int):
     return run
 
 
+def settle(sets: DataFrame, percent: int) -> DataFrame:
+    """``family, cid, size, settled``: whether each member links with its family's first."""
+    first = sets.where("cid = family").select("family", F.col("grams").alias("first_grams"))
+    same = F.size(F.array_intersect("grams", "first_grams"))
+    settled = 100 * same >= percent * (F.size("grams") + F.size("first_grams") - same)
+    return sets.join(first, "family").select("family", "cid", F.size("grams").alias("size"), settled.alias("settled"))
+
+
 def links(docs: DataFrame, families: DataFrame, width: int, percent: int, part: int = PART) -> DataFrame:
     """``a, b``: enough links between representatives to connect all that are linked."""
     members = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", _place("doc_id").alias("place"), "text")
     sets = texts.mapInArrow(_sets(width, bitmap_of(members, "doc_id")), "cid long, grams array<long>")
     sets = stage(sets.join(members.withColumnRenamed("doc_id", "cid"), "cid").dropDuplicates(["cid"]), "sets")
-    first = sets.where("cid = family").select("family", F.col("grams").alias("first_grams"))
-    same = F.size(F.array_intersect("grams", "first_grams"))
-    settled = 100 * same >= percent * (F.size("grams") + F.size("first_grams") - same)
-    met = stage(sets.join(first, "family").select("family", "cid", settled.alias("settled")), "met")
+    met = stage(settle(sets, percent), "met")
     direct = met.where("settled and cid != family").select(F.col("cid").alias("a"), F.col("family").alias("b"))
-    open_ = met.groupBy("family").agg(F.count("*").alias("all"), F.count_if(~F.col("settled")).alias("asked")).where("asked > 0")
+    open_ = met.groupBy("family").agg(F.sum("size").alias("all"), F.sum(F.when(F.col("settled"), 0).otherwise(F.col("size"))).alias("asked")).where("asked > 0")
     open_ = open_.select("family", F.ceil(F.col("all") / part).cast("int").alias("parts"), F.ceil(F.col("asked") / part).cast("int").alias("asks"))
-    rows = sets.select("cid", "grams").join(met.join(open_, "family"), "cid")
+    rows = sets.select("cid", "grams").join(met.drop("size").join(open_, "family"), "cid")
     own = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     index = rows.select("family", "cid", "grams", "settled", own("parts", 1).alias("part"), every("asks").alias("ask"))

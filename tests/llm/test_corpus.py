@@ -151,8 +151,8 @@ def test_near_duplicates(docs, rows, empty):
 
 
 def test_near_duplicates_in_small_blocks(docs, rows, monkeypatch):
-    monkeypatch.setattr(jaccard_join.links, "__defaults__", (3,))
-    monkeypatch.setattr(jaccard_join, "REFINE", 2)
+    monkeypatch.setattr(jaccard_join.links, "__defaults__", (300,))
+    monkeypatch.setattr(jaccard_join, "MERGE_MOST", 10)
     got = by_id(jaccard_join.near_duplicates(docs), "n_shingles", "component_id")
     assert got == brute.components(rows)
 
