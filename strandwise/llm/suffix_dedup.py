@@ -8,23 +8,27 @@ index is sparse: of every ``length``-byte string only its *anchor*, the position
 smallest k-gram hash, enters the index. Equal strings have equal anchors, so no match
 is lost. All strings that share one anchor form a *run*.
 
-1. ``find_anchors`` scans the texts and emits one row per run: the hash of the anchor's
+1. ``_anchors`` scans the texts and makes one row per run: the hash of the anchor's
    k-gram, the hash of all bytes that the run covers, and the place.
-2. ``match_runs`` (rows dealt by k-gram hash, in document order) is the first family of
+2. ``match_runs`` (rows dealt by k-gram hash, in document order) keeps a family of
    levels: every Arrow batch is sorted, merge-scanned against the sorted levels and then
    becomes a level; levels of equal size merge. A run whose covered bytes are all in the
-   index is a repeat as a whole. A run that shares only its k-gram may match in part:
-   its bytes are fetched.
-3. ``match_suffixes`` is the second family, over real suffixes: the suffixes of the
-   fetched runs, cut at ``length`` bytes, are sorted into a suffix array per batch,
-   merge-scanned against the levels and merged geometrically.
-
-Tasks hold only the distinct runs of their share of the hash space. Copies inside one
-Arrow batch are settled before the shuffle, so a group of copies shrinks by the batch
-size before it is dealt by key.
+   index is a repeat as a whole. A run that shares only its k-gram may match in part.
+3. Runs that may match in part are cut into pieces of ``PIECES`` strings, aligned at the
+   anchor, and pieces that may match in part into single strings. Both go through
+   families of their own, keyed by the bytes that all strings of a piece share (of a
+   single string: its ``length`` bytes), so contexts that only lie near each other part.
+
+Tasks hold only the distinct runs of their share of the hash space. Every part of the
+input is settled by itself before the shuffle (``settled``): copies are repeats, and
+where one key has several variants all of them are known to match in part. Of each key
+at most one variant, or one flag instead of all of them, goes on to be dealt by key, so
+no key gathers the contexts of a passage. Bytes are compared by 64-bit hashes: of the
+shared bytes and of all bytes covered.
 
 Edge cases: a null text is empty; texts under ``length`` bytes lose nothing; repeated
-rows with one doc_id are each judged as that document's text; a null doc_id is kept and
+rows with one doc_id are each judged as that document's text (the same start in the same
+document is one occurrence, so equal rows keep equal texts); a null doc_id is kept and
 loses nothing; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -35,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +52,19 @@ GRAM = 28
 SEGMENT = 4 << 20
 #: Texts looked at together have about this many bytes.
 SLICE = 1 << 19
-#: Suffixes take many times the bytes that are shuffled for them: more parts.
-SUFFIX_PARTS = 2
+#: Strings in a piece of a run that may match in part; then strings on their own.
+PIECES = (8, 1)
+#: Runs that are settled together before the shuffle.
+SETTLE = 200_000
 _POS_BITS = np.uint64(24)
 
-_RUN = "h long, u long, doc_id long, start int, n int, kind int"
-_RUN_NAMES = ["h", "u", "doc_id", "start", "n", "kind"]
-FRESH, WHOLE, PARTIAL = 0, 1, 2
+#: ``tag`` tells texts of one doc_id apart; ``lead`` is how far the anchor lies behind the start.
+_RUN = "h long, u long, doc_id long, tag int, start int, n int, lead int, kind int"
+_RUN_NAMES = ["h", "u", "doc_id", "tag", "start", "n", "lead", "kind"]
+#: A flag stands for all variants of a key that one part of the input holds.
+FRESH, WHOLE, PARTIAL, FLAG = 0, 1, 2, 3
+_NO_DOC = np.iinfo(np.int64).min
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -79,9 +90,15 @@ def _segments(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.n
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+    """What ``led_runs`` finds, without the leads."""
+    found = led_runs(data, offsets, length, gram)
+    return found and found[:5]
+
+
+def led_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """Runs of ``length``-byte strings that share an anchor: for each its anchor's hash,
-    the hash of its bytes, its document's index, its first start in the buffer and how
-    many strings it has."""
+    the hash of its bytes, its document's index, its first start in the buffer, how
+    many strings it has and how far its anchor lies behind its start."""
     n = len(data)
     if n < length:
         return None
@@ -104,7 +121,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     start, anchor = starts[first], anchors[first]
     # the place of the anchor in the run is part of what must be equal
     whole = mix(hasher.ranges(start, start + count + length - 1) + (anchor - start).astype(np.uint64))
-    return grams[anchor], whole, doc[start], start, count
+    return grams[anchor], whole, doc[start], start, count, anchor - start
 
 
 def _first_of(keys: list[np.ndarray]) -> np.ndarray:
@@ -115,48 +132,55 @@ def _first_of(keys: list[np.ndarray]) -> np.ndarray:
     return new
 
 
+def settled(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """What one part of the input tells of its runs by itself."""
+    order = np.lexsort((rows["tag"], rows["start"], rows["doc_id"], rows["u"], rows["h"]))
+    rows = {k: v[order] for k, v in rows.items()}
+    # repeated rows of one document are one occurrence
+    once = _first_of([rows[k] for k in ("h", "u", "doc_id", "start", "tag")])
+    rows = {k: v[once] for k, v in rows.items()}
+    h, doc, start = rows["h"], rows["doc_id"], rows["start"]
+    new = _first_of([h, rows["u"]])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    repeat = (doc != doc[first]) | (start != start[first])
+    new_h = _first_of([h])
+    key = np.cumsum(new_h) - 1
+    several = np.bincount(key, weights=new)[key] > 1
+    kind = np.where(repeat, WHOLE, np.where(several, PARTIAL, FRESH))
+    flagged = np.flatnonzero(new_h & several)
+    done = kind != FRESH  # no need to meet others
+    out = {**rows, "h": np.where(done, mix(doc.view(np.uint64)), h), "u": np.where(done, np.uint64(0), rows["u"]), "kind": kind}
+    flags = {k: np.zeros(len(flagged), v.dtype) for k, v in out.items()}
+    flags |= {"h": h[flagged], "doc_id": np.full(len(flagged), _NO_DOC), "kind": np.full(len(flagged), FLAG)}
+    both = {k: np.concatenate((out[k], flags[k])) for k in _RUN_NAMES}
+    columns = [both[k].view(np.int64) if k in ("h", "u") else both[k] if k == "doc_id" else both[k].astype(np.int32) for k in _RUN_NAMES]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _RUN_NAMES)
+
+
+def _settle(found: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    held: list[dict[str, np.ndarray]] = []
+    size = 0
+    for rows in found:
+        held.append(rows)
+        size += len(rows["h"])
+        if size > SETTLE:
+            yield settled({k: np.concatenate([x[k] for x in held]) for k in rows})
+            held, size = [], 0
+    if held:
+        yield settled({k: np.concatenate([x[k] for x in held]) for k in held[0]})
+
+
 def _anchors(length: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            h, u, doc, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            # what repeats inside this part of the input is settled here
-            order = np.lexsort((start, doc, u, h))
-            h, u, doc, start, n = (x[order] for x in (h, u, doc, start, n))
-            new = _first_of([h, u])
-            kind = np.where(new, FRESH, WHOLE).astype(np.int32)
-            h = np.where(new, h, mix(doc.astype(np.uint64)))  # repeats have no need to meet
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(h.view(np.int64)),
-                    pa.array(np.where(new, u.view(np.int64), 0)),
-                    pa.array(doc),
-                    pa.array(start.astype(np.int32)),
-                    pa.array(n.astype(np.int32)),
-                    pa.array(kind),
-                ],
-                _RUN_NAMES,
-            )
-
-        size = 0
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         for s in slices(batches, most=SLICE):
-            ids = s.columns[0].to_numpy(zero_copy_only=False)
+            ids, tags = (c.to_numpy(zero_copy_only=False) for c in s.columns)
             for at, stop, offsets in _segments(s.offsets, length):
-                found = runs_of(s.bytes[at:stop], offsets, length, gram)
+                found = led_runs(s.bytes[at:stop], offsets, length, gram)
                 if found is not None:
-                    h, u, doc, start, n = found
-                    held.append([h, u, ids[doc].astype(np.int64), start - offsets[doc] + at, n])
-                    size += len(h)
-            if size > 200_000:
-                yield from flush()
-                size = 0
-        yield from flush()
+                    h, u, doc, start, n, lead = found
+                    yield {"h": h, "u": u, "doc_id": ids[doc].astype(np.int64), "tag": tags[doc], "start": (start - offsets[doc] + at).astype(np.int32), "n": n.astype(np.int32), "lead": lead.astype(np.int32)}
 
-    return run
+    return lambda batches: _settle(find(batches))
 
 
 def _bisect(level_u: np.ndarray, lo: np.ndarray, hi: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -171,150 +195,111 @@ def _bisect(level_u: np.ndarray, lo: np.ndarray, hi: np.ndarray, u: np.ndarray)
 
 
 def match_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First family: rows come in document order; yields runs that repeat as a whole
-    and runs (of either side) that may match in part."""
+    """Rows come in document order, flags first; yields runs that repeat as a whole and
+    runs (of either side) that may match in part."""
     family = LevelFamily(lambda rows: np.lexsort((rows["u"], rows["h"])))
-    names = ["h", "u", "doc_id", "start", "n"]
+    names = _RUN_NAMES[:-1]
 
-    def out(rows: dict[str, np.ndarray], at: np.ndarray, kind: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(rows[k][at]) for k in names), pa.array(np.full(len(at), kind, np.int32))], _RUN_NAMES)
+    def out(rows: dict[str, np.ndarray], at: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[k][at]) for k in names), pa.array(np.broadcast_to(np.int32(kind), len(at)))], _RUN_NAMES)
 
     for batch in batches:
         rows = {k: batch.column(i).to_numpy() for i, k in enumerate(names)}
-        kind = batch.column(5).to_numpy()
-        if (kind == WHOLE).any():
-            yield out(rows, np.flatnonzero(kind == WHOLE), WHOLE)
-            rows = {k: v[kind == FRESH] for k, v in rows.items()}
+        kind = batch.column(len(names)).to_numpy()
+        done = (kind == WHOLE) | (kind == PARTIAL)
+        if done.any():
+            yield out(rows, np.flatnonzero(done), kind[done])
+            rows = {k: v[~done] for k, v in rows.items()}
         if not len(rows["h"]):
             continue
         # the batch's own sorted array; the sort is stable, so the first of equals is the earliest
         order = np.lexsort((rows["u"], rows["h"]))
         rows = {k: v[order] for k, v in rows.items()}
-        new = _first_of([rows["h"], rows["u"]])
-        if not new.all():
-            yield out(rows, np.flatnonzero(~new), WHOLE)
-            rows = {k: v[new] for k, v in rows.items()}
-        h, u = rows["h"], rows["u"]
-        known = np.zeros(len(h), dtype=bool)
-        meets = np.zeros(len(h), dtype=bool)
+        h, u, doc, start = (rows[k] for k in ("h", "u", "doc_id", "start"))
+        flag = doc == _NO_DOC
+        new = _first_of([h, u])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        first_doc, first_start = doc[first], start[first]
+        several = flag.copy()
         spans = []
         for level in family.levels:
             lo, hi = np.searchsorted(level["h"], h, "left"), np.searchsorted(level["h"], h, "right")
             some = np.flatnonzero(hi > lo)
-            place = _bisect(level["u"], lo[some], hi[some], u[some])
-            inside = place < hi[some]
-            known[some] |= inside & (level["u"][np.minimum(place, len(level["u"]) - 1)] == u[some])
-            meets[some] = True
-            spans.append((level, lo, hi, some))
-        if known.any():
-            yield out(rows, np.flatnonzero(known), WHOLE)
-        # variants of one anchor inside the batch
-        run = np.cumsum(_first_of([h])) - 1
-        meets |= np.bincount(run)[run] > 1
-        partial = meets & ~known
-        rows["sent"] = partial.copy()
+            low, high = lo[some], hi[some]
+            several[some] |= level["sent"][low] | (level["u"][low] != u[some]) | (level["u"][high - 1] != u[some])
+            place = _bisect(level["u"], low, high, u[some])
+            at = np.minimum(place, len(level["u"]) - 1)
+            hit = (place < high) & (level["u"][at] == u[some])
+            # levels of one (h, u) hold its first occurrence only, once for each text that has it
+            first_doc[some[hit]], first_start[some[hit]] = level["doc_id"][at[hit]], level["start"][at[hit]]
+            spans.append((level, lo, hi))
+        repeat = ~flag & ((doc != first_doc) | (start != first_start))
+        if repeat.any():
+            yield out(rows, np.flatnonzero(repeat), WHOLE)
+        # variants of one key, here or in levels; all rows of a key are sent, or none
+        new_h = _first_of([h])
+        key = np.cumsum(new_h) - 1
+        several = (np.bincount(key, weights=several)[key] > 0) | (np.bincount(key, weights=new)[key] > 1)
+        partial = several & ~repeat & ~flag
         if partial.any():
             yield out(rows, np.flatnonzero(partial), PARTIAL)
-        for level, lo, hi, some in spans:
-            of = some[partial[some]]
+        for level, lo, hi in spans:
+            of = np.flatnonzero(new_h & several & (hi > lo))
+            of = of[~level["sent"][lo[of]]]
             if len(of):
                 count = hi[of] - lo[of]
-                at = np.unique(np.repeat(lo[of] - (np.cumsum(count) - count), count) + np.arange(count.sum()))
-                at = at[~level["sent"][at]]
-                if len(at):
-                    level["sent"][at] = True
-                    yield out(level, at, PARTIAL)
-        family.add({k: v[~known] for k, v in rows.items()})
-
-
-def _fetch(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches):
-            names: list[list] = [[], [], [], [], []]
-            for i in range(len(s)):
-                asked = s.columns[1][i].values
-                if asked is None or not len(asked):
-                    continue
-                start, n = asked.field("start").to_numpy(), asked.field("n").to_numpy()
-                text = s.doc(i)
-                names[0].append(asked.field("h").to_numpy())
-                names[1].append(np.full(len(start), s.columns[0][i].as_py()))
-                names[2].append(start)
-                names[3].append(n)
-                names[4] += [text[a : a + b + length - 1] for a, b in zip(start.tolist(), n.tolist(), strict=True)]
-            if names[4]:
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in names[:4]), pa.array(names[4], pa.binary())], ["h", "doc_id", "start", "n", "body"])
-
-    return run
-
+                at = np.repeat(lo[of] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                level["sent"][at] = True
+                yield out(level, at, PARTIAL)
+        keep = ~repeat & (~flag | new)
+        family.add({k: v[keep] for k, v in {**rows, "sent": several}.items()})
 
-def _suffixes(length: int):
-    """Second family, over suffixes cut at ``length`` bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = LevelFamily(lambda rows: np.argsort(rows["suffix"], kind="stable"))
-        most = 4096
-        for whole in batches:
-            for at in range(0, whole.num_rows, most):
-                batch = whole.slice(at, most)
-                bodies = batch.column(4).cast(pa.large_binary())
-                offsets = np.frombuffer(bodies.buffers()[1], np.int64)[bodies.offset : bodies.offset + len(bodies) + 1]
-                data = np.frombuffer(bodies.buffers()[2], np.uint8)
-                count = np.maximum(np.diff(offsets) - length + 1, 0)
-                if not count.sum():
-                    continue
-                owner = np.repeat(np.arange(len(count)), count)
-                inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-                views = np.lib.stride_tricks.sliding_window_view(data, length)
-                # fixed-width bytes sort like the suffixes themselves
-                suffix = np.ascontiguousarray(views[offsets[:-1][owner] + inside]).view(f"S{length}").ravel()
-                order = np.argsort(suffix, kind="stable")
-                suffix = suffix[order]
-                new = _first_of([suffix])
-                repeat = np.ones(len(suffix), dtype=bool)
-                fresh = suffix[new]
-                seen = np.zeros(len(fresh), dtype=bool)
-                for level in family.levels:
-                    place = np.minimum(np.searchsorted(level["suffix"], fresh), len(level["suffix"]) - 1)
-                    seen |= level["suffix"][place] == fresh
-                repeat[np.flatnonzero(new)[~seen]] = False
-                family.add({"suffix": fresh[~seen]})
-                hit = np.sort(order[repeat])  # back in text order: neighbours form spans
-                if len(hit):
-                    first = _first_of([owner[hit], inside[hit] - np.arange(len(hit))])
-                    begin = np.flatnonzero(first)
-                    last = np.append(begin[1:], len(hit)) - 1
-                    doc, start = batch.column(1).to_numpy()[owner[hit[begin]]], batch.column(2).to_numpy()[owner[hit[begin]]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc), pa.array((start + inside[hit[begin]]).astype(np.int32)), pa.array((inside[hit[last]] - inside[hit[begin]] + 1).astype(np.int32))],
-                        ["doc_id", "start", "n"],
-                    )
-
-    return run
+def _pieces(length: int, width: int):
+    """Pieces of up to ``width`` strings of the runs asked for. Equal strings lie at the
+    same place before equal anchors, so they meet in pieces with the same shared bytes."""
 
-
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per document the runs of repeated strings: ``doc_id``, ``spans`` (array of
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        for s in slices(batches, most=SLICE):
+            ids, tags = (s.columns[i].to_numpy(zero_copy_only=False) for i in (0, 1))
+            asked = s.columns[2]
+            of = np.repeat(np.arange(len(s)), pc.list_value_length(asked).to_numpy(zero_copy_only=False))
+            flat = asked.flatten()
+            start, n, lead = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "n", "lead"))
+            owner = np.repeat(np.arange(len(n)), n)
+            inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            block = (lead[owner] - inside) // width
+            begin = np.flatnonzero(_first_of([owner, block]))
+            count = np.diff(np.append(begin, len(owner)))
+            owner, inside, block = owner[begin], inside[begin], block[begin]
+            at = s.offsets[of[owner]] + start[owner] + inside
+            last = at + lead[owner] - inside - block * width  # where the last string of a full piece starts
+            hasher = Hasher(s.bytes)
+            shared = mix(hasher.ranges(last, last - width + 1 + length) + block.astype(np.uint64))
+            half = at + length // 2
+            covered = hasher.ranges(at, half) * _STEP + hasher.ranges(half, at + count - 1 + length)
+            behind = lead[owner] - inside
+            yield {"h": shared, "u": mix(covered + behind.astype(np.uint64)), "doc_id": ids[of[owner]].astype(np.int64), "tag": tags[of[owner]], "start": (start[owner] + inside).astype(np.int32), "n": count.astype(np.int32), "lead": behind.astype(np.int32)}
+
+    return lambda batches: _settle(find(batches))
+
+
+def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Per ``doc_id, tag`` of texts the runs of repeated strings: ``spans`` (array of
     start and count of consecutive repeated strings, in bytes), unmerged."""
-    texts = docs.select("doc_id", "text")
-    runs = texts.where("doc_id is not null and text is not null").mapInArrow(_anchors(length, gram), _RUN)
-    matched = runs.repartition("h").sortWithinPartitions("doc_id", "start").mapInArrow(match_runs, _RUN)
-    matched = stage(matched, "runs")
-    whole = matched.where(F.col("kind") == WHOLE).select("doc_id", "start", "n")
-    asked = matched.where(F.col("kind") == PARTIAL).groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n")).alias("asked"))
-    bodies = (
-        by_doc(texts)
-        .join(asked.hint("shuffle_hash"), "doc_id")
-        .select("doc_id", "asked", "text")
-        .mapInArrow(_fetch(length), "h long, doc_id long, start int, n int, body binary")
-    )
-    parts = SUFFIX_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partial = bodies.repartition(parts, "h").sortWithinPartitions("doc_id", "start").mapInArrow(_suffixes(length), "doc_id long, start int, n int")
-    return whole.unionByName(partial).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-
-
-def by_doc(texts: DataFrame) -> DataFrame:
-    return texts.select("doc_id", "text")
+    runs = texts.select("doc_id", "tag", "text").mapInArrow(_anchors(length, gram), _RUN)
+    found = None
+    for width in (0, *PIECES):
+        if width:
+            asked = matched.where(F.col("kind") == PARTIAL).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n", "lead")).alias("asked"))
+            with_asked = texts.join(asked.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "asked", "text")
+            runs = with_asked.mapInArrow(_pieces(length, width), _RUN)
+        matched = runs.repartition("h").sortWithinPartitions("doc_id", "start").mapInArrow(match_runs, _RUN)
+        if width != 1:
+            matched = stage(matched, "runs")
+        whole = matched.where(F.col("kind") == WHOLE).select("doc_id", "tag", "start", "n")
+        found = whole if found is None else found.unionByName(whole)
+    return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def _cut(length: int, with_text: bool):
@@ -351,10 +336,10 @@ _CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and,
     with ``with_text``, ``kept`` (the remaining bytes)."""
-    found = repeats(docs, length, gram)
-    return (
-        by_doc(docs)
-        .join(found.hint("shuffle_hash"), "doc_id", "left")
-        .select("doc_id", "spans", "text")
-        .mapInArrow(_cut(length, with_text), _CUT + ", kept binary" * with_text)
-    )
+    rows = docs.select("doc_id", "text", F.hash("text").alias("tag"))
+    whole = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    texts = rows.where(whole)
+    found = repeats(texts, length, gram)
+    spanned = texts.join(found.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "spans", "text")
+    others = rows.where(~whole).select("doc_id", F.lit(None).cast("array<struct<start:int,n:int>>").alias("spans"), "text")
+    return spanned.unionByName(others).mapInArrow(_cut(length, with_text), _CUT + ", kept binary" * with_text)

@@ -6,6 +6,7 @@ import base64
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,20 @@ def test_suffix_dedup_shorter_strings(docs, rows):
     assert got == brute.repeats(rows, 40)
 
 
+def test_suffix_dedup_passage_in_many_contexts(spark):
+    """No key gathers the contexts of a passage, and every string is still judged."""
+    random.seed(5)
+    letters = "abcdefghijklmnop "
+    noise = lambda n: "".join(random.choice(letters) for _ in range(n))
+    passage = noise(230)
+    rows = [(i, noise(random.randint(0, 150)) + passage + noise(random.randint(0, 150)), "s") for i in range(400)]
+    part = [pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "tag": pa.array([0] * len(rows), pa.int32()), "text": [r[1] for r in rows]})]
+    dealt = pa.Table.from_batches(suffix_dedup._anchors(100, 28)(iter(part))).to_pandas()
+    assert dealt.groupby("h").size().max() <= 100  # places of one document at most
+    found = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, DDL).repartition(6))
+    assert by_id(found, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(rows)
+
+
 def test_suffix_dedup_segments(monkeypatch):
     """A text beyond one segment has the same runs as in one piece."""
     random.seed(2)
