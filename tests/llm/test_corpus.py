@@ -72,6 +72,23 @@ def test_suffix_dedup_passage_in_many_contexts(spark):
     assert by_id(found, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(rows)
 
 
+def test_suffix_dedup_repeated_rows(spark, rows):
+    """Rows with one doc_id keep their text; each loses what repeats in its own text."""
+    want = brute.repeats(rows)
+    names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    for parts in (1, 7):
+        found = suffix_dedup.suffix_dedup(spark.createDataFrame(rows + rows, DDL).repartition(parts)).collect()
+        assert len(found) == 2 * len(rows) and all(tuple(r[k] for k in names) == want[r.doc_id] for r in found)
+    random.seed(6)
+    a, b = ("".join(random.choice("abcdefgh") for _ in range(150)) for _ in range(2))
+    texts = [(1, a + b, "s"), (1, a + b[:-1], "s"), (1, b + a, "s"), (1, "x" + a, "s")]
+    found = suffix_dedup.suffix_dedup(spark.createDataFrame(texts, DDL), with_text=True).collect()
+    # strings of b start earliest in the third text, those of a in the first three
+    kept = {bytes(r.kept).decode() for r in found}
+    assert {r.n_removed for r in found if r.n_bytes == 151} == {150}
+    assert kept == {a, "x", b}
+
+
 def test_suffix_dedup_segments(monkeypatch):
     """A text beyond one segment has the same runs as in one piece."""
     random.seed(2)
