@@ -8,14 +8,18 @@ tests over candidate tokens (long runs of encoding letters):
   gives the p-value);
 * runs test above and below the middle of the alphabet, two-sided;
 * serial correlation of neighbours, two-sided;
-* the three p-values are combined by their smallest, times three.
+* of the three p-values the smallest, m, gives 1 - (1 - m)^3, which is uniform for
+  random strings.
 
 Words and identifiers fail such tests, random strings pass; how often a string that is
 not random passes depends on its length. So the cut is set per encoding and length band
-over the whole corpus: p-values of random strings are uniform, which makes twice the
-number above one half an estimate of how many random tokens a band holds; the lowest
-cut is chosen at which the estimated share of false discoveries stays within ``fdr``.
-Bands are a fixed small number, so the table of cuts is broadcast safely.
+over the whole corpus, from two things: p-values of random strings are uniform, and how
+often strings that are not random pass is seen on the corpus' own tokens of letters alone
+(a few of each document), which hold no encoding. Both give how many tokens of a band are
+random and how many others lie above a cut; the lowest cut is chosen at which the share
+of others stays within ``fdr``. Sparse bands are pooled with their neighbours; where these
+are sparse too, the cut is the lowest that at most ``fdr`` of the letter tokens pass.
+Bands are a fixed small number, so the table of cuts has a fixed size.
 
 Scale: texts are scanned once and never shuffled; one small row per document follows.
 Spans are code points, end exclusive.
@@ -26,7 +30,8 @@ separate; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, text_of
@@ -37,11 +42,18 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_MIN = 8
-CANDIDATE = r"[A-Za-z0-9+/_-]{24,}"
+#: With a digit somewhere: letters alone leave no encoding to test.
+CANDIDATE = r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{8,}"
+PLAIN = r"(?<![A-Za-z0-9+/_-])[A-Za-z+/_-]{8,}(?![A-Za-z0-9+/_-])"
+#: Letter tokens of a document that are tested: so many of the longest, and by hash.
+PLAIN_MOST = 2
 KINDS = ("assign", "access", "hex", "random")
 FDR = 0.1
 BINS = 20
 LONGEST_BAND = 16
+SIZES = (16, 32, 36, 64)
+#: Fewer tokens than these do not make a cut of their own.
+FEW = 50
 
 
 def _spans(text: Column, pattern: str, keep) -> Column:
@@ -68,24 +80,34 @@ def _mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
 
 
-def _upper_tail(z: Column) -> Column:
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, also inside of other lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _upper_tail(value: Column) -> Column:
     """P(Z > z) of a standard normal, by a published rational approximation (1e-7)."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-z * z / 2) / 2.5066282746310002 * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def of(z: Column) -> Column:
+        poly = _let(1 / (1 + 0.2316419 * F.abs(z)), lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))
+        tail = F.exp(-z * z / 2) / 2.5066282746310002 * poly
+        return _let(tail, lambda x: F.when(z >= 0, x).otherwise(1 - x))
+
+    return _let(value, of)
 
 
 def encoding_of(token: Column) -> Column:
     """Size of the inferred alphabet: 16, 32, 36 or 64; null where letters alone or
     digits alone leave no encoding to test."""
-    mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-    return F.when(
-        mixed,
+    return F.when(token.rlike("[0-9]") & token.rlike("[A-Za-z]"), _alphabet(token))
+
+
+def _alphabet(token: Column) -> Column:
+    return (
         F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16)
         .when(token.rlike("^[A-Z2-7]+$"), 32)
         .when(token.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), 36)
-        .otherwise(64),
+        .otherwise(64)
     )
 
 
@@ -107,25 +129,32 @@ def randomness_p(codes: Column, size: Column) -> Column:
     chi = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x) * size / n - n
     df = (size - 1).cast("double")
     p_chi = _upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
-    high = F.transform(codes, lambda c: (2 * c >= size).cast("int"))
-    ones = F.aggregate(high, F.lit(0), lambda a, x: a + x).cast("double")
-    zeros = n - ones
-    following = F.slice(high, 2, F.size(high) - 1)
-    changes = F.aggregate(F.arrays_zip(high.alias("a"), following.alias("b")), F.lit(0), lambda a, x: a + F.coalesce((x["a"] != x["b"]).cast("int"), F.lit(0)))
-    mean = 2 * ones * zeros / n + 1
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    p_runs = F.when(var > 0, 2 * _upper_tail(F.abs(changes + 1 - mean) / F.sqrt(var))).otherwise(0.0)
+
+    def runs_p(high: Column) -> Column:
+        following = F.slice(high, 2, F.size(high) - 1)
+        changes = F.aggregate(F.zip_with(high, following, lambda a, b: F.coalesce((a != b).cast("int"), F.lit(0))), F.lit(0), lambda a, x: a + x)
+
+        def of(ones: Column) -> Column:
+            mean = 2 * ones * (n - ones) / n + 1
+            return _let(mean, lambda m: _let((m - 1) * (m - 2) / (n - 1), lambda var: F.when(var > 0, 2 * _upper_tail(F.abs(changes + 1 - m) / F.sqrt(var))).otherwise(0.0)))
+
+        return _let(F.aggregate(high, F.lit(0), lambda a, x: a + x).cast("double"), of)
+
+    def serial_p(dev: Column) -> Column:
+        square = F.aggregate(dev, F.lit(0.0), lambda a, x: a + x * x)
+        cross = F.aggregate(F.zip_with(dev, F.slice(dev, 2, F.size(dev) - 1), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+        return _let(square, lambda q: F.when(q > 0, 2 * _upper_tail(F.abs(cross / q + 1 / n) * F.sqrt(n))).otherwise(0.0))
+
+    p_runs = _let(F.transform(codes, lambda c: (2 * c >= size).cast("int")), runs_p)
     centre = _mean(F.transform(codes, lambda c: c.cast("double")))
-    dev = F.transform(codes, lambda c: c - centre)
-    square = F.aggregate(dev, F.lit(0.0), lambda a, x: a + x * x)
-    cross = F.aggregate(F.zip_with(dev, F.slice(dev, 2, F.size(dev) - 1), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    p_serial = F.when(square > 0, 2 * _upper_tail(F.abs(cross / square + 1 / n) * F.sqrt(n))).otherwise(0.0)
-    return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+    p_serial = _let(_let(centre, lambda m: F.transform(codes, lambda c: c - m)), serial_p)
+    least = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.least(p_chi, p_runs, p_serial)))
+    return 1 - F.pow(1 - least, 3)
 
 
-def _tested(spans: Column) -> Column:
+def _tested(spans: Column, size=encoding_of) -> Column:
     """Candidates with their alphabet, length band and p-value."""
-    sized = F.filter(F.transform(spans, lambda s: F.struct(s["start"], s["stop"], s["match"], encoding_of(s["match"]).alias("size"))), lambda s: s["size"].isNotNull())
+    sized = F.filter(F.transform(spans, lambda s: F.struct(s["start"], s["stop"], s["match"], size(s["match"]).alias("size"))), lambda s: s["size"].isNotNull())
     coded = F.transform(sized, lambda s: F.struct(s["start"], s["stop"], s["size"], _codes(s["match"], s["size"]).alias("codes")))
     return F.transform(
         coded,
@@ -139,8 +168,17 @@ def _tested(spans: Column) -> Column:
     )
 
 
+def _plain(text: Column) -> Column:
+    """Some of a text's tokens of letters alone, as spans from 0."""
+    ranked = lambda rank: F.slice(F.array_sort(F.transform(found, lambda m: F.struct(rank(m).alias("rank"), m.alias("match")))), 1, PLAIN_MOST)["match"]
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(PLAIN), F.lit(0)))
+    some = F.array_union(ranked(lambda m: -F.length(m).cast("long")), ranked(F.xxhash64))
+    return F.transform(some, lambda m: F.struct(F.lit(0).alias("start"), F.length(m).alias("stop"), m.alias("match")))
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id``, one array of spans per base kind, and the tested candidates."""
+    """``doc_id``, one array of spans per base kind, the tested candidates, and
+    ``plain``: tested tokens of letters alone."""
     text = text_of()
     rows = docs.select(
         "doc_id",
@@ -148,37 +186,66 @@ def scan(docs: DataFrame) -> DataFrame:
         _spans(text, ACCESS, lambda m: F.lit(True)).alias("access"),
         _spans(text, HEX, lambda m: F.lit(True)).alias("hex"),
         _spans(text, CANDIDATE, lambda m: F.lit(True)).alias("candidates"),
+        _plain(text).alias("plain"),
     )
-    return rows.withColumn("candidates", F.when(F.size("candidates") > 0, _tested(F.col("candidates"))))
+    plain = F.transform(_tested(F.col("plain"), _alphabet), lambda s: F.struct(s["size"], s["band"], s["p"]))
+    return rows.withColumn("candidates", F.when(F.size("candidates") > 0, _tested(F.col("candidates")))).withColumn("plain", plain)
 
 
-def cuts(scanned: DataFrame, fdr: float = FDR) -> DataFrame:
-    """Lowest accepted p-value per alphabet and length band (bounded: 4 x 17 rows)."""
-    bins = (
-        scanned.select(F.explode("candidates").alias("c"))
-        .select("c.size", "c.band", F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-        .groupBy("size", "band", "bin")
-        .agg(F.count("*").alias("n"))
-    )
-    band = Window.partitionBy("size", "band")
-    above = band.orderBy(F.col("bin").desc())
-    random = 2 * F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(band)
-    at_least = F.sum("n").over(above)
-    expected = random * (1 - F.col("bin") / F.lit(float(BINS)))
-    return (
-        bins.withColumn("false_share", F.greatest(F.lit(0.0), 1 - expected / at_least))
-        .where(F.col("false_share") <= fdr)
-        .groupBy("size", "band")
-        .agg((F.min("bin") / F.lit(float(BINS))).alias("cut"))
-    )
+def _bins(scanned: DataFrame, column: str) -> dict[tuple[int, int], np.ndarray]:
+    """Tokens per p-value bin, by alphabet and band (at most 4 x 17 x ``BINS`` rows)."""
+    rows = scanned.select(F.explode(column).alias("c")).select("c.size", "c.band", F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for r in rows.groupBy("size", "band", "bin").agg(F.count("*").alias("n")).collect():
+        out.setdefault((r["size"], r["band"]), np.zeros(BINS))[r["bin"]] += r["n"]
+    return out
+
+
+def _pooled(table: dict[tuple[int, int], np.ndarray], size: int, band: int, reach: int) -> np.ndarray:
+    """A band's bins, with neighbours up to ``reach`` away while they hold few tokens."""
+    for far in range(reach + 1):
+        out = sum((table.get((size, b), np.zeros(BINS)) for b in range(band - far, band + far + 1)), np.zeros(BINS))
+        if out.sum() >= FEW:
+            break
+    return out
+
+
+def _at_least(bins: np.ndarray) -> np.ndarray:
+    return np.cumsum(bins[::-1])[::-1]
+
+
+def cut_of(found: np.ndarray, plain: np.ndarray, fdr: float) -> float | None:
+    """Lowest p-value to accept, from the bins of candidates and of tokens that are not
+    random; none where no cut keeps the share of the latter within ``fdr``."""
+    passing = _at_least(plain) / plain.sum() if plain.sum() else np.zeros(BINS)
+    passing[0] = 1.0
+    if found.sum() < FEW:
+        good = passing <= fdr
+    else:
+        above, half = _at_least(found), BINS // 2
+        random = np.clip((above[half] - above[0] * passing[half]) / (0.5 - passing[half]), 0, above[0]) if passing[half] < 0.5 else 0.0
+        good = (above > 0) & ((above[0] - random) * passing <= fdr * above)
+    return float(np.argmax(good)) / BINS if good.any() else None
+
+
+def cuts(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], float | None]:
+    """Lowest accepted p-value per alphabet and length band (4 x 17 entries)."""
+    found, plain = _bins(scanned, "candidates"), _bins(scanned, "plain")
+    every = sum(plain.values(), np.zeros(BINS))
+
+    def null(size: int, band: int) -> np.ndarray:
+        near = _pooled(plain, size, band, LONGEST_BAND)
+        return near if near.sum() >= FEW else every
+
+    return {(s, b): cut_of(_pooled(found, s, b, 1), null(s, b), fdr) for s in SIZES for b in range(LONGEST_BAND + 1)}
 
 
 def secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """One row per document: ``doc_id`` and ``spans``, an array of (start, kind, stop)
     in order; ``kind`` is a place in ``KINDS``."""
     scanned = stage(scan(docs), "secrets")
-    # at most 4 x 17 rows, as one map
-    table = cuts(scanned, fdr).agg(F.map_from_entries(F.collect_list(F.struct(F.col("size") * 100 + F.col("band"), "cut")))).scalar()
+    # 4 x 17 entries, as one map
+    table = F.create_map(*(F.lit(x) for (size, band), cut in cuts(scanned, fdr).items() for x in (size * 100 + band, 2.0 if cut is None else cut)))
 
     def of(column: str, kind: int) -> Column:
         return F.transform(F.col(column), lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))

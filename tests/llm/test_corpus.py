@@ -142,6 +142,36 @@ def test_added_spans_find_tokens(spark):
     assert sum(bool(got[1000 + i][0]) for i in range(100)) <= 5
 
 
+def test_combined_p_is_uniform(spark):
+    random.seed(9)
+    rows = [("".join(random.choice("0123456789abcdef") for _ in range(160)),) for _ in range(600)]
+    p = secrets.randomness_p(secrets._codes(F.col("t"), F.lit(16)), F.lit(16))
+    got = np.array([r.p for r in spark.createDataFrame(rows, "t string").select(p.alias("p")).collect()])
+    assert (got > 0.999).mean() < 0.05 and abs((got > 0.5).mean() - 0.5) < 0.12
+
+
+def test_cut_keeps_false_discoveries_within_the_rate():
+    rng = np.random.default_rng(1)
+    bins = lambda p: np.bincount(np.minimum((p * 20).astype(int), 19), minlength=20).astype(float)
+    plain, uniform = rng.random(2000) ** 6, rng.random(1000)
+    # only tokens that are not random: nothing passes, though some lie above one half
+    assert secrets.cut_of(bins(rng.random(1000) ** 6), bins(plain), 0.01) is None
+    other = rng.random(1000) ** 6
+    cut = secrets.cut_of(bins(np.concatenate((uniform, other))), bins(plain), 0.2)
+    assert cut is not None and (other >= cut).sum() <= 0.25 * ((other >= cut).sum() + (uniform >= cut).sum())
+    # a lone token meets the cut that letter tokens set
+    assert secrets.cut_of(bins(np.array([0.97])), bins(plain**3), 0.1) < 0.5
+
+
+def test_lone_and_short_secrets(spark):
+    random.seed(10)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    token = lambda n: "".join(random.choice(letters) for _ in range(n))
+    for n in (70, 20):
+        found = [secrets.secrets(spark.createDataFrame([(1, f"see {token(n)} end")], "doc_id long, text string")).first().spans for _ in range(3)]
+        assert sum(bool(x) for x in found) >= 2
+
+
 def test_quality_counts(docs, rows, labels, empty):
     out = quality.quality_rules(docs, quality.trusted_ids(labels))
     got = by_id(out, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
