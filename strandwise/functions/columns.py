@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +13,21 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def fixed_map(table: Mapping[str, object]) -> Column:
+    """A fixed table as one literal map of strings (not one literal per entry)."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in table.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+def fixed_list(values: Sequence[str]) -> Column:
+    """A fixed list as one literal array of strings."""
+    return F.split(F.lit("\x02".join(values)), "\x02")
+
+
 def yes(condition: Column) -> Column:
     """A condition whose unknown counts as false, so that its negation keeps the row."""
     return F.coalesce(condition, F.lit(False))

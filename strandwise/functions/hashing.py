@@ -12,10 +12,10 @@ _LOW = (1 << 32) - 1
 
 
 def _times(x: Column, c: int) -> Column:
-    """x * c modulo 2**32 without leaving 64 bits."""
-    low = x.bitwiseAND(F.lit(65535)) * F.lit(c)
-    high = (F.shiftrightunsigned(x, 16) * F.lit(c)).bitwiseAND(F.lit(65535)) * F.lit(65536)
-    return (low + high).bitwiseAND(F.lit(_LOW))
+    """x * c modulo 2**32. Of c the signed form is taken, so that the product of two
+    32-bit numbers stays within 64 bits, and ``x`` stands in the expression once."""
+    signed = c - (1 << 32) if c >> 31 else c
+    return (x * F.lit(signed).cast("long")).bitwiseAND(F.lit(_LOW))
 
 
 def mix32(x: Column) -> Column:
@@ -27,8 +27,9 @@ def mix32(x: Column) -> Column:
 
 def hash32(seed: int, a: Column, b: Column) -> Column:
     """Two rounds of the mixer over a seed and two integers."""
-    first = mix32(F.lit(seed).cast("long").bitwiseXOR(a.cast("long")))
-    return mix32(first.bitwiseXOR(b.cast("long")))
+    # the first round goes through an array of one, so that the second names it once
+    first = F.transform(F.array(F.lit(seed).cast("long").bitwiseXOR(a.cast("long"))), mix32)
+    return F.transform(F.transform(first, lambda x: x.bitwiseXOR(b.cast("long"))), mix32)[0]
 
 
 def fnv1a32(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions.columns import money, yes
+from strandwise.functions.ordered import ordered
 
 
 def totals(df: DataFrame, weight: str, sample: str, study: str) -> DataFrame:
@@ -241,10 +242,13 @@ def compare(df: DataFrame, key: str, ids: Sequence, fields: Sequence[str]) -> Da
     return wide.where(differs)
 
 
-def qc_medians(df: DataFrame, key: str, metrics: Sequence[str], floor: tuple[str, float]) -> DataFrame:
-    """Exact medians per key, and the rows under a floor."""
+def qc_medians(df: DataFrame, key: str, metrics: Sequence[str], floor: tuple[str, float], exact: bool = True) -> DataFrame:
+    """Medians per key, and the rows under a floor. Exact medians count the distinct
+    values of a key in one task; ``exact=False`` takes sketches of fixed size."""
     under = F.count_if(F.col(floor[0]) < floor[1]).alias("n_under")
-    return df.groupBy(key).agg(*(F.median(m).alias(f"median_{m}") for m in metrics), under)
+    median = F.median if exact else F.approx_percentile
+    args = () if exact else (F.lit(0.5),)
+    return df.groupBy(key).agg(*(median(m, *args).alias(f"median_{m}") for m in metrics), under)
 
 
 def status_rollup(metrics: DataFrame, capabilities: DataFrame, capability: str, passed: Column, gating: Column, measured: Column) -> DataFrame:
@@ -271,17 +275,19 @@ def matrix_bytes(entries: DataFrame, key: str, files: str, names: Sequence[str],
 def pareto(df: DataFrame, key: str, quality: str, cost: str) -> DataFrame:
     """Points that no other beats on quality and cost; exact ties stay.
 
-    Only the best quality of each cost can stay, so rows are reduced to one per cost
-    before the one ordered pass over distinct costs.
+    Only the best quality of each cost can stay, so rows are reduced to one per cost;
+    the best so far runs over ranges of costs.
     """
     best = df.groupBy(cost).agg(F.max(quality).alias("_q"))
-    before = Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("_b", F.max("_q").over(before)).where(F.col("_b").isNull() | (F.col("_q") > F.col("_b")))
-    return df.join(front.drop("_b"), cost).where(F.col(quality) == F.col("_q")).select(key, quality, cost)
+    running = ordered(best, [F.col(cost)], None, [("_q", "max", "_b")])
+    # the first cost that reaches a quality; costs that only equal it are beaten
+    front = running.where("_q = _b").groupBy("_q").agg(F.min(cost).alias(cost))
+    return df.join(front, cost).where(F.col(quality) == F.col("_q")).select(key, quality, cost)
 
 
 def study_detail(study: DataFrame, samples: DataFrame, qc: DataFrame, key: str, sample: str) -> DataFrame:
-    """One row per study: samples by tier, unusable ids and all sample ids, joined."""
+    """One row per study: samples by tier, unusable ids and all sample ids, joined. A
+    study's ids are one cell by definition, so they must fit in one row."""
     rows = samples.join(qc.select(sample, "tier"), sample, "left")
     counts = rows.groupBy(key).agg(
         F.count_if(F.col("tier") == 0).alias("n_pass"),

@@ -7,13 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwise.functions.ordered import ordered
+from strandwise.functions.staging import discard, stage
+
 
 def encode(df: DataFrame, column: str) -> DataFrame:
     """Dictionary of a column, case folded: ``value, n, code`` by falling frequency, then
     label; code 0 is unknown."""
     value = F.lower(F.trim(F.col(column)))
     counts = df.select(F.nullif(value, F.lit("")).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
-    known = counts.where("value is not null").withColumn("code", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
+    known = ordered(counts.where("value is not null"), [F.desc("n"), F.col("value")], "code")
     return known.unionByName(counts.where("value is null").withColumn("code", F.lit(0)))
 
 
@@ -21,27 +24,35 @@ def cell_summary(rows: DataFrame, dims: Sequence[str], weight: str) -> DataFrame
     return rows.groupBy(*dims).agg(F.sum(F.col(weight).cast("long")).alias("weight"), F.count("*").alias("n"))
 
 
-def sample_stats(rows: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
+def sample_stats(rows: DataFrame, key: str, metrics: Sequence[str], exact: bool = True) -> DataFrame:
+    """Least, greatest, median and 0.9 quantile per key. Exact quantiles count the
+    distinct values of a key in one task; ``exact=False`` takes sketches of fixed size."""
+    quantile = F.percentile if exact else F.percentile_approx
     aggs = []
     for m in metrics:
-        aggs += [F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"), F.percentile(m, F.lit(0.5)).alias(f"{m}_q50"), F.percentile(m, F.lit(0.9)).alias(f"{m}_q90")]
+        aggs += [F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"), quantile(m, F.lit(0.5)).alias(f"{m}_q50"), quantile(m, F.lit(0.9)).alias(f"{m}_q90")]
     return rows.groupBy(key).agg(*aggs)
 
 
-def closure(edges: DataFrame, most: int = 32) -> DataFrame:
+def closure(edges: DataFrame, most: int = 60) -> DataFrame:
     """``term, ancestor, distance``: every pair with its shortest distance, selves
-    included, from ``term, parent`` edges; a join per level until nothing is new."""
-    nodes = edges.select(F.explode(F.array("term", "parent")).alias("term")).distinct()
-    step = edges.select("term", "parent").distinct()
-    found = nodes.select("term", F.col("term").alias("ancestor"), F.lit(0).alias("distance"))
-    front = found
-    for depth in range(1, most + 1):
-        up = front.select("term", F.col("ancestor").alias("_via")).join(step.withColumnRenamed("term", "_via"), "_via").select("term", F.col("parent").alias("ancestor")).distinct()
-        front = up.join(found.select("term", "ancestor"), ["term", "ancestor"], "left_anti").withColumn("distance", F.lit(depth))
+    included, from ``term, parent`` edges; a join per level until nothing is new, also
+    where edges run in a circle. Ancestors more than ``most`` levels away are an error.
+    Each level is written, so that no level is worked out twice."""
+    nodes = edges.select(F.explode(F.array("term", "parent")).alias("term")).where("term is not null").distinct()
+    step = stage(edges.select(F.col("term").alias("_via"), F.col("parent").alias("ancestor")).where("ancestor is not null").distinct(), "edges")
+    found = front = stage(nodes.select("term", F.col("term").alias("ancestor"), F.lit(0).alias("distance")), "closure")
+    depth = 0
+    while True:
+        depth += 1
+        up = front.select("term", F.col("ancestor").alias("_via")).join(step, "_via").select("term", "ancestor").distinct()
+        front = stage(up.join(found.select("term", "ancestor"), ["term", "ancestor"], "left_anti").withColumn("distance", F.lit(depth)), "closure")
         if front.isEmpty():
-            break
+            discard(step, front)
+            return found
+        if depth > most:
+            raise ValueError(f"ancestors more than {most} levels away")
         found = found.unionByName(front)
-    return found
 
 
 def sample_facts(samples: DataFrame, facts: DataFrame, key: str, attrs: Sequence[str]) -> DataFrame:

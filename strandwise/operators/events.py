@@ -93,15 +93,56 @@ def traffic_series(df: DataFrame, bucket: str) -> DataFrame:
     return df.groupBy(F.date_trunc(bucket, "ts").cast("timestamp_ntz").alias("bucket")).agg(*_traffic())
 
 
-def top_report(df: DataFrame, by: Sequence[str], weight: Column, most: int = 25) -> DataFrame:
-    """Grouped report: weighted views, mean scroll over leaving events, largest first."""
-    view = F.col("event_type") == "view"
-    rows = df.groupBy(*by).agg(
-        F.sum(F.when(view, weight).otherwise(0)).cast("long").alias("views"),
-        F.countDistinct("user_id").alias("visitors"),
-        F.round(F.avg(F.when(~view, F.col("value"))), 4).alias("mean_scroll"),
+def top_pages(df: DataFrame, most: int = 50) -> DataFrame:
+    """``path, views, visitors, visible_ms, scroll``: views weighted by ``weight`` (how
+    many rows each stands for), time and mean scroll over leaving events."""
+    leave = F.col("event") == "leave"
+    rows = df.groupBy("path").agg(
+        F.sum(F.when(F.col("event") == "view", F.col("weight")).otherwise(0)).cast("long").alias("views"),
+        F.countDistinct("visitor_id").alias("visitors"),
+        F.coalesce(F.sum(F.when(leave, (F.col("visible_ms") * F.col("weight")).cast("long"))), F.lit(0)).alias("visible_ms"),
+        F.round(F.avg(F.when(leave, F.col("scroll_pct").cast("double"))), 4).alias("scroll"),
     )
-    return rows.orderBy(F.desc("views"), *by).limit(most)
+    return rows.orderBy(F.desc("views"), "path").limit(most)
+
+
+def sessions_by(df: DataFrame, by: Sequence[str], most: int = 25) -> DataFrame:
+    """Sessions and visitors per key over the views that a session starts with."""
+    rows = df.where((F.col("event") == "view") & F.col("landing"))
+    counts = rows.groupBy(*by).agg(F.countDistinct("session_id").alias("sessions"), F.countDistinct("visitor_id").alias("visitors"))
+    return counts.orderBy(F.desc("sessions"), *by).limit(most)
+
+
+def visitors_by(df: DataFrame, by: str, most: int = 25) -> DataFrame:
+    """Visitors and weighted views per key over all events."""
+    views = F.sum(F.when(F.col("event") == "view", F.col("weight")).otherwise(0)).cast("long")
+    counts = df.groupBy(by).agg(F.countDistinct("visitor_id").alias("visitors"), views.alias("views"))
+    return counts.orderBy(F.desc("visitors"), by).limit(most)
+
+
+def landing(df: DataFrame) -> DataFrame:
+    return sessions_by(df, ["path"])
+
+
+def referrers(df: DataFrame) -> DataFrame:
+    return sessions_by(df, ["referrer"])
+
+
+def campaigns(df: DataFrame) -> DataFrame:
+    """Only what carries a source."""
+    return sessions_by(df.where("utm_source != ''"), ["utm_source", "utm_medium", "utm_campaign"])
+
+
+def by_country(df: DataFrame) -> DataFrame:
+    return visitors_by(df, "country")
+
+
+def by_device(df: DataFrame) -> DataFrame:
+    return visitors_by(df, "device")
+
+
+def by_browser(df: DataFrame) -> DataFrame:
+    return visitors_by(df, "browser")
 
 
 def rate_window(df: DataFrame, key: str, at: str, seconds: int, limit: int, tie: str) -> DataFrame:
@@ -145,9 +186,9 @@ def keep_point(at: Column, now: Column) -> Column:
     return F.when(age > 365 * day, F.lit(False)).when(age <= 7 * day, F.lit(True)).when(age <= 60 * day, early).otherwise(early & (F.hour(at) % 6 == 0))
 
 
-def thin_series(df: DataFrame, at: str, now: Column, most: int = 6000) -> DataFrame:
-    """Thinned points, newest ``most`` kept."""
-    return df.where(keep_point(F.col(at), now)).orderBy(F.desc(at)).limit(most)
+def thin_series(df: DataFrame, at: str, now: Column, most: int = 6000, tie: Sequence[str] = ()) -> DataFrame:
+    """Thinned points, newest ``most`` kept; ``tie`` orders points of one time."""
+    return df.where(keep_point(F.col(at), now)).orderBy(F.desc(at), *tie).limit(most)
 
 
 def clean_point(df: DataFrame, column: str, most: int = 40, longest: int = 16) -> DataFrame:

@@ -4,62 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.functions.columns import lookup, yes
+from strandwise.functions import lexicons as L
+from strandwise.functions.columns import fixed_list, fixed_map, lookup, once, yes
+from strandwise.functions.staging import stage
 
 from .joins import singulars, unique_tier_lookup
 
-# Spellings of units.
-UNITS = {
-    "years": "y yr yrs year years yo",
-    "months": "mo mos month months m",
-    "weeks": "w wk wks week weeks",
-    "days": "d day days dpi div dpt",
-    "hours": "h hr hrs hour hours hpi",
-    "minutes": "min mins minute minutes",
-    "pcw": "pcw gw",
-}
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
-UNIT = "(" + "|".join(sorted((u for names in UNITS.values() for u in names.split()), key=len, reverse=True)) + ")"
+UNIT = "(" + "|".join(u.replace(".", r"\.") for u in sorted(L.UNITS, key=len, reverse=True)) + ")"
 PER_YEAR = {"years": 1.0, "months": 12.0, "weeks": 52.18, "days": 365.25}
-MISSING = ("", "na", "n/a", "none", "unknown", "not applicable", "not available", "missing")
-
-# Closed lexicons.
-LEXICONS = {
-    "sex": {"male": "m male man men boy males xy", "female": "f female woman women girl females xx", "mixed": "mixed both pooled"},
-    "treatment": {"none": "none untreated naive unstimulated", "DMSO": "dmso", "PBS": "pbs", "vehicle": "vehicle"},
-    "ancestry": {"european": "european white caucasian", "african": "african black", "east asian": "chinese japanese korean asian", "hispanic": "hispanic latino"},
-    "disease": {"healthy": "healthy normal control ctrl", "covid-19": "covid covid-19 sars-cov-2", "leukemia": "leukemia leukaemia aml"},
-    "sample_type": {"primary tissue": "tissue biopsy primary", "cell line": "line", "organoid": "organoid organoids", "pdx": "pdx xenograft", "ipsc derived": "ipsc"},
-}
+#: Where nothing bounds a position from above.
+_LAST = 2**31 - 1
 
 
 def norm_key(c: Column) -> Column:
-    return F.regexp_replace(F.trim(F.lower(c)), "[ _-]+", " ")
+    """Lower case, ``._-`` as spaces, no colon at the end."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[_.-]+", " "), r"\s+", " "), ":$", ""))
+
+
+def clean(c: Column) -> Column:
+    """White space folded, no full stop at the end."""
+    return F.regexp_replace(F.regexp_replace(F.trim(c), r"\s+", " "), r"\.$", "")
 
 
 def parse_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, position, attr, value, evidence`` of ``k: v ;; k: v`` text, of single
-    semicolons before a key, or of a JSON object."""
+    """``key, position, attr, value, evidence`` of ``k: v ;; k: v`` text, else of single
+    semicolons before what looks like a key, or of a JSON object."""
     raw = F.trim(F.coalesce(F.col(text), F.lit("")))
-    listed = F.filter(F.split(raw, r"\s*;;\s*|\s*;\s*(?=[A-Za-z][A-Za-z0-9 _-]*:)"), lambda p: p.contains(":"))
-    plain = F.transform(listed, lambda p: F.struct(F.substring_index(p, ":", 1).alias("k"), F.trim(F.regexp_replace(p, "^[^:]*:", "")).alias("v"), p.alias("e")))
-    entries = F.map_entries(F.coalesce(F.from_json(raw, "map<string,string>"), F.create_map().cast("map<string,string>")))
-    object_ = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), F.trim(e["value"]).alias("v"), F.concat(e["key"], F.lit(": "), e["value"]).alias("e")))
+    parts = F.when(raw.contains(";;"), F.split(raw, ";;")).otherwise(F.split(raw, r";\s*(?=[A-Za-z][^;:]{0,59}:\s)"))
+    listed = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p.rlike("^[^:]+:"))
+    plain = F.transform(listed, lambda p: F.struct(F.substring_index(p, ":", 1).alias("k"), F.regexp_replace(F.trim(F.regexp_replace(p, "^[^:]*:", "")), r"\s+", " ").alias("v"), p.alias("e")))
+    entries = F.filter(F.map_entries(F.coalesce(F.from_json(raw, "map<string,string>"), F.create_map().cast("map<string,string>"))), lambda e: e["value"].isNotNull())
+    object_ = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), F.trim(e["value"]).alias("v"), F.concat(e["key"], F.lit(": "), F.trim(e["value"])).alias("e")))
     pairs = F.when(raw.startswith("{"), object_).otherwise(plain)
     rows = df.select(key, F.posexplode(pairs).alias("position", "p"))
-    return rows.select(key, "position", norm_key(F.col("p.k")).alias("attr"), F.col("p.v").alias("value"), F.col("p.e").alias("evidence")).where("value != ''")
+    return rows.select(key, "position", norm_key(F.col("p.k")).alias("attr"), F.col("p.v").alias("value"), F.col("p.e").alias("evidence")).where("attr != ''")
 
 
-def unit_name(c: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name, spelled in UNITS.items():
-        out = F.when(c.isin(spelled.split()), name).otherwise(out)
+def _by_spelling(table: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, spellings in table.items():
+        for s in spellings:
+            out.setdefault(s, name)
     return out
 
 
+def _of(value: Column, table: Mapping[str, str]) -> Column:
+    """A value's entry in a fixed table, else NULL."""
+    return F.element_at(fixed_map(table), value)
+
+
 def unit_from_key(key: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, pattern in (("hours", "hours?|hrs?|hpi"), ("days", "days?|div|dpi|dpt"), ("weeks", "weeks?"), ("months", "months?"), ("years", "years?|yrs?")):
@@ -75,52 +72,65 @@ def _number(text: Column, pattern: str, group: int) -> Column:
     return _amount(text, pattern, group).cast("double")
 
 
+def _time(norm: Column, num: Column, unit: Column, confidence: Column) -> Column:
+    return F.struct(norm.alias("norm"), num.cast("double").alias("num"), unit.cast("string").alias("unit"), confidence.cast("double").alias("confidence"))
+
+
+def _with_unit(amount: Column, unit: Column) -> Column:
+    """``1 day``, ``6 days``; the bare amount without a unit."""
+    named = F.when(amount.cast("double") == 1, F.regexp_replace(unit, "s$", "")).otherwise(unit)
+    return F.coalesce(F.concat(amount, F.lit(" "), named), amount)
+
+
 def parse_age(value: Column, key: Column, human: Column) -> Column:
-    """Struct of ``num, unit, confidence``: single ages, ranges (midpoint), years and
-    months, embryonic (E) and postnatal (P) days; the unit comes from the value or the
-    key; a bare number of a human is years. NULL where no age is read."""
-    s = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), r"\s*\(.*?\)\s*", " "), r"^(post ?natal|approximately|approx\.?|about|around|~)\s*", ""))
+    """Struct of ``norm, num, unit, confidence``: single ages, ranges (midpoint), years
+    and months, embryonic (E) and postnatal (P) days; the unit comes from the value or
+    the key; a bare number of a human is years. NULL where no age is read."""
+    s = F.regexp_replace(F.lower(F.trim(value)), r"\s+", " ")
+    s = F.when(s.endswith("y.o."), s).otherwise(F.regexp_replace(s, r"\.$", ""))
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"\s*\(.*?\)\s*", " "), r"^(post ?natal|approximately|approx\.?|about|around|~)\s*", ""))
     s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[-\s]*old$", ""), rf"^{NUMBER}-(?=[a-z])", "$1 "))
+    return once(s, lambda s: once(unit_from_key(key), lambda of_key: _age_of(s, of_key, human)))
+
+
+def _age_of(s: Column, of_key: Column, human: Column) -> Column:
     both = rf"^{NUMBER}\s*(?:yrs?|years?)\s*{NUMBER}\s*(?:mos?|months?)$"
     embryo, born = rf"^e\s*{NUMBER}$", rf"^p\s*{NUMBER}$"
     span = rf"^{NUMBER}\s*(?:-|–|to)\s*{NUMBER}[\s-]*{UNIT}?$"
     one = rf"^{NUMBER}\s*{UNIT}?$"
-    of_key = unit_from_key(key)
-
-    def found(num: Column, unit: Column, confidence: Column) -> Column:
-        return F.struct(num.cast("double").alias("num"), unit.alias("unit"), confidence.cast("double").alias("confidence"))
-
-    span_unit = F.coalesce(unit_name(_amount(s, span, 3)), of_key)
-    one_unit = F.coalesce(unit_name(_amount(s, one, 2)), of_key)
+    span_unit = F.coalesce(_of(_amount(s, span, 3), L.UNITS), of_key)
+    one_unit = F.coalesce(_of(_amount(s, one, 2), L.UNITS), of_key)
     num = _number(s, one, 1)
     assumed = yes(human) & (num <= 110)
+    low, high = _number(s, span, 1), _number(s, span, 2)
+    range_ = F.concat(_amount(s, span, 1), F.lit("-"), _amount(s, span, 2))
     return (
-        F.when(s.rlike(both), found(F.round(_number(s, both, 1) + _number(s, both, 2) / 12, 2), F.lit("years"), F.lit(0.95)))
-        .when(s.rlike(embryo), found(_number(s, embryo, 1), F.lit("E-days"), F.lit(0.95)))
-        .when(s.rlike(born), found(_number(s, born, 1), F.lit("postnatal days"), F.lit(0.95)))
-        .when(s.rlike(span) & (_number(s, span, 2) >= _number(s, span, 1)), found(F.round((_number(s, span, 1) + _number(s, span, 2)) / 2, 2), span_unit, F.when(span_unit.isNotNull(), 0.95).otherwise(0.7)))
+        F.when(s.rlike(both), _time(F.concat(_amount(s, both, 1), F.lit(" years "), _amount(s, both, 2), F.lit(" months")), F.round(_number(s, both, 1) + _number(s, both, 2) / 12, 2), F.lit("years"), F.lit(0.95)))
+        .when(s.rlike(embryo), _time(F.concat(F.lit("E"), _amount(s, embryo, 1)), _number(s, embryo, 1), F.lit("E-days"), F.lit(0.95)))
+        .when(s.rlike(born), _time(F.concat(F.lit("P"), _amount(s, born, 1)), _number(s, born, 1), F.lit("postnatal days"), F.lit(0.95)))
+        .when(s.rlike(span) & (high >= low), _time(F.coalesce(F.concat(range_, F.lit(" "), span_unit), range_), F.round((low + high) / 2, 2), span_unit, F.when(span_unit.isNotNull(), 0.95).otherwise(0.7)))
         .when(s.rlike(span), F.lit(None))
-        .when(s.rlike(one), found(num, F.coalesce(one_unit, F.when(assumed, "years")), F.when(one_unit.isNotNull(), 0.95).when(assumed, 0.75).otherwise(0.7)))
+        .when(s.rlike(one), _time(_with_unit(_amount(s, one, 1), F.coalesce(one_unit, F.when(assumed, "years"))), num, F.coalesce(one_unit, F.when(assumed, "years")), F.when(one_unit.isNotNull(), 0.95).when(assumed, 0.75).otherwise(0.7)))
     )
 
 
 def parse_timepoint(value: Column, key: Column) -> Column:
-    """Struct of ``num, unit, confidence``: "day 6", "24 hours", "baseline", a bare
+    """Struct of ``norm, num, unit, confidence``: "day 6", "24 hours", "baseline", a bare
     number with the key's unit."""
-    s = F.lower(F.trim(value))
+    return once(F.lower(clean(value)), lambda s: once(unit_from_key(key), lambda of_key: _timepoint_of(s, of_key)))
+
+
+def _timepoint_of(s: Column, of_key: Column) -> Column:
     lead = rf"^(day|d|week|wk|w|hour|hr|h|month|div)\s*{NUMBER}$"
     tail = rf"(?:^|[^a-z0-9.]){NUMBER}\s*{UNIT}(?![a-z])"
     bare = rf"^{NUMBER}$"
-
-    def found(num: Column, unit: Column, confidence: Column) -> Column:
-        return F.struct(num.cast("double").alias("num"), unit.alias("unit"), confidence.cast("double").alias("confidence"))
-
-    of_key = unit_from_key(key)
+    lead_unit = F.coalesce(_of(_amount(s, lead, 1), L.UNITS), F.lit("days"))
+    tail_unit = _of(_amount(s, tail, 2), L.UNITS)
     return (
-        F.when(s.rlike("^(baseline|pre-?treatment|pre|before treatment|t0)$"), found(F.lit(0.0), F.lit(None).cast("string"), F.lit(0.95)))
-        .when(s.rlike(lead), found(_number(s, lead, 2), F.coalesce(unit_name(_amount(s, lead, 1)), F.lit("days")), F.lit(0.95)))
-        .when(s.rlike(tail), found(_number(s, tail, 1), unit_name(_amount(s, tail, 2)), F.lit(0.9)))
-        .when(s.rlike(bare), found(_number(s, bare, 1), of_key, F.when(of_key.isNotNull(), 0.95).otherwise(0.7)))
+        F.when(s.rlike("^(baseline|pre-?treatment|pre|before treatment|t0)$"), _time(F.lit("baseline"), F.lit(0.0), F.lit(None), F.lit(0.95)))
+        .when(s.rlike(lead), _time(_with_unit(_amount(s, lead, 2), lead_unit), _number(s, lead, 2), lead_unit, F.lit(0.95)))
+        .when(s.rlike(tail), _time(_with_unit(_amount(s, tail, 1), tail_unit), _number(s, tail, 1), tail_unit, F.lit(0.9)))
+        .when(s.rlike(bare), _time(_with_unit(_amount(s, bare, 1), of_key), _number(s, bare, 1), of_key, F.when(of_key.isNotNull(), 0.95).otherwise(0.7)))
     )
 
 
@@ -135,70 +145,426 @@ def life_stage(years: Column) -> Column:
     return F.when(years < 18, "pediatric").when(years >= 65, "aged").when(years.isNotNull(), "adult")
 
 
-def normalise(value: Column, lexicon: str) -> Column:
-    """Struct of ``norm, placed``: the lexicon's word, else the folded value; missing
-    words give NULL; a checklist with only negative answers is healthy."""
-    s = F.regexp_replace(F.lower(F.trim(value)), r"\s+", " ")
-    placed = F.lit(None).cast("string")
-    for name, words in LEXICONS[lexicon].items():
-        placed = F.when(s.isin(words.split()), name).otherwise(placed)
-    if lexicon == "disease":
-        answers = F.filter(F.split(s, r"\s*;\s*"), lambda x: x != "")
-        negative = (F.size(answers) > 1) & F.forall(answers, lambda x: x.rlike("^[a-z0-9 /-]{1,30}:\\s*(no|none|negative)$"))
-        placed = F.coalesce(placed, F.when(negative, "healthy"))
-    return F.when(s.isNotNull() & ~s.isin(list(MISSING)), F.struct(F.coalesce(placed, s).alias("norm"), placed.isNotNull().alias("placed")))
-
-
-def extract_attrs(pairs: DataFrame, key: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """``key, attr, value_raw, value_norm, confidence, evidence``: the first pair that
-    fills an attribute wins. ``rules``: (pattern of the pair's key, attribute), in order;
-    attributes with a lexicon are normalised (0.95 when placed, else 0.7)."""
-    chain, rank = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for i, (pattern, attr) in reversed(list(enumerate(rules))):
-        hit = F.col("attr").rlike(pattern)
-        chain, rank = F.when(hit, attr).otherwise(chain), F.when(hit, i).otherwise(rank)
-    rows = pairs.withColumn("_a", chain).withColumn("_k", rank).where("_a is not null")
-    value = F.lower(F.trim("value"))
-    norm = F.struct(value.alias("norm"), F.lit(False).alias("placed"))
-    for name in LEXICONS:
-        norm = F.when(F.col("_a") == name, normalise(F.col("value"), name)).otherwise(norm)
-    rows = rows.withColumn("_n", norm).where("_n is not null")
-    first = Window.partitionBy(key, "_a").orderBy("_k", "position")
-    rows = rows.withColumn("_r", F.row_number().over(first)).where("_r = 1")
-    return rows.select(key, F.col("_a").alias("attr"), F.col("value").alias("value_raw"), F.col("_n.norm").alias("value_norm"), F.when(F.col("_n.placed"), 0.95).otherwise(0.7).alias("confidence"), "evidence")
-
-
-# Fixed precedence of sample types.
-SAMPLE_TYPES = (
-    ("organoid", "organoid|spheroid"),
-    ("xenograft", "xenograft|pdx"),
-    ("cell line", "cell line|hela|hek"),
-    ("stem-derived", "ipsc|esc derived|stem cell derived"),
-    ("culture", "cultur|in vitro"),
-    ("tissue", "tissue|biops|resect|organ"),
+# ---------------------------------------------------------------- closed lexicons
+
+
+def missing(value: Column) -> Column:
+    return F.array_contains(fixed_list(L.MISSING), F.lower(clean(value)))
+
+
+def _placed(value: Column, norm: Column, kept: Column | None = None) -> Column:
+    """Struct of ``norm, placed``; what no list knows keeps its text, or ``kept``."""
+    found = once(norm, lambda n: F.struct(F.coalesce(n, clean(value) if kept is None else kept).alias("norm"), n.isNotNull().alias("placed")))
+    return F.when(value.isNotNull() & ~missing(value), found)
+
+
+def norm_sex(value: Column) -> Column:
+    """``male``, ``female`` or ``mixed``; other words have no form."""
+    return _placed(value, _of(F.lower(clean(value)), _by_spelling(L.SEX)), F.lit(None).cast("string"))
+
+
+def norm_treatment(value: Column) -> Column:
+    """Struct of ``norm, placed, status``: untreated, a vehicle by its name, or treated."""
+    forms = {s: ("none", "untreated") for s in L.UNTREATED} | {s: (s.upper() if s in ("pbs", "dmso") else s, "vehicle") for s in L.VEHICLE}
+    s = F.lower(clean(value))
+    found = _placed(value, _of(s, {k: norm for k, (norm, _) in forms.items()}))
+    status = F.coalesce(_of(s, {k: status for k, (_, status) in forms.items()}), F.lit("treated"))
+    return once(found, lambda f: F.when(f.isNotNull(), F.struct(f["norm"].alias("norm"), f["placed"].alias("placed"), status.alias("status"))))
+
+
+def norm_ancestry(value: Column) -> Column:
+    return _placed(value, _of(F.lower(clean(value)), _by_spelling(L.ANCESTRY)))
+
+
+def norm_disease(value: Column, key: Column | None = None) -> Column:
+    """A listed disease or ``healthy``: by its name, by an answer under a key that asks
+    for an infection, or by a checklist whose answers are all negative."""
+    return _placed(value, once(F.lower(clean(value)), lambda s: _disease_name(s, key)))
+
+
+def _disease_name(s: Column, key: Column | None) -> Column:
+    asked = yes(key.contains("covid")) if key is not None else F.lit(False)
+    answer = F.when(s.rlike("^(positive|pos|infected|covid|covid 19|case|patient|severe|moderate|mild|critical)"), "covid-19")
+    answer = answer.when(s.rlike("^(negative|neg|control|healthy|uninfected|non covid|noncovid)"), "healthy")
+    checks = F.filter(F.split(s, r"\s*;\s*"), lambda x: x != "")
+    negative = (F.size(checks) > 1) & F.forall(checks, lambda x: x.rlike("^[a-z0-9 /-]{1,30}:\\s*(no|none|negative)$"))
+    names = _by_spelling(L.DISEASES)
+    listed = F.coalesce(_of(s, names), _of(F.regexp_replace(s, r"\s*\([^)]*\)$", ""), names))
+    return F.coalesce(F.when(asked, answer), F.when(F.array_contains(fixed_list(L.HEALTHY), s) | negative, "healthy"), listed)
+
+
+_TYPE_WORDS = {
+    "primary tissue": ("tissue", "primary tissue", "primary", "biopsy", "primary cells", "primary cell"),
+    "cell line": ("cell line", "immortalized cell line"),
+    "organoid": ("organoid", "organoids"),
+    "pdx": ("pdx", "patient derived xenograft", "patient-derived xenograft"),
+    "ipsc derived": ("ipsc", "ipsc derived", "ipsc-derived", "ipsc derived cells"),
+}
+_TUMOR_FLAG = "^(tumou?r|cancer|malignant)$"
+
+
+def norm_sample_type(value: Column, key: Column | None = None) -> Column:
+    """A coarse kind of material; NULL for a mere tumour flag."""
+    s = F.lower(clean(value))
+    line = yes(key.contains("cell line")) if key is not None else F.lit(False)
+    norm = F.coalesce(F.when(line, "cell line"), _of(s, _by_spelling(_TYPE_WORDS)))
+    return F.when(line | ~s.rlike(_TUMOR_FLAG), _placed(value, norm))
+
+
+_TISSUE_LABELS = {t: _by_spelling(L.TISSUE_LABELS).get(t, t) for t in L.TISSUES}
+
+
+def norm_tissue(value: Column) -> Column:
+    """A listed tissue by its label, whatever species, "tissue" or plural is added."""
+    k = F.regexp_replace(F.regexp_replace(F.lower(clean(value)), "[()]", " "), r"\s+", " ")
+    k = F.regexp_replace(k, "^(human|mouse|murine|rat|mus musculus|homo sapiens|whole|fresh|frozen) ", "")
+    k = F.trim(F.regexp_replace(k, "^(human|mouse|murine|rat) ", ""))
+    forms = once(k, lambda k: F.flatten(F.transform(F.array(k, F.regexp_replace(k, " (tissue|tissues|sample|samples)$", "")), lambda f: F.array(f, F.regexp_replace(f, "s$", "")))))
+    return F.get(F.filter(F.transform(forms, lambda f: _of(f, _TISSUE_LABELS)), lambda x: x.isNotNull()), F.lit(0))
+
+
+def tissue_in_text(text: Column) -> Column:
+    """The one listed tissue that free text names, else NULL. Names inside longer names
+    that are found too are the same tissue; short names and "tumor" are left out."""
+    t = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(clean(text)), "[^a-z0-9 ]+", " "), r"\s+", " "), F.lit(" "))
+    names = sorted((n for n in L.TISSUES if len(n) >= 4 and n not in ("tumor", "tumour")), key=len, reverse=True)
+    space = F.lit(" ")
+    hits = once(t, lambda t: F.filter(fixed_list(names), lambda x: t.contains(F.concat(space, x, space)) | t.contains(F.concat(space, x, F.lit("s ")))))
+    labels = F.array_distinct(F.transform(hits, lambda x: _of(x, _TISSUE_LABELS)))
+    whole = once(labels, lambda found: F.filter(found, lambda a: ~F.exists(found, lambda b: (b != a) & b.contains(a))))
+    return once(whole, lambda kept: F.when(F.size(kept) == 1, kept[0]))
+
+
+def norm_cell_type(value: Column) -> Column:
+    return _placed(value, _of(F.lower(clean(value)), _by_spelling(L.CELL_TYPES)))
+
+
+# ---------------------------------------------------------------- extraction
+
+_EXTRA = "struct<attr:string,norm:string,confidence:double>"
+_FACT = f"struct<attr:string,norm:string,num:double,unit:string,confidence:double,placed:boolean,extra:array<{_EXTRA}>>"
+
+
+def _extra(attr: str, norm: Column, confidence: Column) -> Column:
+    return F.struct(F.lit(attr).alias("attr"), norm.alias("norm"), confidence.cast("double").alias("confidence"))
+
+
+def _fact(attr: str, norm: Column, confidence: Column, placed: Column | None = None, num: Column | None = None, unit: Column | None = None, extra: Column | None = None) -> Column:
+    return F.struct(
+        F.lit(attr).alias("attr"),
+        norm.cast("string").alias("norm"),
+        (F.lit(None) if num is None else num).cast("double").alias("num"),
+        (F.lit(None) if unit is None else unit).cast("string").alias("unit"),
+        confidence.cast("double").alias("confidence"),
+        (F.lit(True) if placed is None else placed).alias("placed"),
+        (F.array() if extra is None else extra).cast(f"array<{_EXTRA}>").alias("extra"),
+    )
+
+
+def _sure(placed: Column, yes_: float = 0.95, no: float = 0.7) -> Column:
+    return F.when(placed, yes_).otherwise(no)
+
+
+def _read(human: Column) -> tuple[Column, Column]:
+    """Facts that a pair states, and the attribute that it names without a usable value."""
+    value, key, s, rule = F.col("_v"), F.col("attr"), F.col("_s"), F.col("_rule")
+    none, loose = F.array().cast(f"array<{_FACT}>"), F.lit(None).cast("string")
+    gone, tumor = F.col("_gone"), s.rlike(_TUMOR_FLAG)
+    known, named = F.col("_tissue"), F.col("_named")
+    flag = lambda norm, sure: F.array(_fact("disease_state", F.lit(norm), F.lit(sure)))
+
+    normal = s.rlike("^(normal|adjacent normal|normal adjacent|non-?tumou?r|benign)$") & (key == "tissue type")
+    no_tissue = gone | F.array_contains(fixed_list((*L.HEALTHY, *L.UNTREATED)), s)
+    code = (key == "region") & known.isNull() & named.isNull()
+    tissue = F.when(tumor, flag("case", 0.95)).when(normal, flag("control", 0.95)).when(no_tissue | code, none)
+    tissue = tissue.otherwise(F.array(_fact("tissue", F.coalesce(known, value), _sure(known.isNotNull()), known.isNotNull())))
+    tissue_loose = F.when(~tumor & ~normal & ~no_tissue & code, "tissue")
+
+    line = key.contains("cell line")
+    no_line = known.isNotNull() | named.isNotNull() | s.rlike("^(primary|none|no|not applicable|n/a|-)")
+    kind = F.col("_kind")
+    of_type = F.when(gone, none).when(line & no_line, none).when(line, F.array(_fact("sample_type", F.lit("cell line"), F.lit(0.95))))
+    of_type = of_type.when(kind.isNull(), flag("case", 0.9)).otherwise(F.array(_fact("sample_type", kind["norm"], _sure(kind["placed"]), kind["placed"])))
+    type_loose = F.when(~gone & line & no_line, "sample_type")
+
+    vague = s.rlike("^(all( cells| nuclei)?|various|mixed( population)?|live( cells?)?|single cell suspension|single cells?|cells?|total( cells)?|whole|unsorted|unfractionated|bulk)$")
+    simple = lambda attr, x: F.when(x.isNull(), none).otherwise(F.array(_fact(attr, x["norm"], _sure(x["placed"]), x["placed"])))
+    cell = F.when(vague, none).otherwise(simple("cell_type_sorted", F.col("_cell")))
+
+    d = F.col("_disease")
+    state = _extra("disease_state", F.when(d["norm"] == "healthy", "control").otherwise("case"), _sure(d["placed"], 0.9, 0.6))
+    disease = F.when(d.isNull(), none).otherwise(F.array(_fact("disease", d["norm"], _sure(d["placed"]), d["placed"], extra=F.array(state))))
+
+    t = F.col("_treatment")
+    status = _extra("treatment_status", t["status"], _sure(t["placed"]))
+    treatment = F.when(t.isNull(), none).otherwise(F.array(_fact("treatment", t["norm"], _sure(t["placed"]), t["placed"], extra=F.array(status))))
+
+    at = F.col("_at")
+    timepoint = F.when(at.isNull(), none).otherwise(F.array(_fact("timepoint", at["norm"], at["confidence"], num=at["num"], unit=at["unit"])))
+
+    wild = s.rlike(r"^(wild[ -]?type|wt|wildtype|\+/\+|wt/wt|control wt|wild type control)$")
+    genotype = F.when(gone, none).otherwise(F.array(_fact("genotype", F.when(wild, "wild type").otherwise(value), F.lit(0.95))))
+
+    a = F.col("_age")
+    years = F.when(human, to_years(a["num"], a["unit"]))
+    stage = F.when(a["unit"] == "E-days", F.array(_extra("life_stage", F.lit("embryonic"), F.lit(0.9))))
+    stage = stage.when(years.isNotNull(), F.array(_extra("life_stage", life_stage(years), F.least(a["confidence"], F.lit(0.8)))))
+    age = F.when(a.isNull(), none).otherwise(F.array(_fact("age", a["norm"], a["confidence"], num=a["num"], unit=a["unit"], extra=F.coalesce(stage, F.array().cast(f"array<{_EXTRA}>")))))
+
+    listed = F.col("_stage")
+    embryo = rf"^e\s*{NUMBER}$"
+    day = _amount(s, embryo, 1)
+    both = F.array(_fact("age", F.concat(F.lit("E"), day), F.lit(0.95), num=day, unit=F.lit("E-days")), _fact("life_stage", F.lit("embryonic"), F.lit(0.9)))
+    life = F.when(gone, none).when(listed.isNotNull(), F.array(_fact("life_stage", listed, F.lit(0.95)))).when(s.rlike(embryo), both).otherwise(none)
+
+    x = F.col("_sex")
+    sex = F.when(x.isNull() | x["norm"].isNull(), none).otherwise(F.array(_fact("sex", x["norm"], F.lit(0.95))))
+    ancestry = simple("ancestry", F.col("_ancestry"))
+    donor = F.when(gone, none).otherwise(F.array(_fact("donor", value, F.lit(0.95))))
+
+    facts = {
+        "tissue": tissue, "sample_type": of_type, "cell_type_sorted": cell, "disease": disease, "treatment": treatment, "timepoint": timepoint,
+        "genotype": genotype, "age": age, "life_stage": life, "sex": sex, "ancestry": ancestry, "donor": donor,
+    }
+    open_ = {
+        "tissue": tissue_loose, "sample_type": type_loose, "timepoint": F.when(at.isNull() & ~gone, "timepoint"), "age": F.when(a.isNull() & ~gone, "age"),
+        "life_stage": F.when(~gone & listed.isNull() & ~s.rlike(embryo), "life_stage"), "sex": F.when(x["norm"].isNull() & ~gone, "sex"),
+    }
+    out, left = none, loose
+    for attr in reversed(list(L.ATTRIBUTE_KEYS)):
+        out = F.when(rule == attr, facts[attr]).otherwise(out)
+        left = F.when(rule == attr, open_.get(attr, loose)).otherwise(left)
+    # a sentence in a label field is not a label
+    long = F.length(value) > F.coalesce(_of(rule, {k: str(n) for k, n in L.LONGEST_LABEL.items()}).cast("int"), F.lit(L.LONGEST_VALUE))
+    usable = rule.isNotNull() & (value != "") & (F.length(value) <= L.LONGEST_VALUE)
+    return F.when(usable & ~long, out).otherwise(none), F.when(usable & long & ~gone, rule).when(usable & ~long, left)
+
+
+def _rule() -> Column:
+    """The attribute that a pair's key names."""
+    rule = F.lit(None).cast("string")
+    for attr, keys in reversed(list(L.ATTRIBUTE_KEYS.items())):
+        rule = F.when(F.col("attr").rlike("^(" + "|".join(keys) + ")$"), attr).otherwise(rule)
+    return rule
+
+
+def _informs() -> Column:
+    return (F.col("_v") != "") & ~F.array_contains(fixed_list(L.NOISE_KEYS), F.col("attr"))
+
+
+def read_pairs(pairs: DataFrame, key: str, human: Column | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """Everything that the rules read from pairs, one row each: ``key, outcome, attr,
+    pair_key, value_raw, value_norm, value_num, unit, confidence, evidence``.
+
+    ``outcome`` is ``fact`` (the first pair that fills an attribute wins; 0.95 where a
+    closed list or a pattern places the value, else 0.7), ``unplaced`` (an attribute is
+    named, but its value is in no list) or ``unmapped`` (a key that no rule reads).
+    ``human`` says which pairs are of human donors. ``sources`` (``key, source``): text
+    that may name the tissue where no pair does.
+
+    Rows are dealt by sample once; the two steps after it keep that partitioning.
+    """
+    rows = pairs.withColumn("_rule", _rule()).withColumn("_v", clean(F.col("value"))).withColumn("_s", F.lower("_v"))
+    of_tissue = F.col("_rule").isin("tissue", "sample_type")
+    rows = rows.withColumn("_tissue", F.when(of_tissue, norm_tissue(F.col("_v")))).withColumn("_named", F.when(of_tissue & F.col("_tissue").isNull(), tissue_in_text(F.col("_v"))))
+    human = yes(human) if human is not None else F.lit(False)
+    value, key_ = F.col("_v"), F.col("attr")
+    forms = {
+        "_age": ("age", parse_age(F.col("value"), key_, human)), "_at": ("timepoint", parse_timepoint(value, key_)), "_kind": ("sample_type", norm_sample_type(value)),
+        "_cell": ("cell_type_sorted", norm_cell_type(value)), "_disease": ("disease", norm_disease(value, key_)), "_treatment": ("treatment", norm_treatment(value)),
+        "_stage": ("life_stage", _of(F.col("_s"), _by_spelling(L.LIFE_STAGES))), "_sex": ("sex", norm_sex(value)), "_ancestry": ("ancestry", norm_ancestry(value)),
+    }
+    rows = rows.withColumns({name: F.when(F.col("_rule") == attr, form) for name, (attr, form) in forms.items()} | {"_gone": missing(value)})
+    facts, loose = _read(human)
+    rows = rows.withColumn("_facts", facts).withColumn("_loose", loose)
+    rows = rows.select(key, "position", F.col("attr").alias("pair_key"), F.col("_v").alias("value_raw"), "evidence", "_facts", "_loose", F.when(F.col("_rule").isNull() & _informs(), True).alias("_open"))
+    # written once: facts, open values and open keys are all taken from it
+    # (a filter here would be pushed below, with all these expressions in it)
+    rows = stage(rows, "pairs")
+
+    empty = F.lit(None)
+    item = lambda outcome, attr, norm=empty, num=empty, unit=empty, confidence=empty: F.struct(
+        F.lit(outcome).alias("outcome"), attr.cast("string").alias("attr"), "pair_key", "value_raw", norm.cast("string").alias("value_norm"),
+        num.cast("double").alias("value_num"), unit.cast("string").alias("unit"), confidence.cast("double").alias("confidence"), "evidence",
+    )
+    other = F.array_compact(F.array(F.when(F.col("_loose").isNotNull(), item("unplaced", F.col("_loose"))), F.when(F.col("_open"), item("unmapped", empty))))
+    aside = rows.select(key, F.explode(other).alias("r")).select(key, "r.*")
+
+    columns = ["position", "pair_key", "value_raw", "evidence"]
+    mains = rows.select(key, *columns, F.explode("_facts").alias("f"))
+    if sources is not None:
+        text = clean(F.col("source"))
+        more = sources.select(key, F.lit(_LAST).alias("position"), F.lit("source").alias("pair_key"), text.alias("value_raw"), text.alias("evidence")).where(F.length("value_raw") <= 60)
+        named = more.withColumn("_t", tissue_in_text(F.col("value_raw"))).where("_t is not null")
+        mains = mains.unionByName(named.select(key, *columns, _fact("tissue", F.col("_t"), F.lit(0.8)).alias("f")))
+    first = lambda df: df.groupBy(key, "attr").agg(F.min_by(F.struct(*columns, "f"), "position").alias("w")).select(key, "w.*")
+    won = first(mains.repartition(key).withColumn("attr", F.col("f.attr")))
+    # what follows from a fact counts only where that fact is the first of its attribute
+    whole = F.transform(F.col("f.extra"), lambda e: F.struct(e["attr"].alias("attr"), e["norm"].alias("norm"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("unit"), e["confidence"].alias("confidence"), F.lit(True).alias("placed")))
+    own = F.struct(*(F.col(f"f.{c}").alias(c) for c in ("attr", "norm", "num", "unit", "confidence", "placed")))
+    won = first(won.select(key, *columns, F.explode(F.concat(F.array(own), whole)).alias("f")).withColumn("attr", F.col("f.attr")))
+    kept = F.array_compact(
+        F.array(
+            item("fact", F.col("f.attr"), F.col("f.norm"), F.col("f.num"), F.col("f.unit"), F.col("f.confidence")),
+            F.when(~F.col("f.placed"), item("unplaced", F.col("f.attr"))),
+        )
+    )
+    return won.select(key, F.explode(kept).alias("r")).select(key, "r.*").unionByName(aside)
+
+
+def extract_attrs(pairs: DataFrame, key: str, human: Column | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """The facts of ``read_pairs``: one row per sample and attribute."""
+    return read_pairs(pairs, key, human, sources).where("outcome = 'fact'").drop("outcome", "pair_key")
+
+
+def unplaced_values(pairs: DataFrame, key: str, human: Column | None = None) -> DataFrame:
+    """``key, attr, pair_key, value_raw, evidence`` of values that no list places."""
+    return read_pairs(pairs, key, human).where("outcome = 'unplaced'").select(key, "attr", "pair_key", "value_raw", "evidence")
+
+
+def unmapped_pairs(pairs: DataFrame, key: str) -> DataFrame:
+    """``key, pair_key, value_raw, evidence`` of keys that no rule reads."""
+    rows = pairs.withColumn("_v", clean(F.col("value"))).where(_rule().isNull() & _informs())
+    return rows.select(key, F.col("attr").alias("pair_key"), F.col("_v").alias("value_raw"), "evidence")
+
+
+# ---------------------------------------------------------------- sample types
+
+# Fixed patterns of sample types.
+_ORGANOID = r"(?i)\b(organoids?|assembloids?|gastruloids?|embryoid bod(?:y|ies)|tumou?roids?|enteroids?|colonoids?|blastoids?)\b"
+_XENOGRAFT = r"(?i)\b(xenografts?|pdx|cdx|o-pdx|pdox|patient[- ]derived xenografts?)\b"
+_STEM = r"(?i)\b(h?ipscs?|i ?ps cells?|h?escs?|h?pscs?|pluripotent|embryonic stem)\b"
+_DERIVED = r"(?i)\b(derived|differentiated|differentiation)\b"
+_CULTURE = (
+    r"(?i)\b(primary (?:cell )?cultures?|cultured primary|primary cultured|in vitro cultured|ex vivo cultured|"
+    r"cultured (?:cells|fibroblasts|keratinocytes|hepatocytes|myoblasts|astrocytes|neurons|chondrocytes|osteoblasts|t cells|macrophages|monocytes))\b"
+)
+_LINE = r"(?i)\bcell ?lines?\b"
+_NO_LINE = r"(?i)\bprimary\b|\bnot? (a )?cell line\b|\bnon[- ]cell line\b"
+_STRAIN = (
+    r"(?i)^(c57 ?bl[/ ]?6\w*|c57bl\w*|b6\w*|balb[/ ]?c\w*|129\S*|fvb\S*|dba\S*|cd-?1|nod\S*|nsg\S*|nu/nu|nude|c3h\S*|swiss\S*|sprague[- ]dawley|wistar\S*|"
+    r"wild[- ]?type|wt|wt/wt|\+/\+|mixed background)$"
 )
+_IN_VIVO = r"(?i)\b(tumou?rs?|xenografts?|allografts?|injected|implanted|transplanted|engrafted|orthotopic|subcutaneous(?:ly)?|in vivo|tumou?r[- ]bearing)\b"
+_CULTURE_WORD = r"(?i)\bcultur(e|ed|es|ing)\b|\bin vitro\b|\bdifferentiat"
+_TUMOR_TYPES = (
+    (
+        "adjacent normal",
+        r"adjacent|adjacent normal|normal adjacent|adjacent normal tissue|normal adjacent tissue|adjacent non[- ]?tumou?r|adjacent non[- ]?tumou?r tissue|adjacent tissue|"
+        r"para[- ]?tumou?r|para[- ]?tumou?r tissue|para[- ]?cancerous( tissue)?|peritumou?ral( tissue)?|non[- ]?tumou?r adjacent tissue|tumou?r[- ]adjacent normal( tissue)?|"
+        r"normal tissue adjacent to (the )?tumou?r|adjacent normal mucosa|matched normal adjacent tissue",
+    ),
+    ("metastatic", r"metastas[ie]s|metastatic|metastatic (tumou?r|tissue|lesion|sample|site)|(lymph node|liver|brain|bone|lung|peritoneal|omental) metastas[ie]s|metastatic (lymph node|liver|brain|bone|lung)"),
+    ("recurrent tumor", r"recurren(t|ce)|recurrent tumou?r|relapsed? tumou?r"),
+    ("primary tumor", r"primary tumou?r( tissue| sample)?"),
+    ("tumor", r"tumou?rs?|tumou?r tissue|tumou?r sample|tumou?r core|cancer tissue|cancerous tissue|malignant tissue|tumou?r region|tumou?r fraction"),
+)
+
+
+def tumor_type(value: Column) -> Column:
+    """Kind of tumour sample that a whole value names; never one before metastasis."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), r"\s+", " "), "_+", " ")
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(_TUMOR_TYPES):
+        out = F.when(s.rlike(f"^({pattern})$"), name).otherwise(out)
+    return F.when(~s.rlike(r"\b(pre|non)[- ]?metasta"), out)
+
+
+def classify_sample_type(pairs: DataFrame, key: str, lines: DataFrame | None = None) -> DataFrame:
+    """``key, tissue_type, sample_kind, tumor_sample_type, cell_line, evidence``, NULL
+    where a sample's own pairs say nothing.
+
+    Precedence: organoid, xenograft, a line grown in an animal, a known line, cells
+    derived from stem cells, the words "cell line", a primary culture, a named tissue
+    (only where nothing speaks of culture). ``lines``: ``name, accession, category`` of
+    known cell lines, names in lower case without "cells". The text of a source field is
+    a pair with the key ``source``.
+    """
+    v, k = F.col("value"), F.col("attr")
+    typed = F.array_contains(fixed_list(L.TYPE_KEYS), k)
+    rows = pairs.where("value != ''")
+    line_field = (k.isin(*L.LINE_KEYS) & ~F.trim(v).rlike(_STRAIN)) | (typed & v.rlike(_LINE))
+    if lines is None:
+        rows = rows.withColumn("accession", F.lit(None).cast("string")).withColumn("category", F.lit(None).cast("string"))
+    else:
+        asked = F.when(line_field, F.regexp_replace(F.lower(F.trim(v)), " cells?$", ""))
+        rows = rows.join(lines.select(F.col("name").alias("_name"), "accession", "category"), asked == F.col("_name"), "left")
+    organ_field = k.isin("tissue", "organ", "source")
+    tests = {
+        "organoid": typed & v.rlike(_ORGANOID),
+        "organoid_field": k.rlike("^organoids?( type| line| model)?$") & ~v.rlike("(?i)^(no|none|n/?a|false|0)$"),
+        "xenograft": v.rlike(_XENOGRAFT),
+        "stem": typed & v.rlike(_STEM) & (v.rlike(_DERIVED) | k.isin("cell line", "cell type")),
+        "culture": typed & v.rlike(_CULTURE),
+        "line_word": typed & v.rlike(_LINE) & ~v.rlike(_NO_LINE),
+        "line": F.col("accession").isNotNull(),
+        "stem_line": F.col("category").rlike("(?i)stem cell"),
+        "in_vivo": k.isin(*L.IN_VIVO_KEYS) & v.rlike(_IN_VIVO) & ~v.rlike(r"(?i)\bin vitro\b") & ~v.rlike(_LINE),
+        "culture_word": v.rlike(_CULTURE_WORD),
+        "tissue": organ_field & F.coalesce(F.when(organ_field, norm_tissue(v)), F.when(organ_field, tissue_in_text(v))).isNotNull(),
+    }
+    tumor = F.when(F.array_contains(fixed_list(L.TUMOR_KEYS), k), tumor_type(v))
+    first = [F.min(F.when(yes(test), F.struct("position", "evidence", "accession"))).alias(name) for name, test in tests.items()]
+    found = rows.groupBy(key).agg(*first, F.min(F.when(tumor.isNotNull(), F.struct("position", tumor.alias("type")))).alias("tumor"))
+    has = {name: F.col(name).isNotNull() for name in tests}
+    organoid = has["organoid"] | has["organoid_field"]
+    in_vivo = (has["line"] | has["line_word"]) & has["in_vivo"]
+    by_tissue = has["tissue"] & ~has["culture_word"]
+    kinds = [
+        (organoid, "organoid", F.coalesce("organoid.evidence", "organoid_field.evidence")),
+        (has["xenograft"], "tissue", F.col("xenograft.evidence")),
+        (in_vivo, "tissue", F.col("in_vivo.evidence")),
+        (has["line"], "cell line", F.col("line.evidence")),
+        (has["stem"], "cell line", F.col("stem.evidence")),
+        (has["line_word"], "cell line", F.col("line_word.evidence")),
+        (has["culture"], "primary cell culture", F.col("culture.evidence")),
+        (by_tissue, "tissue", F.col("tissue.evidence")),
+    ]
+    value, evidence = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for test, name, text in reversed(kinds):
+        value, evidence = F.when(test, name).otherwise(value), F.when(test, text).otherwise(evidence)
+    kind = F.when(has["xenograft"], "xenograft").when(organoid, "organoid").when(in_vivo, F.lit(None)).when(has["stem_line"] | has["stem"], "stem_cell")
+    kind = kind.when(has["line"] | has["line_word"], "cell_line").when(value.isin("tissue", "primary cell culture"), "primary")
+    tumor_kind = F.when(~yes(value == "cell line"), F.col("tumor.type"))
+    return found.select(key, value.alias("tissue_type"), kind.alias("sample_kind"), tumor_kind.alias("tumor_sample_type"), F.col("line.accession").alias("cell_line"), evidence.alias("evidence"))
+
+
+# Fixed phrases of health.
+_HEALTHY_PHRASE = (
+    "^(healthy|healthy (control|controls|donor|donors|volunteer|volunteers|individual|individuals|subject|subjects|adult|adults|human donor|control subject|participant)|"
+    "normal (donor|donors|control|controls|individual|subject|volunteer)|non[- ]?diseased|no disease|unaffected|healthy non[- ].*disease)$"
+)
+
+
+def disease_of(attr: Column, value: Column, human: Column) -> Column:
+    """Struct of ``kind, text, confidence``: ``healthy`` or ``disease`` as a pair states
+    it, without words for persons and severity; NULL where the key names neither. A bare
+    "control" is healthy only for a human under a disease key."""
+    by_key, generic = attr.isin(*L.DISEASE_KEYS), attr.isin(*L.GENERIC_KEYS)
+    v = F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), r"\s+", " "), r"\s*\.$", "")
+    text = F.regexp_replace(v, "^(patients? with|individuals? with|donors? with|subjects? with|diagnosed with) +", "")
+    text = F.regexp_replace(text, " +(patients?|donors?|subjects?|cases?|individuals?|positive)$", "")
+    text = F.regexp_replace(text, r"^(severe|mild|moderate|critical|acute|active|established|newly diagnosed) +(?=covid|sepsis|tb\b)", "")
+    text = F.trim(F.regexp_replace(text, r"\s*\(([^)]*)\)\s*$", ""))
+    out = lambda kind, words, sure: F.struct(F.lit(kind).alias("kind"), words.alias("text"), sure.cast("double").alias("confidence"))
+    nothing = (v == "") | v.rlike("^(n/?a|na|none|unknown|not applicable|not available|-|nan)$")
+    bare = v.rlike("^(control|controls|ctrl|normal|hc|nc)$")
+    return (
+        F.when(~(by_key | generic) | nothing, F.lit(None))
+        .when(v.rlike(_HEALTHY_PHRASE), out("healthy", v, F.lit(0.95)))
+        .when(bare & by_key & yes(human), out("healthy", v, F.lit(0.85)))
+        .when(~bare, out("disease", text, F.when(by_key, 0.9).otherwise(0.85)))
+    )
 
 
-def classify_sample_type(pairs: DataFrame, key: str) -> DataFrame:
-    """``key, sample_type, tumor``: the first rule that any pair of a sample meets."""
-    text = F.lower(F.concat_ws(" ", "attr", "value"))
-    flags = pairs.groupBy(key).agg(*(F.bool_or(text.rlike(p)).alias(f"t_{i}") for i, (_, p) in enumerate(SAMPLE_TYPES)), F.bool_or(text.rlike("tumou?r|cancer|carcinoma")).alias("tumor"))
-    out = F.lit("unknown")
-    for i, (name, _) in reversed(list(enumerate(SAMPLE_TYPES))):
-        out = F.when(F.col(f"t_{i}"), name).otherwise(out)
-    return flags.select(key, out.alias("sample_type"), "tumor")
-
-
-def disease_candidate(pairs: DataFrame, key: str) -> DataFrame:
-    """``key, disease``: healthy, or the disease text of a disease key (else a generic
-    one) without words for persons and severity."""
-    rank = F.when(F.col("attr").rlike("disease|diagnos"), 0).when(F.col("attr").rlike("condition|status|phenotype"), 1)
-    rows = pairs.withColumn("_k", rank).where("_k is not null")
-    order = Window.partitionBy(key).orderBy("_k", "position")
-    first = rows.withColumn("_r", F.row_number().over(order)).where("_r = 1")
-    low = F.lower("value")
-    bare = F.trim(F.regexp_replace(F.regexp_replace(low, r"\b(patients?|donors?|severe|mild|moderate|stage [ivx0-9]+)\b", ""), r"\s+", " "))
-    return first.select(key, F.when(low.rlike("healthy|normal|control"), "healthy").otherwise(F.nullif(bare, F.lit(""))).alias("disease"))
+def disease_candidate(pairs: DataFrame, key: str, human: Column | None = None) -> DataFrame:
+    """``key, kind, disease, confidence``: what the first disease key, else the first
+    generic one, says."""
+    found = disease_of(F.col("attr"), F.col("value"), human if human is not None else F.lit(False))
+    rows = pairs.withColumn("_d", found).where("_d is not null")
+    rank = F.struct((~F.col("attr").isin(*L.DISEASE_KEYS)).alias("late"), "position")
+    first = rows.groupBy(key).agg(F.min_by("_d", rank).alias("d"))
+    return first.select(key, "d.kind", F.col("d.text").alias("disease"), "d.confidence")
 
 
 def evidence_holds(evidence: Column, text: Column) -> Column:

@@ -68,23 +68,37 @@ def unique_tier_lookup(values: DataFrame, labels: DataFrame, value: str = "value
     return one.select(value, "term_id", "tier")
 
 
+MOST_INTERVALS = 1000
+
+
 def narrowest_interval(points: DataFrame, intervals: DataFrame, key: str, point: str) -> DataFrame:
     """Each point with the narrowest interval [low, high) that holds it (``high`` NULL is
     open); ties go to the smaller id.
 
     Overlapping intervals are first cut at their ends into pieces, each with its best
-    interval. The sorted pieces are one small array (intervals are a vocabulary), so each
-    point looks its piece up in place and no join on ranges is needed.
+    interval. The sorted pieces are one array beside each point, searched by halves, so
+    no join on ranges is needed. Intervals are a small vocabulary: more than
+    ``MOST_INTERVALS`` are an error.
     """
+    if (n := intervals.count()) > MOST_INTERVALS:
+        raise ValueError(f"{n} intervals; at most {MOST_INTERVALS} are a vocabulary")
     ends = intervals.select(F.col("low").alias("x")).union(intervals.where("high is not null").select(F.col("high").alias("x"))).distinct()
     inside = (F.col("x") >= F.col("low")) & (F.col("high").isNull() | (F.col("x") < F.col("high")))
     width = F.coalesce(F.col("high") - F.col("low"), F.lit(float("inf")))
-    # intervals are a vocabulary: their number does not grow with the points
     pieces = ends.join(intervals, inside, "left").groupBy("x").agg(F.min(F.when(F.col("id").isNotNull(), F.struct(width.alias("w"), "id"))).alias("best"))
     steps = pieces.agg(F.array_sort(F.collect_list(F.struct("x", F.col("best.id").alias("id")))).alias("steps")).scalar()
     rows = points.withColumn("_steps", steps)
-    step = F.try_element_at(F.filter("_steps", lambda s: s["x"] <= F.col(point)), F.lit(-1))
-    return rows.select(key, point, step["id"].alias("interval_id"))
+    halves = F.sequence(F.lit(1), F.lit(max(1, (2 * n).bit_length())))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"] + 1, 1)
+        below = F.coalesce(F.get("_steps", middle)["x"] <= F.col(point), F.lit(False))
+        return F.struct(F.when(below, middle).otherwise(at["low"]).alias("low"), F.when(below, at["high"]).otherwise(F.greatest(middle - 1, at["low"])).alias("high"))
+
+    # the last piece that starts at or before the point; -1 where none does
+    last = F.aggregate(halves, F.struct(F.lit(-1).alias("low"), (F.size("_steps") - 1).alias("high")), halve, lambda at: at["low"])
+    rows = rows.withColumn("_last", last)
+    return rows.select(key, point, F.when(F.col("_last") >= 0, F.get("_steps", "_last")["id"]).alias("interval_id"))
 
 
 def first_rule(df: DataFrame, rules: Sequence[tuple[str, str, str]], column: str, out: str) -> DataFrame:

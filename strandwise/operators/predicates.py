@@ -175,10 +175,11 @@ def downloadable(has_file: Column, n_done: Column, mismatch: Column, withheld: C
 
 
 def text_accessions(df: DataFrame, key: str, text: str, prefixes: Sequence[str], digits: int = 1) -> DataFrame:
-    """Distinct identifiers (prefix and digits) that a text mentions: ``key, accession``."""
-    pattern = f"((?:{'|'.join(prefixes)})[0-9]{{{digits},}})"
+    """Distinct identifiers (prefix and digits, a word of their own, in either case) that
+    a text mentions: ``key, accession`` in capitals."""
+    pattern = f"(?i)(?<![A-Za-z0-9_])((?:{'|'.join(prefixes)})[0-9]{{{digits},}})(?![A-Za-z0-9_])"
     found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(1))
-    return df.select(key, F.explode(F.array_distinct(found)).alias("accession")).distinct()
+    return df.select(key, F.explode(F.array_distinct(F.transform(found, F.upper))).alias("accession")).distinct()
 
 
 def min_weight(df: DataFrame, c: str, least: float) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions.hashing import fnv1a32, hash32
+from strandwise.functions.ordered import ordered
 
 from .predicates import in_range
 
@@ -29,11 +30,11 @@ def allocate(groups: DataFrame, key: str, size: str, cap: int, seed: str, floor:
     """``key, size, keep``: proportional shares of ``cap`` by largest remainder.
 
     The fewest smallest groups are dropped so that every share reaches the floor, never
-    the last one; ties follow a seeded hash. One small row per group.
+    the last one; ties follow a seeded hash. Groups are ranked range by range, so their
+    number may grow with the data.
     """
     rows = groups.select(F.col(key), F.col(size).cast("long").alias("size"), fnv1a32(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))).alias("_t"))
-    order = Window.orderBy(F.desc("size"), F.desc("_t"), F.desc(key))
-    rows = rows.withColumn("_r", F.row_number().over(order)).withColumn("_s", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = ordered(rows, [F.desc("size"), F.desc("_t"), F.desc(key)], "_r", [("size", "sum", "_s")])
     fits = (F.col("_r") == 1) | (F.col("_s") <= cap) | (F.col("size") * F.lit(float(cap)) / F.col("_s") >= max(1, floor))
     last = rows.agg(F.max(F.when(fits, F.col("_r"))).alias("_last"))
     rows = rows.join(last, F.lit(True))
@@ -42,9 +43,10 @@ def allocate(groups: DataFrame, key: str, size: str, cap: int, seed: str, floor:
     rows = rows.join(rest, F.lit(True))
     share = F.col("size") * F.lit(float(cap)) / F.col("_rest")
     rows = rows.withColumn("_q", F.when(live, share).otherwise(F.lit(-1.0))).withColumn("_f", F.floor("_q"))
-    left = F.lit(cap) - F.sum(F.when(live, F.col("_f")).otherwise(0)).over(Window.partitionBy())
-    turn = F.row_number().over(Window.orderBy(F.desc(F.when(live, F.col("_q") - F.col("_f")).otherwise(-1.0)), "_t", key))
-    keep = F.least(F.col("size"), F.col("_f") + F.when(turn <= left, 1).otherwise(0))
+    left = rows.where(live).agg((F.lit(cap) - F.coalesce(F.sum("_f"), F.lit(0))).alias("_left"))
+    rows = rows.withColumn("_m", F.when(live, F.col("_q") - F.col("_f")).otherwise(-1.0))
+    rows = ordered(rows, [F.desc("_m"), F.col("_t"), F.col(key)], "_turn").join(left, F.lit(True))
+    keep = F.least(F.col("size"), F.col("_f") + F.when(F.col("_turn") <= F.col("_left"), 1).otherwise(0))
     return rows.select(key, "size", F.when(~live, 0).when(F.col("_rest") <= cap, F.col("size")).otherwise(keep).cast("long").alias("keep"))
 
 

@@ -8,13 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions.columns import yes
+from strandwise.functions.lexicons import STOPWORDS, SYNONYMS
 
-# Fixed list: words that a query ignores.
-STOPWORDS = (
-    "a an the of in on at for to from with and or by is are was were be as that this these those into its "
-    "their using via vs versus about over under after before during between within without show find me all "
-    "any some studies study datasets dataset data"
-).split()
 QUERY_TERMS = 6
 K1, B = 1.2, 0.75
 
@@ -32,27 +27,41 @@ def tokens(text: Column) -> Column:
 def tokenize(text: Column) -> Column:
     """Query terms: no stopwords, no single letters (but before "cell"), unique, six at most."""
     words = tokens(text)
-    kept = F.filter(words, lambda w, i: ~w.isin(STOPWORDS) & ((F.length(w) > 1) | yes(F.get(words, i + 1).startswith("cell"))))
+    kept = F.filter(words, lambda w, i: ~w.isin(*STOPWORDS) & ((F.length(w) > 1) | yes(F.get(words, i + 1).startswith("cell"))))
     return F.slice(F.array_distinct(kept), 1, QUERY_TERMS)
 
 
+def inverted_index(df: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame:
+    """``key, field, term, tf, length, opens``: terms counted inside each row (all words
+    of a document are in one), so nothing is shuffled. ``opens`` is 2 on one row of each
+    document, 1 on one row of each of its other fields and 0 else: figures of documents
+    and fields need no distinct. ``key`` must tell the rows apart."""
+    parts = F.array(*(F.struct(F.lit(f).alias("field"), F.sort_array(tokens(c)).alias("words")) for f, c in fields.items()))
+    full = F.filter("parts", lambda p: F.size(p["words"]) > 0)
+    rows = df.select(key, parts.alias("parts")).select(key, F.posexplode(full).alias("rank", "p")).select(key, "rank", "p.field", "p.words", F.size("p.words").alias("length"))
+    # equal words lie side by side: where each begins, and how far it is to the next
+    begins = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1)))
+    rows = rows.withColumn("begins", begins)
+    terms = F.transform("begins", lambda at, i: F.struct(F.get("words", at).alias("term"), (F.coalesce(F.get("begins", i + 1), F.col("length")) - at).cast("long").alias("tf")))
+    rows = rows.select(key, "rank", "field", "length", F.posexplode(terms).alias("place", "t"))
+    opens = F.when(F.col("place") > 0, 0).when(F.col("rank") > 0, 1).otherwise(2)
+    return rows.select(key, "field", "t.term", "t.tf", "length", opens.alias("opens"))
+
+
 def postings(df: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame:
-    """``key, field, term, tf, length``: one shuffle-free row per document and term until
-    the count, which is summed map-side first."""
-    parts = F.array(*(F.struct(F.lit(f).alias("field"), tokens(c).alias("words")) for f, c in fields.items()))
-    rows = df.select(key, F.explode(parts).alias("p")).select(key, "p.field", F.size("p.words").alias("length"), F.explode("p.words").alias("term"))
-    return rows.groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    """``key, field, term, tf, length`` of the inverted index."""
+    return inverted_index(df, key, fields).drop("opens")
 
 
-def bm25(index: DataFrame, key: str, terms: Sequence[str], weights: Mapping[str, float], n_docs: int | Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(index: DataFrame, key: str, terms: Sequence[str], weights: Mapping[str, float], k1: float = K1, b: float = B) -> DataFrame:
     """``key, score``: BM25 over fields with weights, summed over terms.
 
-    Corpus figures (documents, mean lengths, frequencies of the few terms asked) are
-    small aggregates of the index.
+    ``index`` is an ``inverted_index``, best a written one: corpus figures (documents,
+    mean lengths, frequencies of the few terms asked) are small aggregates of it.
     """
     hit = index.where(F.col("term").isin(list(terms)))
-    docs = index.select(key).distinct().agg(F.count("*").alias("n"))
-    lengths = index.select(key, "field", "length").distinct().groupBy("field").agg(F.avg("length").alias("mean"))
+    docs = index.where("opens = 2").agg(F.count("*").alias("n"))
+    lengths = index.where("opens > 0").groupBy("field").agg(F.avg("length").alias("mean"))
     df_ = hit.groupBy("term").agg(F.countDistinct(key).alias("df"))
     rows = hit.join(df_, "term").join(lengths, "field").join(docs, F.lit(True))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -74,6 +83,12 @@ def variants(term: Column) -> Column:
     return F.array_distinct(F.filter(forms, lambda x: x.isNotNull()))
 
 
+def known_synonyms(terms: DataFrame) -> DataFrame:
+    """``term, synonym`` of the terms that the fixed list of synonyms has."""
+    table = F.create_map(*(x for term, words in SYNONYMS.items() for x in (F.lit(term), F.array(*map(F.lit, words)))))
+    return terms.select("term", F.explode(F.element_at(table, F.col("term"))).alias("synonym")).where("synonym != term")
+
+
 def expand_terms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     """``term, variant``: inflections and synonyms; the variants of a term are OR-ed."""
     own = terms.select("term", F.explode(variants(F.col("term"))).alias("variant"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwise.functions.ordered import ordered
+
 
 def page_with_totals(df: DataFrame, order: Sequence[Column], page: int, size: int, weight: str) -> DataFrame:
     """One page with the count and weight of the whole result: a one-row aggregate beside
@@ -49,8 +51,7 @@ def prefix_allocation(df: DataFrame, key: str, size: str, cap: int, floor: int)
 
     ``df`` has one row per group. Kept groups are a prefix by size, largest first.
     """
-    order = Window.orderBy(F.desc(size), key)
-    rows = df.select(key, size, F.row_number().over(order).alias("_r"), F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
+    rows = ordered(df.select(key, size), [F.desc(size), F.col(key)], "_r", [(size, "sum", "_s")])
     # the smallest of the first r groups is row r itself
     fits = (F.col("_r") == 1) | (F.col("_s") <= cap) | (F.col(size) * F.lit(cap) / F.col("_s") >= floor)
     last = rows.agg(F.max(F.when(fits, F.col("_r"))).alias("_last"))
@@ -59,7 +60,8 @@ def prefix_allocation(df: DataFrame, key: str, size: str, cap: int, floor: int)
 
 def robust_z(df: DataFrame, key: str, column: str, least: int = 4) -> DataFrame:
     """Log value against the group's median and MAD (x 1.4826, 0.15 when zero), with
-    ``outlier``: z under -4 and below a fifth of the median."""
+    ``outlier``: z under -4 and below a fifth of the median. Medians are exact: the
+    distinct values of a group are counted in one task."""
     rows = df.where(F.col(column) > 0).withColumn("_l", F.log(F.col(column).cast("double")))
     mid = rows.groupBy(key).agg(F.median("_l").alias("_m"), F.median(column).alias("_raw"), F.count("*").alias("_n")).where(F.col("_n") >= least)
     rows = rows.join(mid, key)

@@ -25,13 +25,80 @@ def _(t):
     return K.parse_pairs(pair_text(t), "o_orderkey", "pairs")
 
 
-@query("extract_attrs", f"""
-SELECT o_orderkey, 'age' AS attr, value AS value_raw, lower(value) AS value_norm, 0.7::double AS confidence, evidence FROM {_PAIRS} WHERE attr = 'donor age'
-UNION ALL SELECT o_orderkey, 'sex', value, 'female', 0.95, evidence FROM {_PAIRS} WHERE attr = 'status' AND value = 'F'
-UNION ALL SELECT o_orderkey, 'sex', value, lower(value), 0.7, evidence FROM {_PAIRS} WHERE attr = 'status' AND value <> 'F'""")
+# What a sample says, by its key: pairs of text and what the rules make of it. The
+# expected forms are written out here, not taken from the library's lists.
+_SAYS = {
+    "tissue": ["tissue: Lung", "tissue: whole blood", "organ: Kidney cortex tissue", "tissue: fossil", "tissue type: adjacent normal", "region: R1"],
+    "disease": ["disease state: Healthy donor", "diagnosis: T2D", "disease: Gout", "disease: DM: no; HTN: no", "covid status: negative", "disease: n/a", "disease state: COVID-19 (severe)"],
+    "treatment": ["treatment: untreated", "agent: PBS", "drug: 10 nM Drug", "treatment: sham", "treatment: saline"],
+    "sex": ["Sex: M", "gender: woman", "sex: both", "sex: hermaphrodite"],
+    "ancestry": ["race: European", "ethnicity: Han Chinese", "ancestry: Martian"],
+}
+_READS = {
+    "tissue": [("tissue", "lung", 0.95), ("tissue", "blood", 0.95), ("tissue", "kidney cortex", 0.95), ("tissue", "fossil", 0.7), ("disease_state", "control", 0.95), None],
+    "disease": [("disease", "healthy", 0.95), ("disease", "type 2 diabetes", 0.95), ("disease", "Gout", 0.7), ("disease", "healthy", 0.95), ("disease", "healthy", 0.95), None, ("disease", "covid-19", 0.95)],
+    "treatment": [("treatment", "none", 0.95), ("treatment", "PBS", 0.95), ("treatment", "10 nM Drug", 0.7), ("treatment", "sham", 0.95), ("treatment", "saline", 0.95)],
+    "sex": [("sex", "male", 0.95), ("sex", "female", 0.95), ("sex", "mixed", 0.95), None],
+    "ancestry": [("ancestry", "white", 0.95), ("ancestry", "asian", 0.95), ("ancestry", "Martian", 0.7)],
+}
+_STATUS = ["untreated", "vehicle", "treated", "vehicle", "vehicle"]
+
+
+def stated(t: Tables):
+    """Orders as samples, each with a pair of every group and two that no rule reads."""
+    pick = lambda texts: F.element_at(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % len(texts) + 1).cast("int"))
+    text = F.concat_ws(" ;; ", *(pick(texts) for texts in _SAYS.values()), F.lit("smoker: yes"), F.lit("batch: 7"), F.lit("sex: F"))
+    return K.parse_pairs(t.orders.select("o_orderkey", text.alias("pairs")), "o_orderkey", "pairs")
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + str(v).replace("'", "''") + "'" for v in values) + "]"
+
+
+def _stated_sql() -> str:
+    """Facts as SQL: one branch per group; a second statement of sex counts where the
+    first has no form, and the state of a disease where no tissue told it before."""
+    parts = []
+    for group, texts in _SAYS.items():
+        n, reads = len(texts), _READS[group]
+        value = _sql_list([x.split(": ", 1)[1] for x in texts])
+        at = f"[o_orderkey % {n} + 1]"
+        parts.append(
+            f"SELECT o_orderkey, {_sql_list([r and r[0] for r in reads])}{at} AS attr, {value}{at} AS value_raw, {_sql_list([r and r[1] for r in reads])}{at} AS value_norm, "
+            f"({_sql_list([r and r[2] for r in reads])}{at})::double AS confidence, {_sql_list(texts)}{at} AS evidence FROM orders"
+        )
+    d = _SAYS["disease"]
+    value, text = _sql_list([x.split(": ", 1)[1] for x in d]), _sql_list(d)
+    states = _sql_list([None if r is None else "control" if r[1] == "healthy" else "case" for r in _READS["disease"]])
+    sure = _sql_list([None if r is None else 0.9 if r[2] > 0.9 else 0.6 for r in _READS["disease"]])
+    at = f"[o_orderkey % {len(d)} + 1]"
+    parts.append(f"SELECT o_orderkey, CASE WHEN {states}{at} IS NOT NULL THEN 'disease_state' END, {value}{at}, {states}{at}, ({sure}{at})::double, {text}{at} FROM orders WHERE o_orderkey % 6 <> 4")
+    t = _SAYS["treatment"]
+    at = f"[o_orderkey % {len(t)} + 1]"
+    parts.append(f"SELECT o_orderkey, 'treatment_status', {_sql_list([x.split(': ', 1)[1] for x in t])}{at}, {_sql_list(_STATUS)}{at}, CASE WHEN o_orderkey % 5 = 2 THEN 0.7 ELSE 0.95 END::double, {_sql_list(t)}{at} FROM orders")
+    parts.append("SELECT o_orderkey, 'sex', 'F', 'female', 0.95::double, 'sex: F' FROM orders WHERE o_orderkey % 4 = 3")
+    return "SELECT o_orderkey, attr, value_raw, value_norm, confidence, evidence FROM (" + " UNION ALL ".join(parts) + ") WHERE attr IS NOT NULL"
+
+
+@query("extract_attrs", _stated_sql())
 def _(t):
-    pairs = K.parse_pairs(pair_text(t), "o_orderkey", "pairs")
-    return K.extract_attrs(pairs, "o_orderkey", [("age$", "age"), ("^status$", "sex")])
+    return K.extract_attrs(stated(t), "o_orderkey").select("o_orderkey", "attr", "value_raw", "value_norm", "confidence", "evidence")
+
+
+@query("unplaced_values", """
+SELECT o_orderkey, 'tissue' AS attr, 'tissue' AS pair_key, 'fossil' AS value_raw, 'tissue: fossil' AS evidence FROM orders WHERE o_orderkey % 6 = 3
+UNION ALL SELECT o_orderkey, 'tissue', 'region', 'R1', 'region: R1' FROM orders WHERE o_orderkey % 6 = 5
+UNION ALL SELECT o_orderkey, 'disease', 'disease', 'Gout', 'disease: Gout' FROM orders WHERE o_orderkey % 7 = 2
+UNION ALL SELECT o_orderkey, 'treatment', 'drug', '10 nM Drug', 'drug: 10 nM Drug' FROM orders WHERE o_orderkey % 5 = 2
+UNION ALL SELECT o_orderkey, 'sex', 'sex', 'hermaphrodite', 'sex: hermaphrodite' FROM orders WHERE o_orderkey % 4 = 3
+UNION ALL SELECT o_orderkey, 'ancestry', 'ancestry', 'Martian', 'ancestry: Martian' FROM orders WHERE o_orderkey % 3 = 2""")
+def _(t):
+    return K.unplaced_values(stated(t), "o_orderkey")
+
+
+@query("unmapped_pairs", "SELECT o_orderkey, 'smoker' AS pair_key, 'yes' AS value_raw, 'smoker: yes' AS evidence FROM orders")
+def _(t):
+    return K.unmapped_pairs(stated(t), "o_orderkey")
 
 
 _FORMS = ["{n} years", "{n}-99 weeks", "E{n}", "P{n}", "{n}", "{n} years 6 months", "about {n} mo", "x{n}"]
@@ -74,38 +141,76 @@ def _(t):
     return ages(t).select("p_partkey", F.round(years, 6).alias("years"), K.life_stage(years).alias("stage"))
 
 
-def _lexicon(name, values):
-    """Query and SQL of one lexicon over made-up spellings of a part's key."""
+def _lexicon(name, norm, values):
+    """Query and SQL of one list over spellings picked by a part's key; the expected forms
+    are written out beside them."""
     asked = [v for v, _, _ in values]
+    at = f"[p_partkey % {len(values)} + 1]"
+    flags = ", ".join("NULL" if p is None else str(p).lower() for _, _, p in values)
 
-    @query(f"norm_{name}", f"SELECT p_partkey, [{', '.join('NULL' if n is None else repr(n) for _, n, _ in values)}][p_partkey % {len(values)} + 1] AS norm, [{', '.join('NULL' if p is None else str(p).lower() for _, _, p in values)}][p_partkey % {len(values)} + 1] AS placed FROM part")
+    @query(f"norm_{name}", f"SELECT p_partkey, {_sql_list([n for _, n, _ in values])}{at} AS norm, [{flags}]{at} AS placed FROM part")
     def _(t):
         text = F.element_at(F.array(*map(F.lit, asked)), (F.col("p_partkey") % len(values) + 1).cast("int"))
-        return t.part.select("p_partkey", K.normalise(text, name).alias("x")).select("p_partkey", "x.norm", "x.placed")
-
-
-_lexicon("sex", [(" Female ", "female", True), ("xy", "male", True), ("N/A", None, None), ("both", "mixed", True), ("Hermaphrodite", "hermaphrodite", False)])
-_lexicon("treatment", [("DMSO", "DMSO", True), ("untreated", "none", True), ("10 nM  Drug", "10 nm drug", False)])
-_lexicon("ancestry", [("White", "european", True), ("Korean", "east asian", True), ("unknown", None, None)])
-_lexicon("disease", [("DM: no; HTN: none", "healthy", True), ("COVID-19", "covid-19", True), ("Gout", "gout", False), ("Control", "healthy", True)])
-_lexicon("sample_type", [("Biopsy", "primary tissue", True), ("organoids", "organoid", True), ("swab", "swab", False)])
+        return t.part.select("p_partkey", norm(text).alias("x")).select("p_partkey", "x.norm", "x.placed")
+
+
+_lexicon("sex", K.norm_sex, [(" Female ", "female", True), ("xy", "male", True), ("N/A", None, None), ("both", "mixed", True), ("♀", "female", True), ("male, female", "mixed", True), ("Hermaphrodite", None, False)])
+_lexicon("treatment", K.norm_treatment, [("DMSO", "DMSO", True), ("untreated", "none", True), ("10 nM  Drug", "10 nM Drug", False), ("Sham", "sham", True), ("saline", "saline", True), ("placebo.", "placebo", True), ("naïve", "none", True), ("Mock-infected", "mock-infected", True)])
+_lexicon("ancestry", K.norm_ancestry, [("White", "white", True), ("European", "white", True), ("Korean", "asian", True), ("Han Chinese", "asian", True), ("African American", "black or african american", True), ("unknown", None, None), ("Latino", "hispanic or latino", True), ("Inuit", "Inuit", False)])
+_lexicon("disease", K.norm_disease, [("DM: no; HTN: none", "healthy", True), ("COVID-19", "covid-19", True), ("Gout", "Gout", False), ("Control", "healthy", True), ("Alzheimers disease (AD)", "alzheimer's disease", True), ("SLE", "systemic lupus erythematosus", True), ("PDAC", "pancreatic cancer", True), ("not reported", None, None), ("DM: no; HTN: yes", "DM: no; HTN: yes", False)])
+_lexicon("sample_type", K.norm_sample_type, [("Biopsy", "primary tissue", True), ("organoids", "organoid", True), ("swab", "swab", False), ("patient-derived xenograft", "pdx", True), ("Tumour", None, None), ("iPSC-derived", "ipsc derived", True)])
+
+
+_TYPED = [
+    # pairs, tissue type, kind, tumour sample type, line
+    ("tissue: Lung;; age: 55", "tissue", "primary", None, None),
+    ("cell line: K562;; tissue: bone marrow", "cell line", "cell_line", None, "CVCL_0004"),
+    ("cell line: H9;; cell type: neurons", "cell line", "stem_cell", None, "CVCL_9773"),
+    ("cell line: H9;; tissue: cerebral organoid", "organoid", "organoid", None, "CVCL_9773"),
+    ("tissue: tumor;; cell line: K562;; cell type: CD45+", "tissue", None, "tumor", "CVCL_0004"),
+    ("cell line: K562;; cell type: leukemia tumor cell line", "cell line", "cell_line", None, "CVCL_0004"),
+    ("tissue: esophagus;; cell line: H9;; organoid: HEO", "organoid", "organoid", None, "CVCL_9773"),
+    ("cell line: C57BL/6;; tissue: spleen", "tissue", "primary", None, None),
+    ("tissue: tumor;; group: O-PDX", "tissue", "xenograft", "tumor", None),
+    ("cell type: cultured fibroblasts;; tissue: skin", "primary cell culture", "primary", None, None),
+    ("tissue: lung;; treatment: culture medium", None, None, None, None),
+    ("tissue: liver;; tissue type: adjacent normal tissue", "tissue", "primary", "adjacent normal", None),
+    ("tissue: liver;; tissue type: metastasis", "tissue", "primary", "metastatic", None),
+    ("tissue: liver;; tissue type: pre-metastatic liver", "tissue", "primary", None, None),
+    ("organism: Homo sapiens;; time: 6h", None, None, None, None),
+    ("cell type: iPSC-derived neurons", "cell line", "stem_cell", None, None),
+]
+_LINES = [("k562", "CVCL_0004", "Cancer cell line"), ("h9", "CVCL_9773", "Embryonic stem cell"), ("c57bl/6", "CVCL_C0MU", "Transformed cell line")]
 
 
 def typed_pairs(t: Tables):
-    source = F.element_at(F.array(*map(F.lit, ["lung organoid", "HeLa cell line", "skin biopsy tumor", "ipsc culture", "soup"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    state = F.element_at(F.array(*map(F.lit, ["healthy donor", "severe asthma patient", "Gout"])), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    rows = t.orders.select("o_orderkey", F.concat(F.lit("source name: "), source, F.lit(" ;; disease state: "), state).alias("pairs"))
-    return K.parse_pairs(rows, "o_orderkey", "pairs")
+    text = F.element_at(F.array(*(F.lit(p) for p, *_ in _TYPED)), (F.col("o_orderkey") % len(_TYPED) + 1).cast("int"))
+    return K.parse_pairs(t.orders.select("o_orderkey", text.alias("pairs")), "o_orderkey", "pairs")
 
 
-@query("classify_sample_type", "SELECT o_orderkey, ['organoid', 'cell line', 'tissue', 'stem-derived', 'unknown'][o_orderkey % 5 + 1] AS sample_type, o_orderkey % 5 = 2 AS tumor FROM orders")
+@query("classify_sample_type", "SELECT o_orderkey, " + ", ".join(f"{_sql_list([row[i] for row in _TYPED])}[o_orderkey % {len(_TYPED)} + 1] AS {name}" for i, name in ((1, "tissue_type"), (2, "sample_kind"), (3, "tumor_sample_type"), (4, "cell_line"))) + " FROM orders")
 def _(t):
-    return K.classify_sample_type(typed_pairs(t), "o_orderkey")
+    lines = t.spark.createDataFrame(_LINES, "name string, accession string, category string")
+    return K.classify_sample_type(typed_pairs(t), "o_orderkey", lines).drop("evidence")
+
+
+_ILL = [
+    ("disease state: Healthy donor", "healthy", "healthy donor", 0.95),
+    ("group: healthy controls", "healthy", "healthy controls", 0.95),
+    ("disease state: control", "healthy", "control", 0.85),
+    ("group: control", None, None, None),
+    ("subject status: Parkinson's disease (PD) patient", "disease", "parkinson's disease", 0.9),
+    ("disease state: severe COVID-19", "disease", "covid-19", 0.9),
+    ("group: late;; diagnosis: asthma patients", "disease", "asthma", 0.9),
+    ("treatment: cisplatin", None, None, None),
+]
 
 
-@query("disease_candidate", "SELECT o_orderkey, ['healthy', 'asthma', 'gout'][o_orderkey % 3 + 1] AS disease FROM orders")
+@query("disease_candidate", "SELECT * FROM (SELECT o_orderkey, " + ", ".join(f"{_sql_list([row[i] for row in _ILL])}[o_orderkey % {len(_ILL)} + 1]{cast} AS {name}" for i, name, cast in ((1, "kind", ""), (2, "disease", ""), (3, "confidence", "::double"))) + " FROM orders) WHERE kind IS NOT NULL")
 def _(t):
-    return K.disease_candidate(typed_pairs(t), "o_orderkey")
+    text = F.element_at(F.array(*(F.lit(p) for p, *_ in _ILL)), (F.col("o_orderkey") % len(_ILL) + 1).cast("int"))
+    pairs = K.parse_pairs(t.orders.select("o_orderkey", text.alias("pairs")), "o_orderkey", "pairs")
+    return K.disease_candidate(pairs, "o_orderkey", F.lit(True))
 
 
 @query("evidence_holds", r"SELECT doc_id, contains(trim(regexp_replace(text, '\s+', ' ', 'g')), 'the the') AS holds FROM documents")

@@ -80,13 +80,13 @@ def _(t):
 
 
 @query("unique_tier_lookup", """
-WITH l AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS value, p_brand AS term_id, CASE WHEN p_size > 45 THEN 0 ELSE 1 END AS tier FROM part WHERE p_size > 43),
+WITH l AS (SELECT DISTINCT p_name || ' ' || p_size AS value, p_brand AS term_id, p_partkey % 3 AS tier FROM part WHERE p_partkey % 4 <> 0),
 b AS (SELECT *, min(tier) OVER (PARTITION BY value) AS best FROM l)
 SELECT value, min(term_id) AS term_id, tier FROM b WHERE tier = best GROUP BY value, tier HAVING count(*) = 1""")
 def _(t):
-    first = F.element_at(F.split("p_name", " "), 1)
-    known = t.part.where("p_size > 43").select(first.alias("name"), F.col("p_brand").alias("term_id"), F.when(F.col("p_size") > 45, 0).otherwise(1).alias("tier"))
-    return J.unique_tier_lookup(t.part.select(first.alias("value")), known)
+    name = F.concat_ws(" ", "p_name", "p_size")
+    known = t.part.where("p_partkey % 4 != 0").select(name.alias("name"), F.col("p_brand").alias("term_id"), (F.col("p_partkey") % 3).alias("tier"))
+    return J.unique_tier_lookup(t.part.select(name.alias("value")), known)
 
 
 BANDS = [(1, 0.0, 100000.0), (2, 50000.0, 150000.0), (3, 50000.0, 60000.0), (4, 120000.0, None), (5, 130000.0, 150000.0), (6, 130000.0, 150000.0)]
@@ -148,10 +148,12 @@ def _(t):
 
 
 @query("orphans", """
-SELECT 'child' AS side, o_custkey AS key FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))
-UNION ALL SELECT 'parent', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+WITH o AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_custkey % 5 <> 0), c AS (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)
+SELECT 'child' AS side, o_custkey AS key FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM c)
+UNION ALL SELECT 'parent', c_custkey FROM c WHERE c_custkey NOT IN (SELECT o_custkey FROM o)""")
 def _(t):
-    return J.orphans(t.orders, t.customer, "o_custkey", "c_custkey")
+    orders = t.orders.where("o_orderpriority != '1-URGENT' and o_custkey % 5 != 0")
+    return J.orphans(orders, t.customer.where("c_custkey % 7 != 0"), "o_custkey", "c_custkey")
 
 
 @query("gene_space_map", """

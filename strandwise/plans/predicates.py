@@ -103,9 +103,9 @@ def _(t):
 
 
 @query("text_accessions", """
-SELECT DISTINCT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '((?:sk|AK|item|page|ID)[0-9]{1,})', 1)) AS accession FROM documents""")
+SELECT DISTINCT doc_id, upper(unnest(regexp_extract_all(coalesce(text, ''), '(?i)\\b((?:mail|be|cf)[0-9]{1,})\\b', 1))) AS accession FROM documents""")
 def _(t):
-    return P.text_accessions(t.documents, "doc_id", "text", ["sk", "AK", "item", "page", "ID"])
+    return P.text_accessions(t.documents, "doc_id", "text", ["mail", "be", "cf"])
 
 
 @query("min_weight", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 123456")

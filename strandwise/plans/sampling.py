@@ -40,7 +40,19 @@ def _(t):
 _SIZES = "(SELECT o_custkey, count(*) AS size FROM orders GROUP BY 1)"
 
 
-@query("allocate")
+def allocate_sql(cap: int, floor: int) -> str:
+    """CTEs of the allocation over orders per customer; ``g`` is the result."""
+    return f"""
+b AS (SELECT o_custkey, size, '7|' || o_custkey AS x FROM {_SIZES}),
+s(k, x, i, h) AS (SELECT o_custkey, x, 0, 2166136261::hugeint FROM b UNION ALL SELECT k, x, i + 1, xor(h::bigint, ascii(x[i + 1]))::hugeint * 16777619 % 4294967296 FROM s WHERE i < length(x)),
+o AS (SELECT o_custkey, size, h::bigint AS t, row_number() OVER w AS r, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM b JOIN s ON k = o_custkey AND i = length(s.x) WINDOW w AS (ORDER BY size DESC, h DESC, o_custkey DESC)),
+l AS (SELECT *, r <= (SELECT max(r) FROM o WHERE r = 1 OR total <= {cap} OR size * {cap}.0::double / total >= {floor}) AS live FROM o),
+q AS (SELECT *, (SELECT sum(size) FROM l WHERE live) AS rest, CASE WHEN live THEN size * {cap}.0::double / (SELECT sum(size) FROM l WHERE live) ELSE -1.0 END AS q FROM l),
+u AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN live THEN q - floor(q) ELSE -1.0 END DESC, t, o_custkey) AS turn, {cap} - (SELECT sum(floor(q)) FROM q WHERE live) AS open FROM q),
+g AS (SELECT o_custkey, size, CASE WHEN NOT live THEN 0 WHEN rest <= {cap} THEN size ELSE least(size, floor(q) + CASE WHEN turn <= open THEN 1 ELSE 0 END) END::bigint AS keep FROM u)"""
+
+
+@query("allocate", f"WITH RECURSIVE {allocate_sql(3000, 2)} SELECT o_custkey, size, keep FROM g")
 def _(t):
     return M.allocate(t.orders.groupBy("o_custkey").agg(F.count("*").alias("size")), "o_custkey", "size", 3000, "7", 2)
 
@@ -60,7 +72,10 @@ def _(t):
     return M.select_positions(groups, "o_custkey", "n", "k", "7")
 
 
-@query("downsample")
+@query("downsample", f"""
+WITH RECURSIVE {allocate_sql(3000, 1)}, h AS (SELECT o_custkey, o_orderkey, {hash_sql(7, 'o_custkey', 'o_orderkey')} AS place FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY place, o_orderkey) AS r FROM h)
+SELECT o_custkey, o_orderkey FROM n JOIN g USING (o_custkey) WHERE r <= keep""")
 def _(t):
     order = [hash32(7, F.col("o_custkey"), F.col("o_orderkey")), F.col("o_orderkey")]
     return M.downsample(t.orders, "o_custkey", order, 3000, 7, 1).select("o_custkey", "o_orderkey")
@@ -172,10 +187,79 @@ def _(t):
     return O.traffic_series(t.events, "day")
 
 
-@query("top_pages", """
-SELECT event_type, sum(CASE WHEN event_type = 'view' THEN 1 + user_id % 3 ELSE 0 END)::bigint AS views, count(DISTINCT user_id) AS visitors, round(avg(value) FILTER (WHERE event_type <> 'view'), 4) AS mean_scroll FROM events GROUP BY 1 ORDER BY views DESC, event_type LIMIT 25""")
+def visits(t: Tables):
+    """Events as cleaned page views, with the columns that reports group by."""
+    u, i = F.col("user_id"), F.col("event_id")
+    agent = F.element_at(F.array(*map(F.lit, _AGENTS)), (u % 6 + 1).cast("int"))
+    rows = t.events.select(
+        F.when(F.col("event_type") == "error", "leave").otherwise("view").alias("event"),
+        F.concat(F.lit("/"), "event_type", F.lit("/"), (i % 7).cast("string")).alias("path"),
+        F.concat_ws("|", u, F.to_date("ts")).alias("session_id"),
+        u.alias("visitor_id"),
+        F.when(u % 3 == 0, "").otherwise(F.concat(F.lit("site"), (u % 5).cast("string"))).alias("referrer"),
+        F.when(u % 2 == 0, "news").otherwise("").alias("utm_source"),
+        F.when(u % 4 == 0, "mail").otherwise("").alias("utm_medium"),
+        F.concat(F.lit("c"), (u % 3).cast("string")).alias("utm_campaign"),
+        F.concat(F.lit("C"), (u % 40).cast("string")).alias("country"),
+        (i % 3 == 0).alias("landing"),
+        (1 + u % 3).alias("weight"),
+        F.floor(F.col("value") * 1000).cast("long").alias("visible_ms"),
+        F.col("value").alias("scroll_pct"),
+        agent.alias("agent"),
+        F.lit(None).cast("double").alias("width"),
+    )
+    return O.describe_agent(rows, "agent", "width")
+
+
+_VISITS = """v AS (SELECT CASE WHEN event_type = 'error' THEN 'leave' ELSE 'view' END AS event, '/' || event_type || '/' || event_id % 7 AS path, user_id || '|' || ts::date AS session_id, user_id AS visitor_id,
+  CASE WHEN user_id % 3 = 0 THEN '' ELSE 'site' || user_id % 5 END AS referrer, CASE WHEN user_id % 2 = 0 THEN 'news' ELSE '' END AS utm_source, CASE WHEN user_id % 4 = 0 THEN 'mail' ELSE '' END AS utm_medium,
+  'c' || user_id % 3 AS utm_campaign, 'C' || user_id % 40 AS country, event_id % 3 = 0 AS landing, 1 + user_id % 3 AS weight, floor(value * 1000)::bigint AS visible_ms, value AS scroll_pct,
+  ['desktop', 'mobile', 'desktop', 'desktop', 'desktop', 'desktop'][user_id % 6 + 1] AS device, ['Chrome', 'Safari', 'Firefox', 'Other', 'Other', 'Edge'][user_id % 6 + 1] AS browser FROM events)"""
+
+
+@query("top_pages", f"""
+WITH {_VISITS} SELECT path, coalesce(sum(weight) FILTER (WHERE event = 'view'), 0)::bigint AS views, count(DISTINCT visitor_id) AS visitors, coalesce(sum(visible_ms * weight) FILTER (WHERE event = 'leave'), 0)::bigint AS visible_ms,
+  round(avg(scroll_pct) FILTER (WHERE event = 'leave'), 4) AS scroll FROM v GROUP BY 1 ORDER BY views DESC, path LIMIT 50""")
+def _(t):
+    return O.top_pages(visits(t))
+
+
+def _sessions_sql(by: str, extra: str = "") -> str:
+    return f"WITH {_VISITS} SELECT {by}, count(DISTINCT session_id) AS sessions, count(DISTINCT visitor_id) AS visitors FROM v WHERE event = 'view' AND landing {extra} GROUP BY {by} ORDER BY sessions DESC, {by} LIMIT 25"
+
+
+def _visitors_sql(by: str) -> str:
+    return f"WITH {_VISITS} SELECT {by}, count(DISTINCT visitor_id) AS visitors, coalesce(sum(weight) FILTER (WHERE event = 'view'), 0)::bigint AS views FROM v GROUP BY 1 ORDER BY visitors DESC, {by} LIMIT 25"
+
+
+@query("landing", _sessions_sql("path"))
+def _(t):
+    return O.landing(visits(t))
+
+
+@query("referrers", _sessions_sql("referrer"))
+def _(t):
+    return O.referrers(visits(t))
+
+
+@query("campaigns", _sessions_sql("utm_source, utm_medium, utm_campaign", "AND utm_source <> ''"))
+def _(t):
+    return O.campaigns(visits(t))
+
+
+@query("by_country", _visitors_sql("country"))
+def _(t):
+    return O.by_country(visits(t))
+
+
+@query("by_device", _visitors_sql("device"))
+def _(t):
+    return O.by_device(visits(t))
+
+
+@query("by_browser", _visitors_sql("browser"))
 def _(t):
-    return O.top_report(t.events, ["event_type"], F.lit(1) + F.col("user_id") % 3)
+    return O.by_browser(visits(t))
 
 
 @query("rate_window", """
@@ -221,10 +305,10 @@ def _(t):
 
 @query("thin_series", f"""
 WITH a AS (SELECT event_id, ts - to_days((event_id % 400)::int) AS t FROM events), b AS (SELECT *, epoch(TIMESTAMP '{NOW}')::bigint - floor(epoch(t))::bigint AS age FROM a)
-SELECT event_id, t FROM b WHERE CASE WHEN age > 365 * 86400 THEN false WHEN age <= 7 * 86400 THEN true WHEN age <= 60 * 86400 THEN minute(t) < 30 ELSE minute(t) < 30 AND hour(t) % 6 = 0 END""")
+SELECT event_id, t FROM b WHERE CASE WHEN age > 365 * 86400 THEN false WHEN age <= 7 * 86400 THEN true WHEN age <= 60 * 86400 THEN minute(t) < 30 ELSE minute(t) < 30 AND hour(t) % 6 = 0 END ORDER BY t DESC, event_id LIMIT 6000""")
 def _(t):
     at = F.col("ts") - F.make_dt_interval((F.col("event_id") % 400).cast("int"))
-    return O.thin_series(t.events.select("event_id", at.alias("t")), "t", now(), 10**6)
+    return O.thin_series(t.events.select("event_id", at.alias("t")), "t", now(), tie=["event_id"])
 
 
 @query("trailing_range", f"SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY")

@@ -3,10 +3,9 @@ read files read what Spark has written before from a given table, in the shared
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from strandwise.functions import staging
 from strandwise.sources import tables as A
 from strandwise.streaming import events as S
 
@@ -15,12 +14,7 @@ from .registry import Tables, query
 
 def scratch(t: Tables, name: str) -> str:
     """A new folder that driver and executors share."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="strandwise-")
-    return f"{base.rstrip('/')}/strandwise-{uuid.uuid4().hex}-{name}"
+    return staging.scratch(t.spark, name)
 
 
 @query("read_rows", "SELECT n_nationkey, n_name FROM nation")
@@ -97,6 +91,19 @@ def _(t):
     return A.export_triples(t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")), "p_brand", "l_suppkey", "l_quantity")
 
 
+@query("export_features", """
+SELECT row_number() OVER (ORDER BY p_brand) AS i, p_brand AS id, symbol, 'Gene Expression' AS kind FROM (SELECT p_brand, min(p_name) AS symbol FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)""")
+def _(t):
+    return A.export_features(t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")), "p_brand", F.col("p_name"))
+
+
+@query("export_cells", """
+SELECT row_number() OVER (ORDER BY s_suppkey)::int AS j, s_suppkey::varchar AS cell, s_name, 'a|b' AS labels FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)""")
+def _(t):
+    cells = t.lineitem.select(F.col("l_suppkey").alias("s_suppkey")).distinct().join(t.supplier.select("s_suppkey", "s_name"), "s_suppkey")
+    return A.export_cells(cells.withColumn("labels", F.array(F.lit("a"), F.lit("b"))), "s_suppkey", ["s_name", "labels"])
+
+
 @query("flat_sample_table", """
 SELECT o_orderkey, o_custkey, tier, c_mktsegment, CASE WHEN tier = 2 THEN 'removed' WHEN o_totalprice < 20000 THEN 'small' ELSE 'ok' END AS gate
 FROM (SELECT *, CASE WHEN o_orderkey % 31 = 0 THEN 2 WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS tier FROM orders) LEFT JOIN customer ON c_custkey = o_custkey""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandwise.functions.staging import stage
 from strandwise.operators import text as J
 
 from .registry import Tables, query
@@ -26,7 +27,7 @@ def tok(c):
 
 
 def index(t: Tables):
-    return J.postings(t.documents, "doc_id", {"title": title(), "body": body()})
+    return J.inverted_index(t.documents, "doc_id", {"title": title(), "body": body()})
 
 
 _INDEX = f"""p AS (SELECT doc_id, field, unnest(ws) AS term, len(ws) AS length FROM (SELECT doc_id, 'title' AS field, {tok('title')} AS ws FROM {_D} UNION ALL SELECT doc_id, 'body', {tok('body')} FROM {_D})),
@@ -45,7 +46,7 @@ def _(t):
 
 @query("postings", f"WITH {_INDEX} SELECT doc_id, field, term, tf, length FROM i")
 def _(t):
-    return index(t)
+    return J.postings(t.documents, "doc_id", {"title": title(), "body": body()})
 
 
 TERMS = ["the", "que", "idiot", "chung"]
@@ -55,7 +56,7 @@ bm AS (SELECT doc_id, sum(round((CASE field WHEN 'title' THEN 3.0::double ELSE 1
 
 
 def scores(t: Tables):
-    return J.bm25(index(t), "doc_id", TERMS, {"title": 3.0, "body": 1.0})
+    return J.bm25(stage(index(t), "index"), "doc_id", TERMS, {"title": 3.0, "body": 1.0})
 
 
 @query("bm25", f"{_BM} SELECT doc_id, round(score, 4) AS score FROM bm")
@@ -66,13 +67,25 @@ def _(t):
 SYNONYMS = [("idiot", "moron"), ("idiot", "clown"), ("trash", "scum")]
 
 
-@query("expand_terms", """
-SELECT * FROM (VALUES ('idiot', 'idiot'), ('idiot', 'idiots'), ('idiot', 'moron'), ('idiot', 'clown'), ('trash', 'trash'), ('trash', 'trashs'), ('trash', 'scum'), ('bodies', 'bodies'), ('bodies', 'body'), ('bodies', 'bodie')) v(term, variant)""")
+@query("expand_terms", f"""
+WITH w AS (SELECT DISTINCT unnest({tok('text')}) AS term FROM documents),
+s AS (SELECT * FROM (VALUES ('idiot', 'moron'), ('idiot', 'clown'), ('trash', 'scum')) s(term, variant))
+SELECT term, term AS variant FROM w UNION SELECT term, regexp_replace(term, 'ies$', 'y') FROM w WHERE term LIKE '%ies' UNION SELECT term, regexp_replace(term, 's$', '') FROM w WHERE term LIKE '%s' AND term NOT LIKE '%ss'
+UNION SELECT term, term || 's' FROM w WHERE term NOT LIKE '%s' UNION SELECT w.term, variant FROM w JOIN s USING (term)""")
 def _(t):
-    terms = t.spark.createDataFrame([("idiot",), ("trash",), ("bodies",)], "term string")
+    terms = t.documents.select(F.explode(J.tokens(F.col("text"))).alias("term")).distinct()
     return J.expand_terms(terms, t.spark.createDataFrame(SYNONYMS, "term string, synonym string"))
 
 
+@query("known_synonyms", """
+WITH w AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'tumor' WHEN 1 THEN 'old' WHEN 2 THEN p_name ELSE 'pdx' END AS term FROM part)
+SELECT p_partkey, term, unnest(CASE term WHEN 'tumor' THEN ['tumour', 'tumors', 'tumours'] WHEN 'old' THEN ['aged', 'aging', 'ageing'] WHEN 'pdx' THEN ['xenograft'] ELSE [] END) AS synonym FROM w""")
+def _(t):
+    k = F.col("p_partkey") % 4
+    rows = t.part.select("p_partkey", F.when(k == 0, "tumor").when(k == 1, "old").when(k == 2, F.col("p_name")).otherwise("pdx").alias("term"))
+    return rows.join(J.known_synonyms(rows.select("term").distinct()), "term").select("p_partkey", "term", "synonym")
+
+
 @query("expanded_hits", f"WITH {_INDEX} SELECT DISTINCT doc_id FROM i WHERE term IN ('idiot', 'idiots', 'moron', 'clown')")
 def _(t):
     terms = J.expand_terms(t.spark.createDataFrame([("idiot",)], "term string"), t.spark.createDataFrame(SYNONYMS, "term string, synonym string"))
@@ -161,7 +174,18 @@ def _(t):
     return J.filter_matches(groups, "o_custkey", {"priorities": ["1-URGENT", "2-HIGH"], "statuses": ["P"]})
 
 
-@query("unclassified")
+_MENTION = r"(?is)^((?:.*?[^\p{L}\p{N}])??)(?:que|chung|thing)"
+_AT = "length(regexp_extract({c}, '" + _MENTION + "', 1)) + 1"
+
+
+def _snippet(c: str) -> str:
+    at = _AT.replace("{c}", c)
+    return f"substr({c}, greatest({at} - 50, 1), least({at} - 1, 50) + 50)"
+
+
+@query("unclassified", f"""
+WITH r AS (SELECT d.doc_id, title, body, regexp_matches(title, '{_MENTION}') AS t, regexp_matches(body, '{_MENTION}') AS b FROM {_D} d LEFT JOIN labels USING (doc_id) WHERE quality IS NULL)
+SELECT doc_id, CASE WHEN t THEN 0 ELSE 1 END AS rank, CASE WHEN t THEN 'title' ELSE 'body' END AS field, CASE WHEN t THEN {_snippet('title')} ELSE {_snippet('body')} END AS snippet FROM r WHERE t OR b""")
 def _(t):
     rows = t.documents.join(t.labels.select("doc_id", "quality"), "doc_id", "left")
     return J.unclassified(rows, "doc_id", F.col("quality"), {"title": title(), "body": body()}, ["que", "chung", "thing"])

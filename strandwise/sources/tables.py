@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandwise.functions.ordered import ordered
+
 
 def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of files that hold a JSON array of rows or of envelopes
@@ -89,15 +91,32 @@ def write_delimited(df: DataFrame, path: str, separator: str = "\t", multi: str
     delimited(df, multi).write.option("header", "true").option("sep", separator).csv(path)
 
 
-def export_triples(long: DataFrame, row: str, column: str, value: str) -> DataFrame:
-    """1-based coordinate triples ``i, j, value`` of a long table, repeats summed.
+def places(names: DataFrame, name: str, place: str) -> DataFrame:
+    """Distinct names with their places from 1 in order, ranked range by range."""
+    return ordered(names.where(F.col(name).isNotNull()).select(name).distinct(), [F.col(name)], place)
+
+
+def export_features(rows: DataFrame, row: str, symbol: Column) -> DataFrame:
+    """``i, id, symbol, kind``: the feature table that belongs to the triples' rows; a
+    feature without a symbol shows its id. Of several symbols the smallest is shown."""
+    symbols = rows.groupBy(row).agg(F.min(symbol).alias("symbol"))
+    named = places(symbols, row, "i").join(symbols, row)
+    return named.select("i", F.col(row).alias("id"), F.coalesce(F.nullif(F.col("symbol"), F.lit("")), F.col(row).cast("string")).alias("symbol"), F.lit("Gene Expression").alias("kind"))
+
 
-    Places come from the distinct names, one small row each, not from a window over the
-    triples.
-    """
+def export_cells(cells: DataFrame, column: str, attributes: Sequence[str]) -> DataFrame:
+    """``j, cell`` and attributes as clean text: the cell table that belongs to the
+    triples' columns, one row per cell."""
+    one = cells.dropDuplicates([column]).select(column, *attributes)
+    named = places(one, column, "j").join(one, column)
+    return delimited(named.select("j", F.col(column).alias("cell"), *attributes)).withColumn("j", F.col("j").cast("int"))
+
+
+def export_triples(long: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """1-based coordinate triples ``i, j, value`` of a long table, repeats summed. Places
+    are those of ``export_features`` and ``export_cells`` over the same rows."""
     sums = long.groupBy(row, column).agg(F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("value"))
-    place = lambda c, name: sums.select(c).distinct().withColumn(name, F.row_number().over(Window.orderBy(c)))
-    return sums.join(place(row, "i"), row).join(place(column, "j"), column).select("i", "j", "value")
+    return sums.join(places(long, row, "i"), row).join(places(long, column, "j"), column).select("i", "j", "value")
 
 
 def triples_header(triples: DataFrame) -> DataFrame:
@@ -109,6 +128,18 @@ def write_triples(triples: DataFrame, path: str) -> None:
     triples.select(F.concat_ws(" ", "i", "j", "value").alias("value")).write.text(path)
 
 
+def write_export(triples: DataFrame, features: DataFrame, cells: DataFrame, path: str) -> None:
+    """A folder with the matrix (its header apart, to be put before its parts), the
+    features and the cells."""
+    one = F.lit(True)  # joins of one row each
+    sizes = features.agg(F.count("*").alias("n")).join(cells.agg(F.count("*").alias("m")), one).join(triples.agg(F.count("*").alias("k")), one)
+    head = F.concat_ws("\n", F.lit("%%MatrixMarket matrix coordinate real general"), F.concat_ws(" ", "n", "m", "k"))
+    sizes.select(head.alias("value")).write.text(f"{path}/header")
+    write_triples(triples, f"{path}/matrix")
+    features.orderBy("i").select("id", "symbol", "kind").write.option("sep", "\t").option("compression", "gzip").csv(f"{path}/features")
+    cells.orderBy("j").drop("j").write.option("header", "true").option("sep", "\t").option("compression", "gzip").csv(f"{path}/cells")
+
+
 def flat_sample_table(samples: DataFrame, qc: DataFrame, studies: DataFrame, sample: str, study: str, least: float) -> DataFrame:
     """Samples with their QC and study columns and the gates derived from them."""
     rows = samples.join(qc, sample, "left").join(studies, study, "left")

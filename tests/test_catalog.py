@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 from strandwise.plans import catalog
@@ -26,6 +31,15 @@ def test_without_sql_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_entry_without_the_corpus_operators(tmp_path):
+    """All other queries stay when that subpackage and its tests are not there."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache"))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLE_SQL))], done.stderr
+
+
 def test_entry_and_catalogue(spark):
     import __spark_entry__
 

@@ -8,10 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwise.functions.hashing import fnv1a32, hash32, mix32
+from strandwise.functions.ordered import ordered
+from strandwise.operators import aggregates as D
 from strandwise.operators import cohort as C
+from strandwise.operators import derived as N
 from strandwise.operators import events as O
 from strandwise.operators import facets as E
 from strandwise.operators import facts as K
+from strandwise.operators import joins as Joins
 from strandwise.operators import sampling as M
 from strandwise.operators import text as J
 
@@ -99,6 +103,8 @@ def test_ages(spark):
     assert read("12-8 weeks") is None
     assert read("P7").unit == "postnatal days"
     assert read("3", "age (months)").unit == "months"
+    assert [(read(v).num, read(v).unit) for v in ("36 y.o.", "36 years old", "about 2 mos (fetal)")] == [(36.0, "years"), (36.0, "years"), (2.0, "months")]
+    assert read("1 years").norm == "1 year" and read("2-4 wk").norm == "2-4 weeks"
 
 
 def test_tokenize(spark):
@@ -110,3 +116,64 @@ def test_empty_and_null_frames(spark):
     assert C.resolve_cohort(empty, [C.Clause("p", "include", "p", ("a",))], "g", "w").first().samples == 0
     assert E.facets(empty, {"p": F.col("p") == "a"}, ["p", "q"]).count() == 0
     assert M.allocate(empty.groupBy("g").agg(F.count("*").alias("n")), "g", "n", 10, "s").count() == 0
+
+
+def test_ordered_against_a_loop(spark):
+    random.seed(3)
+    rows = [(i, random.choice([None, *range(9)])) for i in range(400)]
+    random.shuffle(rows)
+    frame = spark.createDataFrame(rows, "k long, v long").repartition(7)
+    got = {r.k: (r.place, r.total, r.top) for r in ordered(frame, [F.desc("k")], "place", [("v", "sum", "total"), ("v", "max", "top")]).collect()}
+    total, top = None, None
+    for place, (k, v) in enumerate(sorted(rows, reverse=True), 1):
+        if v is not None:
+            total, top = (total or 0) + v, v if top is None else max(top, v)
+        assert got[k] == (place, total, top)
+    assert ordered(frame.where("false"), [F.col("k")]).count() == 0
+
+
+def test_closure_is_whole(spark):
+    chain = [(f"t{i}", f"t{i + 1}") for i in range(9)]
+    got = {(r.term, r.ancestor): r.distance for r in N.closure(spark.createDataFrame(chain, "term string, parent string")).collect()}
+    assert got == {(f"t{i}", f"t{j}"): j - i for i in range(10) for j in range(i, 10)}
+    with pytest.raises(ValueError):
+        N.closure(spark.createDataFrame(chain, "term string, parent string"), most=3)
+    circle = {(r.term, r.ancestor): r.distance for r in N.closure(spark.createDataFrame([("a", "b"), ("b", "a")], "term string, parent string")).collect()}
+    assert circle == {("a", "a"): 0, ("b", "b"): 0, ("a", "b"): 1, ("b", "a"): 1}
+
+
+def test_narrowest_interval_against_a_loop(spark, monkeypatch):
+    random.seed(4)
+    bands = [(i, float(low := random.randint(0, 90)), None if i % 9 == 0 else float(low + random.randint(1, 40))) for i in range(30)]
+    points = [(i, random.uniform(-5, 140)) for i in range(300)]
+    frame = spark.createDataFrame(bands, "id int, low double, high double")
+    got = {r.k: r.interval_id for r in Joins.narrowest_interval(spark.createDataFrame(points, "k long, p double"), frame, "k", "p").collect()}
+    for k, p in points:
+        held = [(float("inf") if high is None else high - low, i) for i, low, high in bands if low <= p and (high is None or p < high)]
+        assert got[k] == (min(held)[1] if held else None)
+    monkeypatch.setattr(Joins, "MOST_INTERVALS", 29)
+    with pytest.raises(ValueError):
+        Joins.narrowest_interval(frame, frame, "id", "low")
+
+
+def test_pareto_against_a_loop(spark):
+    random.seed(8)
+    rows = [(i, random.randint(0, 20), random.randint(0, 30)) for i in range(80)]
+    got = {r.k for r in D.pareto(spark.createDataFrame(rows, "k long, q long, c long"), "k", "q", "c").collect()}
+    beats = lambda a, b: a[1] >= b[1] and a[2] <= b[2] and a[1:] != b[1:]
+    assert got == {b[0] for b in rows if not any(beats(a, b) for a in rows)}
+
+
+def test_facts_follow_the_first_pair(spark):
+    text = "age: P7;; dev stage: E10;; time: Day 6;; age: 9 weeks;; genotype: WT;; cell type: Tregs;; note: odd;; cell line: primary"
+    pairs = K.parse_pairs(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t")
+    sources = spark.createDataFrame([(1, "Human kidney cortex cells"), (2, "lung and liver")], "k long, source string")
+    rows = K.read_pairs(pairs, "k", F.lit(True), sources).collect()
+    facts = {r.attr: (r.value_norm, r.value_num, r.unit, r.confidence) for r in rows if r.outcome == "fact"}
+    assert facts == {
+        "age": ("P7", 7.0, "postnatal days", 0.95), "life_stage": ("embryonic", None, None, 0.9), "timepoint": ("6 days", 6.0, "days", 0.95),
+        "genotype": ("wild type", None, None, 0.95), "cell_type_sorted": ("regulatory t cell", None, None, 0.95), "tissue": ("kidney cortex", None, None, 0.8),
+    }
+    assert {(r.outcome, r.attr, r.pair_key) for r in rows if r.outcome != "fact"} == {("unplaced", "sample_type", "cell line"), ("unmapped", None, "note")}
+    empty = pairs.where("false")
+    assert K.read_pairs(empty, "k").count() == 0 and K.classify_sample_type(empty, "k").count() == 0
