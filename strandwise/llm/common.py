@@ -1,11 +1,10 @@
-"""Shared pieces of the corpus operators: staging, Arrow slices, byte hashing."""
+"""Shared pieces of the corpus operators: joins on hot keys, Arrow slices, byte hashing."""
 
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.functions.staging import discard, stage
+
+__all__ = ["discard", "stage"]
+
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 NON_SPACE_CLASS = r"[^\x20\x09-\x0D]"
@@ -30,25 +33,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="strandwise-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: A key with more than one row in so many is hot; there are at most so many such keys.
+HOT = 10_000
+
 
+def join_counted(rows: DataFrame, keys: DataFrame, on: Sequence[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined to ``keys`` (one row per key, ``count`` of them in ``rows``, which
+    has ``total``), without a task that holds all rows of a common key.
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later jobs start from
-    files, so a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandwise/{uuid.uuid4().hex}-{name}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    A key with more than a ``HOT``-th of all rows is hot: of these there can be no more
+    than ``HOT``, whatever the size of the data, so they are broadcast; every other key
+    has at most a ``HOT``-th of the rows and is joined by a shuffle.
+    """
+    on = list(on)
+    common = F.col(count) * HOT > F.lit(total)
+    hot, cold = F.broadcast(keys.where(common)), keys.where(~common)
+    rest = rows.join(F.broadcast(keys.where(common).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(cold, on))
 
 
 def text_of(column: str = "text") -> Column:
@@ -135,18 +136,27 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _Powers.up, _Powers.down
 
 
+#: Ranges longer than this are hashed by a cryptographic hash: strings that meet under a
+#: polynomial modulo 2**64, whatever its base, are known from some thousand bytes on.
+LONG_RANGE = 512
+
+
 class Hasher:
     """Hashes of any byte range of one buffer, after one pass over it."""
 
     def __init__(self, data: np.ndarray):
         up, _ = powers(len(data) + 1)
+        self.data = data
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_byte_values()[data] * up[: len(data)], out=self.sums[1:])
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         _, down = powers(len(self.sums))
         raw = (self.sums[ends] - self.sums[starts]) * down[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out = mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for i in np.flatnonzero(ends - starts > LONG_RANGE):
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

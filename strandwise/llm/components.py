@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,9 +30,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     round is written to the shared folder; the rounds are logarithmic in the longest path.
     """
     edges = stage(edges.select("a", "b").where("a != b").distinct(), "links")
+    if edges.isEmpty():
+        return edges.toDF("node", "component")
     before = None
     for _ in range(rounds):
-        edges = stage(_small_star(_large_star(edges)), "links")
+        last, edges = edges, stage(_small_star(_large_star(edges)), "links")
+        discard(last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

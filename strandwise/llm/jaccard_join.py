@@ -15,20 +15,28 @@ A-Z lower-cased). Two documents link when 100 * |intersection| >= ``percent`` *
    passages that very many documents share bring nobody together.
 3. Families: components over (smallest member, member) pairs per remaining shingle. A
    link never leaves a family, and no pairs are made inside one.
-4. Each member is compared with its family's first member by a join. Those that link are
-   settled: they are one component already. The rest, usually few, are queries.
-5. ``divide_skip``: queries meet all members of their family in blocks of bounded size
-   (query part x index part). In a block the inverted lists of the query's shingles are
-   split into long and short; the short ones are merged, candidates that can still reach
-   T are kept, the long ones are probed by binary search, and documents that reach the
-   required overlap are returned, one link per component of the block.
+4. Each member is compared with its family's first member by a join (a large family's
+   first is repeated once per some hundred members). Those that link are settled: they
+   are one component already. The rest, usually few, are queries.
+5. ``divide_skip``: queries meet the members of their family whose number of shingles
+   lets them link, in blocks of bounded size: members are cut into bands of sizes by the
+   ratio that a link allows, so a query meets three bands, and bands into parts. In a
+   block the inverted lists of the query's shingles are split into long and short; the
+   short ones are merged, candidates that can still reach T are kept, the long ones are
+   probed by binary search, and documents that reach the required overlap are returned,
+   one link per component of the block.
 6. Components over all links; every document gets the smallest id of its component.
 
-No partner or candidate is capped. Edge cases: a text of fewer words than ``width`` has
-its whole sequence as the only shingle; a null text or one without words has an empty set,
-links with nothing and is its own component; repeated rows with one id are one document;
-a null id gets a null component; an empty table gives an empty result; other columns are
-ignored.
+Common shingles, families and bands are joined by ``join_counted``: no task holds all
+rows of one of them. No partner or candidate is capped. Heap or sort in ``merge_counts``
+and how many lists are set aside are matters of speed; they do not change results.
+
+Edge cases: a text of fewer words than ``width`` has its whole sequence as the only
+shingle; a null text or one without words has an empty set, links with nothing and is its
+own component; repeated rows with one id are one document; of rows with one id and
+different texts, the one whose set has the smallest hash stands for the document and all
+of them get its component; a null id gets a null component; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,18 +47,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, Hasher, list_array, mix, slices, stage, word_bounds
+from .common import LOWER_AZ, Hasher, discard, join_counted, list_array, mix, slices, stage, word_bounds
 from .components import components
 
 WIDTH = 5
 PERCENT = 80
 #: Shingles on each side of a block.
-PART = 3_000_000
-#: Size of the filter that tells which texts to fetch (2 MB).
-BITMAP_BITS = 1 << 24
+PART = 400_000
+#: Members that meet one copy of their family's first.
+FOLLOWERS = 256
+#: Size of the filter that tells which texts to fetch (128 KB to 8 MB). Beyond some
+#: millions of members it lets most texts pass; the join after it decides in any case.
+BITMAP_BITS = (1 << 20, 1 << 26)
 #: With no more entries than this on the short lists as many lists as possible are set
 #: aside; beyond, the number follows from the longest list.
 MERGE_MOST = 4096
@@ -95,6 +106,17 @@ def probe_length(n: int, percent: int) -> int:
     return min(n, n - required(n, percent) + slack(n))
 
 
+def set_key(grams: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """A set as 128 bits: sums of two mixes of its members."""
+    u = grams.view(np.uint64)
+    return mix(u).sum(dtype=np.uint64), mix(u ^ _STEP).sum(dtype=np.uint64)
+
+
+def _keys(pairs: list[tuple[np.uint64, np.uint64]]) -> list[pa.Array]:
+    both = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+    return [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+
+
 def _sketch(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -102,27 +124,30 @@ def _sketch(width: int, percent: int):
                 sizes, keys, lists = [], [], []
                 for grams in shingle_sets(s.bytes, s.offsets, width):
                     sizes.append(len(grams))
-                    # the set itself as 128 bits: sums of two mixes of its members
-                    u = grams.view(np.uint64)
-                    keys.append((mix(u).sum(dtype=np.uint64), mix(u ^ _STEP).sum(dtype=np.uint64)))
+                    keys.append(set_key(grams))
                     lists.append(grams[: probe_length(len(grams), percent)])
-                both = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
                 listed = list_array(np.concatenate(lists), [len(x) for x in lists])
-                yield pa.RecordBatch.from_arrays([s.columns[0], pa.array(sizes, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), listed], ["doc_id", "n", "k1", "k2", "probe"])
+                yield pa.RecordBatch.from_arrays([s.columns[0], pa.array(sizes, pa.int32()), *_keys(keys), listed], ["doc_id", "n", "k1", "k2", "probe"])
 
     return run
 
 
-def _place(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+def _place(column: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits))
+
+
+def bitmap_size(n: int) -> int:
+    """Places for n ids: sixteen each, within ``BITMAP_BITS``."""
+    least, most = BITMAP_BITS
+    return min(most, max(least, 1 << (16 * max(n, 1) - 1).bit_length()))
 
 
-def bitmap_of(ids: DataFrame, column: str) -> np.ndarray:
-    """Bits at the hashed places of ids: a filter of fixed size (``BITMAP_BITS``), however
-    many ids there are. It may let others pass, never stop one of these."""
-    n = _place(column) + 1
+def bitmap_of(ids: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bits at the hashed places of ids: a filter of bounded size, however many ids there
+    are. It may let others pass, never stop one of these."""
+    n = _place(column, bits) + 1
     rows = ids.groupBy(F.bitmap_bucket_number(n).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("bits"))
-    out = np.zeros(BITMAP_BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in rows.collect():
         at = (r["bucket"] - 1) * 4096
         out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
@@ -141,7 +166,7 @@ def _sets(width: int, wanted: np.ndarray):
         with np.errstate(over="ignore"):
             for s in slices(passed()):
                 sets = list(shingle_sets(s.bytes, s.offsets, width))
-                yield pa.RecordBatch.from_arrays([s.columns[0], list_array(np.concatenate(sets), [len(x) for x in sets])], ["cid", "grams"])
+                yield pa.RecordBatch.from_arrays([s.columns[0], *_keys([set_key(x) for x in sets]), list_array(np.concatenate(sets), [len(x) for x in sets])], ["cid", "k1", "k2", "grams"])
 
     return run
 
@@ -149,8 +174,10 @@ def _sets(width: int, wanted: np.ndarray):
 def candidate_families(reps: DataFrame, percent: int) -> DataFrame:
     """``node, component``: representatives that may link, by family (steps 2 and 3)."""
     listed = reps.select("cid", F.explode("probe").alias("gram"))
-    of_gram = Window.partitionBy("gram")
-    shared = stage(listed.withColumn("df", F.count("*").over(of_gram)).where("df > 1"), "shared")
+    counted = stage(listed.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "counted")
+    total = reps.agg(F.coalesce(F.sum(F.size("probe")), F.lit(0))).first()[0]
+    shared = stage(join_counted(listed, counted, ["gram"], "df", total), "shared")
+    discard(counted)
     # a partner of a set of n has at least ceil(t * n) shingles, so T is at least this
     least_partner = F.ceil(F.col("n") * percent / F.lit(100.0))
     t = F.greatest(F.lit(1), F.floor(least_partner / 20)).cast("int")
@@ -158,8 +185,9 @@ def candidate_families(reps: DataFrame, percent: int) -> DataFrame:
     per_doc = per_doc.join(reps.select("cid", "n"), "cid").withColumn("t", t)
     kept = per_doc.where(F.size("grams") >= F.col("t")).select("cid", F.explode(F.slice("grams", F.lit(1), F.size("grams") - F.col("t") + 1)).alias("g")).select("cid", "g.gram")
     kept = stage(kept, "kept")
-    heads = kept.groupBy("gram").agg(F.min("cid").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
-    pairs = kept.join(heads, "gram").where("cid != head").select(F.col("cid").alias("a"), F.col("head").alias("b"))
+    discard(shared)
+    heads = stage(kept.groupBy("gram").agg(F.min("cid").alias("head"), F.count("*").alias("members")).where("members > 1"), "heads")
+    pairs = join_counted(kept, heads, ["gram"], "members", kept.count()).where("cid != head").select(F.col("cid").alias("a"), F.col("head").alias("b"))
     return components(pairs)
 
 
@@ -265,29 +293,62 @@ def _search(percent: int):
 
 
 def settle(sets: DataFrame, percent: int) -> DataFrame:
-    """``family, cid, size, settled``: whether each member links with its family's first."""
-    first = sets.where("cid = family").select("family", F.col("grams").alias("first_grams"))
+    """``family, cid, size, settled``: whether each member links with its family's first.
+    ``sets`` says with which of how many copies of the first a member is compared."""
+    copies = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    first = sets.where("cid = family").select("family", copies.alias("copy"), F.col("grams").alias("first_grams"))
     same = F.size(F.array_intersect("grams", "first_grams"))
     settled = 100 * same >= percent * (F.size("grams") + F.size("first_grams") - same)
-    return sets.join(first, "family").select("family", "cid", F.size("grams").alias("size"), settled.alias("settled"))
+    return sets.drop("copies").join(first, ["family", "copy"]).select("family", "cid", F.size("grams").alias("size"), settled.alias("settled"))
 
 
-def links(docs: DataFrame, families: DataFrame, width: int, percent: int, part: int = PART) -> DataFrame:
-    """``a, b``: enough links between representatives to connect all that are linked."""
-    members = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", _place("doc_id").alias("place"), "text")
-    sets = texts.mapInArrow(_sets(width, bitmap_of(members, "doc_id")), "cid long, grams array<long>")
-    sets = stage(sets.join(members.withColumnRenamed("doc_id", "cid"), "cid").dropDuplicates(["cid"]), "sets")
+def _bands(percent: int) -> tuple[Column, Column]:
+    """Band of a set's size, and the array of bands that it may link with: sizes of
+    linked sets differ by a factor of 100 / ``percent`` at most."""
+    step = math.log(100 / percent) if percent < 100 else 1.0
+    own = F.log(F.col("size").cast("double"))
+    reach = step * (percent < 100) + 1e-9
+    band = lambda x: F.floor(x / F.lit(step)).cast("int")
+    return band(own), F.sequence(band(own - reach), band(own + reach))
+
+
+def _own(n: str, salt: int) -> Column:
+    return F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n)).cast("int")
+
+
+def _every(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def links(docs: DataFrame, families: DataFrame, percent: int, width: int, part: int = PART) -> DataFrame:
+    """``a, b``: enough links between representatives to connect all that are linked.
+    ``families``: ``cid, k1, k2, family`` of the members, written."""
+    n = families.count()
+    bits = bitmap_size(n)
+    sizes = stage(families.groupBy("family").agg(F.count("*").alias("members")), "sizes")
+    members = join_counted(families, sizes, ["family"], "members", n).withColumn("copies", F.ceil(F.col("members") / FOLLOWERS).cast("int")).drop("members")
+    members = members.withColumn("copy", _own("copies", 3))
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", _place("doc_id", bits).alias("place"), "text")
+    sets = texts.mapInArrow(_sets(width, bitmap_of(families, "cid", bits)), "cid long, k1 long, k2 long, grams array<long>")
+    sets = stage(sets.join(members, ["cid", "k1", "k2"]).dropDuplicates(["cid"]).drop("k1", "k2"), "sets")
     met = stage(settle(sets, percent), "met")
     direct = met.where("settled and cid != family").select(F.col("cid").alias("a"), F.col("family").alias("b"))
-    open_ = met.groupBy("family").agg(F.sum("size").alias("all"), F.sum(F.when(F.col("settled"), 0).otherwise(F.col("size"))).alias("asked")).where("asked > 0")
-    open_ = open_.select("family", F.ceil(F.col("all") / part).cast("int").alias("parts"), F.ceil(F.col("asked") / part).cast("int").alias("asks"))
-    rows = sets.select("cid", "grams").join(met.drop("size").join(open_, "family"), "cid")
-    own = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = rows.select("family", "cid", "grams", "settled", own("parts", 1).alias("part"), every("asks").alias("ask"))
-    asked = rows.where("not settled").select(F.col("family").alias("of"), F.col("cid").alias("query"), F.col("grams").alias("asked"), own("asks", 2).alias("q_ask"), every("parts").alias("q_part"))
-    found = index.groupBy("family", "part", "ask").cogroup(asked.groupBy("of", "q_part", "q_ask")).applyInArrow(_search(percent), "a long, b long")
+
+    own, reach = _bands(percent)
+    found_in = met.select("family", own.alias("band"), "cid", "size", "settled")
+    asking = met.where("not settled").select("family", "cid", "size", F.explode(reach).alias("band"))
+    sums = found_in.groupBy("family", "band").agg(F.sum("size").alias("held"), F.count("*").alias("rows"))
+    asked = asking.groupBy("family", "band").agg(F.sum("size").alias("asked"), F.count("*").alias("askers"))
+    blocks = sums.join(asked, ["family", "band"]).select("family", "band", "rows", "askers", F.ceil(F.col("held") / part).cast("int").alias("parts"), F.ceil(F.col("asked") / part).cast("int").alias("asks"))
+    blocks = stage(blocks, "blocks")
+    on = ["family", "band"]
+    index = join_counted(found_in, blocks, on, "rows", n).select(*on, "cid", "settled", _own("parts", 1).alias("part"), _every("asks").alias("ask"))
+    queries = join_counted(asking, blocks, on, "askers", 3 * n).select(*on, F.col("cid"), _own("asks", 2).alias("ask"), _every("parts").alias("part"))
+    grams = sets.select("cid", "grams")
+    index = index.join(grams, "cid").select("family", "band", "part", "ask", "cid", "settled", "grams")
+    block = ["family", "band", "part", "ask"]
+    queries = queries.join(grams, "cid").select(*(F.col(c).alias(f"q_{c}") for c in block), F.col("cid").alias("query"), F.col("grams").alias("asked"))
+    found = index.groupBy(*block).cogroup(queries.groupBy(*(f"q_{c}" for c in block))).applyInArrow(_search(percent), "a long, b long")
     return direct.unionByName(found)
 
 
@@ -297,10 +358,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     texts = docs.select("doc_id", "text")
     sketch = stage(texts.mapInArrow(_sketch(width, percent), "doc_id long, n int, k1 long, k2 long, probe array<long>"), "sketch")
     known = sketch.where("n > 0 and doc_id is not null")
-    classes = stage(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = known.join(classes.select(F.col("class_id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("doc_id").alias("cid"), "n", "probe")
-    families = stage(candidate_families(reps, percent), "families")
-    found = components(links(texts, families, width, percent))
-    named = sketch.select("doc_id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2").join(classes, ["k1", "k2"], "left")
-    named = named.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+    # one set stands for each id
+    standing = known.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("s")).select("doc_id", "s.k1", "s.k2")
+    standing = stage(standing, "standing")
+    classes = stage(standing.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
+    reps = known.join(classes.drop("copies").withColumnRenamed("class_id", "doc_id").hint("shuffle_hash"), ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("cid"), "n", "probe")
+    families = candidate_families(reps, percent).select(F.col("node").alias("class_id"), F.col("component").alias("family"))
+    families = stage(families.join(classes, "class_id").select(F.col("class_id").alias("cid"), "k1", "k2", "family"), "families")
+    found = components(links(texts, families, percent, width))
+    of_class = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
+    named = join_counted(standing, of_class, ["k1", "k2"], "copies", standing.count()).select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component"))
+    out = sketch.select("doc_id", "n").join(named, "doc_id", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -55,16 +55,17 @@ def _hash(seed: int) -> Column:
 
 
 def mix_documents(
-    docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, buckets: int = BUCKETS
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, buckets: int = BUCKETS, also: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, copies, taken``;
-    ``copies`` is how often the mix repeats the document, ``taken`` its words in all."""
-    sizes = stage(docs.select("doc_id", "source", count_words(text_of()).alias("size")), "sizes")
-    return mix_sizes(sizes, weights, share, cap, seed, buckets)
+    """One row per document: ``doc_id, source, size, source_size, target, copies, taken``
+    and the columns named by ``also``; ``copies`` is how often the mix repeats the
+    document, ``taken`` its words in all."""
+    sizes = stage(docs.select("doc_id", "source", *also, count_words(text_of()).alias("size")), "sizes")
+    return mix_sizes(sizes, weights, share, cap, seed, buckets, also)
 
 
 def mix_sizes(
-    sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, buckets: int = BUCKETS
+    sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, buckets: int = BUCKETS, also: Sequence[str] = ()
 ) -> DataFrame:
     targets = source_targets(sizes, weights, share, cap)
     key = ["source", "bucket"]
@@ -82,4 +83,4 @@ def mix_sizes(
     part = F.col("target") - F.col("copies") * F.col("source_size")
     more = (F.col("start") + F.col("size") / 2.0 < part) & (F.col("size") > 0)
     rows = rows.withColumn("copies", F.col("copies") + more.cast("int"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return rows.select("doc_id", "source", *also, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

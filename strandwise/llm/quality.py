@@ -6,6 +6,9 @@ raw corpus. A document's score is the mean, over its n-grams, of the log ratio o
 two; it is kept when the score reaches a fixed threshold. Weights are whole millionths,
 so sums do not depend on the order of work.
 
+Words are hashed once; pairs and windows of three are hashes of these hashes. Windows
+with equal hashes are then compared word by word, so counts of repeats are exact.
+
 DataFrame functions only. The corpus is scanned twice: once for the bucket counts, summed
 before the shuffle (at most ``BUCKETS`` rows per task), and once for counts and score,
 row by row without a shuffle. Trusted documents are a bounded sample of the labelled
@@ -18,6 +21,8 @@ decide; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +39,17 @@ SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 
 
-def _bucket(*words: Column) -> Column:
-    return F.pmod(F.xxhash64(*words), F.lit(BUCKETS)).cast("int")
+def _bucket(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(BUCKETS)).cast("int")
+
+
+def hashes_of(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def pair_hashes(hashed: Column) -> Column:
+    """Hash of each word's hash and the next one's; null for the last word."""
+    return F.zip_with(hashed, F.slice(hashed, 2, F.greatest(F.size(hashed), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -47,11 +61,9 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
 def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row: ``weights``, an array of ``BUCKETS`` log ratios in millionths."""
     ids = F.broadcast(trusted.select(F.col("doc_id").alias("trusted_id")))
-    rows = docs.select("doc_id", words_of(text_of()).alias("words")).join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
-    singles = F.transform("words", lambda w: _bucket(w))
-    pairs = F.zip_with(F.col("words"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), _bucket(a, b)))
-    grams = rows.select(F.col("trusted_id").isNotNull().alias("trusted"), F.explode(F.concat(singles, pairs)).alias("bucket")).where("bucket is not null")
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("good"))
+    rows = docs.select("doc_id", hashes_of(words_of(text_of())).alias("hashed")).join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
+    grams = rows.select(F.col("trusted_id").isNotNull().alias("trusted"), F.explode(F.concat("hashed", pair_hashes(F.col("hashed")))).alias("gram")).where("gram is not null")
+    counts = grams.groupBy(_bucket(F.col("gram")).alias("bucket")).agg(F.count("*").alias("raw"), F.count_if("trusted").alias("good"))
     sums = counts.agg(F.sum("raw").alias("raw_all"), F.sum("good").alias("good_all"))
     spark = docs.sparkSession
     whole = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
@@ -68,39 +80,43 @@ def _dup_lines(text: Column) -> Column:
     return F.struct(F.size(lines).alias("all"), F.size(F.array_distinct(lines)).alias("different"))
 
 
-def counts(docs: DataFrame, keep_words: bool = False) -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``."""
+def counts(docs: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``, the word
+    hashes as ``hashed``, and the columns named by ``also``."""
     text = text_of()
     rows = docs.select(
         "doc_id",
+        *also,
         words_of(text).alias("words"),
         (F.length(text) - F.regexp_count(text, F.lit(SPACE_CLASS))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         _dup_lines(text).alias("lines"),
     )
+    rows = rows.withColumn("hashed", hashes_of(F.col("words")))
     # A window of three words is the high bits of its hash, with its place in the low
-    # bits: sorting brings equal windows together. Equal hashes are checked word by word.
+    # bits: sorting brings windows with equal hashes together.
     place_bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size("words").cast("long")))) - 1
     rows = rows.withColumn("mask", F.coalesce(place_bits, F.lit(0).cast("long")))
 
     def window(i: Column) -> Column:
-        hashed = F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
+        hashed = F.xxhash64(F.get("hashed", i), F.get("hashed", i + 1), F.get("hashed", i + 2))
         return F.coalesce(hashed.bitwiseAND(F.bitwise_not(F.col("mask"))).bitwiseOR(i.cast("long")), F.lit(0).cast("long"))
 
     packed = F.transform(F.sequence(F.lit(0), F.size("words") - 3), window)
     rows = rows.withColumn("packed", F.when(F.size("words") >= 3, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")))
-
-    def same(x: Column, y: Column) -> Column:
-        i, j = x.bitwiseAND(F.col("mask")).cast("int"), y.bitwiseAND(F.col("mask")).cast("int")
-        high = F.bitwise_not(F.col("mask"))
-        equal = x.bitwiseAND(high) == y.bitwiseAND(high)
-        for k in range(3):
-            equal = equal & (F.get("words", i + k) == F.get("words", j + k))
-        return F.coalesce(equal, F.lit(False))
-
-    twice = F.filter("packed", lambda x, k: same(x, F.get("packed", k + 1)) | ((k > 0) & same(x, F.get("packed", k - 1))))
-    starts = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.col("mask"))))
-    rows = rows.withColumn("starts", starts)
+    high = F.bitwise_not(F.col("mask"))
+    alike = lambda x, y: F.coalesce(x.bitwiseAND(high) == y.bitwiseAND(high), F.lit(False))
+    maybe = F.filter("packed", lambda x, k: alike(x, F.get("packed", k + 1)) | alike(x, F.get("packed", k - 1)))
+    rows = rows.withColumn("maybe", maybe)
+
+    def spelled(x: Column) -> Column:
+        i = x.bitwiseAND(F.col("mask")).cast("int")
+        return F.struct(F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("window"), i.cast("long").alias("at"))
+
+    rows = rows.withColumn("spelled", F.array_sort(F.transform("maybe", spelled)))
+    same = lambda x, y: F.coalesce(x["window"] == y["window"], F.lit(False))
+    twice = F.filter("spelled", lambda x, k: same(x, F.get("spelled", k + 1)) | same(x, F.get("spelled", k - 1)))
+    rows = rows.withColumn("starts", F.sort_array(F.transform(twice, lambda x: x["at"])))
     # each start covers three words, less what the next start covers again
     covered = F.aggregate(
         F.zip_with(F.col("starts"), F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), lambda a, b: F.least(F.lit(3).cast("long"), F.coalesce(b - a, F.lit(3).cast("long")))),
@@ -109,33 +125,31 @@ def counts(docs: DataFrame, keep_words: bool = False) -> DataFrame:
     )
     return rows.select(
         "doc_id",
+        *also,
         F.size("words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
         (F.col("lines.all") - F.col("lines.different")).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        *(["words"] if keep_words else []),
+        "hashed",
     )
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, also: Sequence[str] = ()) -> DataFrame:
     """One row per document: the counts, ``base_failed``, ``score`` (mean log ratio per
-    n-gram) and ``kept``."""
-    weights = bucket_weights(docs, trusted).scalar()
-    rows = counts(docs, keep_words=True).withColumn("weights", weights)
-
-    def add(acc: Column, i: Column) -> Column:
-        word, following = F.get("words", i), F.get("words", i + 1)
-        pair = F.when(following.isNotNull(), F.get("weights", _bucket(word, following)).cast("long")).otherwise(0)
-        return acc + F.get("weights", _bucket(word)).cast("long") + pair
-
+    n-gram), ``kept``, and the columns named by ``also``."""
+    # BUCKETS numbers, as one literal: a column of them would be copied into every row
+    weights = bucket_weights(docs, trusted).first()["weights"]
+    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
+    rows = counts(docs, also)
+    of = lambda h: F.coalesce(F.get(table, _bucket(h)).cast("long"), F.lit(0).cast("long"))
+    total = F.aggregate(F.concat("hashed", pair_hashes(F.col("hashed"))), F.lit(0).cast("long"), lambda acc, h: acc + of(h))
     n = F.col("n_words")
-    total = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.size("words") - 1), F.lit(0).cast("long"), add)).otherwise(0)
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * n)
     score = total / (F.greatest(2 * n - 1, F.lit(1)) * 1_000_000.0)
     scored = rows.withColumn("score", F.coalesce(score, F.lit(0.0)))
     verdicts = scored.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", (~failed & (F.col("score") >= threshold)).alias("kept")
+        "doc_id", *also, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", (~failed & (F.col("score") >= threshold)).alias("kept")
     )
     # small rows, written once: a filter on them must not be pushed into the expressions above
     return stage(verdicts, "verdicts")

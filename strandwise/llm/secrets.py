@@ -1,9 +1,12 @@
 """Secret scans with DataFrame functions only.
 
 Base kinds are patterns. The fourth kind, ``random``, comes from a battery of randomness
-tests over candidate tokens (long runs of encoding letters):
+tests over candidate tokens (runs of encoding letters):
 
-* the encoding is inferred from the letters used: hex, base32, base36 or base64;
+* the encoding is inferred from the letters used (hex, base32, base36 or base64) and from
+  how many of them are capitals, small letters and digits: a token whose mix would be
+  rarer than one in a thousand in an encoding is not in that encoding. Identifiers,
+  paths, words and numbers mostly end here;
 * chi-squared against equal frequencies of the encoding's letters (Wilson-Hilferty
   gives the p-value);
 * runs test above and below the middle of the alphabet, two-sided;
@@ -11,21 +14,25 @@ tests over candidate tokens (long runs of encoding letters):
 * of the three p-values the smallest, m, gives 1 - (1 - m)^3, which is uniform for
   random strings.
 
-Words and identifiers fail such tests, random strings pass; how often a string that is
-not random passes depends on its length. So the cut is set per encoding and length band
-over the whole corpus, from two things: p-values of random strings are uniform, and how
-often strings that are not random pass is seen on the corpus' own tokens of letters alone
-(a few of each document), which hold no encoding. Both give how many tokens of a band are
-random and how many others lie above a cut; the lowest cut is chosen at which the share
-of others stays within ``fdr``. Sparse bands are pooled with their neighbours; where these
-are sparse too, the cut is the lowest that at most ``fdr`` of the letter tokens pass.
-Bands are a fixed small number, so the table of cuts has a fixed size.
+How often a string that is not random passes depends on its length. So the cut is set per
+encoding and length band over the whole corpus, from two things: p-values of random
+strings are uniform, and how often strings that are not random pass is seen on all
+different letter tokens of the corpus, which hold no encoding. Both give how many tokens
+of a band are random and how many others lie above a cut; the lowest cut is chosen at
+which the share of others stays within ``fdr``. Sparse bands are pooled with their
+neighbours; where these are sparse too, the cut is the lowest that at most ``fdr`` of the
+letter tokens pass. Bands are a fixed small number, so the table of cuts has a fixed size.
 
-Scale: texts are scanned once and never shuffled; one small row per document follows.
-Spans are code points, end exclusive.
+Limits of the method: tokens under 8 letters, tokens of digits alone and tokens of small
+or of capital letters alone are never ``random``, as words and numbers look the same.
+
+Scale: texts are scanned once, and never shuffled; letter tokens are reduced to different
+ones before and after one shuffle. What is written in between is places, alphabets and
+p-values, never the text of a match. Spans are code points, end exclusive.
 
 Edge cases: a null or empty text has no spans (digest of nothing); repeated rows stay
-separate; an empty table gives an empty result; other columns are ignored.
+separate; an empty table gives an empty result; other columns are ignored; very long
+texts take time in proportion to their matches.
 """
 
 from __future__ import annotations
@@ -42,11 +49,13 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_MIN = 8
-#: With a digit somewhere: letters alone leave no encoding to test.
-CANDIDATE = r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{8,}"
-PLAIN = r"(?<![A-Za-z0-9+/_-])[A-Za-z+/_-]{8,}(?![A-Za-z0-9+/_-])"
-#: Letter tokens of a document that are tested: so many of the longest, and by hash.
-PLAIN_MOST = 2
+#: With a digit somewhere, or a capital behind the first letter.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Za-z+/_-][a-z+/_-]*+[A-Z])[A-Za-z0-9+/_-]{8,}"
+PLAIN = r"(?<![A-Za-z0-9+/_-])[A-Za-z+/_-]{8,}+(?![0-9])"
+#: Chi-squared values that one in a thousand exceeds, with one and two degrees of freedom.
+RARE = {1: 10.83, 2: 13.82}
+#: Matches of a text that are placed together.
+STEP = 64
 KINDS = ("assign", "access", "hex", "random")
 FDR = 0.1
 BINS = 20
@@ -56,24 +65,36 @@ SIZES = (16, 32, 36, 64)
 FEW = 50
 
 
+_SPAN = "struct<start:int,stop:int,match:string>"
+
+
 def _spans(text: Column, pattern: str, keep) -> Column:
     """Array of (start, stop, match): places follow from the gaps between matches.
 
-    ``keep(match)`` says which stay. Texts without a match cost one scan.
+    ``keep(match)`` says which stay. Texts without a match cost one scan; others are
+    placed ``STEP`` matches at a time, as an array grows by copying.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,match:string>>").alias("out"))
+    pieces = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, gap: F.struct(F.length(gap).alias("gap"), m.alias("match")))
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    def place(acc: Column, piece: Column) -> Column:
+        start = acc["at"] + piece["gap"]
+        stop = start + F.length(piece["match"])
+        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), piece["match"].alias("match")))).alias("out"))
+
+    def place_all(acc: Column, chunk: Column) -> Column:
+        done = F.aggregate(chunk, F.struct(acc["at"].alias("at"), none.alias("out")), place)
+        return _let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.element_at(gaps, i))
-        match = F.element_at(found, i)
-        stop = start + F.length(match)
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), match.alias("match")))).alias("out"))
+    def placed(pieces: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(pieces), F.lit(STEP))
+        chunks = F.transform(starts, lambda i: F.slice(pieces, i, F.lit(STEP)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("out"))
+        return F.flatten(F.aggregate(chunks, zero, place_all, lambda acc: acc["out"]))
 
-    none = F.array().cast("array<struct<start:int,stop:int,match:string>>")
-    all_ = F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(found) == 0, none).otherwise(F.filter(all_, lambda s: keep(s["match"])))
+    some = _let(pieces, lambda p: F.when(F.size(p) == 0, none).otherwise(placed(p)))
+    return F.filter(some, lambda s: keep(s["match"]))
 
 
 def _mean(values: Column) -> Column:
@@ -96,19 +117,44 @@ def _upper_tail(value: Column) -> Column:
     return _let(value, of)
 
 
+def _count(token: Column, letters: str) -> Column:
+    return F.length(token) - F.length(F.translate(token, letters, ""))
+
+
 def encoding_of(token: Column) -> Column:
-    """Size of the inferred alphabet: 16, 32, 36 or 64; null where letters alone or
-    digits alone leave no encoding to test."""
-    return F.when(token.rlike("[0-9]") & token.rlike("[A-Za-z]"), _alphabet(token))
+    """Size of the inferred alphabet: 16, 32, 36 or 64; null where the token's mix of
+    letters fits no encoding."""
+    n = F.length(token)
+    digits, upper, lower = _count(token, "0123456789"), _count(token, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _count(token, "abcdefghijklmnopqrstuvwxyz")
+
+    def far(*parts: tuple[Column, int, int]) -> Column:
+        """Chi-squared of (count, letters of this kind, letters in all)."""
+        out = F.lit(0.0)
+        for count, kind, every in parts:
+            expected = n * (kind / every)
+            out = out + (count - expected) * (count - expected) / expected
+        return out
+
+    letters = n - digits
+    fits = (
+        F.when(_size_is(token, 16), far((digits, 10, 16), (letters, 6, 16)) <= RARE[1])
+        .when(_size_is(token, 32), far((digits, 6, 32), (letters, 26, 32)) <= RARE[1])
+        .when(_size_is(token, 36), far((digits, 10, 36), (letters, 26, 36)) <= RARE[1])
+        .otherwise(far((upper, 26, 64), (lower, 26, 64), (n - upper - lower, 12, 64)) <= RARE[2])
+    )
+    mixed = (digits > 0) & (letters > 0) | (upper > 0) & (lower > 0)
+    return F.when(mixed & fits, _alphabet(token))
+
+
+_ALPHABETS = {16: "^([0-9a-f]+|[0-9A-F]+)$", 32: "^[A-Z2-7]+$", 36: "^([a-z0-9]+|[A-Z0-9]+)$"}
+
+
+def _size_is(token: Column, size: int) -> Column:
+    return token.rlike(_ALPHABETS[size])
 
 
 def _alphabet(token: Column) -> Column:
-    return (
-        F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16)
-        .when(token.rlike("^[A-Z2-7]+$"), 32)
-        .when(token.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), 36)
-        .otherwise(64)
-    )
+    return F.when(_size_is(token, 16), 16).when(_size_is(token, 32), 32).when(_size_is(token, 36), 36).otherwise(64)
 
 
 def _codes(token: Column, size: Column) -> Column:
@@ -168,17 +214,8 @@ def _tested(spans: Column, size=encoding_of) -> Column:
     )
 
 
-def _plain(text: Column) -> Column:
-    """Some of a text's tokens of letters alone, as spans from 0."""
-    ranked = lambda rank: F.slice(F.array_sort(F.transform(found, lambda m: F.struct(rank(m).alias("rank"), m.alias("match")))), 1, PLAIN_MOST)["match"]
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(PLAIN), F.lit(0)))
-    some = F.array_union(ranked(lambda m: -F.length(m).cast("long")), ranked(F.xxhash64))
-    return F.transform(some, lambda m: F.struct(F.lit(0).alias("start"), F.length(m).alias("stop"), m.alias("match")))
-
-
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id``, one array of spans per base kind, the tested candidates, and
-    ``plain``: tested tokens of letters alone."""
+    """``doc_id``, an array of (start, stop) per base kind, and the tested candidates."""
     text = text_of()
     rows = docs.select(
         "doc_id",
@@ -186,15 +223,21 @@ def scan(docs: DataFrame) -> DataFrame:
         _spans(text, ACCESS, lambda m: F.lit(True)).alias("access"),
         _spans(text, HEX, lambda m: F.lit(True)).alias("hex"),
         _spans(text, CANDIDATE, lambda m: F.lit(True)).alias("candidates"),
-        _plain(text).alias("plain"),
     )
-    plain = F.transform(_tested(F.col("plain"), _alphabet), lambda s: F.struct(s["size"], s["band"], s["p"]))
-    return rows.withColumn("candidates", F.when(F.size("candidates") > 0, _tested(F.col("candidates")))).withColumn("plain", plain)
+    places = {kind: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))) for kind in KINDS[:3]}
+    return rows.withColumns(places | {"candidates": F.when(F.size("candidates") > 0, _tested(F.col("candidates")))})
+
+
+def letter_tokens(docs: DataFrame) -> DataFrame:
+    """``c`` (alphabet, length band and p-value) of each different letter token."""
+    tokens = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text_of(), F.lit(PLAIN), F.lit(0)))).alias("token")).distinct()
+    span = F.struct(F.lit(0).alias("start"), F.length("token").alias("stop"), F.col("token").alias("match"))
+    return tokens.select(F.explode(_tested(F.array(span), _alphabet)).alias("c"))
 
 
-def _bins(scanned: DataFrame, column: str) -> dict[tuple[int, int], np.ndarray]:
+def _bins(tested: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     """Tokens per p-value bin, by alphabet and band (at most 4 x 17 x ``BINS`` rows)."""
-    rows = scanned.select(F.explode(column).alias("c")).select("c.size", "c.band", F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    rows = tested.select("c.size", "c.band", F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     out: dict[tuple[int, int], np.ndarray] = {}
     for r in rows.groupBy("size", "band", "bin").agg(F.count("*").alias("n")).collect():
         out.setdefault((r["size"], r["band"]), np.zeros(BINS))[r["bin"]] += r["n"]
@@ -228,9 +271,9 @@ def cut_of(found: np.ndarray, plain: np.ndarray, fdr: float) -> float | None:
     return float(np.argmax(good)) / BINS if good.any() else None
 
 
-def cuts(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], float | None]:
+def cuts(candidates: DataFrame, letters: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], float | None]:
     """Lowest accepted p-value per alphabet and length band (4 x 17 entries)."""
-    found, plain = _bins(scanned, "candidates"), _bins(scanned, "plain")
+    found, plain = _bins(candidates), _bins(letters)
     every = sum(plain.values(), np.zeros(BINS))
 
     def null(size: int, band: int) -> np.ndarray:
@@ -244,8 +287,9 @@ def secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """One row per document: ``doc_id`` and ``spans``, an array of (start, kind, stop)
     in order; ``kind`` is a place in ``KINDS``."""
     scanned = stage(scan(docs), "secrets")
+    found = cuts(scanned.select(F.explode("candidates").alias("c")), letter_tokens(docs), fdr)
     # 4 x 17 entries, as one map
-    table = F.create_map(*(F.lit(x) for (size, band), cut in cuts(scanned, fdr).items() for x in (size * 100 + band, 2.0 if cut is None else cut)))
+    table = F.create_map(*(F.lit(x) for (size, band), cut in found.items() for x in (size * 100 + band, 2.0 if cut is None else cut)))
 
     def of(column: str, kind: int) -> Column:
         return F.transform(F.col(column), lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))

@@ -73,6 +73,31 @@ def secrets(text):
     return (*counts, sha(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(found))))
 
 
+ALPHABETS = {16: "0123456789abcdef", 32: "abcdefghijklmnopqrstuvwxyz234567", 36: "abcdefghijklmnopqrstuvwxyz0123456789", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+def _tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def randomness(token, size):
+    """The three tests by their textbook forms, and their combination."""
+    x = [ALPHABETS[size].index(c if size == 64 else c.lower()) for c in token.replace("-", "+").replace("_", "/")]
+    n = len(x)
+    chi = sum((x.count(v) - n / size) ** 2 / (n / size) for v in range(size))
+    df = size - 1
+    p_chi = _tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = [2 * v >= size for v in x]
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mean = 2 * sum(high) * (n - sum(high)) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = 2 * _tail(abs(runs - mean) / math.sqrt(var)) if var > 0 else 0.0
+    dev = [v - sum(x) / n for v in x]
+    square = sum(d * d for d in dev)
+    p_serial = 2 * _tail(abs(sum(a * b for a, b in zip(dev, dev[1:])) / square + 1 / n) * math.sqrt(n)) if square else 0.0
+    return 1 - (1 - min(1, p_chi, p_runs, p_serial)) ** 3
+
+
 def quality(text):
     text = text or ""
     words = WORD.findall(text)
