@@ -15,9 +15,8 @@ A-Z lower-cased). Two documents link when 100 * |intersection| >= ``percent`` *
    passages that very many documents share bring nobody together.
 3. Families: components over (smallest member, member) pairs per remaining shingle. A
    link never leaves a family, and no pairs are made inside one.
-4. Each member is compared with its family's first member by a join (a large family's
-   first is repeated once per some hundred members). Those that link are settled: they
-   are one component already. The rest, usually few, are queries.
+4. Each member is compared with its family's first member by a join. Those that link are
+   settled: they are one component already. The rest, usually few, are queries.
 5. ``divide_skip``: queries meet the members of their family whose number of shingles
    lets them link, in blocks of bounded size: members are cut into bands of sizes by the
    ratio that a link allows, so a query meets three bands, and bands into parts. In a
@@ -27,8 +26,8 @@ A-Z lower-cased). Two documents link when 100 * |intersection| >= ``percent`` *
    one link per component of the block.
 6. Components over all links; every document gets the smallest id of its component.
 
-Common shingles, families and bands are joined by ``join_counted``: no task holds all
-rows of one of them. No partner or candidate is capped. Heap or sort in ``merge_counts``
+Counts of common shingles go back to their rows by ``join_counted``; families and bands
+are joined to one row each, where adaptive execution splits what is large. No partner or candidate is capped. Heap or sort in ``merge_counts``
 and how many lists are set aside are matters of speed; they do not change results.
 
 Edge cases: a text of fewer words than ``width`` has its whole sequence as the only
@@ -57,8 +56,6 @@ WIDTH = 5
 PERCENT = 80
 #: Shingles on each side of a block.
 PART = 400_000
-#: Members that meet one copy of their family's first.
-FOLLOWERS = 256
 #: Size of the filter that tells which texts to fetch (128 KB to 8 MB). Beyond some
 #: millions of members it lets most texts pass; the join after it decides in any case.
 BITMAP_BITS = (1 << 20, 1 << 26)
@@ -175,7 +172,7 @@ def candidate_families(reps: DataFrame, percent: int) -> DataFrame:
     """``node, component``: representatives that may link, by family (steps 2 and 3)."""
     listed = reps.select("cid", F.explode("probe").alias("gram"))
     counted = stage(listed.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "counted")
-    total = reps.agg(F.coalesce(F.sum(F.size("probe")), F.lit(0))).first()[0]
+    total = counted.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     shared = stage(join_counted(listed, counted, ["gram"], "df", total), "shared")
     discard(counted)
     # a partner of a set of n has at least ceil(t * n) shingles, so T is at least this
@@ -186,8 +183,8 @@ def candidate_families(reps: DataFrame, percent: int) -> DataFrame:
     kept = per_doc.where(F.size("grams") >= F.col("t")).select("cid", F.explode(F.slice("grams", F.lit(1), F.size("grams") - F.col("t") + 1)).alias("g")).select("cid", "g.gram")
     kept = stage(kept, "kept")
     discard(shared)
-    heads = stage(kept.groupBy("gram").agg(F.min("cid").alias("head"), F.count("*").alias("members")).where("members > 1"), "heads")
-    pairs = join_counted(kept, heads, ["gram"], "members", kept.count()).where("cid != head").select(F.col("cid").alias("a"), F.col("head").alias("b"))
+    heads = kept.groupBy("gram").agg(F.min("cid").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
+    pairs = kept.join(heads, "gram").where("cid != head").select(F.col("cid").alias("a"), F.col("head").alias("b"))
     return components(pairs)
 
 
@@ -293,13 +290,11 @@ def _search(percent: int):
 
 
 def settle(sets: DataFrame, percent: int) -> DataFrame:
-    """``family, cid, size, settled``: whether each member links with its family's first.
-    ``sets`` says with which of how many copies of the first a member is compared."""
-    copies = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
-    first = sets.where("cid = family").select("family", copies.alias("copy"), F.col("grams").alias("first_grams"))
+    """``family, cid, size, settled``: whether each member links with its family's first."""
+    first = sets.where("cid = family").select("family", F.col("grams").alias("first_grams"))
     same = F.size(F.array_intersect("grams", "first_grams"))
     settled = 100 * same >= percent * (F.size("grams") + F.size("first_grams") - same)
-    return sets.drop("copies").join(first, ["family", "copy"]).select("family", "cid", F.size("grams").alias("size"), settled.alias("settled"))
+    return sets.join(first, "family").select("family", "cid", F.size("grams").alias("size"), settled.alias("settled"))
 
 
 def _bands(percent: int) -> tuple[Column, Column]:
@@ -325,25 +320,21 @@ def links(docs: DataFrame, families: DataFrame, percent: int, width: int, part:
     ``families``: ``cid, k1, k2, family`` of the members, written."""
     n = families.count()
     bits = bitmap_size(n)
-    sizes = stage(families.groupBy("family").agg(F.count("*").alias("members")), "sizes")
-    members = join_counted(families, sizes, ["family"], "members", n).withColumn("copies", F.ceil(F.col("members") / FOLLOWERS).cast("int")).drop("members")
-    members = members.withColumn("copy", _own("copies", 3))
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", _place("doc_id", bits).alias("place"), "text")
     sets = texts.mapInArrow(_sets(width, bitmap_of(families, "cid", bits)), "cid long, k1 long, k2 long, grams array<long>")
-    sets = stage(sets.join(members, ["cid", "k1", "k2"]).dropDuplicates(["cid"]).drop("k1", "k2"), "sets")
+    sets = stage(sets.join(families, ["cid", "k1", "k2"]).dropDuplicates(["cid"]).drop("k1", "k2"), "sets")
     met = stage(settle(sets, percent), "met")
     direct = met.where("settled and cid != family").select(F.col("cid").alias("a"), F.col("family").alias("b"))
 
     own, reach = _bands(percent)
     found_in = met.select("family", own.alias("band"), "cid", "size", "settled")
     asking = met.where("not settled").select("family", "cid", "size", F.explode(reach).alias("band"))
-    sums = found_in.groupBy("family", "band").agg(F.sum("size").alias("held"), F.count("*").alias("rows"))
-    asked = asking.groupBy("family", "band").agg(F.sum("size").alias("asked"), F.count("*").alias("askers"))
-    blocks = sums.join(asked, ["family", "band"]).select("family", "band", "rows", "askers", F.ceil(F.col("held") / part).cast("int").alias("parts"), F.ceil(F.col("asked") / part).cast("int").alias("asks"))
-    blocks = stage(blocks, "blocks")
+    sums = found_in.groupBy("family", "band").agg(F.sum("size").alias("held"))
+    asked = asking.groupBy("family", "band").agg(F.sum("size").alias("asked"))
+    blocks = sums.join(asked, ["family", "band"]).select("family", "band", F.ceil(F.col("held") / part).cast("int").alias("parts"), F.ceil(F.col("asked") / part).cast("int").alias("asks"))
     on = ["family", "band"]
-    index = join_counted(found_in, blocks, on, "rows", n).select(*on, "cid", "settled", _own("parts", 1).alias("part"), _every("asks").alias("ask"))
-    queries = join_counted(asking, blocks, on, "askers", 3 * n).select(*on, F.col("cid"), _own("asks", 2).alias("ask"), _every("parts").alias("part"))
+    index = found_in.join(blocks, on).select(*on, "cid", "settled", _own("parts", 1).alias("part"), _every("asks").alias("ask"))
+    queries = asking.join(blocks, on).select(*on, F.col("cid"), _own("asks", 2).alias("ask"), _every("parts").alias("part"))
     grams = sets.select("cid", "grams")
     index = index.join(grams, "cid").select("family", "band", "part", "ask", "cid", "settled", "grams")
     block = ["family", "band", "part", "ask"]
@@ -361,12 +352,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     # one set stands for each id
     standing = known.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("s")).select("doc_id", "s.k1", "s.k2")
     standing = stage(standing, "standing")
-    classes = stage(standing.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
-    reps = known.join(classes.drop("copies").withColumnRenamed("class_id", "doc_id").hint("shuffle_hash"), ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("cid"), "n", "probe")
+    classes = stage(standing.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
+    reps = known.join(classes.withColumnRenamed("class_id", "doc_id").hint("shuffle_hash"), ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("cid"), "n", "probe")
+    reps, rows = stage(reps, "representatives"), stage(sketch.select("doc_id", "n"), "sizes")
+    discard(sketch)
     families = candidate_families(reps, percent).select(F.col("node").alias("class_id"), F.col("component").alias("family"))
     families = stage(families.join(classes, "class_id").select(F.col("class_id").alias("cid"), "k1", "k2", "family"), "families")
     found = components(links(texts, families, percent, width))
     of_class = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
-    named = join_counted(standing, of_class, ["k1", "k2"], "copies", standing.count()).select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component"))
-    out = sketch.select("doc_id", "n").join(named, "doc_id", "left")
+    named = standing.join(of_class, ["k1", "k2"]).select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component"))
+    out = rows.join(named, "doc_id", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))

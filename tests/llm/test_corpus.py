@@ -308,7 +308,6 @@ def test_bands_lose_no_link():
 
 def test_near_duplicates_in_small_blocks(docs, rows, monkeypatch):
     monkeypatch.setattr(jaccard_join.links, "__defaults__", (300,))
-    monkeypatch.setattr(jaccard_join, "FOLLOWERS", 3)
     monkeypatch.setattr(common, "HOT", 40)
     monkeypatch.setattr(jaccard_join, "MERGE_MOST", 10)
     got = by_id(jaccard_join.near_duplicates(docs), "n_shingles", "component_id")
