@@ -55,7 +55,7 @@ from .components import components
 WIDTH = 5
 PERCENT = 80
 #: Shingles on each side of a block.
-PART = 400_000
+PART = 2_000_000
 #: Size of the filter that tells which texts to fetch (128 KB to 8 MB). Beyond some
 #: millions of members it lets most texts pass; the join after it decides in any case.
 BITMAP_BITS = (1 << 20, 1 << 26)
