@@ -43,13 +43,13 @@ def join_counted(rows: DataFrame, keys: DataFrame, on: Sequence[str], count: str
 
     A key with more than a ``HOT``-th of all rows is hot: of these there can be no more
     than ``HOT``, whatever the size of the data, so they are broadcast; every other key
-    has at most a ``HOT``-th of the rows and is joined by a shuffle.
+    has at most a ``HOT``-th of the rows and is joined by a shuffle, at every size.
     """
     on = list(on)
     common = F.col(count) * HOT > F.lit(total)
     hot, cold = F.broadcast(keys.where(common)), keys.where(~common)
     rest = rows.join(F.broadcast(keys.where(common).select(*on)), on, "left_anti")
-    return rows.join(hot, on).unionByName(rest.join(cold, on))
+    return rows.join(hot, on).unionByName(rest.join(cold.hint("merge"), on))
 
 
 def text_of(column: str = "text") -> Column:
