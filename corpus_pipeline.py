@@ -10,7 +10,7 @@ besides ``doc_id``, ``text`` and ``source`` are carried along untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm import bpe, jaccard_join, line_dedup, mixing, quality
@@ -29,7 +29,10 @@ def _with(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return _tagged(docs).join(found.hint("shuffle_hash"), own, how)
 
 
-_ROW = [F.col("doc_id").alias("_sw_id"), F.col("_sw_tag").alias("_sw_mark")]
+def _row() -> list[Column]:
+    """What names a row. Columns are made when a stage runs: the driver imports this
+    module before there is a session."""
+    return [F.col("doc_id").alias("_sw_id"), F.col("_sw_tag").alias("_sw_mark")]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +40,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     without an id, follows its own verdict."""
     trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
     verdicts = quality.quality_rules(_tagged(docs), trusted, also=["_sw_tag"])
-    return _with(docs, verdicts.where("kept").select(*_ROW).distinct(), "left_semi").drop("_sw_tag")
+    return _with(docs, verdicts.where("kept").select(*_row()).distinct(), "left_semi").drop("_sw_tag")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +64,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents as often as the mix takes them; repeated rows of one source each as often
     as the one that it takes most."""
     source = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
-    copies = mixing.mix_documents(_tagged(docs), also=["_sw_tag"]).where("copies > 0").groupBy(*_ROW, source.alias("_sw_source")).agg(F.max("copies").alias("_sw_copies"))
+    copies = mixing.mix_documents(_tagged(docs), also=["_sw_tag"]).where("copies > 0").groupBy(*_row(), source.alias("_sw_source")).agg(F.max("copies").alias("_sw_copies"))
     own = F.col("doc_id").eqNullSafe(F.col("_sw_id")) & (F.col("_sw_tag") == F.col("_sw_mark")) & (source == F.col("_sw_source"))
     mixed = _tagged(docs).join(copies.hint("shuffle_hash"), own)
     return mixed.withColumn("_sw_copy", F.explode(F.sequence(F.lit(1), F.col("_sw_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
