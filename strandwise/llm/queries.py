@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard_join, language_model, licenses, line_dedup, mixing, quality, secrets, suffix_dedup, toxicity
+from . import ann, bpe, conversations, jaccard_join, language_model, licenses, line_dedup, mixing, quality, secrets, suffix_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
+    **conversations.QUERIES,
     "op13_license_scan": op13_license_scan,
 }
 
@@ -85,6 +86,7 @@ _KEY_SQL = r"""translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(1
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
 
 ORACLE_SQL: dict[str, str] = {
+    **conversations.ORACLE_SQL,
     "op4_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
