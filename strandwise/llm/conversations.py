@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import repair
-from .common import table
+from . import prefix_trie, repair
+from .common import stage, table
 
 
 def damaged(rows: DataFrame) -> DataFrame:
@@ -96,5 +96,68 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c
 LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
-QUERIES = {"op12_conversation_repair": op12_conversation_repair}
-ORACLE_SQL = {"op12_conversation_repair": REPAIR_SQL}
+def rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations whose first turns are those of the conversation that starts their five;
+    with the ids and lengths of all, also of those left without turns."""
+    turns = stage(prefix_trie.placed(rows), "placed")
+    first = turns.where("conv_id % 5 = 0 and n <= 8").withColumnRenamed("conv_id", "base")
+    held = first.groupBy("base").agg(F.count("*").alias("held"))
+    convs = turns.groupBy("conv_id").agg(F.max("n").alias("own")).withColumns({"h": F.crc32(F.col("conv_id").cast("string")) % 9, "base": F.col("conv_id") - F.col("conv_id") % 5})
+    convs = convs.join(held, "base", "left").withColumn("taken", F.least("h", F.coalesce("held", F.lit(0))))
+    convs = stage(convs.withColumn("length", F.col("taken") + F.greatest(F.col("own") - F.col("h"), F.lit(0))), "convs")
+    head = convs.join(first, "base").where("n <= h").withColumn("place", F.col("n"))
+    # a long conversation is dealt by its pieces
+    size = prefix_trie.PIECE
+    pieces = convs.where("own > h").withColumn("of", F.explode(F.sequence(F.lit(0), F.floor((F.col("own") - 1) / size))))
+    tail = turns.withColumn("of", F.floor((F.col("n") - 1) / size)).join(pieces, ["conv_id", "of"]).where("n > h").withColumn("place", F.col("n") - F.col("h") + F.col("taken"))
+    columns = ["conv_id", "place", "length", "digest", "bytes"]
+    return head.select(*columns).unionByName(tail.select(*columns)), convs.select("conv_id", "length")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*rebuilt(table(spark, sf_dir, "conversations")))
+
+
+TRIE_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32_sql("conv_id::varchar")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), heads AS (
+  SELECT i.conv_id, n AS place, role, text FROM ids i JOIN t ON t.conv_id = i.base AND n <= h
+), taken AS (
+  SELECT conv_id, count(*) AS k FROM heads GROUP BY conv_id
+), turns AS (
+  SELECT * FROM heads
+  UNION ALL
+  SELECT i.conv_id, n - h + coalesce(k, 0), role, text FROM ids i JOIN t ON t.conv_id = i.conv_id AND n > h LEFT JOIN taken ON taken.conv_id = i.conv_id
+), prefix AS (
+  SELECT conv_id, place, strlen(text) AS bytes,
+    md5(string_agg(md5(strlen(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY place)) AS d
+  FROM turns
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM ids
+), member AS (
+  SELECT *, min(conv_id) OVER (PARTITION BY place, d) AS lead, max(place) OVER (PARTITION BY conv_id) AS length FROM prefix
+), nodes AS (
+  SELECT lead, place, count(*) AS n, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (WHERE place = length), '')) AS ends
+  FROM member GROUP BY lead, place
+), above AS (
+  SELECT nodes.*, m.lead AS up FROM nodes LEFT JOIN member m ON m.conv_id = nodes.lead AND m.place = nodes.place - 1
+), children AS (
+  SELECT up, place - 1 AS place, count(*) AS n FROM above WHERE place > 0 GROUP BY ALL
+), below AS (
+  SELECT m.lead, m.place, sum((y.n - 1) * y.bytes)::bigint AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+  FROM nodes y JOIN member m ON m.conv_id = y.lead AND m.place <= y.place
+  LEFT JOIN children c ON c.up = y.lead AND c.place = y.place GROUP BY ALL
+)
+SELECT a.lead AS conv_id, a.place AS depth, a.up AS parent_conv_id, a.n AS n_convs, coalesce(c.n, 0) AS n_children, b.leaves AS n_leaves,
+  b.saved AS saved_tokens, a.ends AS ends_sha256
+FROM above a JOIN below b ON b.lead = a.lead AND b.place = a.place LEFT JOIN children c ON c.up = a.lead AND c.place = a.place
+"""
+
+QUERIES = {"op11_prefix_trie": op11_prefix_trie, "op12_conversation_repair": op12_conversation_repair}
+ORACLE_SQL = {"op11_prefix_trie": TRIE_SQL, "op12_conversation_repair": REPAIR_SQL}
