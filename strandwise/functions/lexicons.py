@@ -343,3 +343,22 @@ SYNONYMS = {
     "metastasis": ("metastasis", "metastases", "metastatic"),
     "metastatic": ("metastasis", "metastases", "metastatic"),
 }
+
+# ---------------------------------------------------------------- variants of names
+# Words and patterns that a value may carry besides the name of a term.
+
+LEADING_WORDS = (
+    "human", "homo sapiens", "mouse", "mice", "murine", "mus musculus", "primary", "whole", "fresh", "frozen", "normal", "healthy", "adult", "total", "isolated",
+    "sorted", "facs sorted", "purified", "dissociated",
+)
+TRAILING_WORDS = (
+    "tissues?", "samples?", "biops(?:y|ies)", "specimens?", "sections?", "organoids?", "from (?:human|mouse|mice|patients?|donors?)", "of (?:human|mouse|mice)",
+)
+#: (pattern, replacement) of names of any kind, and of cell types only, in order.
+PLURALS = ((r"\bcells\b", "cell"), (r"(\w{3,}[^s])s$", "$1"), (r"(\w{3,})ies$", "$1y"))
+CELL_FORMS = ((r"\bcells?\b$", ""), (r"\b(cd4|cd8) t cells?\b", "$1 positive alpha beta t cell"), (r"\b(cd\d+[a-z]?)\b", "$1 positive"))
+BLOOD_WORDS = ("peripheral blood", "blood", "circulating")
+CELL_MARKERS = (r"cd\d+[a-z]?", "lin", "epcam", "live")
+MARKER_LEVELS = ("positive", "negative", "hi", "low")
+#: Tier of a label: method and confidence of a value that is one, least letters of one.
+LABEL_TIERS = (("label", 0.95, 0), ("exact_synonym", 0.9, 0), ("synonym", 0.75, 6))

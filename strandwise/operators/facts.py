@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -342,10 +343,20 @@ def _read(human: Column) -> tuple[Column, Column]:
 
 def _rule() -> Column:
     """The attribute that a pair's key names."""
-    rule = F.lit(None).cast("string")
-    for attr, keys in reversed(list(L.ATTRIBUTE_KEYS.items())):
-        rule = F.when(F.col("attr").rlike("^(" + "|".join(keys) + ")$"), attr).otherwise(rule)
-    return rule
+    order = list(L.ATTRIBUTE_KEYS)
+    plain = {k: attr for attr in reversed(order) for k in L.ATTRIBUTE_KEYS[attr] if re.fullmatch("[a-z0-9 /]+", k)}
+    named = lambda key: _of(key, plain)
+    shaped = {attr: [k for k in L.ATTRIBUTE_KEYS[attr] if not re.fullmatch("[a-z0-9 /]+", k)] for attr in order}
+
+    def rule(key: Column) -> Column:
+        # an attribute that comes earlier wins, by name or by pattern
+        out = named(key)
+        for attr in reversed([a for a in order if shaped[a]]):
+            before = order[: order.index(attr)]
+            out = F.when(key.rlike("^(" + "|".join(shaped[attr]) + ")$") & ~yes(named(key).isin(before) if before else F.lit(False)), attr).otherwise(out)
+        return out
+
+    return once(F.col("attr"), rule)
 
 
 def _informs() -> Column:
@@ -362,12 +373,15 @@ def read_pairs(pairs: DataFrame, key: str, human: Column | None = None, sources:
     ``human`` says which pairs are of human donors. ``sources`` (``key, source``): text
     that may name the tissue where no pair does.
 
-    Rows are dealt by sample once; the two steps after it keep that partitioning.
+    Values repeat heavily, so the rules read each distinct (key, value) once and are joined
+    back. Rows are dealt by sample once; the two steps after it keep that partitioning.
     """
-    rows = pairs.withColumn("_rule", _rule()).withColumn("_v", clean(F.col("value"))).withColumn("_s", F.lower("_v"))
+    told = pairs.withColumn("_human", yes(human) if human is not None else F.lit(False)).select(key, "position", "attr", "value", "evidence", "_human")
+    told = stage(told, "pairs")  # read twice: for its distinct values, and to join them back
+    rows = told.select("attr", "value", "_human").distinct().withColumn("_rule", _rule()).withColumn("_v", clean(F.col("value"))).withColumn("_s", F.lower("_v"))
     of_tissue = F.col("_rule").isin("tissue", "sample_type")
     rows = rows.withColumn("_tissue", F.when(of_tissue, norm_tissue(F.col("_v")))).withColumn("_named", F.when(of_tissue & F.col("_tissue").isNull(), tissue_in_text(F.col("_v"))))
-    human = yes(human) if human is not None else F.lit(False)
+    human = F.col("_human")
     value, key_ = F.col("_v"), F.col("attr")
     forms = {
         "_age": ("age", parse_age(F.col("value"), key_, human)), "_at": ("timepoint", parse_timepoint(value, key_)), "_kind": ("sample_type", norm_sample_type(value)),
@@ -377,10 +391,13 @@ def read_pairs(pairs: DataFrame, key: str, human: Column | None = None, sources:
     rows = rows.withColumns({name: F.when(F.col("_rule") == attr, form) for name, (attr, form) in forms.items()} | {"_gone": missing(value)})
     facts, loose = _read(human)
     rows = rows.withColumn("_facts", facts).withColumn("_loose", loose)
-    rows = rows.select(key, "position", F.col("attr").alias("pair_key"), F.col("_v").alias("value_raw"), "evidence", "_facts", "_loose", F.when(F.col("_rule").isNull() & _informs(), True).alias("_open"))
     # written once: facts, open values and open keys are all taken from it
     # (a filter here would be pushed below, with all these expressions in it)
-    rows = stage(rows, "pairs")
+    read = stage(rows.select(F.col("attr").alias("pair_key"), F.col("value").alias("_value"), F.col("_human").alias("_is_human"), F.col("_v").alias("value_raw"), "_facts", "_loose", F.when(F.col("_rule").isNull() & _informs(), True).alias("_open")), "read")
+    same = F.col("attr").eqNullSafe(F.col("pair_key")) & F.col("value").eqNullSafe(F.col("_value")) & (F.col("_human") == F.col("_is_human"))
+    # what says nothing goes before the join
+    speaks = (F.size("_facts") > 0) | F.col("_loose").isNotNull() | F.col("_open").isNotNull()
+    rows = told.join(read.where(speaks), same).select(key, "position", "pair_key", "value_raw", "evidence", "_facts", "_loose", "_open")
 
     empty = F.lit(None)
     item = lambda outcome, attr, norm=empty, num=empty, unit=empty, confidence=empty: F.struct(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, audit, facets, facts, joins, predicates, sampling, sources, text, text_index  # noqa: F401
+from . import aggregates, audit, facets, facts, joins, mapping, predicates, sampling, sources, text, text_index  # noqa: F401
 from .registry import REGISTRY
 
 QUERIES = REGISTRY.queries
