@@ -16,12 +16,22 @@ def totals(df: DataFrame, weight: str, sample: str, study: str) -> DataFrame:
     return df.agg(F.coalesce(F.sum(F.col(weight).cast("long")), F.lit(0)).alias("weight"), F.countDistinct(sample).alias("samples"), F.countDistinct(study).alias("studies"), F.count("*").alias("n_rows"))
 
 
-def grouped_count(df: DataFrame, by: Sequence[str], weight: str, most: int = 10_000, summary: DataFrame | None = None) -> DataFrame:
+def grouped_count(df: DataFrame, by: Sequence[str], weight: str, most: int = 10_000, summary: DataFrame | None = None, where: Mapping[str, Sequence] | None = None, rows: Column | None = None) -> DataFrame:
     """Weighted counts by up to three keys, largest first; ``truncated`` says whether
-    groups were left out. A ``summary`` that holds all keys is used in place of rows."""
+    groups were left out. ``where`` (column -> accepted values) and ``rows`` (any condition)
+    filter first.
+
+    ``summary``, sums of ``weight`` over all rows of ``df`` by some columns, is used in place
+    of rows where it can answer: it has every key and every column of ``where``, and no
+    condition on single rows is asked.
+    """
     if len(by) > 3:
         raise ValueError("at most three keys")
-    source = summary if summary is not None and {*by, weight} <= {*summary.columns} else df
+    where = dict(where or {})
+    answers = summary is not None and rows is None and {*by, *where, weight} <= {*summary.columns}
+    source = summary if answers else df if rows is None else df.where(rows)
+    for c, values in where.items():
+        source = source.where(F.col(c).isin(list(values)))
     counts = source.groupBy(*by).agg(F.sum(F.col(weight).cast("long")).alias("weight"))
     n = counts.agg(F.count("*").alias("_n")).select((F.col("_n") > most).alias("truncated"))
     top = counts.orderBy(F.desc("weight"), *by).limit(most)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +72,26 @@ def run_checks(df: DataFrame, checks: Sequence[Check], reachable: Column | None
     return flat.withColumn("place", F.row_number().over(Window.orderBy(F.desc("rank_score"), "check")))
 
 
+def run_checks_each(df: DataFrame, checks: Sequence[Check], reachable: Column | None = None) -> DataFrame:
+    """``run_checks`` with ``error``: a check that raises is reported, with null counts and
+    in the last places, and the others go on. All checks share one pass; only where that
+    raises, halves are tried until the checks at fault stand alone, so that f faults among n
+    checks cost some f x log2(n) passes. One row per check comes to the driver."""
+
+    def counts(part: Sequence[Check]) -> list[tuple]:
+        try:
+            return [(r["check"], r.hits, r.reachable, r.rank_score, None) for r in run_checks(df, part, reachable).collect()]
+        except PySparkException as e:
+            if len(part) == 1:
+                return [(part[0].name, None, None, None, e.getCondition() or type(e).__name__)]
+            half = len(part) // 2
+            return counts(part[:half]) + counts(part[half:])
+
+    found = df.sparkSession.createDataFrame(counts(list(checks)) if checks else [], "check string, hits long, reachable long, rank_score double, error string")
+    # one row per check
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("rank_score"), "check")))
+
+
 def examples(df: DataFrame, check: Check, key: str, n: int = 5) -> DataFrame:
     return df.where(yes(check.bad)).orderBy(key).select(F.lit(check.name).alias("check"), F.col(key).cast("string").alias("example")).limit(n)
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwise.functions.columns import yes
+
 # Fixed patterns of the event format.
 ID = "^[A-Za-z0-9-]{8,40}$"
 UTM = r"^[A-Za-z0-9_ .%+-]{1,60}$"
@@ -88,6 +90,32 @@ def traffic_summary(df: DataFrame, days: int, now: Column) -> DataFrame:
     return df.where(F.col("ts") >= now - F.expr(f"interval {days} days")).agg(*_traffic())
 
 
+def mark_returning(df: DataFrame, user: str = "user_id", at: str = "ts") -> DataFrame:
+    """Adds ``returning``: the visitor was seen on an earlier day."""
+    first = df.groupBy(F.col(user).alias("_user")).agg(F.to_date(F.min(at)).alias("_first"))
+    marked = df.join(first, F.col(user) == F.col("_user"), "left")
+    return marked.withColumn("returning", yes(F.to_date(at) > F.col("_first"))).drop("_user", "_first")
+
+
+def visitor_kinds(df: DataFrame, days: int, now: Column, returning: Column, signed_in: Column, user: str = "user_id") -> DataFrame:
+    """One row: distinct visitors of a trailing range, of these returning ones and ones that
+    signed in (a visitor counts with any such event in the range)."""
+    rows = df.where(F.col("ts") >= now - F.expr(f"interval {days} days"))
+    of = lambda c: F.countDistinct(F.when(yes(c), F.col(user)))
+    return rows.agg(F.countDistinct(user).alias("visitors"), of(returning).alias("returning"), of(signed_in).alias("signed_in"))
+
+
+def visitor_sketches(df: DataFrame, user: str = "user_id", precision: int = 12) -> DataFrame:
+    """``hour, sketch, views``: what any later range needs, a small row per hour. Sketches of
+    hours merge (``visitors_over``), distinct counts do not."""
+    return df.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.hll_sketch_agg(user, precision).alias("sketch"), F.count_if(F.col("event_type") == "view").alias("views"))
+
+
+def visitors_over(sketches: DataFrame, *by: Column) -> DataFrame:
+    """Estimated distinct visitors and exact views over all hours of each group."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("visitors"), F.sum("views").alias("views"))
+
+
 def traffic_series(df: DataFrame, bucket: str) -> DataFrame:
     """The same per ``hour`` or ``day``."""
     return df.groupBy(F.date_trunc(bucket, "ts").cast("timestamp_ntz").alias("bucket")).agg(*_traffic())

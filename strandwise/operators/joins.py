@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwise.functions.ordered import ordered
+from strandwise.functions.staging import stage
+
 from strandwise.functions.columns import yes
 
 
@@ -68,37 +71,45 @@ def unique_tier_lookup(values: DataFrame, labels: DataFrame, value: str = "value
     return one.select(value, "term_id", "tier")
 
 
-MOST_INTERVALS = 1000
-
-
 def narrowest_interval(points: DataFrame, intervals: DataFrame, key: str, point: str) -> DataFrame:
     """Each point with the narrowest interval [low, high) that holds it (``high`` NULL is
-    open); ties go to the smaller id.
+    open); ties go to the smaller id. Any number of points and of overlapping intervals.
 
-    Overlapping intervals are first cut at their ends into pieces, each with its best
-    interval. The sorted pieces are one array beside each point, searched by halves, so
-    no join on ranges is needed. Intervals are a small vocabulary: more than
-    ``MOST_INTERVALS`` are an error.
+    The intervals' ends cut the axis into pieces, numbered in order. An interval covers a
+    run of pieces, which is the union of at most two aligned runs of each power-of-two
+    length; each aligned run keeps its narrowest interval only, so a piece finds its best
+    one among the few aligned runs that hold it, by equal keys. Points then find the last
+    piece that starts at or before them by a running maximum over the joint order.
     """
-    if (n := intervals.count()) > MOST_INTERVALS:
-        raise ValueError(f"{n} intervals; at most {MOST_INTERVALS} are a vocabulary")
-    ends = intervals.select(F.col("low").alias("x")).union(intervals.where("high is not null").select(F.col("high").alias("x"))).distinct()
-    inside = (F.col("x") >= F.col("low")) & (F.col("high").isNull() | (F.col("x") < F.col("high")))
+    ends = intervals.select(F.col("low").cast("double").alias("x")).union(intervals.select(F.col("high").cast("double").alias("x"))).where("x is not null").distinct()
+    places = stage(ordered(ends, [F.col("x")], "r").withColumn("r", F.col("r").cast("long") - 1), "pieces")
+    n = places.count()
+    levels = F.sequence(F.lit(0), F.lit(max(1, n).bit_length()))
+    at = lambda c, name: places.select(F.col("x").alias(c), F.col("r").alias(name))
+    spans = intervals.select("id", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))
+    spans = spans.join(at("low", "a"), "low").join(at("high", "b"), "high", "left").withColumn("b", F.when(F.col("high").isNull(), F.lit(n)).otherwise(F.col("b"))).where("a < b")
     width = F.coalesce(F.col("high") - F.col("low"), F.lit(float("inf")))
-    pieces = ends.join(intervals, inside, "left").groupBy("x").agg(F.min(F.when(F.col("id").isNotNull(), F.struct(width.alias("w"), "id"))).alias("best"))
-    steps = pieces.agg(F.array_sort(F.collect_list(F.struct("x", F.col("best.id").alias("id")))).alias("steps")).scalar()
-    rows = points.withColumn("_steps", steps)
-    halves = F.sequence(F.lit(1), F.lit(max(1, (2 * n).bit_length())))
-
-    def halve(at: Column, _: Column) -> Column:
-        middle = F.shiftright(at["low"] + at["high"] + 1, 1)
-        below = F.coalesce(F.get("_steps", middle)["x"] <= F.col(point), F.lit(False))
-        return F.struct(F.when(below, middle).otherwise(at["low"]).alias("low"), F.when(below, at["high"]).otherwise(F.greatest(middle - 1, at["low"])).alias("high"))
-
-    # the last piece that starts at or before the point; -1 where none does
-    last = F.aggregate(halves, F.struct(F.lit(-1).alias("low"), (F.size("_steps") - 1).alias("high")), halve, lambda at: at["low"])
-    rows = rows.withColumn("_last", last)
-    return rows.select(key, point, F.when(F.col("_last") >= 0, F.get("_steps", "_last")["id"]).alias("interval_id"))
+
+    def cover(s: Column, level: Column) -> Column:
+        """The aligned runs at both ends of what is still uncovered, then half of it."""
+        odd_a, odd_b, some = s["a"] % 2 == 1, s["b"] % 2 == 1, s["a"] < s["b"]
+        run = lambda i: F.array(F.struct(level.alias("level"), i.alias("i")))
+        none = F.array().cast("array<struct<level:int,i:bigint>>")
+        runs = F.concat(s["runs"], F.when(some & odd_a, run(s["a"])).otherwise(none), F.when(some & odd_b & (s["b"] - 1 >= s["a"] + odd_a.cast("int")), run(s["b"] - 1)).otherwise(none))
+        up = F.shiftright(s["a"] + odd_a.cast("int"), 1)
+        return F.struct(up.alias("a"), F.greatest(F.shiftright(s["b"], 1), up).alias("b"), runs.alias("runs"))
+
+    begin = F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.array().cast("array<struct<level:int,i:bigint>>").alias("runs"))
+    runs = spans.select("id", width.alias("w"), F.explode(F.aggregate(levels, begin, cover)["runs"]).alias("run")).select("id", "w", "run.*")
+    best = runs.groupBy("level", "i").agg(F.min(F.struct("w", "id")).alias("best"))
+    holding = places.select("x", "r", F.explode(levels).alias("level")).select("x", "level", F.expr("shiftright(r, level)").alias("i"))
+    pieces = holding.join(best, ["level", "i"], "left").groupBy("x").agg(F.min("best").alias("best")).select("x", F.col("best.id").alias("interval_id"))
+
+    joint = points.select(F.col(key), F.col(point), F.col(point).cast("double").alias("_at"), F.lit(1).alias("_point"), F.lit(None).cast("double").alias("_piece"))
+    kinds = {f.name: f.dataType for f in joint.schema.fields}
+    joint = joint.unionByName(places.select(F.lit(None).cast(kinds[key]).alias(key), F.lit(None).cast(kinds[point]).alias(point), F.col("x").alias("_at"), F.lit(0).alias("_point"), F.col("x").alias("_piece")))
+    found = ordered(joint, [F.col("_at").asc_nulls_first(), F.col("_point"), F.col(key)], None, [("_piece", "max", "_last")]).where("_point = 1")
+    return found.join(pieces, F.col("_last") == F.col("x"), "left").select(key, point, "interval_id")
 
 
 def first_rule(df: DataFrame, rules: Sequence[tuple[str, str, str]], column: str, out: str) -> DataFrame:

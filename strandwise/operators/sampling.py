@@ -103,6 +103,16 @@ def downsample(df: DataFrame, key: str, order: Sequence[Column], cap: int, seed:
     return rows.where(F.col("_r") <= F.col("keep")).drop("_r", "keep")
 
 
+def downsample_positions(df: DataFrame, key: str, order: Sequence[Column], cap: int, seed: int, floor: int = 1) -> DataFrame:
+    """Rows kept by a proportional allocation, of each group those at the positions that
+    ``select_positions`` draws, with their ``position`` (from 0 in ``order``, without ties)."""
+    plan = allocate(df.groupBy(key).agg(F.count("*").alias("n")), key, "n", cap, str(seed), floor).select(key, "size", "keep")
+    kept = select_positions(plan.where("keep > 0"), key, "size", "keep", str(seed)).withColumnRenamed("key", "_key")
+    placed = df.withColumn("position", (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
+    same = (F.col(key).cast("string") == F.col("_key")) & (placed["position"] == kept["position"])
+    return placed.join(kept, same, "left_semi")
+
+
 def sample_prune(stats: DataFrame, ranges: dict[str, tuple[float | None, float | None]]) -> DataFrame:
     """Groups whose ``<column>_min`` .. ``<column>_max`` can meet every range."""
     for c, (low, high) in ranges.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -182,7 +183,8 @@ def match_counts(children: DataFrame, key: str, terms: Sequence[str], fields: Se
     for term in terms:
         for field in fields:
             low = F.lower(F.coalesce(F.col(field), F.lit("")))
-            hit = low.rlike(rf"(^|[^a-z0-9]){term}([^a-z0-9]|$)") if len(term) <= short else low.contains(term)
+            literal = re.sub(r"([^a-z0-9])", r"\\\1", term)  # a term is text, not a pattern
+            hit = low.rlike(rf"(^|[^a-z0-9]){literal}([^a-z0-9]|$)") if len(term) <= short else low.contains(term)
             options.append(F.struct(F.lit(term).alias("term"), F.lit(field).alias("field"), hit.alias("hit")))
     rows = children.select(key, F.explode(F.array(*options)).alias("o")).where("o.hit")
     return rows.groupBy(key, "o.term", "o.field").agg(F.count("*").alias("n"))

@@ -26,6 +26,25 @@ def _(t):
     return A.grouped_count(cells(t), ["l_returnflag", "l_linestatus"], "weight")
 
 
+_SUMMED = "SELECT l_returnflag, sum(l_quantity::bigint)::bigint AS weight, false AS truncated FROM lineitem WHERE l_linestatus IN ('F') AND {} GROUP BY 1"
+
+
+def _summed(t: Tables, **more):
+    rows = t.lineitem.select("l_returnflag", "l_linestatus", "l_discount", F.col("l_quantity").cast("long").alias("weight"))
+    summary = rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("weight").alias("weight"))
+    return A.grouped_count(rows, ["l_returnflag"], "weight", summary=summary, where={"l_linestatus": ["F"]}, **more)
+
+
+@query("grouped_count_summary", _SUMMED.format("true"))
+def _(t):
+    return _summed(t)
+
+
+@query("grouped_count_row_filter", _SUMMED.format("l_discount > 0.05"))
+def _(t):
+    return _summed(t, rows=F.col("l_discount") > 0.05)
+
+
 @query("corpus_stats", """
 WITH r AS (SELECT count(*)::double AS a, count(*) FILTER (WHERE o_orderstatus = 'F')::double AS d, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS v, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END)::double AS k FROM orders)
 SELECT 'all' AS metric, a AS value FROM r UNION ALL SELECT 'done', d FROM r UNION ALL SELECT 'avg_done', v FROM r UNION ALL SELECT 'kinds_done', k FROM r

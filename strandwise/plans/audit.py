@@ -76,6 +76,17 @@ def _(t):
     return L.run_checks(t.lineitem, _checks(_CHECKS), F.col("l_returnflag") != "N")
 
 
+_FAILING = {"bad price": (4, "l_extendedprice < 1000"), "text as number": (5, "cast(l_returnflag as int) > 0"), "large": (2, "l_quantity > 45"), "no divisor": (3, "l_orderkey / (l_linenumber - l_linenumber) > 1")}
+
+
+@query("run_checks_each", """
+WITH c AS (SELECT 'bad price' AS "check", 4 AS severity, count(*) FILTER (WHERE l_extendedprice < 1000) AS hits FROM lineitem UNION ALL SELECT 'large', 2, count(*) FILTER (WHERE l_quantity > 45) FROM lineitem),
+r AS (SELECT "check", hits, hits AS reachable, round(severity * log10(hits + 1), 4) AS rank_score, NULL AS error FROM c UNION ALL SELECT 'text as number', NULL, NULL, NULL, 'CAST_INVALID_INPUT' UNION ALL SELECT 'no divisor', NULL, NULL, NULL, 'DIVIDE_BY_ZERO')
+SELECT *, row_number() OVER (ORDER BY rank_score DESC NULLS LAST, "check")::int AS place FROM r""")
+def _(t):
+    return L.run_checks_each(t.lineitem, _checks(_FAILING))
+
+
 _IMPOSSIBLE = {
     "negative total": (5, "o_totalprice < 0"),
     "fraction outside": (4, "(o_orderkey % 120) / 100.0 > 1"),

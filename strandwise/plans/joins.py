@@ -100,6 +100,17 @@ def _(t):
     return J.narrowest_interval(t.orders, t.spark.createDataFrame(BANDS, "id int, low double, high double"), "o_orderkey", "o_totalprice")
 
 
+@query("narrowest_of_many", """
+WITH i AS (SELECT o_orderkey AS id, o_totalprice AS low, CASE WHEN o_orderkey % 50 <> 0 THEN o_totalprice + o_orderkey % 97 END AS high FROM orders),
+p AS (SELECT DISTINCT p_retailprice * 100 AS price FROM part),
+h AS (SELECT price, arg_min(id, {'w': coalesce(high - low, 1e300), 'id': id}) AS id FROM p JOIN i ON price >= low AND (high IS NULL OR price < high) GROUP BY price)
+SELECT p_partkey, p_retailprice * 100 AS price, h.id AS interval_id FROM part LEFT JOIN h ON h.price = p_retailprice * 100""")
+def _(t):
+    high = F.when(F.col("o_orderkey") % 50 != 0, F.col("o_totalprice") + F.col("o_orderkey") % 97)
+    intervals = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("low"), high.alias("high"))
+    return J.narrowest_interval(t.part.withColumn("price", F.col("p_retailprice") * 100), intervals, "p_partkey", "price")
+
+
 RULES = [("exact", "red widget", "signal"), ("contains", "bolt", "fastener"), ("contains", "red", "red"), ("contains", "ring", "seal")]
 
 

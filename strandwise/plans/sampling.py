@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandwise.functions.hashing import fnv1a32, hash32
+from strandwise.functions.staging import stage
 from strandwise.operators import derived as N
 from strandwise.operators import events as O
 from strandwise.operators import sampling as M
+from strandwise.operators import windows as G
 
 from .joins import CLOSURE_SQL, served_orders
 from .registry import Tables, query
@@ -66,12 +68,52 @@ def _(t):
     return t.customer.select("c_custkey", fnv1a32(F.col("c_name")).alias("h"))
 
 
-@query("select_positions")
-def _(t):
+def positions_sql(groups: str) -> str:
+    """``drawn`` (key, pos) from ``groups`` (key, n, k): the seeded stream's values have a
+    closed form, the selection goes along the positions."""
+    fnv = "list_reduce(list_prepend(2166136261::ubigint, list_transform(string_split('7|' || key, ''), lambda c: unicode(c)::ubigint)), lambda h, b: (xor(h, b) * 16777619::ubigint) % 4294967296::ubigint)"
+    m = "% 4294967296::ubigint"
+    return f"""seeded AS (SELECT key, n::bigint AS n, k::bigint AS k, {fnv} AS seed FROM ({groups})),
+walk AS (
+  SELECT key, n, k, seed, 0::bigint AS i, 0::bigint AS kept, -1::bigint AS pos FROM seeded
+  UNION ALL
+  SELECT key, n, k, seed, i + 1, kept + took, CASE took WHEN 1 THEN i ELSE -1 END
+  FROM (SELECT *, (xor(t2, t2 >> 14) / 4294967296.0::double * (n - i) < k - kept)::int AS took
+    FROM (SELECT *, xor(t1, (t1 + (xor(t1, t1 >> 7) * (t1 | 61::ubigint)) {m}) {m}) AS t2
+      FROM (SELECT *, (xor(t0, t0 >> 15) * (t0 | 1::ubigint)) {m} AS t1
+        FROM (SELECT *, (seed + (i + 1)::ubigint * 1831565813::ubigint) {m} AS t0 FROM walk WHERE i < n AND kept < k))))
+), drawn AS (SELECT key, pos FROM walk WHERE pos >= 0)"""
+
+
+_THIRD = "SELECT o_custkey::varchar AS key, count(*) AS n, ceil(count(*) / 3) AS k FROM orders GROUP BY o_custkey"
+
+
+def thirds(t: Tables):
     groups = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).withColumn("k", F.ceil(F.col("n") / 3))
     return M.select_positions(groups, "o_custkey", "n", "k", "7")
 
 
+@query("select_positions", f"WITH RECURSIVE {positions_sql(_THIRD)} SELECT key, pos AS position FROM drawn")
+def _(t):
+    return thirds(t)
+
+
+@query("kept_runs", f"""
+WITH RECURSIVE {positions_sql(_THIRD)}, r AS (SELECT key, pos, pos - row_number() OVER (PARTITION BY key ORDER BY pos) AS island FROM drawn)
+SELECT key, min(pos) AS start, count(*) AS length FROM r GROUP BY key, island""")
+def _(t):
+    return G.runs(thirds(t), "key", "position")
+
+
+@query("downsample_positions", f"""
+WITH RECURSIVE {allocate_sql(3000, 1)},
+{positions_sql("SELECT o_custkey::varchar AS key, count(*) AS n, any_value(keep) AS k FROM orders JOIN g USING (o_custkey) WHERE keep > 0 GROUP BY o_custkey")},
+placed AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position FROM orders)
+SELECT o_custkey, o_orderkey, position FROM placed JOIN drawn ON key = o_custkey::varchar AND pos = position""")
+def _(t):
+    return M.downsample_positions(t.orders, "o_custkey", [F.col("o_orderkey")], 3000, 7, 1).select("o_custkey", "o_orderkey", "position")
+
+
 @query("downsample", f"""
 WITH RECURSIVE {allocate_sql(3000, 1)}, h AS (SELECT o_custkey, o_orderkey, {hash_sql(7, 'o_custkey', 'o_orderkey')} AS place FROM orders),
 n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY place, o_orderkey) AS r FROM h)
@@ -182,6 +224,23 @@ def _(t):
     return O.traffic_summary(t.events, 14, now())
 
 
+@query("visitor_kinds", f"""
+WITH f AS (SELECT user_id, min(ts)::date AS first FROM events GROUP BY 1), e AS (SELECT events.*, ts::date > first AS again FROM events LEFT JOIN f USING (user_id))
+SELECT count(DISTINCT user_id) AS visitors, count(DISTINCT user_id) FILTER (WHERE again) AS "returning", count(DISTINCT user_id) FILTER (WHERE event_type = 'purchase') AS signed_in FROM e WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 14 DAY""")
+def _(t):
+    return O.visitor_kinds(O.mark_returning(t.events), 14, now(), F.col("returning"), F.col("event_type") == "purchase")
+
+
+@query("visitors_by_sketch", "SELECT date_trunc('day', ts)::timestamp AS day, count(*) FILTER (WHERE event_type = 'view') AS views, count(DISTINCT user_id) AS exact, true AS close FROM events GROUP BY 1")
+def _(t):
+    day = F.date_trunc("day", "hour").cast("timestamp_ntz").alias("day")
+    stored = stage(O.visitor_sketches(t.events), "sketches")
+    exact = t.events.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.countDistinct("user_id").alias("exact"))
+    # four standard errors of a sketch with 2 ** 12 registers
+    close = F.abs(F.col("visitors") - F.col("exact")) <= F.greatest(F.lit(2.0), F.col("exact") * 4 * 1.04 / 64)
+    return O.visitors_over(stored, day).join(exact, "day").select("day", "views", "exact", close.alias("close"))
+
+
 @query("traffic_series", f"SELECT date_trunc('day', ts)::timestamp AS bucket, {_TRAFFIC} FROM events GROUP BY 1")
 def _(t):
     return O.traffic_series(t.events, "day")

@@ -106,8 +106,9 @@ def export_features(rows: DataFrame, row: str, symbol: Column) -> DataFrame:
 
 def export_cells(cells: DataFrame, column: str, attributes: Sequence[str]) -> DataFrame:
     """``j, cell`` and attributes as clean text: the cell table that belongs to the
-    triples' columns, one row per cell."""
-    one = cells.dropDuplicates([column]).select(column, *attributes)
+    triples' columns, one row per cell. Of a repeated cell's rows the smallest counts, by
+    the attributes in order."""
+    one = cells.groupBy(column).agg(F.min(F.struct(*attributes)).alias("_row")).select(column, "_row.*")
     named = places(one, column, "j").join(one, column)
     return delimited(named.select("j", F.col(column).alias("cell"), *attributes)).withColumn("j", F.col("j").cast("int"))
 

@@ -18,6 +18,7 @@ from strandwise.operators import facts as K
 from strandwise.operators import joins as Joins
 from strandwise.operators import sampling as M
 from strandwise.operators import text as J
+from strandwise.sources import tables as Sources
 
 
 def one(spark, column):
@@ -142,7 +143,7 @@ def test_closure_is_whole(spark):
     assert circle == {("a", "a"): 0, ("b", "b"): 0, ("a", "b"): 1, ("b", "a"): 1}
 
 
-def test_narrowest_interval_against_a_loop(spark, monkeypatch):
+def test_narrowest_interval_against_a_loop(spark):
     random.seed(4)
     bands = [(i, float(low := random.randint(0, 90)), None if i % 9 == 0 else float(low + random.randint(1, 40))) for i in range(30)]
     points = [(i, random.uniform(-5, 140)) for i in range(300)]
@@ -151,9 +152,7 @@ def test_narrowest_interval_against_a_loop(spark, monkeypatch):
     for k, p in points:
         held = [(float("inf") if high is None else high - low, i) for i, low, high in bands if low <= p and (high is None or p < high)]
         assert got[k] == (min(held)[1] if held else None)
-    monkeypatch.setattr(Joins, "MOST_INTERVALS", 29)
-    with pytest.raises(ValueError):
-        Joins.narrowest_interval(frame, frame, "id", "low")
+
 
 
 def test_pareto_against_a_loop(spark):
@@ -177,3 +176,33 @@ def test_facts_follow_the_first_pair(spark):
     assert {(r.outcome, r.attr, r.pair_key) for r in rows if r.outcome != "fact"} == {("unplaced", "sample_type", "cell line"), ("unmapped", None, "note")}
     empty = pairs.where("false")
     assert K.read_pairs(empty, "k").count() == 0 and K.classify_sample_type(empty, "k").count() == 0
+
+
+def test_narrowest_of_a_hundred_thousand_overlapping_intervals(spark):
+    """Interval i is [i, 300000 - i): the narrowest around a point has the largest i."""
+    intervals = spark.range(100_000).select("id", F.col("id").cast("double").alias("low"), (300_000 - F.col("id")).cast("double").alias("high"))
+    points = spark.createDataFrame([(1, 0.5), (2, 70_000.0), (3, 150_000.0), (4, 299_999.5), (5, 300_000.0), (6, -1.0), (7, None), (8, 70_000.0)], "k long, p double")
+    got = {r.k: r.interval_id for r in Joins.narrowest_interval(points, intervals, "k", "p").collect()}
+    assert got == {1: 0, 2: 70_000, 3: 99_999, 4: 0, 5: None, 6: None, 7: None, 8: 70_000}
+
+
+def test_a_summary_answers_only_what_it_holds(spark):
+    rows = spark.createDataFrame([("a", "x", 1, 5), ("a", "y", 2, 6), ("b", "x", 3, 7)], "k string, f string, weight long, v long")
+    wrong = spark.createDataFrame([("a", "x", 100), ("b", "x", 300)], "k string, f string, weight long")  # tells which of both was read
+    ask = lambda **more: {r.k: r.weight for r in D.grouped_count(rows, ["k"], "weight", summary=wrong, **more).collect()}
+    assert ask() == {"a": 100, "b": 300} and ask(where={"f": ["x"]}) == {"a": 100, "b": 300}
+    assert ask(where={"v": [6]}) == {"a": 2} and ask(rows=F.col("v") > 5) == {"a": 2, "b": 3}
+
+
+def test_terms_are_text(spark):
+    rows = spark.createDataFrame([(1, "written in c plus"), (1, "in C++ and c+"), (1, "a ccc b"), (1, "f(x")], "k long, text string")
+    got = {r.term: r.n for r in J.match_counts(rows, "k", ["c+", "c++", "(", "c"], ["text"]).collect()}
+    assert got == {"c+": 1, "c++": 1, "c": 2}  # the bracket stands inside a word
+
+
+def test_repeated_cells_give_their_smallest_row(spark):
+    rows = [("c1", "b", ["y"]), ("c1", "a", ["z"]), ("c1", "a", ["x"]), ("c2", None, None)]
+    for parts in (1, 3):
+        found = Sources.export_cells(spark.createDataFrame(rows, "cell string, name string, labels array<string>").repartition(parts), "cell", ["name", "labels"])
+        first, second = found.orderBy("j").collect()
+        assert (first.cell, first.name, first.labels, second.cell) == ("c1", "a", "x", "c2")
