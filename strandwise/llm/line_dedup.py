@@ -70,6 +70,14 @@ class LineRuns:
         self.fan_in = fan_in
         self.levels: list[list[DataFrame]] = []
         self.additions: list[DataFrame] = []
+        self.replaced: list[DataFrame] = []
+
+    def release(self) -> None:
+        """Deletes runs that compactions have replaced. To be called once a new manifest is
+        saved: until then the last saved one names them, and a job that dies is taken up
+        again from it."""
+        discard(*self.replaced)
+        self.replaced = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -111,7 +119,7 @@ class LineRuns:
         if len(self.levels[level]) > self.fan_in:
             old, self.levels[level] = self.levels[level], []
             self._put(stage(reduce(DataFrame.unionByName, old).repartition(*_KEY).sortWithinPartitions(*_KEY), "run"), level + 1)
-            discard(*old)
+            self.replaced += old
 
     def counts(self) -> DataFrame:
         """Every key with its documents, its rows and its largest document id."""
@@ -123,14 +131,17 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     """``doc_id, tag`` and the sorted array ``gone`` of its line numbers (from 0) to drop.
 
     ``runs``: earlier runs that the batches of ``docs`` are added to; documents must not
-    be added twice.
+    be added twice; the caller saves their new manifest and then calls ``release``.
     """
     of_batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     keys = stage(line_keys(docs.where("doc_id is not null"), min_chars).withColumn("batch", of_batch), "lines")
-    runs = LineRuns() if runs is None else runs
+    own = runs is None
+    runs = LineRuns() if own else runs
     for b in range(batches):
         mine = keys.where(F.col("batch") == b)
         runs.add(mine.groupBy(_KEY).agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_rows"), F.max("doc_id").alias("last_doc")))
+        if own:
+            runs.release()
     often = stage(runs.counts().where(F.col("n_docs") >= min_docs).drop("n_docs"), "often")
     hits = join_counted(keys.drop("batch"), often, _KEY, "n_rows", keys.count()).where("doc_id != last_doc")
     return hits.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("line")).alias("gone"))

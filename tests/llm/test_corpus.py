@@ -359,6 +359,20 @@ def test_line_runs_outlive_a_call(spark, rows):
     assert gone == {d: g for d, g in want.items() if d % 2}
 
 
+def test_replaced_line_runs_stay_until_released(spark):
+    """What the last saved manifest names is there until the caller has saved a new one."""
+    frame = lambda i: spark.createDataFrame([(100 * i + k, "\n".join(f"line {i} {k} {j} of some forty characters or more" for j in range(3)), "s") for k in range(4)], DDL)
+    runs = line_dedup.LineRuns(fan_in=2)
+    line_dedup.dropped_lines(frame(0), batches=2, runs=runs)
+    saved = runs.manifest()
+    line_dedup.dropped_lines(frame(1), batches=2, runs=runs)  # compacts; then the job dies
+    again = line_dedup.LineRuns.open(spark, saved)
+    assert runs.replaced and again.counts().count() == 12
+    assert runs.counts().count() == 24
+    runs.release()
+    assert not runs.replaced and runs.counts().count() == 24
+
+
 def test_join_counted_keeps_every_row(spark, monkeypatch):
     rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(300)], "k long, v long")
     keys = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top")).where("k != 4")
