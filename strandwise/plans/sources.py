@@ -163,3 +163,16 @@ def _(t):
     twice = _stream(t)
     S.run_to_table(S.distinct_points(twice.select("event_id", "ts", "user_id"), "400 days"), out, at)
     return t.spark.read.schema("event_id long, ts timestamp, user_id long").parquet(out).select("event_id", "user_id")
+
+
+@query("stream_admissions", """
+WITH e AS (SELECT user_id, event_id, ts, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) <= 1 AS admitted FROM events)
+SELECT user_id, window_end::timestamp AS window_end, event_id, ts::timestamp AS ts, admitted FROM e
+WHERE NOT admitted OR window_end < (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
+def _(t):
+    path, out, at = scratch(t, "calls"), scratch(t, "admissions"), scratch(t, "at")
+    t.events.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(path)
+    # all files at once: which of them come late is then not left to the order of a listing
+    S.run_to_table(S.admissions(S.read_events(t.spark, path, 1_000_000), limit=1), out, at)
+    found = t.spark.read.schema(S.ADMISSIONS).parquet(out)
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "window_end")})

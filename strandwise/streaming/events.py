@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -40,3 +41,52 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query = writer.foreachBatch(each).start() if each else writer.format("parquet").option("path", path).start()
     query.awaitTermination()
+
+
+ADMISSIONS = "user_id long, window_end timestamp, event_id long, ts timestamp, admitted boolean"
+
+
+def _admit(limit: int):
+    """Calls of one subject and window: kept are the ``limit`` earliest so far, as no later
+    call can be one of them once they are ``limit``; one that falls behind is turned away
+    at once, the kept ones are admitted when the watermark has passed the window."""
+
+    def run(key, frames, state):
+        user, end = key
+        kept = list(zip(*state.get)) if state.exists else []
+
+        def out(calls, admitted):
+            if calls:
+                yield pd.DataFrame({"user_id": user, "end": end, "event_id": [c[1] for c in calls], "at": [c[0] for c in calls], "admitted": admitted})
+
+        if state.hasTimedOut:
+            state.remove()
+            yield from out(kept, True)
+            return
+        for frame in frames:
+            calls = sorted([*kept, *zip(frame["at"].tolist(), frame["event_id"].tolist())])
+            kept, away = calls[:limit], calls[limit:]
+            yield from out(away, False)
+        state.update(tuple(map(list, zip(*kept))) if kept else ([], []))
+        state.setTimeoutTimestamp(int(end))
+
+    return run
+
+
+def admissions(stream: DataFrame, width: str = "1 hour", late: str = "2 hours", limit: int = 10) -> DataFrame:
+    """Every call, marked admitted or not: of a subject's calls in a fixed window the first
+    ``limit`` are, by time and then id. Repeated calls (one ``event_id``) count once within
+    the watermark. State per subject and window is ``limit`` calls, whatever their number;
+    calls of windows that the watermark has not passed are pending."""
+    once = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    # times as numbers, so that the session's time zone does not matter in Python
+    calls = once.select("user_id", F.unix_millis(F.window("ts", width)["end"]).alias("end"), "event_id", F.unix_micros("ts").alias("at"), "ts")
+    marked = calls.groupBy("user_id", "end").applyInPandasWithState(_admit(limit), "user_id long, end long, event_id long, at long, admitted boolean", "at array<long>, id array<long>", "append", "EventTimeTimeout")
+    return marked.select("user_id", F.timestamp_millis("end").alias("window_end"), "event_id", F.timestamp_micros("at").alias("ts"), "admitted")
+
+
+def admissions_of(calls: DataFrame, width: str = "1 hour", limit: int = 10) -> DataFrame:
+    """The same of a finished table."""
+    rows = calls.groupBy("event_id").agg(F.min(F.struct("ts", "user_id")).alias("c")).select("event_id", "c.ts", "c.user_id").withColumn("window_end", F.window("ts", width)["end"])
+    place = F.row_number().over(Window.partitionBy("user_id", "window_end").orderBy("ts", "event_id"))
+    return rows.select("user_id", "window_end", "event_id", "ts", (place <= limit).alias("admitted"))
