@@ -171,6 +171,37 @@ def evidence_score(
     return df.select(key, F.round(score, 3).alias("score"), full.alias("full"), F.concat_ws(";", *notes).alias("evidence"))
 
 
+def child_evidence(studies: DataFrame, key: str, total: str, cells: Sequence[str], held: DataFrame, terms: Sequence[str], matches: DataFrame, titles: Sequence[str] = ("title",), bodies: Sequence[str] = ("body",)) -> DataFrame:
+    """``key, cell_score, word_score, full``: what a study's children add to its evidence.
+
+    ``held`` (``key, value, n``): children of each asked cell type; one that is held gives
+    1 + 2 x its share of the ``total`` children. ``matches`` (``key, term, field, n``, as
+    ``match_counts`` gives them, also for variants of the terms): a term gives 1.5 in a
+    title field, 1 in a body field, and 0.5 x the largest share of children of any other
+    field; all terms give 4 at most. ``full``: every cell type is held or named in title or
+    body, and every term is met. A term's plain plural and singular count as the term.
+    """
+    asked = studies.sparkSession.createDataFrame([("cell", c) for c in cells] + [("word", t) for t in terms], "kind string, asked string")
+    forms = asked.select("kind", "asked", F.explode(variants(F.col("asked"))).alias("term"))
+    in_, most = (lambda names: F.col("field").isin(list(names))), lambda c: F.max(F.coalesce(c, F.lit(0)))
+    met = matches.join(F.broadcast(forms), "term").select(  # as many rows as were asked
+        key, "kind", "asked", in_(titles).cast("int").alias("title"), in_(bodies).cast("int").alias("body"),
+        F.when(~in_([*titles, *bodies]), F.col("n")).otherwise(0).cast("long").alias("children"), F.lit(0).cast("long").alias("held"),
+    )
+    own = held.where(F.col("value").isin(list(cells))).select(key, F.lit("cell").alias("kind"), F.col("value").alias("asked"), F.lit(0).alias("title"), F.lit(0).alias("body"), F.lit(0).cast("long").alias("children"), F.col("n").cast("long").alias("held"))
+    rows = met.unionByName(own).groupBy(key, "kind", "asked").agg(*(most(F.col(c)).alias(c) for c in ("title", "body", "children", "held")))
+    rows = rows.join(studies.select(key, F.greatest(F.col(total), F.lit(1)).alias("_total")), key)
+    share = lambda c: F.least(F.lit(1.0), F.col(c) / F.col("_total"))
+    cell, word = F.col("kind") == "cell", F.col("kind") == "word"
+    cell_score = F.when(cell & (F.col("held") > 0), 1 + 2 * share("held")).otherwise(0.0)
+    word_score = F.when(word, 1.5 * F.col("title") + F.col("body") + 0.5 * share("children")).otherwise(0.0)
+    there = F.when(cell, (F.col("held") > 0) | (F.col("title") + F.col("body") > 0)).otherwise(F.col("title") + F.col("body") + F.col("children") > 0)
+    sums = rows.groupBy(key).agg(F.sum(F.round(cell_score, 6)).alias("cell_score"), F.sum(F.round(word_score, 6)).alias("word_score"), F.count_if(there).alias("_there"))
+    out = studies.select(key).join(sums, key, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select(key, F.round(zero(F.col("cell_score")), 4).alias("cell_score"), F.round(F.least(zero(F.col("word_score")), F.lit(4.0)), 4).alias("word_score"), (zero(F.col("_there")) == len(cells) + len(terms)).alias("full"))
+
+
 def relevance_cut(scored: DataFrame) -> DataFrame:
     """Full matches, or scores of at least max(2, 0.35 x the best)."""
     top = scored.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("_top"))

@@ -166,6 +166,24 @@ def _(t):
     return J.match_counts(t.conversations, "conv_id", ["que", "user"], ["text", "role"])
 
 
+@query("child_evidence", r"""
+WITH m AS (SELECT conv_id, count(*) AS total, count(*) FILTER (WHERE role = 'system') AS sys, count(*) FILTER (WHERE role = 'user') AS usr,
+  count(*) FILTER (WHERE regexp_matches(lower(text), '(^|[^a-z0-9])que([^a-z0-9]|$)')) AS que, count(*) FILTER (WHERE contains(lower(text), 'ques')) AS ques,
+  count(*) FILTER (WHERE contains(lower(text), 'thing')) AS thing, bool_or(contains(lower(role), 'user')) AS t_user, bool_or(contains(lower(role), 'assistant')) AS t_assistant,
+  count(*) FILTER (WHERE contains(lower(text), 'assistant')) AS x_assistant, bool_or(contains(lower(text), 'user')) AS x_user, bool_or(contains(lower(role), 'system')) AS t_system FROM conversations GROUP BY 1)
+SELECT conv_id, round(CASE WHEN sys > 0 THEN 1 + 2 * sys / total ELSE 0 END + CASE WHEN usr > 0 THEN 1 + 2 * usr / total ELSE 0 END, 4) AS cell_score,
+  round(least(4.0::double, round(0.5 * greatest(que, ques) / total, 6) + round(0.5 * thing / total, 6) + round(1.5 * t_assistant::int + 0.5 * x_assistant / total, 6)), 4)::double AS word_score,
+  (sys > 0 OR t_system) AND (usr > 0 OR t_user) AND greatest(que, ques) > 0 AND thing > 0 AND (t_assistant OR x_assistant > 0) AS "full" FROM m""")
+def _(t):
+    rows = t.conversations
+    studies = rows.groupBy("conv_id").agg(F.count("*").alias("total"))
+    held = rows.groupBy("conv_id", F.col("role").alias("value")).agg(F.count("*").alias("n"))
+    terms, cells = ["que", "thing", "assistants"], ["system", "user"]
+    forms = ["que", "ques", "thing", "things", "assistants", "assistant", "system", "systems", "user", "users"]
+    matches = J.match_counts(rows, "conv_id", forms, ["text", "role"])
+    return J.child_evidence(studies, "conv_id", "total", cells, held, terms, matches, titles=["role"], bodies=[])
+
+
 @query("filter_matches", """
 SELECT DISTINCT o_custkey, 'priorities' AS field, o_orderpriority AS value FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')
 UNION ALL SELECT DISTINCT o_custkey, 'statuses', o_orderstatus FROM orders WHERE o_orderstatus IN ('P')""")
