@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandwise.functions.staging import scratch
 from strandwise.operators import aggregates as A
+from strandwise.sources.stored import StoredTable, refresh
 
 from .joins import CLOSURE_SQL, SERVED, closure, served_orders
 from .registry import Tables, query
@@ -89,17 +91,48 @@ def rollup(t: Tables):
     return A.study_rollup(served_orders(t), qc(t), "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "F")
 
 
-@query("study_rollup", f"""
+_ROLLUP_SQL = f"""
 WITH s AS (SELECT *, {QC_SQL} AS tier FROM orders WHERE {SERVED}),
 m AS (SELECT o_custkey, o_orderpriority FROM s GROUP BY o_custkey, o_orderpriority QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderpriority) = 1)
 SELECT s.o_custkey, count(*) AS n_total, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_done, coalesce(sum(trunc(o_totalprice)::bigint) FILTER (WHERE o_orderstatus = 'F'), 0)::bigint AS weight,
   count(*) FILTER (WHERE tier = 0) AS n_usable, count(*) FILTER (WHERE tier >= 1) AS n_low, coalesce(sum(trunc(o_totalprice)::bigint) FILTER (WHERE tier >= 1), 0)::bigint AS low_weight,
   any_value(m.o_orderpriority) AS main_kind, string_agg(DISTINCT s.o_orderpriority, '|' ORDER BY s.o_orderpriority) AS kinds
-FROM s JOIN m USING (o_custkey) GROUP BY 1""")
+FROM s JOIN m USING (o_custkey) GROUP BY 1"""
+
+
+@query("study_rollup", _ROLLUP_SQL)
 def _(t):
     return rollup(t)
 
 
+class _Orders:
+    """The given tables with other orders."""
+
+    def __init__(self, t: Tables, orders):
+        self.tables, self.orders = t, orders
+
+    def __getattr__(self, name: str):
+        return getattr(self.tables, name)
+
+
+@query("refreshed_rollup", _ROLLUP_SQL)
+def _(t):
+    """Built from former orders; then the true ones come for every customer they changed."""
+    ddl = lambda df: ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
+    stale = F.col("o_custkey") % 9 == 0
+    former = t.orders.where(~stale | (F.col("o_orderkey") % 2 == 0)).withColumn("o_totalprice", F.when(stale, F.col("o_totalprice") + 1000).otherwise(F.col("o_totalprice")))
+    samples = StoredTable(t.spark, scratch(t.spark, "samples"), "o_custkey", ddl(t.orders))
+    samples.create(former)
+    make = lambda rows: rollup(_Orders(t, rows))
+    first = make(samples.read())
+    stored = StoredTable(t.spark, scratch(t.spark, "rollup"), "o_custkey", ddl(first))
+    stored.create(first)
+    changed = t.orders.where(stale)
+    samples.replace(changed, changed, 1)
+    refresh(stored, samples, changed, make, 1)
+    return stored.read()
+
+
 @query("rollup_drift", f"""
 WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE {SERVED} GROUP BY 1), s AS (SELECT o_custkey, CASE WHEN o_custkey % 10 = 0 THEN n + 1 ELSE n END AS n FROM a WHERE o_custkey % 17 <> 0)
 SELECT coalesce(a.o_custkey, s.o_custkey) AS o_custkey FROM a FULL JOIN s ON a.o_custkey = s.o_custkey WHERE a.n IS DISTINCT FROM s.n""")
