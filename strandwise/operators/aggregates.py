@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from strandwise.functions.columns import money, yes
 from strandwise.functions.ordered import ordered
 
+from .quantiles import quantiles
+
 
 def totals(df: DataFrame, weight: str, sample: str, study: str) -> DataFrame:
     """One row: weight, distinct samples and studies, rows."""
@@ -253,12 +255,12 @@ def compare(df: DataFrame, key: str, ids: Sequence, fields: Sequence[str]) -> Da
 
 
 def qc_medians(df: DataFrame, key: str, metrics: Sequence[str], floor: tuple[str, float], exact: bool = True) -> DataFrame:
-    """Medians per key, and the rows under a floor. Exact medians count the distinct
-    values of a key in one task; ``exact=False`` takes sketches of fixed size."""
+    """Medians per key, and the rows under a floor. Exact medians of a hot key are selected
+    by rank over ranges; ``exact=False`` takes sketches of fixed size, without a look at sizes."""
     under = F.count_if(F.col(floor[0]) < floor[1]).alias("n_under")
-    median = F.median if exact else F.approx_percentile
-    args = () if exact else (F.lit(0.5),)
-    return df.groupBy(key).agg(*(median(m, *args).alias(f"median_{m}") for m in metrics), under)
+    if exact:
+        return quantiles(df, key, {f"median_{m}": (m, 0.5) for m in metrics}, [under])
+    return df.groupBy(key).agg(*(F.approx_percentile(m, F.lit(0.5)).alias(f"median_{m}") for m in metrics), under)
 
 
 def status_rollup(metrics: DataFrame, capabilities: DataFrame, capability: str, passed: Column, gating: Column, measured: Column) -> DataFrame:

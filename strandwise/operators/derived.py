@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from strandwise.functions.ordered import ordered
 from strandwise.functions.staging import discard, stage
 
+from .quantiles import quantiles
+
 
 def encode(df: DataFrame, column: str) -> DataFrame:
     """Dictionary of a column, case folded: ``value, n, code`` by falling frequency, then
@@ -25,13 +27,14 @@ def cell_summary(rows: DataFrame, dims: Sequence[str], weight: str) -> DataFrame
 
 
 def sample_stats(rows: DataFrame, key: str, metrics: Sequence[str], exact: bool = True) -> DataFrame:
-    """Least, greatest, median and 0.9 quantile per key. Exact quantiles count the
-    distinct values of a key in one task; ``exact=False`` takes sketches of fixed size."""
-    quantile = F.percentile if exact else F.percentile_approx
-    aggs = []
-    for m in metrics:
-        aggs += [F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"), quantile(m, F.lit(0.5)).alias(f"{m}_q50"), quantile(m, F.lit(0.9)).alias(f"{m}_q90")]
-    return rows.groupBy(key).agg(*aggs)
+    """Least, greatest, median and 0.9 quantile per key. Exact quantiles of a hot key are
+    selected by rank over ranges; ``exact=False`` takes sketches of fixed size, without a
+    look at sizes."""
+    ends = [f(m).alias(f"{m}_{name}") for m in metrics for name, f in (("min", F.min), ("max", F.max))]
+    named = {f"{m}_{name}": (m, q) for m in metrics for name, q in (("q50", 0.5), ("q90", 0.9))}
+    if exact:
+        return quantiles(rows, key, named, ends)
+    return rows.groupBy(key).agg(*ends, *(F.percentile_approx(m, F.lit(q)).alias(name) for name, (m, q) in named.items()))
 
 
 def closure(edges: DataFrame, most: int = 60) -> DataFrame:

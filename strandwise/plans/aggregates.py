@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions.staging import scratch
 from strandwise.operators import aggregates as A
+from strandwise.operators.quantiles import quantiles
 from strandwise.sources.stored import StoredTable, refresh
 
 from .joins import CLOSURE_SQL, SERVED, closure, served_orders
@@ -279,6 +280,15 @@ def _(t):
     return A.qc_medians(t.lineitem, "l_suppkey", ["l_quantity", "l_discount"], ("l_quantity", 5))
 
 
+@query("quantiles_of_hot_keys", """
+SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.5), 4) AS price_median, round(quantile_cont(l_extendedprice, 0.99), 4) AS price_q99, round(quantile_cont(l_quantity, 0.1), 4) AS quantity_q10 FROM lineitem GROUP BY 1""")
+def _(t):
+    named = {"price_median": ("l_extendedprice", 0.5), "price_q99": ("l_extendedprice", 0.99), "quantity_q10": ("l_quantity", 0.1)}
+    # three keys hold all rows: a low bound takes them through the selection by rank
+    out = quantiles(t.lineitem, "l_returnflag", named, [F.count("*").alias("n")], hot=1000)
+    return out.withColumns({name: F.round(name, 4) for name in named})
+
+
 @query("status_rollup", """
 WITH c AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'P' AND o_totalprice < 20000) AS bad, count(*) FILTER (WHERE o_orderstatus = 'P') AS op FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
 SELECT c_custkey AS o_custkey, CASE WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN bad > 0 THEN 'fail' WHEN op > 0 THEN 'incomplete' ELSE 'pass' END AS state FROM customer LEFT JOIN c ON o_custkey = c_custkey""")
