@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +34,21 @@ def yes(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def known(c: Column, condition: Column) -> Column:
+    """A condition on one column, known wherever that is not null, as two-valued as with
+    ``yes``. Scans take this form, and its negation, as a pushed filter; they take no ``coalesce``."""
+    return c.isNotNull() & condition
+
+
+def known_equal(c: Column, value: Any) -> Column:
+    return F.lit(False) if value is None else known(c, c == F.lit(value))
+
+
+def one_of(c: Column, values: Iterable) -> Column:
+    values = [v for v in values if v is not None]
+    return known(c, c.isin(values)) if values else F.lit(False)
+
+
 def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 

@@ -93,7 +93,7 @@ def run_checks_each(df: DataFrame, checks: Sequence[Check], reachable: Column |
 
 
 def examples(df: DataFrame, check: Check, key: str, n: int = 5) -> DataFrame:
-    return df.where(yes(check.bad)).orderBy(key).select(F.lit(check.name).alias("check"), F.col(key).cast("string").alias("example")).limit(n)
+    return df.where(check.bad).orderBy(key).select(F.lit(check.name).alias("check"), F.col(key).cast("string").alias("example")).limit(n)
 
 
 def never_populated(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.functions.columns import all_of, yes
+from strandwise.functions.columns import all_of, one_of
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,7 @@ class Clause:
     values: tuple
 
     def passes(self) -> Column:
-        hit = yes(F.col(self.attr).isin(list(self.values)))
+        hit = one_of(F.col(self.attr), self.values)
         if self.kind == "include":
             return hit
         if self.kind == "exclude":

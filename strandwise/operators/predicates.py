@@ -1,6 +1,7 @@
 """Filters and predicates (section B): columns in, columns or filtered rows out.
 
-Unknown values never match an include and never block an exclude.
+Unknown values never match an include and never block an exclude. Conditions on a plain
+column have a form that reaches the scan, negated or not.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.functions.columns import all_of, any_of, col, yes
+from strandwise.functions.columns import all_of, any_of, col, known, known_equal, one_of, yes
 
 
 def leaf(spec: Mapping[str, Any]) -> Column:
@@ -19,9 +20,9 @@ def leaf(spec: Mapping[str, Any]) -> Column:
     or ``{"field": f, "is": True}``."""
     c = F.col(spec["field"])
     if "values" in spec:
-        return c.isin(list(spec["values"]))
+        return one_of(c, spec["values"])
     if "is" in spec:
-        return c == F.lit(spec["is"])
+        return known_equal(c, spec["is"])
     return in_range(c, spec.get("min"), spec.get("max"))
 
 
@@ -38,14 +39,14 @@ def tree(spec: Mapping[str, Any]) -> Column:
     if "not" in spec:
         return ~tree(spec["not"])
     if "field" in spec:
-        return yes(leaf(spec))
+        return leaf(spec)
     parts = []
     for field, values in spec.items():
         values = list(values) if isinstance(values, (list, tuple, set)) else [values]
         if field.startswith("not_"):
-            parts.append(~yes(F.col(field[4:]).isin(values)))
+            parts.append(~one_of(F.col(field[4:]), values))
         else:
-            parts.append(yes(F.col(field).isin(values)))
+            parts.append(one_of(F.col(field), values))
     return all_of(parts)
 
 
@@ -69,7 +70,7 @@ def in_range(c: str | Column, low: float | None = None, high: float | None = Non
         parts.append(col(c) >= low)
     if high is not None:
         parts.append(col(c) <= high)
-    return yes(all_of(parts))
+    return all_of(parts)  # known, as null fails the first part
 
 
 def bin_number(c: str | Column, edges: Sequence[float]) -> Column:
@@ -92,8 +93,10 @@ def binned_range(df: DataFrame, c: str, edges: Sequence[float], low: float, high
     first = max((i for i, e in enumerate(edges) if e <= low), default=0)
     last = max((i for i, e in enumerate(edges) if e <= high), default=-1)
     upper = edges[last + 1] if last + 1 < len(edges) else None
-    number = bin_number(c, edges)
-    return df.where(yes(number.between(first, last))).select("*", F.lit(edges[first]).alias("covered_from"), F.lit(upper).alias("covered_to"))
+    inside = in_range(c, edges[first]) if first <= last else F.lit(False)
+    if upper is not None:
+        inside = inside & (F.col(c) < upper)
+    return df.where(inside).select("*", F.lit(edges[first]).alias("covered_from"), F.lit(upper).alias("covered_to"))
 
 
 def flags_any(c: str | Column, wanted: Sequence[str], bits: Mapping[str, int]) -> Column:
@@ -125,7 +128,7 @@ def clause(field: str, op: str, value: Any) -> Column:
     if isinstance(value, str):
         same = yes(F.lower(c) == value.lower())
         return same if op == "==" else ~same
-    return yes(_COMPARE[op](c, value))
+    return known(c, _COMPARE[op](c, value))
 
 
 def row_filter(
@@ -167,7 +170,7 @@ def source_gate(facts: DataFrame, sources: Sequence[str], source: str = "source"
             parts.append((F.col(source) == "model") & (F.col(confidence) >= float(s[7:])))
         else:
             parts.append(F.col(source) == s)
-    return facts.where(yes(any_of(parts)))
+    return facts.where(any_of(parts))
 
 
 def downloadable(has_file: Column, n_done: Column, mismatch: Column, withheld: Column, least: int = 1) -> Column:
@@ -183,18 +186,20 @@ def text_accessions(df: DataFrame, key: str, text: str, prefixes: Sequence[str],
 
 
 def min_weight(df: DataFrame, c: str, least: float) -> DataFrame:
-    return df.where(yes(F.col(c) >= least))
+    return df.where(F.col(c) >= least)
 
 
 def quantised(c: str | Column, scale: float) -> Column:
     """Value at 8-bit resolution: 0..254, NULL where missing."""
-    return F.floor(F.least(F.greatest(col(c) / scale, F.lit(0.0)), F.lit(1.0)) * 254 + 0.5)
+    return F.when(col(c).isNotNull(), F.floor(F.least(F.greatest(col(c) / scale, F.lit(0.0)), F.lit(1.0)) * 254 + 0.5))
 
 
 def quantised_range(c: str | Column, low: float, high: float, scale: float) -> Column:
     """Range at the stored resolution: ends are quantised like the values."""
-    ends = [F.lit(int(min(max(x / scale, 0.0), 1.0) * 254 + 0.5)) for x in (low, high)]
-    return yes(quantised(c, scale).between(*ends))
+    first, last = (int(min(max(x / scale, 0.0), 1.0) * 254 + 0.5) for x in (low, high))
+    # a step more at either end, in plain values, for the scan
+    near = in_range(c, (first - 1) / 254 * scale if first > 0 else None, (last + 1) / 254 * scale if last < 254 else None)
+    return near & quantised(c, scale).between(first, last)
 
 
 def like_bucket(c: str | Column, rules: Sequence[tuple[str, str]], other: str) -> Column:
@@ -217,7 +222,7 @@ def search_filters(groups: DataFrame, members: DataFrame, key: str, spec: Mappin
     """
     conditions = [match_any(c, v) for c, v in spec.get("any", {}).items()]
     conditions += [in_range(c, *v) for c, v in spec.get("ranges", {}).items()]
-    conditions += [yes(F.col(c) == v) for c, v in spec.get("equals", {}).items()]
+    conditions += [known_equal(F.col(c), v) for c, v in spec.get("equals", {}).items()]
     out = groups.where(all_of(conditions))
     if "member" in spec:
         hit = members.where(tree(spec["member"])).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= spec.get("member_least", 1))
@@ -229,12 +234,12 @@ def sample_filters(samples: DataFrame, bad: DataFrame, key: str, spec: Mapping[s
     """Samples that meet a tree; quality tier 2 is never listed, tier 1 only on request,
     statuses are the approved ones unless the spec names others. ``bad``: key, tier."""
     hidden = bad.where(F.col("tier") >= (2 if with_low else 1)).select(key)
-    allowed = F.col("status").isin(list(spec.get("statuses", statuses)))
-    return samples.where(yes(allowed)).where(tree(spec.get("where", {}))).join(hidden, key, "left_anti")
+    allowed = one_of(F.col("status"), spec.get("statuses", statuses))
+    return samples.where(allowed).where(tree(spec.get("where", {}))).join(hidden, key, "left_anti")
 
 
 def list_filter(df: DataFrame, equals: Mapping[str, Any], bounds: Mapping[str, tuple], sort: str, allowed: Sequence[str], ties: Sequence[str], default: str) -> DataFrame:
     """Equality filters and bounds, ordered by a validated column, largest first."""
     by = sort if sort in allowed else default
-    conditions = [yes(F.col(c) == v) for c, v in equals.items()] + [in_range(c, *v) for c, v in bounds.items()]
+    conditions = [known_equal(F.col(c), v) for c, v in equals.items()] + [in_range(c, *v) for c, v in bounds.items()]
     return df.where(all_of(conditions)).orderBy(F.col(by).desc_nulls_last(), *ties)

@@ -3,10 +3,13 @@ read files read what Spark has written before from a given table, in the shared
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from strandwise.functions import staging
 from strandwise.sources import tables as A
+from strandwise.sources.layout import LaidOutTable
 from strandwise.streaming import events as S
 
 from .registry import Tables, query
@@ -17,6 +20,16 @@ def scratch(t: Tables, name: str) -> str:
     return staging.scratch(t.spark, name)
 
 
+@query("laid_out_range", "SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, l_quantity FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_shipdate BETWEEN TIMESTAMP '1994-03-01' AND TIMESTAMP '1994-05-31' AND l_quantity >= 40")
+def _(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", "l_quantity")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    table = LaidOutTable(t.spark, scratch(t, "laid"), ddl, "l_returnflag", ["l_shipdate"])
+    table.write(rows, bloom={"l_orderkey": 100_000})
+    months = tuple(datetime.datetime(1994, *day) for day in ((3, 1), (5, 31)))
+    return table.read(ranges={"l_shipdate": months, "l_quantity": (40, None)}, by=["A", "R"])
+
+
 @query("read_rows", "SELECT n_nationkey, n_name FROM nation")
 def _(t):
     path = scratch(t, "rows")
