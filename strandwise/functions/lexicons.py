@@ -206,6 +206,84 @@ LIFE_STAGES = {
     "aged": ("aged", "elderly"),
 }
 
+# ---------------------------------------------------------------- fixed values: ages and times
+
+NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
+UNIT = "(" + "|".join(u.replace(".", r"\.") for u in sorted(UNITS, key=len, reverse=True)) + ")"
+PER_YEAR = {"years": 1.0, "months": 12.0, "weeks": 52.18, "days": 365.25}
+
+#: Words of a key that give the unit of its values; of several the last counts.
+KEY_UNITS = {
+    "hours": "hours?|hrs?|hpi",
+    "days": "days?|div|dpi|dpt",
+    "weeks": "weeks?",
+    "months": "months?",
+    "years": "years?|yrs?",
+}
+
+#: What is dropped around an age, in this order: pattern and what takes its place.
+AGE_TRIMS = (
+    (r"\s*\(.*?\)\s*", " "),
+    (r"^(post ?natal|approximately|approx\.?|about|around|~)\s*", ""),
+    (r"[-\s]*old$", ""),
+    (rf"^{NUMBER}-(?=[a-z])", "$1 "),
+)
+
+# Forms of a value, the first that matches counts: ``norm`` names groups of the pattern,
+# ``amounts`` are groups with their divisors, added up; the unit is fixed (``unit``), read
+# from a group, or the key's. ``sure`` is the confidence with a unit, ``bare`` without.
+EMBRYONIC_DAY = rf"^e\s*{NUMBER}$"
+AGE_FORMS = (
+    {"pattern": rf"^{NUMBER}\s*(?:yrs?|years?)\s*{NUMBER}\s*(?:mos?|months?)$", "norm": "{1} years {2} months", "amounts": ((1, 1), (2, 12)), "unit": "years", "sure": 0.95},
+    {"pattern": EMBRYONIC_DAY, "norm": "E{1}", "amounts": ((1, 1),), "unit": "E-days", "sure": 0.95},
+    {"pattern": rf"^p\s*{NUMBER}$", "norm": "P{1}", "amounts": ((1, 1),), "unit": "postnatal days", "sure": 0.95},
+    {"pattern": rf"^{NUMBER}\s*(?:-|–|to)\s*{NUMBER}[\s-]*{UNIT}?$", "norm": "{1}-{2}", "amounts": ((1, 2), (2, 2)), "rising": (1, 2), "unit_group": 3, "unit_of_key": True, "sure": 0.95, "bare": 0.7},
+    {"pattern": rf"^{NUMBER}\s*{UNIT}?$", "norm": "{1}", "amounts": ((1, 1),), "unit_group": 2, "unit_of_key": True, "sure": 0.95, "bare": 0.7, "human": {"most": 110, "unit": "years", "sure": 0.75}},
+)
+TIMEPOINT_FORMS = (
+    {"pattern": "^(baseline|pre-?treatment|pre|before treatment|t0)$", "norm": "baseline", "amounts": (), "sure": 0.95, "bare": 0.95},
+    {"pattern": rf"^(day|d|week|wk|w|hour|hr|h|month|div)\s*{NUMBER}$", "norm": "{2}", "amounts": ((2, 1),), "unit_group": 1, "unit_else": "days", "sure": 0.95},
+    {"pattern": rf"(?:^|[^a-z0-9.]){NUMBER}\s*{UNIT}(?![a-z])", "norm": "{1}", "amounts": ((1, 1),), "unit_group": 2, "sure": 0.9},
+    {"pattern": rf"^{NUMBER}$", "norm": "{1}", "amounts": ((1, 1),), "unit_of_key": True, "sure": 0.95, "bare": 0.7},
+)
+
+# ---------------------------------------------------------------- fixed values: answers and flags
+
+#: Under a key with the word, these answers name a disease.
+ANSWER_KEY = "covid"
+ANSWERS = {
+    "covid-19": "^(positive|pos|infected|covid|covid 19|case|patient|severe|moderate|mild|critical)",
+    "healthy": "^(negative|neg|control|healthy|uninfected|non covid|noncovid)",
+}
+NEGATIVE_ANSWER = "^[a-z0-9 /-]{1,30}:\\s*(no|none|negative)$"
+TUMOR_FLAG = "^(tumou?r|cancer|malignant)$"
+NORMAL_FLAG = "^(normal|adjacent normal|normal adjacent|non-?tumou?r|benign)$"
+NO_LINE_VALUES = "^(primary|none|no|not applicable|n/a|-)"
+VAGUE_CELLS = "^(all( cells| nuclei)?|various|mixed( population)?|live( cells?)?|single cell suspension|single cells?|cells?|total( cells)?|whole|unsorted|unfractionated|bulk)$"
+WILD_TYPE = r"^(wild[ -]?type|wt|wildtype|\+/\+|wt/wt|control wt|wild type control)$"
+
+#: What is dropped around the name of a tissue, in this order.
+TISSUE_TRIMS = (
+    "^(human|mouse|murine|rat|mus musculus|homo sapiens|whole|fresh|frozen) ",
+    "^(human|mouse|murine|rat) ",
+)
+TISSUE_ENDINGS = " (tissue|tissues|sample|samples)$"
+
+#: Health in words.
+HEALTHY_PHRASE = (
+    "^(healthy|healthy (control|controls|donor|donors|volunteer|volunteers|individual|individuals|subject|subjects|adult|adults|human donor|control subject|participant)|"
+    "normal (donor|donors|control|controls|individual|subject|volunteer)|non[- ]?diseased|no disease|unaffected|healthy non[- ].*disease)$"
+)
+NO_DISEASE_VALUES = "^(n/?a|na|none|unknown|not applicable|not available|-|nan)$"
+BARE_CONTROL = "^(control|controls|ctrl|normal|hc|nc)$"
+#: What is dropped around the name of a disease, in this order.
+DISEASE_TRIMS = (
+    "^(patients? with|individuals? with|donors? with|subjects? with|diagnosed with) +",
+    " +(patients?|donors?|subjects?|cases?|individuals?|positive)$",
+    r"^(severe|mild|moderate|critical|acute|active|established|newly diagnosed) +(?=covid|sepsis|tb\b)",
+    r"\s*\(([^)]*)\)\s*$",
+)
+
 # ---------------------------------------------------------------- fixed values: keys
 
 #: Keys that name an attribute (patterns for whole keys), in order of precedence.
@@ -276,6 +354,49 @@ TUMOR_KEYS = (
 )
 IN_VIVO_KEYS = ("tissue", "source", "cell type", "treatment", "sample type", "tissue type", "in vitro or in vivo", "model", "condition", "group")
 
+TYPE_WORDS = {
+    "primary tissue": ("tissue", "primary tissue", "primary", "biopsy", "primary cells", "primary cell"),
+    "cell line": ("cell line", "immortalized cell line"),
+    "organoid": ("organoid", "organoids"),
+    "pdx": ("pdx", "patient derived xenograft", "patient-derived xenograft"),
+    "ipsc derived": ("ipsc", "ipsc derived", "ipsc-derived", "ipsc derived cells"),
+}
+
+# Patterns of kinds of samples.
+ORGANOID = r"(?i)\b(organoids?|assembloids?|gastruloids?|embryoid bod(?:y|ies)|tumou?roids?|enteroids?|colonoids?|blastoids?)\b"
+XENOGRAFT = r"(?i)\b(xenografts?|pdx|cdx|o-pdx|pdox|patient[- ]derived xenografts?)\b"
+STEM = r"(?i)\b(h?ipscs?|i ?ps cells?|h?escs?|h?pscs?|pluripotent|embryonic stem)\b"
+DERIVED = r"(?i)\b(derived|differentiated|differentiation)\b"
+CULTURE = (
+    r"(?i)\b(primary (?:cell )?cultures?|cultured primary|primary cultured|in vitro cultured|ex vivo cultured|"
+    r"cultured (?:cells|fibroblasts|keratinocytes|hepatocytes|myoblasts|astrocytes|neurons|chondrocytes|osteoblasts|t cells|macrophages|monocytes))\b"
+)
+LINE = r"(?i)\bcell ?lines?\b"
+NO_LINE = r"(?i)\bprimary\b|\bnot? (a )?cell line\b|\bnon[- ]cell line\b"
+STRAIN = (
+    r"(?i)^(c57 ?bl[/ ]?6\w*|c57bl\w*|b6\w*|balb[/ ]?c\w*|129\S*|fvb\S*|dba\S*|cd-?1|nod\S*|nsg\S*|nu/nu|nude|c3h\S*|swiss\S*|sprague[- ]dawley|wistar\S*|"
+    r"wild[- ]?type|wt|wt/wt|\+/\+|mixed background)$"
+)
+IN_VIVO = r"(?i)\b(tumou?rs?|xenografts?|allografts?|injected|implanted|transplanted|engrafted|orthotopic|subcutaneous(?:ly)?|in vivo|tumou?r[- ]bearing)\b"
+CULTURE_WORD = r"(?i)\bcultur(e|ed|es|ing)\b|\bin vitro\b|\bdifferentiat"
+TUMOR_TYPES = (
+    (
+        "adjacent normal",
+        r"adjacent|adjacent normal|normal adjacent|adjacent normal tissue|normal adjacent tissue|adjacent non[- ]?tumou?r|adjacent non[- ]?tumou?r tissue|adjacent tissue|"
+        r"para[- ]?tumou?r|para[- ]?tumou?r tissue|para[- ]?cancerous( tissue)?|peritumou?ral( tissue)?|non[- ]?tumou?r adjacent tissue|tumou?r[- ]adjacent normal( tissue)?|"
+        r"normal tissue adjacent to (the )?tumou?r|adjacent normal mucosa|matched normal adjacent tissue",
+    ),
+    ("metastatic", r"metastas[ie]s|metastatic|metastatic (tumou?r|tissue|lesion|sample|site)|(lymph node|liver|brain|bone|lung|peritoneal|omental) metastas[ie]s|metastatic (lymph node|liver|brain|bone|lung)"),
+    ("recurrent tumor", r"recurren(t|ce)|recurrent tumou?r|relapsed? tumou?r"),
+    ("primary tumor", r"primary tumou?r( tissue| sample)?"),
+    ("tumor", r"tumou?rs?|tumou?r tissue|tumou?r sample|tumou?r core|cancer tissue|cancerous tissue|malignant tissue|tumou?r region|tumou?r fraction"),
+)
+ORGANOID_KEY = "^organoids?( type| line| model)?$"
+NO_ORGANOID = "(?i)^(no|none|n/?a|false|0)$"
+STEM_CATEGORY = "(?i)stem cell"
+IN_VITRO = r"(?i)\bin vitro\b"
+NOT_METASTATIC = r"\b(pre|non)[- ]?metasta"
+
 DISEASE_KEYS = (
     "disease", "disease state", "disease status", "diagnosis", "clinical diagnosis", "health state", "health status", "disease type",
     "pathology", "disease condition", "clinical status", "patient status", "donor status", "subject status", "subject group",

@@ -14,9 +14,6 @@ from strandwise.functions.staging import stage
 
 from .joins import singulars, unique_tier_lookup
 
-NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
-UNIT = "(" + "|".join(u.replace(".", r"\.") for u in sorted(L.UNITS, key=len, reverse=True)) + ")"
-PER_YEAR = {"years": 1.0, "months": 12.0, "weeks": 52.18, "days": 365.25}
 #: Where nothing bounds a position from above.
 _LAST = 2**31 - 1
 
@@ -60,7 +57,7 @@ def _of(value: Column, table: Mapping[str, str]) -> Column:
 
 def unit_from_key(key: Column) -> Column:
     out = F.lit(None).cast("string")
-    for name, pattern in (("hours", "hours?|hrs?|hpi"), ("days", "days?|div|dpi|dpt"), ("weeks", "weeks?"), ("months", "months?"), ("years", "years?|yrs?")):
+    for name, pattern in L.KEY_UNITS.items():
         out = F.when(key.rlike(rf"\b({pattern})\b"), name).otherwise(out)
     return out
 
@@ -69,18 +66,53 @@ def _amount(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return _amount(text, pattern, group).cast("double")
-
-
 def _time(norm: Column, num: Column, unit: Column, confidence: Column) -> Column:
     return F.struct(norm.alias("norm"), num.cast("double").alias("num"), unit.cast("string").alias("unit"), confidence.cast("double").alias("confidence"))
 
 
-def _with_unit(amount: Column, unit: Column) -> Column:
-    """``1 day``, ``6 days``; the bare amount without a unit."""
-    named = F.when(amount.cast("double") == 1, F.regexp_replace(unit, "s$", "")).otherwise(unit)
-    return F.coalesce(F.concat(amount, F.lit(" "), named), amount)
+def _form(s: Column, form: Mapping, of_key: Column, human: Column) -> Column:
+    """What a value of one form says (see ``AGE_FORMS``)."""
+    amount = lambda group: _amount(s, form["pattern"], group)
+    num = F.lit(0.0)
+    for group, over in form["amounts"]:
+        num = num + amount(group).cast("double") / over
+    units = [F.lit(form.get("unit")).cast("string")]
+    if "unit_group" in form:
+        units.append(_of(amount(form["unit_group"]), L.UNITS))
+    if form.get("unit_of_key"):
+        units.append(of_key)
+    units.append(F.lit(form.get("unit_else")).cast("string"))
+    unit = F.coalesce(*units)
+    sure = F.when(unit.isNotNull(), form["sure"])
+    if "human" in form:
+        told = form["human"]
+        assumed = yes(human) & (num <= told["most"])
+        sure = sure.when(assumed, told["sure"])
+        unit = F.coalesce(unit, F.when(assumed, told["unit"]))
+    norm = F.concat(*(amount(int(part)) if part.isdigit() else F.lit(part) for part in re.split(r"[{}]", form["norm"]) if part))
+    if "unit" not in form and form["amounts"]:
+        # one of a unit is named in the singular: "1 day", "6 days"; a range never is
+        single = len(form["amounts"]) == 1
+        named = F.when(num == 1, F.regexp_replace(unit, "s$", "")).otherwise(unit) if single else unit
+        norm = F.coalesce(F.concat(norm, F.lit(" "), named), norm)
+    out = _time(norm, F.round(num, 2) if len(form["amounts"]) > 1 else num, unit, sure.otherwise(form.get("bare")))
+    if "rising" in form:
+        low, high = (amount(group).cast("double") for group in form["rising"])
+        out = F.when(high >= low, out)
+    return out
+
+
+def _first_form(s: Column, forms: Sequence[Mapping], of_key: Column, human: Column) -> Column:
+    out = F.when(s.rlike(forms[0]["pattern"]), _form(s, forms[0], of_key, human))
+    for form in forms[1:]:
+        out = out.when(s.rlike(form["pattern"]), _form(s, form, of_key, human))
+    return out
+
+
+def _trimmed(text: Column, trims: Sequence[tuple[str, str]]) -> Column:
+    for pattern, put in trims:
+        text = F.trim(F.regexp_replace(text, pattern, put))
+    return text
 
 
 def parse_age(value: Column, key: Column, human: Column) -> Column:
@@ -88,56 +120,19 @@ def parse_age(value: Column, key: Column, human: Column) -> Column:
     and months, embryonic (E) and postnatal (P) days; the unit comes from the value or
     the key; a bare number of a human is years. NULL where no age is read."""
     s = F.regexp_replace(F.lower(F.trim(value)), r"\s+", " ")
-    s = F.when(s.endswith("y.o."), s).otherwise(F.regexp_replace(s, r"\.$", ""))
-    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"\s*\(.*?\)\s*", " "), r"^(post ?natal|approximately|approx\.?|about|around|~)\s*", ""))
-    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[-\s]*old$", ""), rf"^{NUMBER}-(?=[a-z])", "$1 "))
-    return once(s, lambda s: once(unit_from_key(key), lambda of_key: _age_of(s, of_key, human)))
-
-
-def _age_of(s: Column, of_key: Column, human: Column) -> Column:
-    both = rf"^{NUMBER}\s*(?:yrs?|years?)\s*{NUMBER}\s*(?:mos?|months?)$"
-    embryo, born = rf"^e\s*{NUMBER}$", rf"^p\s*{NUMBER}$"
-    span = rf"^{NUMBER}\s*(?:-|–|to)\s*{NUMBER}[\s-]*{UNIT}?$"
-    one = rf"^{NUMBER}\s*{UNIT}?$"
-    span_unit = F.coalesce(_of(_amount(s, span, 3), L.UNITS), of_key)
-    one_unit = F.coalesce(_of(_amount(s, one, 2), L.UNITS), of_key)
-    num = _number(s, one, 1)
-    assumed = yes(human) & (num <= 110)
-    low, high = _number(s, span, 1), _number(s, span, 2)
-    range_ = F.concat(_amount(s, span, 1), F.lit("-"), _amount(s, span, 2))
-    return (
-        F.when(s.rlike(both), _time(F.concat(_amount(s, both, 1), F.lit(" years "), _amount(s, both, 2), F.lit(" months")), F.round(_number(s, both, 1) + _number(s, both, 2) / 12, 2), F.lit("years"), F.lit(0.95)))
-        .when(s.rlike(embryo), _time(F.concat(F.lit("E"), _amount(s, embryo, 1)), _number(s, embryo, 1), F.lit("E-days"), F.lit(0.95)))
-        .when(s.rlike(born), _time(F.concat(F.lit("P"), _amount(s, born, 1)), _number(s, born, 1), F.lit("postnatal days"), F.lit(0.95)))
-        .when(s.rlike(span) & (high >= low), _time(F.coalesce(F.concat(range_, F.lit(" "), span_unit), range_), F.round((low + high) / 2, 2), span_unit, F.when(span_unit.isNotNull(), 0.95).otherwise(0.7)))
-        .when(s.rlike(span), F.lit(None))
-        .when(s.rlike(one), _time(_with_unit(_amount(s, one, 1), F.coalesce(one_unit, F.when(assumed, "years"))), num, F.coalesce(one_unit, F.when(assumed, "years")), F.when(one_unit.isNotNull(), 0.95).when(assumed, 0.75).otherwise(0.7)))
-    )
+    s = _trimmed(F.when(s.endswith("y.o."), s).otherwise(F.regexp_replace(s, r"\.$", "")), L.AGE_TRIMS)
+    return once(s, lambda s: once(unit_from_key(key), lambda of_key: _first_form(s, L.AGE_FORMS, of_key, human)))
 
 
 def parse_timepoint(value: Column, key: Column) -> Column:
     """Struct of ``norm, num, unit, confidence``: "day 6", "24 hours", "baseline", a bare
     number with the key's unit."""
-    return once(F.lower(clean(value)), lambda s: once(unit_from_key(key), lambda of_key: _timepoint_of(s, of_key)))
-
-
-def _timepoint_of(s: Column, of_key: Column) -> Column:
-    lead = rf"^(day|d|week|wk|w|hour|hr|h|month|div)\s*{NUMBER}$"
-    tail = rf"(?:^|[^a-z0-9.]){NUMBER}\s*{UNIT}(?![a-z])"
-    bare = rf"^{NUMBER}$"
-    lead_unit = F.coalesce(_of(_amount(s, lead, 1), L.UNITS), F.lit("days"))
-    tail_unit = _of(_amount(s, tail, 2), L.UNITS)
-    return (
-        F.when(s.rlike("^(baseline|pre-?treatment|pre|before treatment|t0)$"), _time(F.lit("baseline"), F.lit(0.0), F.lit(None), F.lit(0.95)))
-        .when(s.rlike(lead), _time(_with_unit(_amount(s, lead, 2), lead_unit), _number(s, lead, 2), lead_unit, F.lit(0.95)))
-        .when(s.rlike(tail), _time(_with_unit(_amount(s, tail, 1), tail_unit), _number(s, tail, 1), tail_unit, F.lit(0.9)))
-        .when(s.rlike(bare), _time(_with_unit(_amount(s, bare, 1), of_key), _number(s, bare, 1), of_key, F.when(of_key.isNotNull(), 0.95).otherwise(0.7)))
-    )
+    return once(F.lower(clean(value)), lambda s: once(unit_from_key(key), lambda of_key: _first_form(s, L.TIMEPOINT_FORMS, of_key, F.lit(False))))
 
 
 def to_years(num: Column, unit: Column) -> Column:
     out = F.lit(None).cast("double")
-    for name, per in PER_YEAR.items():
+    for name, per in L.PER_YEAR.items():
         out = F.when(unit == name, num / per).otherwise(out)
     return out
 
@@ -184,32 +179,23 @@ def norm_disease(value: Column, key: Column | None = None) -> Column:
 
 
 def _disease_name(s: Column, key: Column | None) -> Column:
-    asked = yes(key.contains("covid")) if key is not None else F.lit(False)
-    answer = F.when(s.rlike("^(positive|pos|infected|covid|covid 19|case|patient|severe|moderate|mild|critical)"), "covid-19")
-    answer = answer.when(s.rlike("^(negative|neg|control|healthy|uninfected|non covid|noncovid)"), "healthy")
+    asked = yes(key.contains(L.ANSWER_KEY)) if key is not None else F.lit(False)
+    answer = F.lit(None).cast("string")
+    for name, pattern in reversed(L.ANSWERS.items()):
+        answer = F.when(s.rlike(pattern), name).otherwise(answer)
     checks = F.filter(F.split(s, r"\s*;\s*"), lambda x: x != "")
-    negative = (F.size(checks) > 1) & F.forall(checks, lambda x: x.rlike("^[a-z0-9 /-]{1,30}:\\s*(no|none|negative)$"))
+    negative = (F.size(checks) > 1) & F.forall(checks, lambda x: x.rlike(L.NEGATIVE_ANSWER))
     names = _by_spelling(L.DISEASES)
     listed = F.coalesce(_of(s, names), _of(F.regexp_replace(s, r"\s*\([^)]*\)$", ""), names))
     return F.coalesce(F.when(asked, answer), F.when(F.array_contains(fixed_list(L.HEALTHY), s) | negative, "healthy"), listed)
 
 
-_TYPE_WORDS = {
-    "primary tissue": ("tissue", "primary tissue", "primary", "biopsy", "primary cells", "primary cell"),
-    "cell line": ("cell line", "immortalized cell line"),
-    "organoid": ("organoid", "organoids"),
-    "pdx": ("pdx", "patient derived xenograft", "patient-derived xenograft"),
-    "ipsc derived": ("ipsc", "ipsc derived", "ipsc-derived", "ipsc derived cells"),
-}
-_TUMOR_FLAG = "^(tumou?r|cancer|malignant)$"
-
-
 def norm_sample_type(value: Column, key: Column | None = None) -> Column:
     """A coarse kind of material; NULL for a mere tumour flag."""
     s = F.lower(clean(value))
     line = yes(key.contains("cell line")) if key is not None else F.lit(False)
-    norm = F.coalesce(F.when(line, "cell line"), _of(s, _by_spelling(_TYPE_WORDS)))
-    return F.when(line | ~s.rlike(_TUMOR_FLAG), _placed(value, norm))
+    norm = F.coalesce(F.when(line, "cell line"), _of(s, _by_spelling(L.TYPE_WORDS)))
+    return F.when(line | ~s.rlike(L.TUMOR_FLAG), _placed(value, norm))
 
 
 _TISSUE_LABELS = {t: _by_spelling(L.TISSUE_LABELS).get(t, t) for t in L.TISSUES}
@@ -218,9 +204,8 @@ _TISSUE_LABELS = {t: _by_spelling(L.TISSUE_LABELS).get(t, t) for t in L.TISSUES}
 def norm_tissue(value: Column) -> Column:
     """A listed tissue by its label, whatever species, "tissue" or plural is added."""
     k = F.regexp_replace(F.regexp_replace(F.lower(clean(value)), "[()]", " "), r"\s+", " ")
-    k = F.regexp_replace(k, "^(human|mouse|murine|rat|mus musculus|homo sapiens|whole|fresh|frozen) ", "")
-    k = F.trim(F.regexp_replace(k, "^(human|mouse|murine|rat) ", ""))
-    forms = once(k, lambda k: F.flatten(F.transform(F.array(k, F.regexp_replace(k, " (tissue|tissues|sample|samples)$", "")), lambda f: F.array(f, F.regexp_replace(f, "s$", "")))))
+    k = _trimmed(k, [(pattern, "") for pattern in L.TISSUE_TRIMS])
+    forms = once(k, lambda k: F.flatten(F.transform(F.array(k, F.regexp_replace(k, L.TISSUE_ENDINGS, "")), lambda f: F.array(f, F.regexp_replace(f, "s$", "")))))
     return F.get(F.filter(F.transform(forms, lambda f: _of(f, _TISSUE_LABELS)), lambda x: x.isNotNull()), F.lit(0))
 
 
@@ -270,11 +255,11 @@ def _read(human: Column) -> tuple[Column, Column]:
     """Facts that a pair states, and the attribute that it names without a usable value."""
     value, key, s, rule = F.col("_v"), F.col("attr"), F.col("_s"), F.col("_rule")
     none, loose = F.array().cast(f"array<{_FACT}>"), F.lit(None).cast("string")
-    gone, tumor = F.col("_gone"), s.rlike(_TUMOR_FLAG)
+    gone, tumor = F.col("_gone"), s.rlike(L.TUMOR_FLAG)
     known, named = F.col("_tissue"), F.col("_named")
     flag = lambda norm, sure: F.array(_fact("disease_state", F.lit(norm), F.lit(sure)))
 
-    normal = s.rlike("^(normal|adjacent normal|normal adjacent|non-?tumou?r|benign)$") & (key == "tissue type")
+    normal = s.rlike(L.NORMAL_FLAG) & (key == "tissue type")
     no_tissue = gone | F.array_contains(fixed_list((*L.HEALTHY, *L.UNTREATED)), s)
     code = (key == "region") & known.isNull() & named.isNull()
     tissue = F.when(tumor, flag("case", 0.95)).when(normal, flag("control", 0.95)).when(no_tissue | code, none)
@@ -282,13 +267,13 @@ def _read(human: Column) -> tuple[Column, Column]:
     tissue_loose = F.when(~tumor & ~normal & ~no_tissue & code, "tissue")
 
     line = key.contains("cell line")
-    no_line = known.isNotNull() | named.isNotNull() | s.rlike("^(primary|none|no|not applicable|n/a|-)")
+    no_line = known.isNotNull() | named.isNotNull() | s.rlike(L.NO_LINE_VALUES)
     kind = F.col("_kind")
     of_type = F.when(gone, none).when(line & no_line, none).when(line, F.array(_fact("sample_type", F.lit("cell line"), F.lit(0.95))))
     of_type = of_type.when(kind.isNull(), flag("case", 0.9)).otherwise(F.array(_fact("sample_type", kind["norm"], _sure(kind["placed"]), kind["placed"])))
     type_loose = F.when(~gone & line & no_line, "sample_type")
 
-    vague = s.rlike("^(all( cells| nuclei)?|various|mixed( population)?|live( cells?)?|single cell suspension|single cells?|cells?|total( cells)?|whole|unsorted|unfractionated|bulk)$")
+    vague = s.rlike(L.VAGUE_CELLS)
     simple = lambda attr, x: F.when(x.isNull(), none).otherwise(F.array(_fact(attr, x["norm"], _sure(x["placed"]), x["placed"])))
     cell = F.when(vague, none).otherwise(simple("cell_type_sorted", F.col("_cell")))
 
@@ -303,7 +288,7 @@ def _read(human: Column) -> tuple[Column, Column]:
     at = F.col("_at")
     timepoint = F.when(at.isNull(), none).otherwise(F.array(_fact("timepoint", at["norm"], at["confidence"], num=at["num"], unit=at["unit"])))
 
-    wild = s.rlike(r"^(wild[ -]?type|wt|wildtype|\+/\+|wt/wt|control wt|wild type control)$")
+    wild = s.rlike(L.WILD_TYPE)
     genotype = F.when(gone, none).otherwise(F.array(_fact("genotype", F.when(wild, "wild type").otherwise(value), F.lit(0.95))))
 
     a = F.col("_age")
@@ -313,10 +298,9 @@ def _read(human: Column) -> tuple[Column, Column]:
     age = F.when(a.isNull(), none).otherwise(F.array(_fact("age", a["norm"], a["confidence"], num=a["num"], unit=a["unit"], extra=F.coalesce(stage, F.array().cast(f"array<{_EXTRA}>")))))
 
     listed = F.col("_stage")
-    embryo = rf"^e\s*{NUMBER}$"
-    day = _amount(s, embryo, 1)
+    day = _amount(s, L.EMBRYONIC_DAY, 1)
     both = F.array(_fact("age", F.concat(F.lit("E"), day), F.lit(0.95), num=day, unit=F.lit("E-days")), _fact("life_stage", F.lit("embryonic"), F.lit(0.9)))
-    life = F.when(gone, none).when(listed.isNotNull(), F.array(_fact("life_stage", listed, F.lit(0.95)))).when(s.rlike(embryo), both).otherwise(none)
+    life = F.when(gone, none).when(listed.isNotNull(), F.array(_fact("life_stage", listed, F.lit(0.95)))).when(s.rlike(L.EMBRYONIC_DAY), both).otherwise(none)
 
     x = F.col("_sex")
     sex = F.when(x.isNull() | x["norm"].isNull(), none).otherwise(F.array(_fact("sex", x["norm"], F.lit(0.95))))
@@ -329,7 +313,7 @@ def _read(human: Column) -> tuple[Column, Column]:
     }
     open_ = {
         "tissue": tissue_loose, "sample_type": type_loose, "timepoint": F.when(at.isNull() & ~gone, "timepoint"), "age": F.when(a.isNull() & ~gone, "age"),
-        "life_stage": F.when(~gone & listed.isNull() & ~s.rlike(embryo), "life_stage"), "sex": F.when(x["norm"].isNull() & ~gone, "sex"),
+        "life_stage": F.when(~gone & listed.isNull() & ~s.rlike(L.EMBRYONIC_DAY), "life_stage"), "sex": F.when(x["norm"].isNull() & ~gone, "sex"),
     }
     out, left = none, loose
     for attr in reversed(list(L.ATTRIBUTE_KEYS)):
@@ -447,44 +431,13 @@ def unmapped_pairs(pairs: DataFrame, key: str) -> DataFrame:
 
 # ---------------------------------------------------------------- sample types
 
-# Fixed patterns of sample types.
-_ORGANOID = r"(?i)\b(organoids?|assembloids?|gastruloids?|embryoid bod(?:y|ies)|tumou?roids?|enteroids?|colonoids?|blastoids?)\b"
-_XENOGRAFT = r"(?i)\b(xenografts?|pdx|cdx|o-pdx|pdox|patient[- ]derived xenografts?)\b"
-_STEM = r"(?i)\b(h?ipscs?|i ?ps cells?|h?escs?|h?pscs?|pluripotent|embryonic stem)\b"
-_DERIVED = r"(?i)\b(derived|differentiated|differentiation)\b"
-_CULTURE = (
-    r"(?i)\b(primary (?:cell )?cultures?|cultured primary|primary cultured|in vitro cultured|ex vivo cultured|"
-    r"cultured (?:cells|fibroblasts|keratinocytes|hepatocytes|myoblasts|astrocytes|neurons|chondrocytes|osteoblasts|t cells|macrophages|monocytes))\b"
-)
-_LINE = r"(?i)\bcell ?lines?\b"
-_NO_LINE = r"(?i)\bprimary\b|\bnot? (a )?cell line\b|\bnon[- ]cell line\b"
-_STRAIN = (
-    r"(?i)^(c57 ?bl[/ ]?6\w*|c57bl\w*|b6\w*|balb[/ ]?c\w*|129\S*|fvb\S*|dba\S*|cd-?1|nod\S*|nsg\S*|nu/nu|nude|c3h\S*|swiss\S*|sprague[- ]dawley|wistar\S*|"
-    r"wild[- ]?type|wt|wt/wt|\+/\+|mixed background)$"
-)
-_IN_VIVO = r"(?i)\b(tumou?rs?|xenografts?|allografts?|injected|implanted|transplanted|engrafted|orthotopic|subcutaneous(?:ly)?|in vivo|tumou?r[- ]bearing)\b"
-_CULTURE_WORD = r"(?i)\bcultur(e|ed|es|ing)\b|\bin vitro\b|\bdifferentiat"
-_TUMOR_TYPES = (
-    (
-        "adjacent normal",
-        r"adjacent|adjacent normal|normal adjacent|adjacent normal tissue|normal adjacent tissue|adjacent non[- ]?tumou?r|adjacent non[- ]?tumou?r tissue|adjacent tissue|"
-        r"para[- ]?tumou?r|para[- ]?tumou?r tissue|para[- ]?cancerous( tissue)?|peritumou?ral( tissue)?|non[- ]?tumou?r adjacent tissue|tumou?r[- ]adjacent normal( tissue)?|"
-        r"normal tissue adjacent to (the )?tumou?r|adjacent normal mucosa|matched normal adjacent tissue",
-    ),
-    ("metastatic", r"metastas[ie]s|metastatic|metastatic (tumou?r|tissue|lesion|sample|site)|(lymph node|liver|brain|bone|lung|peritoneal|omental) metastas[ie]s|metastatic (lymph node|liver|brain|bone|lung)"),
-    ("recurrent tumor", r"recurren(t|ce)|recurrent tumou?r|relapsed? tumou?r"),
-    ("primary tumor", r"primary tumou?r( tissue| sample)?"),
-    ("tumor", r"tumou?rs?|tumou?r tissue|tumou?r sample|tumou?r core|cancer tissue|cancerous tissue|malignant tissue|tumou?r region|tumou?r fraction"),
-)
-
-
 def tumor_type(value: Column) -> Column:
     """Kind of tumour sample that a whole value names; never one before metastasis."""
     s = F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), r"\s+", " "), "_+", " ")
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(_TUMOR_TYPES):
+    for name, pattern in reversed(L.TUMOR_TYPES):
         out = F.when(s.rlike(f"^({pattern})$"), name).otherwise(out)
-    return F.when(~s.rlike(r"\b(pre|non)[- ]?metasta"), out)
+    return F.when(~s.rlike(L.NOT_METASTATIC), out)
 
 
 def classify_sample_type(pairs: DataFrame, key: str, lines: DataFrame | None = None) -> DataFrame:
@@ -500,7 +453,7 @@ def classify_sample_type(pairs: DataFrame, key: str, lines: DataFrame | None = N
     v, k = F.col("value"), F.col("attr")
     typed = F.array_contains(fixed_list(L.TYPE_KEYS), k)
     rows = pairs.where("value != ''")
-    line_field = (k.isin(*L.LINE_KEYS) & ~F.trim(v).rlike(_STRAIN)) | (typed & v.rlike(_LINE))
+    line_field = (k.isin(*L.LINE_KEYS) & ~F.trim(v).rlike(L.STRAIN)) | (typed & v.rlike(L.LINE))
     if lines is None:
         rows = rows.withColumn("accession", F.lit(None).cast("string")).withColumn("category", F.lit(None).cast("string"))
     else:
@@ -508,16 +461,16 @@ def classify_sample_type(pairs: DataFrame, key: str, lines: DataFrame | None = N
         rows = rows.join(lines.select(F.col("name").alias("_name"), "accession", "category"), asked == F.col("_name"), "left")
     organ_field = k.isin("tissue", "organ", "source")
     tests = {
-        "organoid": typed & v.rlike(_ORGANOID),
-        "organoid_field": k.rlike("^organoids?( type| line| model)?$") & ~v.rlike("(?i)^(no|none|n/?a|false|0)$"),
-        "xenograft": v.rlike(_XENOGRAFT),
-        "stem": typed & v.rlike(_STEM) & (v.rlike(_DERIVED) | k.isin("cell line", "cell type")),
-        "culture": typed & v.rlike(_CULTURE),
-        "line_word": typed & v.rlike(_LINE) & ~v.rlike(_NO_LINE),
+        "organoid": typed & v.rlike(L.ORGANOID),
+        "organoid_field": k.rlike(L.ORGANOID_KEY) & ~v.rlike(L.NO_ORGANOID),
+        "xenograft": v.rlike(L.XENOGRAFT),
+        "stem": typed & v.rlike(L.STEM) & (v.rlike(L.DERIVED) | k.isin("cell line", "cell type")),
+        "culture": typed & v.rlike(L.CULTURE),
+        "line_word": typed & v.rlike(L.LINE) & ~v.rlike(L.NO_LINE),
         "line": F.col("accession").isNotNull(),
-        "stem_line": F.col("category").rlike("(?i)stem cell"),
-        "in_vivo": k.isin(*L.IN_VIVO_KEYS) & v.rlike(_IN_VIVO) & ~v.rlike(r"(?i)\bin vitro\b") & ~v.rlike(_LINE),
-        "culture_word": v.rlike(_CULTURE_WORD),
+        "stem_line": F.col("category").rlike(L.STEM_CATEGORY),
+        "in_vivo": k.isin(*L.IN_VIVO_KEYS) & v.rlike(L.IN_VIVO) & ~v.rlike(L.IN_VITRO) & ~v.rlike(L.LINE),
+        "culture_word": v.rlike(L.CULTURE_WORD),
         "tissue": organ_field & F.coalesce(F.when(organ_field, norm_tissue(v)), F.when(organ_field, tissue_in_text(v))).isNotNull(),
     }
     tumor = F.when(F.array_contains(fixed_list(L.TUMOR_KEYS), k), tumor_type(v))
@@ -546,29 +499,19 @@ def classify_sample_type(pairs: DataFrame, key: str, lines: DataFrame | None = N
     return found.select(key, value.alias("tissue_type"), kind.alias("sample_kind"), tumor_kind.alias("tumor_sample_type"), F.col("line.accession").alias("cell_line"), evidence.alias("evidence"))
 
 
-# Fixed phrases of health.
-_HEALTHY_PHRASE = (
-    "^(healthy|healthy (control|controls|donor|donors|volunteer|volunteers|individual|individuals|subject|subjects|adult|adults|human donor|control subject|participant)|"
-    "normal (donor|donors|control|controls|individual|subject|volunteer)|non[- ]?diseased|no disease|unaffected|healthy non[- ].*disease)$"
-)
-
-
 def disease_of(attr: Column, value: Column, human: Column) -> Column:
     """Struct of ``kind, text, confidence``: ``healthy`` or ``disease`` as a pair states
     it, without words for persons and severity; NULL where the key names neither. A bare
     "control" is healthy only for a human under a disease key."""
     by_key, generic = attr.isin(*L.DISEASE_KEYS), attr.isin(*L.GENERIC_KEYS)
     v = F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), r"\s+", " "), r"\s*\.$", "")
-    text = F.regexp_replace(v, "^(patients? with|individuals? with|donors? with|subjects? with|diagnosed with) +", "")
-    text = F.regexp_replace(text, " +(patients?|donors?|subjects?|cases?|individuals?|positive)$", "")
-    text = F.regexp_replace(text, r"^(severe|mild|moderate|critical|acute|active|established|newly diagnosed) +(?=covid|sepsis|tb\b)", "")
-    text = F.trim(F.regexp_replace(text, r"\s*\(([^)]*)\)\s*$", ""))
+    text = _trimmed(v, [(pattern, "") for pattern in L.DISEASE_TRIMS])
     out = lambda kind, words, sure: F.struct(F.lit(kind).alias("kind"), words.alias("text"), sure.cast("double").alias("confidence"))
-    nothing = (v == "") | v.rlike("^(n/?a|na|none|unknown|not applicable|not available|-|nan)$")
-    bare = v.rlike("^(control|controls|ctrl|normal|hc|nc)$")
+    nothing = (v == "") | v.rlike(L.NO_DISEASE_VALUES)
+    bare = v.rlike(L.BARE_CONTROL)
     return (
         F.when(~(by_key | generic) | nothing, F.lit(None))
-        .when(v.rlike(_HEALTHY_PHRASE), out("healthy", v, F.lit(0.95)))
+        .when(v.rlike(L.HEALTHY_PHRASE), out("healthy", v, F.lit(0.95)))
         .when(bare & by_key & yes(human), out("healthy", v, F.lit(0.85)))
         .when(~bare, out("disease", text, F.when(by_key, 0.9).otherwise(0.85)))
     )
