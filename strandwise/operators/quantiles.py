@@ -12,6 +12,12 @@ from strandwise.functions.staging import stage
 HOT = 1 << 20  # rows of a key that one task may count by itself
 
 
+def large_keys(df: DataFrame, key: str, hot: int = HOT) -> DataFrame | None:
+    """``_k``: keys of more than ``hot`` rows, written; None if there are none."""
+    large = df.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_size")).where(F.col("_size") > hot).select("_k")
+    return None if large.isEmpty() else stage(large, "large")
+
+
 def quantiles(df: DataFrame, key: str, named: Mapping[str, tuple[str, float]], beside: Sequence[Column] = (), hot: int = HOT) -> DataFrame:
     """``key``, the aggregates of ``beside`` and, per name, the quantile of a column with
     linear interpolation: ``{"q90": ("x", 0.9)}``. Nulls take no part; a null key is a key.
@@ -19,10 +25,13 @@ def quantiles(df: DataFrame, key: str, named: Mapping[str, tuple[str, float]], b
     A key of at most ``hot`` rows is settled in one task by ``percentile``, which counts
     its distinct values there. Those of a larger one are selected by rank, see ``_by_rank``.
     """
+    return quantiles_beside(df, key, named, beside, large_keys(df, key, hot))
+
+
+def quantiles_beside(df: DataFrame, key: str, named: Mapping[str, tuple[str, float]], beside: Sequence[Column], large: DataFrame | None) -> DataFrame:
+    """``quantiles`` where ``large_keys`` has been asked before, for these or more rows."""
     plain = [F.percentile(F.col(c).cast("double"), F.lit(float(q))).alias(name) for name, (c, q) in named.items()]
-    large = df.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_size")).where(F.col("_size") > hot).select("_k")
-    large = stage(large, "large")
-    if large.isEmpty():
+    if large is None:
         return df.groupBy(key).agg(*beside, *plain)
     large_key = F.col(key).eqNullSafe(F.col("_k"))
     small = df.join(large, large_key, "left_anti").groupBy(key).agg(*beside, *plain)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions.ordered import ordered
 
-from .quantiles import quantiles
+from .quantiles import HOT, large_keys, quantiles_beside
 
 
 def page_with_totals(df: DataFrame, order: Sequence[Column], page: int, size: int, weight: str) -> DataFrame:
@@ -60,14 +60,15 @@ def prefix_allocation(df: DataFrame, key: str, size: str, cap: int, floor: int)
     return rows.join(last, F.col("_r") <= F.col("_last")).select(key, size)
 
 
-def robust_z(df: DataFrame, key: str, column: str, least: int = 4) -> DataFrame:
+def robust_z(df: DataFrame, key: str, column: str, least: int = 4, hot: int = HOT) -> DataFrame:
     """Log value against the group's median and MAD (x 1.4826, 0.15 when zero), with
     ``outlier``: z under -4 and below a fifth of the median. Medians are exact; those of a
-    hot key are selected by rank over ranges."""
+    key with more than ``hot`` rows are selected by rank over ranges."""
     rows = df.where(F.col(column) > 0).withColumn("_l", F.log(F.col(column).cast("double")))
-    mid = quantiles(rows, key, {"_m": ("_l", 0.5), "_raw": (column, 0.5)}, [F.count("*").alias("_n")]).where(F.col("_n") >= least)
+    large = large_keys(rows, key, hot)
+    mid = quantiles_beside(rows, key, {"_m": ("_l", 0.5), "_raw": (column, 0.5)}, [F.count("*").alias("_n")], large).where(F.col("_n") >= least)
     rows = rows.join(mid, key).withColumn("_off", F.abs(F.col("_l") - F.col("_m")))
-    mad = quantiles(rows, key, {"_mad": ("_off", 0.5)}).select(key, (F.col("_mad") * 1.4826).alias("_d"))
+    mad = quantiles_beside(rows, key, {"_mad": ("_off", 0.5)}, [], large).select(key, (F.col("_mad") * 1.4826).alias("_d"))
     rows = rows.join(mad, key)
     z = (F.col("_l") - F.col("_m")) / F.when(F.col("_d") == 0, 0.15).otherwise(F.col("_d"))
     return rows.withColumn("z", z).withColumn("outlier", (F.col("z") < -4) & (F.col(column) < F.col("_raw") / 5)).drop("_l", "_m", "_raw", "_n", "_off", "_d")
