@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,45 +45,67 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 
 
 ADMISSIONS = "user_id long, window_end timestamp, event_id long, ts timestamp, admitted boolean"
+#: A call in Python: its subject, then its place in order. Nulls are 0 behind a 0, as pandas
+#: would make fractions of ids beside nulls.
+_CALL = ["has_user", "user_id", "at", "has_event", "event_id"]
+_SUBJECT = 2
+#: Groups that the subjects of a window are dealt into.
+GROUPS = 16
 
 
 def _admit(limit: int):
-    """Calls of one subject and window: kept are the ``limit`` earliest so far, as no later
-    call can be one of them once they are ``limit``; one that falls behind is turned away
-    at once, the kept ones are admitted when the watermark has passed the window."""
+    """Calls of a group of subjects in one window: kept are each subject's ``limit`` earliest
+    so far, as no later call can be one of them once they are ``limit``; one that falls behind
+    is turned away at once, the kept ones are admitted when the watermark has passed the
+    window."""
 
     def run(key, frames, state):
-        user, end = key
-        kept = list(zip(*state.get)) if state.exists else []
+        end = int(key[1])
+        kept = np.frombuffer(state.get[0] if state.exists else b"", "int64").reshape(-1, len(_CALL))
 
         def out(calls, admitted):
-            if calls:
-                yield pd.DataFrame({"user_id": user, "end": end, "event_id": [c[1] for c in calls], "at": [c[0] for c in calls], "admitted": admitted})
+            if len(calls):
+                yield pd.DataFrame(calls, columns=_CALL).assign(end=end, admitted=admitted)
 
         if state.hasTimedOut:
             state.remove()
             yield from out(kept, True)
             return
         for frame in frames:
-            calls = sorted([*kept, *zip(frame["at"].tolist(), frame["event_id"].tolist())])
-            kept, away = calls[:limit], calls[limit:]
+            calls = np.concatenate([kept, frame[_CALL].to_numpy("int64")])
+            calls = calls[np.lexsort(calls.T[::-1])]
+            i = np.arange(len(calls))
+            begins = np.ones(len(calls), bool)
+            begins[1:] = (calls[1:, :_SUBJECT] != calls[:-1, :_SUBJECT]).any(axis=1)
+            first = i - np.maximum.accumulate(np.where(begins, i, 0)) < limit
+            kept, away = calls[first], calls[~first]
             yield from out(away, False)
-        state.update(tuple(map(list, zip(*kept))) if kept else ([], []))
-        state.setTimeoutTimestamp(int(end))
+        state.update((kept.tobytes(),))
+        state.setTimeoutTimestamp(end)
 
     return run
 
 
-def admissions(stream: DataFrame, width: str = "1 hour", late: str = "2 hours", limit: int = 10) -> DataFrame:
+def admissions(stream: DataFrame, width: str = "1 hour", late: str = "2 hours", limit: int = 10, groups: int = GROUPS) -> DataFrame:
     """Every call, marked admitted or not: of a subject's calls in a fixed window the first
     ``limit`` are, by time and then id. Repeated calls (one ``event_id``) count once within
     the watermark. State per subject and window is ``limit`` calls, whatever their number;
-    calls of windows that the watermark has not passed are pending."""
+    calls of windows that the watermark has not passed are pending.
+
+    Python is called per window and group of subjects, not per subject. One group's state
+    is ``limit`` calls (40 bytes each) of its subjects: more ``groups`` for more subjects.
+    A checkpoint goes on with the ``groups`` it began with."""
     once = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     # times as numbers, so that the session's time zone does not matter in Python
-    calls = once.select("user_id", F.unix_millis(F.window("ts", width)["end"]).alias("end"), "event_id", F.unix_micros("ts").alias("at"), "ts")
-    marked = calls.groupBy("user_id", "end").applyInPandasWithState(_admit(limit), "user_id long, end long, event_id long, at long, admitted boolean", "at array<long>, id array<long>", "append", "EventTimeTimeout")
-    return marked.select("user_id", F.timestamp_millis("end").alias("window_end"), "event_id", F.timestamp_micros("at").alias("ts"), "admitted")
+    group = F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("group")
+    has = lambda c: F.col(c).isNotNull().cast("long")
+    known = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    end = F.unix_millis(F.window("ts", width)["end"]).alias("end")
+    calls = once.select(group, end, has("user_id").alias("has_user"), known("user_id"), F.unix_micros("ts").alias("at"), has("event_id").alias("has_event"), known("event_id"), "ts")
+    schema = ", ".join(f"{c} long" for c in [*_CALL, "end"]) + ", admitted boolean"
+    marked = calls.groupBy("group", "end").applyInPandasWithState(_admit(limit), schema, "calls binary", "append", "EventTimeTimeout")
+    user, event = F.when(F.col("has_user") == 1, F.col("user_id")), F.when(F.col("has_event") == 1, F.col("event_id"))
+    return marked.select(user.alias("user_id"), F.timestamp_millis("end").alias("window_end"), event.alias("event_id"), F.timestamp_micros("at").alias("ts"), "admitted")
 
 
 def admissions_of(calls: DataFrame, width: str = "1 hour", limit: int = 10) -> DataFrame:
