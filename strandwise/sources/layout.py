@@ -48,10 +48,15 @@ class LaidOutTable:
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", distinct)
         _delete(self.spark, self._files)
         out.parquet(self.path)
-        # the described columns alone are read; a file is one row from each task that reads it
-        file = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1).alias("file")
+        self._ends().write.parquet(self._files)
+
+    def _ends(self) -> DataFrame:
+        """A row per file. The described columns alone are read; a file is one row from each
+        task that reads it, and its name is cut from its path on that row."""
+        path = F.col("_metadata.file_path").alias("_path")
         ends = [f(c).alias(f"{c}_{name}") for c in self.described for name, f in (("min", F.min), ("max", F.max))]
-        self._read().groupBy(file).agg(F.count("*").alias("n_rows"), *ends).write.parquet(self._files)
+        found = self._read().groupBy(path).agg(F.count("*").alias("n_rows"), *ends)
+        return found.select(F.regexp_extract("_path", "([^/]+/[^/]+)$", 1).alias("file"), *found.columns[1:])
 
     @property
     def _files(self) -> str:

@@ -77,6 +77,15 @@ def test_fewer_files_and_row_groups(made):
     assert ids(found) == [500] and scanned(found) < 20000
 
 
+def test_names_are_cut_once_a_file(made):
+    rows, table = made
+    plan = table._ends()._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    aggregate = next(i for i, line in enumerate(plan) if "Aggregate" in line)
+    cut = [i for i, line in enumerate(plan) if "regexp_extract" in line]
+    assert cut and max(cut) < aggregate, plan  # above it: after rows have become files
+    assert table._ends().agg(F.sum("n_rows")).collect()[0][0] == rows.count()
+
+
 def test_rewritten(spark, tmp_path):
     table = LaidOutTable(spark, str(tmp_path / "t"), DDL, "kind", ["x"])
     table.write(spark.createDataFrame([("a", 1.0, "t", 1), ("b", 2.0, "t", 2)], DDL))
