@@ -452,7 +452,10 @@ def classify_sample_type(pairs: DataFrame, key: str, lines: DataFrame | None = N
     """
     v, k = F.col("value"), F.col("attr")
     typed = F.array_contains(fixed_list(L.TYPE_KEYS), k)
-    rows = pairs.where("value != ''")
+    # the pairs are written, so that they are made once; each distinct one is read once, and
+    # written, so that no test is drawn below the join
+    told = stage(pairs.where("value != ''").select(key, "position", "attr", "value", "evidence"), "told")
+    rows = told.select("attr", "value").distinct()
     line_field = (k.isin(*L.LINE_KEYS) & ~F.trim(v).rlike(L.STRAIN)) | (typed & v.rlike(L.LINE))
     if lines is None:
         rows = rows.withColumn("accession", F.lit(None).cast("string")).withColumn("category", F.lit(None).cast("string"))
@@ -474,8 +477,10 @@ def classify_sample_type(pairs: DataFrame, key: str, lines: DataFrame | None = N
         "tissue": organ_field & F.coalesce(F.when(organ_field, norm_tissue(v)), F.when(organ_field, tissue_in_text(v))).isNotNull(),
     }
     tumor = F.when(F.array_contains(fixed_list(L.TUMOR_KEYS), k), tumor_type(v))
-    first = [F.min(F.when(yes(test), F.struct("position", "evidence", "accession"))).alias(name) for name, test in tests.items()]
-    found = rows.groupBy(key).agg(*first, F.min(F.when(tumor.isNotNull(), F.struct("position", tumor.alias("type")))).alias("tumor"))
+    read = stage(rows.select(k.alias("_attr"), v.alias("_value"), "accession", tumor.alias("_tumor"), *(yes(test).alias(f"_{name}") for name, test in tests.items())), "typed")
+    rows = told.join(read, k.eqNullSafe(F.col("_attr")) & (v == F.col("_value")))
+    first = [F.min(F.when(F.col(f"_{name}"), F.struct("position", "evidence", "accession"))).alias(name) for name in tests]
+    found = rows.groupBy(key).agg(*first, F.min(F.when(F.col("_tumor").isNotNull(), F.struct("position", F.col("_tumor").alias("type")))).alias("tumor"))
     has = {name: F.col(name).isNotNull() for name in tests}
     organoid = has["organoid"] | has["organoid_field"]
     in_vivo = (has["line"] | has["line_word"]) & has["in_vivo"]

@@ -206,3 +206,14 @@ def test_repeated_cells_give_their_smallest_row(spark):
         found = Sources.export_cells(spark.createDataFrame(rows, "cell string, name string, labels array<string>").repartition(parts), "cell", ["name", "labels"])
         first, second = found.orderBy("j").collect()
         assert (first.cell, first.name, first.labels, second.cell) == ("c1", "a", "x", "c2")
+
+
+def test_sample_types_read_each_distinct_pair_once(spark):
+    rows = [(i, 0, "tissue" if i % 3 else "cell line", "hela" if i % 3 == 1 else "lung", "e") for i in range(60)] + [(99, 0, None, "x", "e"), (98, 0, "tissue", "", "e")]
+    pairs = spark.createDataFrame(rows, "k long, position int, attr string, value string, evidence string")
+    lines = spark.createDataFrame([("lung", "A2", None), ("lung", "A1", None)], "name string, accession string, category string")
+    found = K.classify_sample_type(pairs, "k", lines)
+    assert "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.k: (r.tissue_type, r.cell_line) for r in found.collect()}
+    assert got[0] == ("cell line", "A1") and got[2] == ("tissue", None) and got[99] == (None, None)
+    assert set(got) == {*range(60), 99}
