@@ -78,8 +78,9 @@ def narrowest_interval(points: DataFrame, intervals: DataFrame, key: str, point:
     The intervals' ends cut the axis into pieces, numbered in order. An interval covers a
     run of pieces, which is the union of at most two aligned runs of each power-of-two
     length; each aligned run keeps its narrowest interval only, so a piece finds its best
-    one among the few aligned runs that hold it, by equal keys. Points then find the last
-    piece that starts at or before them by a running maximum over the joint order.
+    one among the few aligned runs that hold it, by equal keys. Points find the last piece
+    that starts at or before them by a running maximum over the joint order; only pieces
+    that hold points are looked up.
     """
     ends = intervals.select(F.col("low").cast("double").alias("x")).union(intervals.select(F.col("high").cast("double").alias("x"))).where("x is not null").distinct()
     places = stage(ordered(ends, [F.col("x")], "r").withColumn("r", F.col("r").cast("long") - 1), "pieces")
@@ -102,14 +103,16 @@ def narrowest_interval(points: DataFrame, intervals: DataFrame, key: str, point:
     begin = F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.array().cast("array<struct<level:int,i:bigint>>").alias("runs"))
     runs = spans.select("id", width.alias("w"), F.explode(F.aggregate(levels, begin, cover)["runs"]).alias("run")).select("id", "w", "run.*")
     best = runs.groupBy("level", "i").agg(F.min(F.struct("w", "id")).alias("best"))
-    holding = places.select("x", "r", F.explode(levels).alias("level")).select("x", "level", F.expr("shiftright(r, level)").alias("i"))
-    pieces = holding.join(best, ["level", "i"], "left").groupBy("x").agg(F.min("best").alias("best")).select("x", F.col("best.id").alias("interval_id"))
 
-    joint = points.select(F.col(key), F.col(point), F.col(point).cast("double").alias("_at"), F.lit(1).alias("_point"), F.lit(None).cast("double").alias("_piece"))
+    joint = points.select(F.col(key), F.col(point), F.col(point).cast("double").alias("_at"), F.lit(1).alias("_point"), F.lit(None).cast("long").alias("_piece"))
     kinds = {f.name: f.dataType for f in joint.schema.fields}
-    joint = joint.unionByName(places.select(F.lit(None).cast(kinds[key]).alias(key), F.lit(None).cast(kinds[point]).alias(point), F.col("x").alias("_at"), F.lit(0).alias("_point"), F.col("x").alias("_piece")))
-    found = ordered(joint, [F.col("_at").asc_nulls_first(), F.col("_point"), F.col(key)], None, [("_piece", "max", "_last")]).where("_point = 1")
-    return found.join(pieces, F.col("_last") == F.col("x"), "left").select(key, point, "interval_id")
+    joint = joint.unionByName(places.select(F.lit(None).cast(kinds[key]).alias(key), F.lit(None).cast(kinds[point]).alias(point), F.col("x").alias("_at"), F.lit(0).alias("_point"), F.col("r").alias("_piece")))
+    found = stage(ordered(joint, [F.col("_at").asc_nulls_first(), F.col("_point"), F.col(key)], None, [("_piece", "max", "_last")]).where("_point = 1").select(key, point, "_last"), "found")
+    # of the pieces, only those that hold points are looked up
+    held = found.select(F.col("_last").alias("r")).where("r is not null").distinct()
+    holding = held.select("r", F.explode(levels).alias("level")).select("r", "level", F.expr("shiftright(r, level)").alias("i"))
+    pieces = holding.join(best, ["level", "i"], "left").groupBy("r").agg(F.min("best").alias("best")).select("r", F.col("best.id").alias("interval_id"))
+    return found.join(pieces, F.col("_last") == F.col("r"), "left").select(key, point, "interval_id")
 
 
 def first_rule(df: DataFrame, rules: Sequence[tuple[str, str, str]], column: str, out: str) -> DataFrame:

@@ -217,3 +217,13 @@ def test_sample_types_read_each_distinct_pair_once(spark):
     got = {r.k: (r.tissue_type, r.cell_line) for r in found.collect()}
     assert got[0] == ("cell line", "A1") and got[2] == ("tissue", None) and got[99] == (None, None)
     assert set(got) == {*range(60), 99}
+
+
+def test_only_pieces_that_hold_points_are_looked_up(spark):
+    intervals = spark.range(200).select("id", F.col("id").cast("double").alias("low"), (F.col("id") + 3.0).alias("high"))
+    points = spark.createDataFrame([(1, 50.5), (2, 50.5), (3, -1.0), (4, None), (5, 500.0)], "k long, p double")
+    found = Joins.narrowest_interval(points, intervals, "k", "p")
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Generate explode(" in line and "[level#" in line)
+    assert any("Aggregate [" in line for line in plan[at + 1 : at + 3]), plan
+    assert {r.k: r.interval_id for r in found.collect()} == {1: 48, 2: 48, 3: None, 4: None, 5: None}
