@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.functions.staging import _delete
+from strandwise.functions.staging import _delete, discard, stage
 from strandwise.operators.text import B, K1, inverted_index
 
 _SEGMENTS = "version long, seq long, docs long, rows long, folder string"
@@ -79,9 +79,11 @@ class StoredIndex:
         documents' own ``seq`` where they come from a merge."""
         folder = self._new("segments")
         own = F.col("seq") if "seq" in rows.columns else F.lit(seq).cast("long")
-        rows = rows.withColumn("seq", own)
+        # written first: dealing by ranges reads its input twice, to sample and to deal
+        rows = stage(rows.withColumn("seq", own), "postings")
         dealt = rows.repartitionByRange("term", self.key).sortWithinPartitions("term", self.key, "field")
         dealt.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{folder}/postings")
+        discard(rows)
         kept = self._postings(folder)
         kept.groupBy("part").agg(F.min("term").alias("low"), F.max("term").alias("high")).coalesce(1).write.parquet(f"{folder}/parts")
         kept.where("opens > 0").select(self.key, "seq", "field", "length", "opens").write.parquet(f"{folder}/docs")

@@ -73,3 +73,11 @@ def test_a_version_that_was_not_finished_does_not_count(spark, tmp_path, monkeyp
     again.put(rebuilt(spark, {1: ("five", "six")}), fields())
     again.vacuum(before)
     assert {r.term for r in StoredIndex(spark, path, "k").postings().collect()} == {"five", "six"}
+
+
+def test_documents_are_read_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda text: (seen.add(1), text)[1])
+    docs = spark.range(50).select(F.col("id").alias("k"), F.lit("alpha beta").alias("body"))
+    StoredIndex(spark, str(tmp_path / "index"), "k").put(docs, {"body": told("body")})
+    assert seen.value == 50
