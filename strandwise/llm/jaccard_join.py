@@ -17,17 +17,19 @@ A-Z lower-cased). Two documents link when 100 * |intersection| >= ``percent`` *
    link never leaves a family, and no pairs are made inside one.
 4. Each member is compared with its family's first member by a join. Those that link are
    settled: they are one component already. The rest, usually few, are queries.
-5. ``divide_skip``: queries meet the members of their family whose number of shingles
-   lets them link, in blocks of bounded size: members are cut into bands of sizes by the
-   ratio that a link allows, so a query meets three bands, and bands into parts. In a
-   block the inverted lists of the query's shingles are split into long and short; the
-   short ones are merged, candidates that can still reach T are kept, the long ones are
-   probed by binary search, and documents that reach the required overlap are returned,
-   one link per component of the block.
+5. ``divide_skip``: queries meet the other members of their family whose number of
+   shingles lets them link, in blocks of bounded size: members are cut into bands of sizes
+   by the ratio that a link allows, so a query meets three bands, and bands into parts.
+   Sets go straight to their blocks: a bitmap stops those that no other set meets, and only
+   the blocks cut into parts, few at any size, are looked up. In a block the inverted lists
+   of the query's shingles are split into long and short; the short ones are merged,
+   candidates that can still reach T are kept, the long ones are probed by binary search,
+   and documents that reach the required overlap are returned, one link per component of
+   the block.
 6. Components over all links; every document gets the smallest id of its component.
 
-Counts of common shingles go back to their rows by ``join_counted``; families and bands
-are joined to one row each, where adaptive execution splits what is large. No partner or candidate is capped. Heap or sort in ``merge_counts``
+Counts of common shingles go back to their rows by ``join_counted``; families are joined
+to one row each, where adaptive execution splits what is large. No partner or candidate is capped. Heap or sort in ``merge_counts``
 and how many lists are set aside are matters of speed; they do not change results.
 
 Edge cases: a text of fewer words than ``width`` has its whole sequence as the only
@@ -42,7 +44,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +58,9 @@ WIDTH = 5
 PERCENT = 80
 #: Shingles on each side of a block.
 PART = 2_000_000
-#: Size of the filter that tells which texts to fetch (128 KB to 8 MB). Beyond some
-#: millions of members it lets most texts pass; the join after it decides in any case.
+#: Size of the filters that tell which texts to fetch and which sets have a block (128 KB
+#: to 8 MB). Beyond some millions of members they let most pass; what comes after them, a
+#: join or an empty side of a block, decides in any case.
 BITMAP_BITS = (1 << 20, 1 << 26)
 #: With no more entries than this on the short lists as many lists as possible are set
 #: aside; beyond, the number follows from the longest list.
@@ -129,21 +132,21 @@ def _sketch(width: int, percent: int):
     return run
 
 
-def _place(column: str, bits: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(bits))
+def _place(columns: Sequence[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(bits))
 
 
 def bitmap_size(n: int) -> int:
-    """Places for n ids: sixteen each, within ``BITMAP_BITS``."""
+    """Places for n keys: sixteen each, within ``BITMAP_BITS``."""
     least, most = BITMAP_BITS
     return min(most, max(least, 1 << (16 * max(n, 1) - 1).bit_length()))
 
 
-def bitmap_of(ids: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Bits at the hashed places of ids: a filter of bounded size, however many ids there
+def bitmap_of(keys: DataFrame, columns: Sequence[str], bits: int) -> np.ndarray:
+    """Bits at the hashed places of keys: a filter of bounded size, however many keys there
     are. It may let others pass, never stop one of these."""
-    n = _place(column, bits) + 1
-    rows = ids.groupBy(F.bitmap_bucket_number(n).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("bits"))
+    n = _place(columns, bits) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(n).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
     for r in rows.collect():
         at = (r["bucket"] - 1) * 4096
@@ -151,17 +154,23 @@ def bitmap_of(ids: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
+def _passed(wanted: np.ndarray):
+    """Rows whose ``place`` is set in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(batch.schema.get_field_index("place")).to_numpy()
+            yield batch.filter(pa.array((wanted[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+
+    return run
+
+
 def _sets(width: int, wanted: np.ndarray):
     """Whole sets of the documents that pass the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def passed() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                place = batch.column(1).to_numpy()
-                yield batch.filter(pa.array((wanted[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
-
         with np.errstate(over="ignore"):
-            for s in slices(passed()):
+            for s in slices(_passed(wanted)(batches)):
                 sets = list(shingle_sets(s.bytes, s.offsets, width))
                 yield pa.RecordBatch.from_arrays([s.columns[0], *_keys([set_key(x) for x in sets]), list_array(np.concatenate(sets), [len(x) for x in sets])], ["cid", "k1", "k2", "grams"])
 
@@ -185,7 +194,9 @@ def candidate_families(reps: DataFrame, percent: int) -> DataFrame:
     discard(shared)
     heads = kept.groupBy("gram").agg(F.min("cid").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
     pairs = kept.join(heads, "gram").where("cid != head").select(F.col("cid").alias("a"), F.col("head").alias("b"))
-    return components(pairs)
+    families = components(pairs)
+    discard(kept)
+    return families
 
 
 class InvertedLists:
@@ -290,11 +301,11 @@ def _search(percent: int):
 
 
 def settle(sets: DataFrame, percent: int) -> DataFrame:
-    """``family, cid, size, settled``: whether each member links with its family's first."""
+    """``family, cid, size, settled, grams``: whether each member links with its family's first."""
     first = sets.where("cid = family").select("family", F.col("grams").alias("first_grams"))
     same = F.size(F.array_intersect("grams", "first_grams"))
     settled = 100 * same >= percent * (F.size("grams") + F.size("first_grams") - same)
-    return sets.join(first, "family").select("family", "cid", F.size("grams").alias("size"), settled.alias("settled"))
+    return sets.join(first, "family").select("family", "cid", F.size("grams").alias("size"), settled.alias("settled"), "grams")
 
 
 def _bands(percent: int) -> tuple[Column, Column]:
@@ -315,32 +326,55 @@ def _every(n: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
+def blocks_of(found_in: DataFrame, asking: DataFrame, part: int) -> DataFrame:
+    """``family, band, parts, asks``: where a query meets another member, and into how many
+    parts members and queries are cut there."""
+    on = ["family", "band"]
+    sums = found_in.groupBy(*on).agg(F.sum("size").alias("held"), F.count("*").alias("members"), F.max("settled").alias("any_settled"))
+    asked = asking.groupBy(*on).agg(F.sum("size").alias("asked"), F.count("*").alias("askers"))
+    # a member that is not settled asks in its own band
+    alone = F.expr("members = 1 and askers = 1 and not any_settled")
+    return sums.join(asked, on).where(~alone).select(*on, F.ceil(F.col("held") / part).cast("int").alias("parts"), F.ceil(F.col("asked") / part).cast("int").alias("asks"))
+
+
 def links(docs: DataFrame, families: DataFrame, percent: int, width: int, part: int = PART) -> DataFrame:
     """``a, b``: enough links between representatives to connect all that are linked.
     ``families``: ``cid, k1, k2, family`` of the members, written."""
     n = families.count()
     bits = bitmap_size(n)
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", _place("doc_id", bits).alias("place"), "text")
-    sets = texts.mapInArrow(_sets(width, bitmap_of(families, "cid", bits)), "cid long, k1 long, k2 long, grams array<long>")
-    sets = stage(sets.join(families, ["cid", "k1", "k2"]).dropDuplicates(["cid"]).drop("k1", "k2"), "sets")
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", _place(["doc_id"], bits).alias("place"), "text")
+    sets = texts.mapInArrow(_sets(width, bitmap_of(families, ["cid"], bits)), "cid long, k1 long, k2 long, grams array<long>")
+    # one key for both, so that whole sets are shuffled once
+    key = ["cid", "k1", "k2"]
+    sets = stage(sets.dropDuplicates(key).join(families, key).drop("k1", "k2"), "sets")
     met = stage(settle(sets, percent), "met")
+    discard(sets)
     direct = met.where("settled and cid != family").select(F.col("cid").alias("a"), F.col("family").alias("b"))
 
     own, reach = _bands(percent)
-    found_in = met.select("family", own.alias("band"), "cid", "size", "settled")
-    asking = met.where("not settled").select("family", "cid", "size", F.explode(reach).alias("band"))
-    sums = found_in.groupBy("family", "band").agg(F.sum("size").alias("held"))
-    asked = asking.groupBy("family", "band").agg(F.sum("size").alias("asked"))
-    blocks = sums.join(asked, ["family", "band"]).select("family", "band", F.ceil(F.col("held") / part).cast("int").alias("parts"), F.ceil(F.col("asked") / part).cast("int").alias("asks"))
+    # no query links with its family's first
+    found_in = met.where("cid != family").withColumn("band", own)
+    asking = met.where("not settled").withColumn("band", F.explode(reach))
+    blocks = stage(blocks_of(found_in, asking, part), "blocks")
     on = ["family", "band"]
-    index = found_in.join(blocks, on).select(*on, "cid", "settled", _own("parts", 1).alias("part"), _every("asks").alias("ask"))
-    queries = asking.join(blocks, on).select(*on, F.col("cid"), _own("asks", 2).alias("ask"), _every("parts").alias("part"))
-    grams = sets.select("cid", "grams")
-    index = index.join(grams, "cid").select("family", "band", "part", "ask", "cid", "settled", "grams")
+    bits = bitmap_size(blocks.count())
+    passed = _passed(bitmap_of(blocks, on, bits))
+    # each holds or asks more than a part, so there are few of them
+    cut = F.broadcast(blocks.where("parts > 1 or asks > 1"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        placed = rows.select(*on, "cid", "settled", "grams", _place(on, bits).alias("place"))
+        kept = placed.mapInArrow(passed, placed.schema).drop("place")
+        return kept.join(cut, on, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("parts", "asks")})
+
     block = ["family", "band", "part", "ask"]
-    queries = queries.join(grams, "cid").select(*(F.col(c).alias(f"q_{c}") for c in block), F.col("cid").alias("query"), F.col("grams").alias("asked"))
+    index = dealt(found_in).select(*on, _own("parts", 1).alias("part"), "asks", "cid", "settled", "grams").select(*on, "part", _every("asks").alias("ask"), "cid", "settled", "grams")
+    queries = dealt(asking).select(*on, "parts", _own("asks", 2).alias("ask"), "cid", "grams").select(*on, _every("parts").alias("part"), "ask", "cid", "grams")
+    queries = queries.select(*(F.col(c).alias(f"q_{c}") for c in block), F.col("cid").alias("query"), F.col("grams").alias("asked"))
     found = index.groupBy(*block).cogroup(queries.groupBy(*(f"q_{c}" for c in block))).applyInArrow(_search(percent), "a long, b long")
-    return direct.unionByName(found)
+    found = stage(direct.unionByName(found), "found")
+    discard(met, blocks)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -357,6 +391,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     reps, rows = stage(reps, "representatives"), stage(sketch.select("doc_id", "n"), "sizes")
     discard(sketch)
     families = candidate_families(reps, percent).select(F.col("node").alias("class_id"), F.col("component").alias("family"))
+    discard(reps)
     families = stage(families.join(classes, "class_id").select(F.col("class_id").alias("cid"), "k1", "k2", "family"), "families")
     found = components(links(texts, families, percent, width))
     of_class = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")

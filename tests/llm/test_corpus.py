@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -314,6 +315,37 @@ def test_near_duplicates_in_small_blocks(docs, rows, monkeypatch):
     assert got == brute.components(rows)
 
 
+def test_whole_sets_are_shuffled_once_a_step(docs, rows, monkeypatch):
+    """No broadcast stands in for a shuffle: whole sets move once to their ids and once to
+    their blocks at every size, and what no later job reads is deleted."""
+    spark, exchanges, staged = docs.sparkSession, {}, {}
+
+    def stage(df, name):
+        exchanges[name] = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        staged[name] = common.stage(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(jaccard_join, "stage", stage)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = by_id(jaccard_join.near_duplicates(docs), "n_shingles", "component_id")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute.components(rows)
+    assert exchanges["sets"] == 2 and exchanges["found"] == 2
+    left = {n for n, df in staged.items() if os.path.exists(df._strandwise_path.removeprefix("file:"))}
+    assert not left & {"representatives", "kept", "sets", "met", "blocks"}
+
+
+def test_blocks_leave_out_sets_that_meet_no_other(spark):
+    """A block of one set that asks for itself is none; all others are kept, and cut."""
+    members = spark.createDataFrame([(1, 3, 20, False), (2, 3, 20, True), (3, 3, 20, False), (3, 3, 30, False), (4, 3, 20, False)], "family long, band int, size int, settled boolean")
+    asking = spark.createDataFrame([(1, 3, 20), (2, 3, 20), (3, 3, 20), (3, 3, 30), (3, 4, 30), (4, 3, 20), (4, 3, 90)], "family long, band int, size int")
+    got = {tuple(r) for r in jaccard_join.blocks_of(members, asking, 25).collect()}
+    assert got == {(2, 3, 1, 1), (3, 3, 2, 2), (4, 3, 1, 5)}
+
+
 def test_divide_skip_against_all_pairs():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(5, 50))) for _ in range(120)]
