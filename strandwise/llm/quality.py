@@ -6,13 +6,16 @@ raw corpus. A document's score is the mean, over its n-grams, of the log ratio o
 two; it is kept when the score reaches a fixed threshold. Weights are whole millionths,
 so sums do not depend on the order of work.
 
-Words are hashed once; pairs and windows of three are hashes of these hashes. Windows
-with equal hashes are then compared word by word, so counts of repeats are exact.
+Words are hashed once; pairs are hashes of these hashes, and windows of three mix a pair
+with the next word. Windows with equal hashes are then compared word by word, so counts of
+repeats are exact.
 
 DataFrame functions only. The corpus is scanned twice: once for the bucket counts, summed
 before the shuffle (at most ``BUCKETS`` rows per task), and once for counts and score,
-row by row without a shuffle. Trusted documents are a bounded sample of the labelled
-rows (``TRUSTED``), so that they can be broadcast; bucket counts cover every document.
+row by row without a shuffle. Functions of array elements are not compiled, so each does
+little, and what is needed only for repeats is done only for them. Trusted documents are a
+bounded sample of the labelled rows (``TRUSTED``), so that they can be broadcast; bucket
+counts cover every document.
 
 Edge cases: a null text has no words (all counts 0, base_failed, score 0); repeated rows
 are scored alike; without trusted documents every score is 0 and only the base rules
@@ -26,8 +29,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, stage, text_of, words_of
+from .common import stage, text_of, words_of
 
+#: A power of two.
 BUCKETS = 1 << 15
 #: Trusted documents taken at most, by smallest hash of their id.
 TRUSTED = 20_000
@@ -40,7 +44,7 @@ MIN_WORDS = 50
 
 
 def _bucket(hashed: Column) -> Column:
-    return F.pmod(hashed, F.lit(BUCKETS)).cast("int")
+    return hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def hashes_of(words: Column) -> Column:
@@ -48,8 +52,9 @@ def hashes_of(words: Column) -> Column:
 
 
 def pair_hashes(hashed: Column) -> Column:
-    """Hash of each word's hash and the next one's; null for the last word."""
-    return F.zip_with(hashed, F.slice(hashed, 2, F.greatest(F.size(hashed), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    """Hash of each word's hash and the next one's, for all words but the last."""
+    n = F.greatest(F.size(hashed) - 1, F.lit(0))
+    return F.zip_with(F.slice(hashed, 1, n), F.slice(hashed, 2, n), lambda a, b: F.xxhash64(a, b))
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -62,17 +67,19 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row: ``weights``, an array of ``BUCKETS`` log ratios in millionths."""
     ids = F.broadcast(trusted.select(F.col("doc_id").alias("trusted_id")))
     rows = docs.select("doc_id", hashes_of(words_of(text_of())).alias("hashed")).join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
-    grams = rows.select(F.col("trusted_id").isNotNull().alias("trusted"), F.explode(F.concat("hashed", pair_hashes(F.col("hashed")))).alias("gram")).where("gram is not null")
+    rows = rows.select(F.col("trusted_id").isNotNull().alias("trusted"), "hashed", pair_hashes(F.col("hashed")).alias("pairs"))
+    grams = rows.select("trusted", F.explode(F.concat("hashed", "pairs")).alias("gram"))
     counts = grams.groupBy(_bucket(F.col("gram")).alias("bucket")).agg(F.count("*").alias("raw"), F.count_if("trusted").alias("good"))
-    sums = counts.agg(F.sum("raw").alias("raw_all"), F.sum("good").alias("good_all"))
-    spark = docs.sparkSession
-    whole = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
-    # one row of sums
-    ratio = F.log((F.col("good") + PRIOR) / (F.col("good_all") + PRIOR * BUCKETS)) - F.log((F.col("raw") + PRIOR) / (F.col("raw_all") + PRIOR * BUCKETS))
-    weight = F.when(F.col("good_all") > 0, F.round(ratio * 1_000_000)).otherwise(0).cast("int")
-    weighed = whole.join(F.broadcast(sums), F.lit(True)).select("bucket", weight.alias("weight"))
-    ordered = F.array_sort(F.collect_list(F.struct("bucket", "weight")))
-    return weighed.agg(F.transform(ordered, lambda x: x["weight"]).alias("weights"))
+    none = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("good"))
+    whole = counts.unionByName(none).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+    # one row, so that counts and their sums come from one scan
+    gathered = whole.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("counts"), F.sum("raw").alias("raw_all"), F.sum("good").alias("good_all"))
+
+    def weight(of: Column) -> Column:
+        ratio = F.log((of["good"] + PRIOR) / (F.col("good_all") + PRIOR * BUCKETS)) - F.log((of["raw"] + PRIOR) / (F.col("raw_all") + PRIOR * BUCKETS))
+        return F.when(F.col("good_all") > 0, F.round(ratio * 1_000_000)).otherwise(0).cast("int")
+
+    return gathered.select(F.transform("counts", weight).alias("weights"))
 
 
 def _dup_lines(text: Column) -> Column:
@@ -81,39 +88,36 @@ def _dup_lines(text: Column) -> Column:
 
 
 def counts(docs: DataFrame, also: Sequence[str] = ()) -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``, the word
-    hashes as ``hashed``, and the columns named by ``also``."""
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``, the hashes
+    of words and of pairs as ``hashed`` and ``pairs``, and the columns named by ``also``."""
     text = text_of()
     rows = docs.select(
         "doc_id",
         *also,
         words_of(text).alias("words"),
-        (F.length(text) - F.regexp_count(text, F.lit(SPACE_CLASS))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         _dup_lines(text).alias("lines"),
     )
-    rows = rows.withColumn("hashed", hashes_of(F.col("words")))
+    rows = rows.withColumn("word_chars", F.length(F.concat_ws("", "words")).cast("long")).withColumn("hashed", hashes_of(F.col("words")))
     # A window of three words is the high bits of its hash, with its place in the low
     # bits: sorting brings windows with equal hashes together.
     place_bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size("words").cast("long")))) - 1
-    rows = rows.withColumn("mask", F.coalesce(place_bits, F.lit(0).cast("long")))
-
-    def window(i: Column) -> Column:
-        hashed = F.xxhash64(F.get("hashed", i), F.get("hashed", i + 1), F.get("hashed", i + 2))
-        return F.coalesce(hashed.bitwiseAND(F.bitwise_not(F.col("mask"))).bitwiseOR(i.cast("long")), F.lit(0).cast("long"))
-
-    packed = F.transform(F.sequence(F.lit(0), F.size("words") - 3), window)
-    rows = rows.withColumn("packed", F.when(F.size("words") >= 3, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")))
-    high = F.bitwise_not(F.col("mask"))
-    alike = lambda x, y: F.coalesce(x.bitwiseAND(high) == y.bitwiseAND(high), F.lit(False))
-    maybe = F.filter("packed", lambda x, k: alike(x, F.get("packed", k + 1)) | alike(x, F.get("packed", k - 1)))
-    rows = rows.withColumn("maybe", maybe)
+    rows = rows.withColumn("mask", F.coalesce(place_bits, F.lit(0).cast("long"))).withColumn("high", F.bitwise_not(F.col("mask")))
+    rows = rows.withColumn("pairs", pair_hashes(F.col("hashed")))
+    windows = F.greatest(F.size("words") - 2, F.lit(0))
+    mixed = F.zip_with(F.slice("pairs", 1, windows), F.slice("hashed", 3, windows), lambda pair, third: pair.bitwiseXOR(third))
+    rows = rows.withColumn("packed", F.sort_array(F.transform(mixed, lambda x, i: x.bitwiseAND(F.col("high")).bitwiseOR(i.cast("long")))))
+    # windows like the next one; if there are any, also those like the one before
+    alike = lambda x, y: x.bitwiseXOR(y).bitwiseAND(F.col("high")) == 0
+    rows = rows.withColumn("before", F.filter("packed", lambda x, k: alike(x, F.get("packed", k + 1))))
+    after = F.filter("packed", lambda x, k: alike(x, F.get("packed", k - 1)))
+    rows = rows.withColumn("maybe", F.when(F.size("before") > 0, F.array_union("before", after)).otherwise(F.col("before")))
 
     def spelled(x: Column) -> Column:
         i = x.bitwiseAND(F.col("mask")).cast("int")
         return F.struct(F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("window"), i.cast("long").alias("at"))
 
-    rows = rows.withColumn("spelled", F.array_sort(F.transform("maybe", spelled)))
+    rows = rows.withColumn("spelled", F.sort_array(F.transform("maybe", spelled)))
     same = lambda x, y: F.coalesce(x["window"] == y["window"], F.lit(False))
     twice = F.filter("spelled", lambda x, k: same(x, F.get("spelled", k + 1)) | same(x, F.get("spelled", k - 1)))
     rows = rows.withColumn("starts", F.sort_array(F.transform(twice, lambda x: x["at"])))
@@ -132,6 +136,7 @@ def counts(docs: DataFrame, also: Sequence[str] = ()) -> DataFrame:
         (F.col("lines.all") - F.col("lines.different")).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         "hashed",
+        "pairs",
     )
 
 
@@ -140,10 +145,10 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     n-gram), ``kept``, and the columns named by ``also``."""
     # BUCKETS numbers, as one literal: a column of them would be copied into every row
     weights = bucket_weights(docs, trusted).first()["weights"]
-    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
+    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
     rows = counts(docs, also)
-    of = lambda h: F.coalesce(F.get(table, _bucket(h)).cast("long"), F.lit(0).cast("long"))
-    total = F.aggregate(F.concat("hashed", pair_hashes(F.col("hashed"))), F.lit(0).cast("long"), lambda acc, h: acc + of(h))
+    add = lambda acc, h: acc + F.get(table, _bucket(h))
+    total = F.aggregate("pairs", F.aggregate("hashed", F.lit(0).cast("long"), add), add)
     n = F.col("n_words")
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * n)
     score = total / (F.greatest(2 * n - 1, F.lit(1)) * 1_000_000.0)

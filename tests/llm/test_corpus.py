@@ -273,6 +273,23 @@ def test_repeats_when_window_hashes_meet(spark, monkeypatch):
     assert quality.counts(frame).first().n_repeat_words == brute.quality(text)[4] == 12
 
 
+def test_quality_weights_read_the_corpus_once(docs, labels):
+    """Counts and their sums come from one pass over the n-grams, which holds its arrays once."""
+    weights = quality.bucket_weights(docs, quality.trusted_ids(labels))
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bGenerate explode", plan)) == 1
+    assert len(re.findall(r"\btransform\(filter\(split", plan)) == 1
+
+
+def test_quality_counts_of_few_words_and_overlapping_repeats(spark):
+    random.seed(3)
+    texts = [None, "", " ", "a", "a a", "a a a", "a a a a", "a b a b a b", " a\tb \x0b c\x0c\r\nd ", "é ü\xa0x é ü\xa0x é", "a b c x a b c"]
+    texts += [" ".join(random.choice("abc") for _ in range(n)) for n in range(3, 60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert by_id(quality.counts(frame), *names) == {d: brute.quality(t)[:5] for d, t in enumerate(texts)}
+
+
 def test_quality_on_labelled_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = quality.quality_rules(docs, quality.trusted_ids(labels)).where("not base_failed").join(labels, "doc_id")
