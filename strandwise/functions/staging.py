@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,19 @@ def discard(*staged: DataFrame) -> None:
         _delete(df.sparkSession, df._strandwise_path)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files; else they stay until the driver
+    happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Deletes all that this application has staged; results not yet written are lost."""
     _delete(spark, f"{shared_dir(spark)}/strandwise/{spark.sparkContext.applicationId}")

@@ -15,7 +15,7 @@ def stored(t: Tables) -> StoredIndex:
     """All documents, in three batches; the first holds former texts that the later ones
     replace, and documents that are deleted again."""
     fields = {"title": title(), "body": body()}
-    index = StoredIndex(t.spark, scratch(t.spark, "text_index"), "doc_id")
+    index = StoredIndex(t.spark, scratch(t.spark, "text_index"), "doc_id", former=False)
     docs = t.documents.select("doc_id", "text")
     former = docs.withColumn("text", F.reverse("text"))
     index.put(former.unionByName(docs.withColumn("doc_id", -1 - F.col("doc_id"))), fields)
