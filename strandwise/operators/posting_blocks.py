@@ -26,15 +26,14 @@ from pyspark.sql import functions as F
 
 from strandwise.operators.text import _plain
 
-#: Most bytes of text, rows, and bytes of blocks held at once; postings of a block, about; rows unpacked at once.
-TEXT, ROWS, HELD, BLOCK, UNPACKED = 24 << 20, 1 << 21, 64 << 20, 1 << 12, 1 << 17
+#: Most bytes of text, rows, and bytes of blocks held at once; postings of a block, about; rows packed and unpacked at once.
+TEXT, ROWS, HELD, BLOCK, SLICE, UNPACKED = 16 << 20, 1 << 20, 32 << 20, 1 << 12, 1 << 19, 1 << 17
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 DEALT = "part int, blocks binary"
 
-#: Lower case of a byte of ASCII or of words that are in lower case already, and what is in a word.
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WORD = np.isin(np.arange(256), [*range(48, 58), *range(97, 123), *range(128, 256)])
+#: Lower case of a byte of ASCII or of words that are in lower case already, and if it is in a word.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_WORD = bytes(48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256))
 
 
 def block_schema(key_type: str) -> str:
@@ -54,14 +53,15 @@ def encode(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     """Unsigned numbers at 7 bits a byte, an entry for each run that begins at ``starts``."""
     if len(values) and values.max() < 1 << 32:
         values = values.astype(np.uint32)
-    size = np.ones(len(values), np.int64)
+    size = np.ones(len(values), np.uint8)
     for bits in range(7, 8 * values.itemsize, 7):
         more = values >= values.dtype.type(1 << bits)
         if not more.any():
             break
         size += more
-    ends = np.append(0, np.cumsum(size))
-    offsets, out = ends[np.append(starts, len(values))].astype(np.int32), np.empty(ends[-1], np.uint8)
+    ends = np.zeros(len(values) + 1, np.int32)
+    np.cumsum(size, out=ends[1:])
+    offsets, out = ends[np.append(starts, len(values))], np.empty(ends[-1], np.uint8)
     left, at = values, ends[:-1]
     while len(left):
         more = left > 127
@@ -184,14 +184,15 @@ def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of texts that end in a space, and how many each text has. A text is ASCII,
     where words are as ``text.tokens`` has them, or made by it."""
     offsets, data = _bytes(text)
-    data = _LOWER[data]
-    held = _WORD[data]
+    low = data.tobytes().translate(_LOWER)
+    data, held = np.frombuffer(low, np.uint8), np.frombuffer(bytearray(low.translate(_WORD)), bool)
     quote = np.flatnonzero(data[:-2] == 39)
     after = data[quote + 2]
-    quote = quote[(data[quote + 1] == 115) & ~_WORD[after] & (after != 95)]
-    held[quote + 1] = False
-    edge = np.diff(held.view(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    held[quote[(data[quote + 1] == 115) & ~held[quote + 2] & (after != 95)] + 1] = False
+    # a word begins and ends where this changes; the last byte is a space
+    edge = np.flatnonzero(held[1:] != held[:-1]) + 1
+    edge = np.append(0, edge) if held[:1].any() else edge
+    starts, ends = edge[::2], edge[1::2]
     spots = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
     words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(spots), pa.py_buffer(data[held])])
     return words, np.diff(np.searchsorted(starts, offsets))
@@ -208,15 +209,15 @@ def _pack_texts(names: list[str], seq: int, parts: int, whole: bool) -> Callable
                 keys = keys.take(pa.array(order))
             else:
                 order = np.arange(docs)
-            found = [_words(_column(table, c)) for c in texts]
-            coded = pa.concat_arrays([w for w, _ in found]).dictionary_encode()
+            words, counts = zip(*(_words(_column(table, c)) for c in texts))
+            coded = pa.concat_arrays(words).dictionary_encode()
             # rows are fields, and in them documents by key
-            length = np.concatenate([count[order] for _, count in found])
+            length = np.concatenate([count[order] for count in counts])
             rank = np.empty(docs, np.int64)
             rank[order] = np.arange(docs)
-            row = np.concatenate([np.repeat(rank + i * docs, count) for i, (_, count) in enumerate(found)])
             bits = np.int64(len(length).bit_length())
-            spot = (_numpy(coded.indices).astype(np.int64) << bits) | row
+            spot = (_numpy(coded.indices).astype(np.int64) << bits) | np.concatenate([np.repeat(rank + i * docs, count) for i, count in enumerate(counts)])
+            del table, words
             spot.sort()
             first = _runs(spot)
             tf, spot = np.diff(np.append(first, len(spot))), spot[first]
@@ -231,7 +232,10 @@ def _pack_texts(names: list[str], seq: int, parts: int, whole: bool) -> Callable
                 kinds = [(f, o, seq) for f in names for o in (1, 2)]
                 yield _blocks(keys.take(pa.array(doc[by])), whole, np.zeros(len(by), np.int64), (field * 2 + opens - 1)[by], differ[by], length[by], pa.nulls(1, pa.string()), kinds, np.ones(1, bool))
                 terms, kinds = coded.dictionary, [(f, 0, seq) for f in names]
-                yield _blocks(keys.take(pa.array(doc[row])), whole, code, field[row], tf, length[row], terms, kinds, _wide(code, len(terms), parts))
+                wide = _wide(code, len(terms), parts)
+                for at in range(0, len(code), SLICE):
+                    some = slice(at, at + SLICE)
+                    yield _blocks(keys.take(pa.array(doc[row[some]])), whole, code[some], field[row[some]], tf[some], length[row[some]], terms, kinds, wide)
 
     return run
 
@@ -286,19 +290,25 @@ def _join(blocks: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(out)
 
 
+def _hashes(values: pa.Array) -> np.ndarray:
+    offsets, data = _bytes(values)
+    data, ends = memoryview(np.ascontiguousarray(data)), offsets.tolist()
+    return np.array([zlib.crc32(data[a:b]) for a, b in zip(ends, ends[1:])], np.int64)
+
+
 def _deal(parts: int) -> Callable:
     """Blocks by part, those of a part in one row, compressed."""
 
     def run(batches):
         for table in _chunks(batches, _row_bytes(["term", "postings"]), HELD):
             terms = _column(table, "term").dictionary_encode()
-            hashes = np.array([zlib.crc32(t.as_buffer()) for t in terms.dictionary] + [0], np.int64)
-            hashes = hashes[_numpy(pc.fill_null(terms.indices, len(terms.dictionary)))]
-            wide, postings = np.flatnonzero(_numpy(_column(table, "wide"))), _column(table, "postings")
-            hashes[wide] += np.array([zlib.crc32(postings[int(i)].as_buffer()) for i in wide], np.int64)
+            hashes = np.append(_hashes(terms.dictionary), 0)[_numpy(pc.fill_null(terms.indices, len(terms.dictionary)))]
+            wide = np.flatnonzero(_numpy(_column(table, "wide")))
+            hashes[wide] += _hashes(_column(table, "postings").take(pa.array(wide)))
             part = hashes % parts
             by = np.argsort(part, kind="stable")
             table, part = table.take(pa.array(by)).combine_chunks(), part[by]
+            table = table.set_column(1, "field", table.column("field").dictionary_encode())  # else its offsets take a tenth
             starts = _runs(part)
             for at, to in zip(starts, np.append(starts[1:], len(part))):
                 sink = pa.BufferOutputStream()
@@ -326,6 +336,7 @@ def _gather(batches):
                 yield from done()
                 held, size = [], 0
             table, last = pa.ipc.open_stream(blocks.as_buffer()).read_all(), part
+            table = table.set_column(1, "field", table.column("field").cast(pa.string()))
             held.append(table)
             size += table.nbytes
     if held:
@@ -335,24 +346,33 @@ def _gather(batches):
 # ---------------------------------------------------------------- frames
 
 
-def pack_texts(docs: DataFrame, key: str, key_type: str, fields: Mapping[str, Column], seq: int, parts: int) -> DataFrame:
-    """Blocks of the inverted index of ``docs``; each document is read once, and all words
-    that ``text.tokens`` finds are counted. ASCII needs no patterns: what is no letter or digit
-    stands between words."""
+def _texts(docs: DataFrame, key: str, key_type: str, fields: Mapping[str, Column]) -> DataFrame:
+    """``key``, and each field as ``_words`` takes it: ASCII needs no patterns, as what is no
+    letter or digit stands between words."""
     own = docs.select(F.col(key).cast(key_type).alias("key"), *(F.coalesce(c, F.lit("")).alias(f"_{i}") for i, c in enumerate(fields.values())))
-    plain = [F.concat(F.when(F.octet_length(t) == F.length(t), F.col(t)).otherwise(_plain(F.col(t))), F.lit(" ")).alias(t) for t in own.columns[1:]]
-    return own.select("key", *plain).mapInArrow(_pack_texts(list(fields), seq, parts, key_type in WHOLE), block_schema(key_type))
+    return own.select("key", *(F.concat(F.when(F.octet_length(t) == F.length(t), F.col(t)).otherwise(_plain(F.col(t))), F.lit(" ")).alias(t) for t in own.columns[1:]))
+
+
+def pack_texts(docs: DataFrame, key: str, key_type: str, fields: Mapping[str, Column], seq: int, parts: int) -> DataFrame:
+    """Blocks of the inverted index of ``docs``, by parts as ``gathered`` takes them.
+    Each document is read once, and all words that ``text.tokens`` finds are counted."""
+    pack, deal = _pack_texts(list(fields), seq, parts, key_type in WHOLE), _deal(parts)
+    return _texts(docs, key, key_type, fields).mapInArrow(lambda batches: deal(pack(batches)), DEALT)
+
+
+def pack_rows(rows: DataFrame, key: str, key_type: str, parts: int) -> DataFrame:
+    """Blocks of some of the rows that ``unpack`` gives, by parts."""
+    pack, deal = _pack_rows(key_type in WHOLE), _deal(parts)
+    return rows.withColumnRenamed(key, "key").mapInArrow(lambda batches: deal(pack(batches)), DEALT)
 
 
-def pack_rows(rows: DataFrame, key: str, key_type: str) -> DataFrame:
-    """Blocks of some of the rows that ``unpack`` gives."""
-    return rows.withColumnRenamed(key, "key").mapInArrow(_pack_rows(key_type in WHOLE), block_schema(key_type))
+def pack_blocks(blocks: DataFrame, parts: int) -> DataFrame:
+    return blocks.mapInArrow(_deal(parts), DEALT)
 
 
-def dealt(blocks: DataFrame, key_type: str, parts: int) -> DataFrame:
+def gathered(packed: DataFrame, key_type: str, parts: int) -> DataFrame:
     """``part`` and blocks, a part in one task, by term in large runs."""
-    rows = blocks.mapInArrow(_deal(parts), DEALT).repartitionById(parts, "part")
-    return rows.mapInArrow(_gather, f"part int, {block_schema(key_type)}")
+    return packed.repartitionById(parts, "part").mapInArrow(_gather, f"part int, {block_schema(key_type)}")
 
 
 _ROW = {"field": "string", "term": "string", "tf": "long", "length": "int", "opens": "int", "seq": "long", "wide": "boolean"}

@@ -84,11 +84,11 @@ class StoredIndex:
     def _dealt(self) -> int:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _write_segment(self, seq: int, blocks: DataFrame, parts: int) -> dict:
+    def _write_segment(self, seq: int, packed: DataFrame, parts: int) -> dict:
         """Postings by term, documents by key."""
         folder = self._new("segments")
         with shuffles_dropped(self.spark):
-            P.dealt(blocks, self.key_type, parts).write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/postings")
+            P.gathered(packed, self.key_type, parts).write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/postings")
             kept = self._blocks(folder)
             spread = kept.where("wide and term is not null").select("part", "term").distinct()
             every = kept.select("part").distinct().withColumn("term", F.lit(None).cast("string"))
@@ -114,8 +114,9 @@ class StoredIndex:
             for s in (old, new):
                 blocks = self._blocks(s["folder"]).drop("part")
                 if hidden.get(s["folder"]):
-                    blocks = P.pack_rows(self._alive(P.unpack(blocks, self.key, self.key_type)), self.key, self.key_type)
-                moved.append(blocks)
+                    moved.append(P.pack_rows(self._alive(P.unpack(blocks, self.key, self.key_type)), self.key, self.key_type, parts))
+                else:
+                    moved.append(P.pack_blocks(blocks, parts))
             self.segments.append(self._write_segment(new["seq"], reduce(DataFrame.unionByName, moved), parts))
             self._save()
         # what every segment has already dropped need not be kept

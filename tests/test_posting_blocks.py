@@ -37,8 +37,9 @@ def test_blocks_hold_the_rows_of_the_inverted_index(spark, key_type, keys):
     docs = [(k if i < len(keys) else (i if key_type != "string" else f"k{i}"), WORDS[i % 11], WORDS[(i * 3 + i // 11) % 11]) for i, k in enumerate([*keys, *range(60)])]
     df = spark.createDataFrame(docs, f"k {key_type}, title string, body string").coalesce(1)
     want = rows(J.inverted_index(df, "k", columns()).where("opens >= 0").drop("opens"))
-    blocks = P.pack_texts(df, "k", key_type, columns(), 7, 4)
-    for made in (blocks, P.dealt(blocks, key_type, 4).drop("part"), P.pack_rows(P.unpack(blocks, "k", key_type), "k", key_type)):
+    blocks = P.gathered(P.pack_texts(df, "k", key_type, columns(), 7, 4), key_type, 4).drop("part")
+    again = P.pack_rows(P.unpack(blocks, "k", key_type), "k", key_type, 3).unionByName(P.pack_blocks(blocks.where("n < 0"), 3))
+    for made in (blocks, P.gathered(again, key_type, 3), P.gathered(P.pack_blocks(blocks, 5), key_type, 5)):
         got = P.unpack(made.where("opens = 0"), "k", key_type, ["field", "term", "tf", "length"])
         assert rows(got) == want
         heads = P.unpack(made.where("opens > 0"), "k", key_type, ["field", "length", "opens", "seq"])
@@ -58,7 +59,7 @@ def test_small_chunks_and_blocks_give_the_same(monkeypatch):
 
     plain, wide = unpacked()
     assert wide == {None}
-    for name, value in (("TEXT", 500), ("HELD", 300), ("BLOCK", 8), ("UNPACKED", 10)):
+    for name, value in (("TEXT", 500), ("HELD", 300), ("BLOCK", 8), ("SLICE", 50), ("UNPACKED", 10)):
         monkeypatch.setattr(P, name, value)
     again, wide = unpacked()
     assert again == plain and "w0" in wide
