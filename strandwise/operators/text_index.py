@@ -204,7 +204,8 @@ class StoredIndex:
         if not self.segments:
             return hit.select(self.key, F.lit(0.0).alias("score"))
         df = hit.groupBy("term").agg(F.countDistinct(self.key).alias("df"))
-        rows = hit.join(df, "term").join(F.broadcast(self.figures()), "field")  # one row per field
+        # a row for each term asked and for each field: no term's rows go to one task
+        rows = hit.join(F.broadcast(df), "term").join(F.broadcast(self.figures()), "field")
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
         weight = F.coalesce(F.element_at(F.create_map(*(x for f, w in weights.items() for x in (F.lit(f), F.lit(float(w))))), F.col("field")), F.lit(0.0))

@@ -92,3 +92,15 @@ def test_an_index_keeps_one_copy_in_few_rows(spark, tmp_path):
     half = spark.range(0, 2000, 2).select(F.col("id").alias("k"), F.lit("gamma").alias("body"))
     again.put(half, {"body": F.col("body")})  # half of what the merge meets is hidden
     assert {(r.term, r.n) for r in again.postings(["alpha", "gamma"]).groupBy("term").agg(F.count("*").alias("n")).collect()} == {("alpha", 1000), ("gamma", 1000)}
+
+
+def test_a_score_does_not_deal_rows_by_term(spark, tmp_path):
+    index = StoredIndex(spark, str(tmp_path / "index"), "k")
+    index.put(spark.range(50).select(F.col("id").alias("k"), F.lit("alpha beta").alias("body")), {"body": F.col("body")})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = index.bm25(["alpha", "beta"], {"body": 1.0})
+        assert scores.count() == 50
+        assert "SortMergeJoin" not in scores._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
